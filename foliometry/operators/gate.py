@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliometry.schema import BASE_CURRENCY
@@ -77,3 +77,13 @@ def dataset_profile(tx: DataFrame) -> DataFrame:
         F.sum("missing_fx").alias("missing_fx_count"),
         F.sum(F.col("copies") - 1).alias("repeated_content_count"),
     )
+
+
+def issue_heads(issues: DataFrame, n: int = 10) -> DataFrame:
+    """First ``n`` issues per portfolio in processing order.
+
+    Spark turns ``row_number() <= n`` into a per-task group limit before the shuffle, so a
+    portfolio with very many issues sends at most ``n`` rows per map task.
+    """
+    order = Window.partitionBy(P).orderBy("trade_date", "source_row_number", "domain")
+    return issues.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)

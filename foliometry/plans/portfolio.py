@@ -1,0 +1,82 @@
+"""The portfolio tables a query starts from, for one transaction table and its snapshots."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
+
+from foliometry.operators import cash_ledger, fx_ledger, gate, position_ledger, valuation
+from foliometry.plans import fixtures
+
+
+@dataclass
+class Book:
+    """Lazy frames over one set of transactions; a frame is built once however often it is read."""
+
+    tx: DataFrame
+    marks: DataFrame
+    snapshots: DataFrame
+
+    @cached_property
+    def security_ledger(self) -> DataFrame:
+        return position_ledger.position_ledger(self.tx).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def cash_ledger(self) -> DataFrame:
+        return cash_ledger.cash_ledger(self.tx).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def fx_ledger(self) -> DataFrame:
+        return fx_ledger.fx_ledger(self.tx).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return position_ledger.positions(self.security_ledger)
+
+    @cached_property
+    def wallets(self) -> DataFrame:
+        return cash_ledger.wallets(self.cash_ledger)
+
+    @cached_property
+    def pools(self) -> DataFrame:
+        return fx_ledger.pools(self.fx_ledger)
+
+    @cached_property
+    def basis(self) -> DataFrame:
+        return fx_ledger.security_basis(self.fx_ledger)
+
+    @cached_property
+    def components(self) -> DataFrame:
+        return valuation.components(self.positions, self.wallets, self.marks, self.snapshots)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return valuation.valuation_totals(self.components, self.marks, self.snapshots)
+
+    @cached_property
+    def fx_issues(self) -> DataFrame:
+        return gate.ledger_issues(self.fx_ledger, "FX_COST")
+
+    @cached_property
+    def reconciled(self) -> DataFrame:
+        return valuation.reconcile(self.components, self.basis)
+
+    @cached_property
+    def reconciliation(self) -> DataFrame:
+        return valuation.reconciliation_totals(self.reconciled, self.totals, self.basis, self.pools, self.fx_issues)
+
+
+_books: dict[tuple, Book] = {}
+
+
+def book(spark: SparkSession, sf_dir: str, clean: bool = False) -> Book:
+    """Books are kept per session: ledgers are persisted, so every query over them shares one fold."""
+    key = (spark.sparkContext.applicationId, sf_dir, clean)
+    if key not in _books:
+        tx = fixtures.tx_clean(spark, sf_dir) if clean else fixtures.tx(spark, sf_dir)
+        snapshots = fixtures.clean_snapshots(tx) if clean else fixtures.snapshots(tx)
+        _books[key] = Book(tx, fixtures.marks(spark, sf_dir), snapshots)
+    return _books[key]
