@@ -2,8 +2,8 @@
 
 ``l_suppkey`` is the portfolio and ``l_partkey % 20`` the instrument.  Row numbers are unique per
 portfolio and ordered by (date, source): they come from a window over (portfolio, day), so no
-window ever spans a whole portfolio.  Tables are persisted once per session and folder because
-every query starts from them, as it would from stored tables.
+window ever spans a whole portfolio.  Tables are written once per session and folder, because
+every query starts from them as it would from stored portfolio tables.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from foliometry.runtime import stored
 
 VALUATION_DATE = datetime.date(2001, 6, 30)
 START = datetime.date(1995, 1, 1)
+NUDGE = 1.73e-6  # keeps exact halves of the fourth decimal from rounding differently per engine
 
 COLUMNS = (
     "portfolio_id",
@@ -37,13 +39,13 @@ _kept: dict[tuple, DataFrame] = {}
 
 
 def shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Persist a derived base table once per (session, folder)."""
+    """Write a derived base table once per (session, folder)."""
 
     @wraps(build)
     def table(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (build.__name__, spark.sparkContext.applicationId, sf_dir)
         if key not in _kept:
-            _kept[key] = build(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+            _kept[key] = stored(build(spark, sf_dir))
         return _kept[key]
 
     return table
@@ -219,7 +221,7 @@ def _prices(spark: SparkSession, sf_dir: str, day: Column) -> DataFrame:
     return (
         read(spark, sf_dir, "lineitem")
         .groupBy(F.concat(F.lit("T"), k).alias("ticker"), _currency(k).alias("currency"), day.alias("mark_date"))
-        .agg(F.round(F.sum(cents("l_extendedprice")) / F.sum(F.col("l_quantity").cast("bigint")) / 100, 4).alias("value"))
+        .agg(F.round(F.sum(cents("l_extendedprice")) / F.sum(F.col("l_quantity").cast("bigint")) / 100 + NUDGE, 4).alias("value"))
     )
 
 
@@ -227,7 +229,7 @@ def _rates(spark: SparkSession, sf_dir: str, day: Column) -> DataFrame:
     return (
         read(spark, sf_dir, "orders")
         .groupBy(F.when(F.col("o_orderkey") % 2 == 0, "USD").otherwise("EUR").alias("currency"), day.alias("mark_date"))
-        .agg(F.round(28 + F.sum(cents("o_totalprice")) / F.count("*") / 10_000_000, 4).alias("value"))
+        .agg(F.round(28 + F.sum(cents("o_totalprice")) / F.count("*") / 10_000_000 + NUDGE, 4).alias("value"))
     )
 
 
@@ -282,7 +284,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = _rates(spark, sf_dir, F.to_date("o_orderdate")).select(
         F.lit("FX").alias("instrument_type"), F.lit("").alias("ticker"), "currency", F.col("mark_date").alias("date"), F.col("value").alias("raw_close")
     )
-    return security.unionByName(fx).withColumn("adjusted_close", F.round(F.col("raw_close") * 0.95, 4))
+    return security.unionByName(fx).withColumn("adjusted_close", F.round(F.col("raw_close") * 0.95 + NUDGE, 4))
 
 
 def snapshots(portfolios: DataFrame, valuation_date: datetime.date = VALUATION_DATE) -> DataFrame:

@@ -127,10 +127,10 @@ FROM orders GROUP BY ALL""",
 view(
     "v_marks_base",
     """
-SELECT 'PRICE' AS mark_type, ticker, currency, last_day(d) AS mark_date, round(CAST(sum(c) AS DOUBLE) / sum(q) / 100, 4) AS value, 'MONTHLY' AS source
+SELECT 'PRICE' AS mark_type, ticker, currency, last_day(d) AS mark_date, round(CAST(sum(c) AS DOUBLE) / sum(q) / 100 + 1.73e-6, 4) AS value, 'MONTHLY' AS source
 FROM v_prices GROUP BY ALL
 UNION ALL SELECT DISTINCT 'PRICE', ticker, currency, DATE '1995-01-01', 1000e0, 'MONTHLY' FROM v_prices
-UNION ALL SELECT 'FX', '', currency, last_day(d), round(28 + CAST(sum(c) AS DOUBLE) / sum(q) / 1e7, 4), 'MONTHLY' FROM v_rates GROUP BY currency, last_day(d)
+UNION ALL SELECT 'FX', '', currency, last_day(d), round(28 + CAST(sum(c) AS DOUBLE) / sum(q) / 1e7 + 1.73e-6, 4), 'MONTHLY' FROM v_rates GROUP BY currency, last_day(d)
 UNION ALL SELECT DISTINCT 'FX', '', currency, DATE '1995-01-01', 31e0, 'MONTHLY' FROM v_rates""",
 )
 view(
@@ -148,9 +148,9 @@ FROM (
 view(
     "v_bars",
     """
-SELECT *, round(raw_close * 95e-2, 4) AS adjusted_close FROM (
-  SELECT 'SECURITY' AS instrument_type, ticker, currency, d AS date, round(CAST(c AS DOUBLE) / q / 100, 4) AS raw_close FROM v_prices
-  UNION ALL SELECT 'FX', '', currency, d, round(28 + CAST(c AS DOUBLE) / q / 1e7, 4) FROM v_rates)""",
+SELECT *, round(raw_close * 95e-2 + 1.73e-6, 4) AS adjusted_close FROM (
+  SELECT 'SECURITY' AS instrument_type, ticker, currency, d AS date, round(CAST(c AS DOUBLE) / q / 100 + 1.73e-6, 4) AS raw_close FROM v_prices
+  UNION ALL SELECT 'FX', '', currency, d, round(28 + CAST(c AS DOUBLE) / q / 1e7 + 1.73e-6, 4) FROM v_rates)""",
 )
 
 

@@ -6,10 +6,10 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
-from foliometry.operators import cash_ledger, fx_ledger, gate, position_ledger, valuation
+from foliometry.operators import cash_ledger, fx_ledger, gate, nav, position_ledger, returns, valuation
 from foliometry.plans import fixtures
+from foliometry.runtime import stored
 
 
 @dataclass
@@ -22,15 +22,43 @@ class Book:
 
     @cached_property
     def security_ledger(self) -> DataFrame:
-        return position_ledger.position_ledger(self.tx).persist(StorageLevel.MEMORY_AND_DISK)
+        return stored(position_ledger.position_ledger(self.tx))
 
     @cached_property
     def cash_ledger(self) -> DataFrame:
-        return cash_ledger.cash_ledger(self.tx).persist(StorageLevel.MEMORY_AND_DISK)
+        return stored(cash_ledger.cash_ledger(self.tx))
 
     @cached_property
     def fx_ledger(self) -> DataFrame:
-        return fx_ledger.fx_ledger(self.tx).persist(StorageLevel.MEMORY_AND_DISK)
+        return stored(fx_ledger.fx_ledger(self.tx))
+
+    @cached_property
+    def tracking(self) -> DataFrame:
+        return cash_ledger.tracking(self.tx)
+
+    @cached_property
+    def nav_dates(self) -> DataFrame:
+        return nav.nav_dates(self.tx, self.marks, self.snapshots)
+
+
+
+    @cached_property
+    def nav_points(self) -> DataFrame:
+        points = nav.nav_points(
+            self.tx,
+            self.security_ledger,
+            self.cash_ledger,
+            self.fx_ledger,
+            self.tracking,
+            self.marks,
+            self.snapshots,
+            self.nav_dates,
+        )
+        return stored(points)
+
+    @cached_property
+    def observations(self) -> DataFrame:
+        return returns.observations(self.nav_points)
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -50,7 +78,7 @@ class Book:
 
     @cached_property
     def components(self) -> DataFrame:
-        return valuation.components(self.positions, self.wallets, self.marks, self.snapshots)
+        return stored(valuation.components(self.positions, self.wallets, self.marks, self.snapshots))
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -73,10 +101,10 @@ _books: dict[tuple, Book] = {}
 
 
 def book(spark: SparkSession, sf_dir: str, clean: bool = False) -> Book:
-    """Books are kept per session: ledgers are persisted, so every query over them shares one fold."""
+    """Books are kept per session: ledgers are written once, so every query over them shares one fold."""
     key = (spark.sparkContext.applicationId, sf_dir, clean)
     if key not in _books:
         tx = fixtures.tx_clean(spark, sf_dir) if clean else fixtures.tx(spark, sf_dir)
-        snapshots = fixtures.clean_snapshots(tx) if clean else fixtures.snapshots(tx)
+        snapshots = stored(fixtures.clean_snapshots(tx) if clean else fixtures.snapshots(tx))
         _books[key] = Book(tx, fixtures.marks(spark, sf_dir), snapshots)
     return _books[key]
