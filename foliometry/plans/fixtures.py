@@ -303,3 +303,67 @@ def clean_snapshots(portfolios: DataFrame, valuation_date: datetime.date = VALUA
         F.lit(0).cast("bigint").alias("snapshot_id"),
         F.lit(valuation_date).alias("valuation_date"),
     )
+
+
+def _money_text(c: Column) -> Column:
+    """12345.6 as 12,345.60 from whole cents."""
+    v = F.round(c * 100).cast("bigint")
+    units = F.floor(v / 100)
+    head = F.floor(units / 1000)
+    whole = F.when(head > 0, F.concat(head, F.lit(","), F.lpad((units % 1000).cast("string"), 3, "0"))).otherwise(units.cast("string"))
+    return F.concat(whole, F.lit("."), F.lpad((v % 100).cast("string"), 2, "0"))
+
+
+@shared
+def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions as an uploaded file would spell them, with some unusable rows."""
+    r = F.col("source_row_number")
+    k = F.substring("ticker", 2, 9).cast("int")
+    kind = (
+        F.when(r % 53 == 0, "SWAP")
+        .when((F.col("transaction_type") == "SECURITY") & (r % 5 == 0), "")
+        .when((F.col("transaction_type") == "SECURITY") & (F.col("quantity") > 0), " buy")
+        .when(F.col("transaction_type") == "SECURITY", "Sell")
+        .when(F.col("transaction_type") == "FX_BUY", "換匯買入")
+        .when(F.col("transaction_type") == "FX_SELL", "forex_sell")
+        .when(F.col("transaction_type") == "CASH_IN", "Deposit")
+        .otherwise("出金")
+    )
+    date = (
+        F.when(r % 41 == 0, "1997-02-30")
+        .when(r % 43 == 0, F.datediff("trade_date", F.lit(datetime.date(1899, 12, 30))).cast("string"))
+        .when(r % 7 == 0, F.date_format("trade_date", "yyyy/M/d"))
+        .otherwise(F.date_format("trade_date", "yyyy-MM-dd"))
+    )
+    security = F.col("transaction_type") == "SECURITY"
+    return tx(spark, sf_dir).select(
+        "portfolio_id",
+        "source_row_number",
+        date.alias("交易日期"),
+        kind.alias("Trade Type"),
+        F.when(r % 61 == 0, "").when(security & (k % 4 == 0), F.concat(F.lit("23"), F.lpad(k.cast("string"), 2, "0"))).otherwise(F.lower("ticker")).alias("股票代號"),
+        F.when(security, F.when(r % 5 == 0, F.col("quantity")).otherwise(F.abs("quantity")).cast("bigint").cast("string")).otherwise("").alias("Qty"),
+        F.when(r % 59 == 0, "-1").when(security, _money_text(F.col("price"))).otherwise("").alias("price"),
+        F.when(security, "").otherwise(_money_text(F.col("amount_foreign"))).alias("Amount"),
+        F.when(r % 47 == 0, "").otherwise(F.format_string("%.1f", "fx_rate")).alias("FX Rate"),
+        _money_text(F.col("fee")).alias("commission"),
+        F.when(security & (k % 4 == 0), "n/a").otherwise(F.lower("currency")).alias("ccy"),
+        F.when(r % 3 == 0, " bulk ").otherwise("").alias("memo"),
+    )
+
+
+@shared
+def raw_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marks as an uploaded file would spell them, one file per snapshot."""
+    r = F.col("source_row_number")
+    return marks(spark, sf_dir).select(
+        F.col("snapshot_id").alias("portfolio_id"),
+        "source_row_number",
+        F.when(F.col("snapshot_id") == 0, "2001/06/30").otherwise(F.date_format("mark_date", "yyyy-MM-dd")).alias("as_of_date"),
+        F.when(r % 23 == 0, "2001-6-1").otherwise(F.date_format("mark_date", "yyyy/MM/dd")).alias("標記日期"),
+        F.when(r % 29 == 0, "YIELD").when(F.col("mark_type") == "FX", "匯率").otherwise("close").alias("Type"),
+        F.col("ticker").alias("symbol"),
+        F.when((r % 31 == 0) | (F.col("mark_type") == "PRICE"), "").otherwise(F.col("currency")).alias("ccy"),
+        F.when(r % 37 == 0, "-3").otherwise(_money_text(F.col("value"))).alias("close"),
+        F.when(F.col("source") == "MONTHLY", "").otherwise(F.col("source")).alias("provider"),
+    )

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from foliometry.plans import queries_ledgers, queries_performance  # noqa: F401
+from foliometry.plans import queries_ingest, queries_ledgers, queries_performance  # noqa: F401
 from foliometry.plans.catalog import ORACLES, PLANS  # noqa: F401

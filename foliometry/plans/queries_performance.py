@@ -162,6 +162,12 @@ ELSE strftime(last_day(CAST(l_shipdate AS DATE)), '%Y-%m-%d') END AS date_text F
 )
 
 
+view(
+    "v_asked",
+    "SELECT DISTINCT portfolio_id, try_cast(trim(date_text) AS DATE) AS as_of FROM v_requested WHERE try_cast(trim(date_text) AS DATE) IS NOT NULL",
+)
+
+
 def _requested(spark, sf):
     day = F.date_format(F.last_day(F.to_date("l_shipdate")), "yyyy-MM-dd")
     text = F.when(F.col("l_linenumber") == 3, "1997-02-30").when(F.col("l_linenumber") == 4, F.concat(F.lit(" "), day)).otherwise(day)
@@ -181,8 +187,7 @@ def _(spark, sf):
 
 @query(
     "observation_dates",
-    """WITH asked AS (SELECT DISTINCT portfolio_id, try_cast(trim(date_text) AS DATE) AS as_of FROM v_requested WHERE try_cast(trim(date_text) AS DATE) IS NOT NULL)
-SELECT * FROM asked UNION SELECT t.portfolio_id, t.trade_date FROM (SELECT portfolio_id, min(as_of) AS lo, max(as_of) AS hi FROM asked GROUP BY ALL) a
+    """SELECT * FROM v_asked UNION SELECT t.portfolio_id, t.trade_date FROM (SELECT portfolio_id, min(as_of) AS lo, max(as_of) AS hi FROM v_asked GROUP BY ALL) a
 JOIN v_tx t ON t.portfolio_id = a.portfolio_id AND t.transaction_type IN ('CASH_IN', 'CASH_OUT') AND t.trade_date BETWEEN a.lo AND a.hi""",
 )
 def _(spark, sf):
