@@ -21,12 +21,16 @@ def query(name: str, oracle: str | None = None) -> Callable[[Plan], Plan]:
             raise ValueError(f"query {name} is registered twice")
         PLANS[name] = plan
         if oracle is not None:
-            ORACLES[name] = compose(oracle)
+            ORACLES[name] = oracle
         return plan
 
     return register
 
 
+def oracles() -> dict[str, str]:
+    return {name: compose(sql) for name, sql in ORACLES.items()}
+
+
 def _nudge(digits: int) -> float:
     """Engines round exact halves differently; 1.7 % of a unit moves decimal inputs off the half."""
     return 0.0173 * 10**-digits

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from foliometry.plans import queries_ingest, queries_ledgers, queries_market, queries_performance, queries_versions  # noqa: F401
-from foliometry.plans.catalog import ORACLES, PLANS  # noqa: F401
+from foliometry.plans import queries_backtest, queries_ingest, queries_ledgers, queries_market, queries_performance, queries_versions  # noqa: F401
+from foliometry.plans.catalog import PLANS, oracles  # noqa: F401
