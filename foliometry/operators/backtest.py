@@ -378,8 +378,8 @@ def summarise(runs: DataFrame, executions: DataFrame, curve: DataFrame, issues:
 def compare(requests: DataFrame, prices: DataFrame, tx: DataFrame, cut=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(summary with three rows per request, curves of all runs); ``cut`` shortens shared plans."""
     calendar = cut(market_calendar(requests, prices))
-    closed = market_issues(requests, prices, calendar)
-    open_ = requests.join(closed.select(R).distinct(), R, "left_anti")
+    closed = cut(market_issues(requests, prices, calendar))
+    open_ = cut(requests.join(closed.select(R).distinct(), R, "left_anti"))
     days = calendar.join(open_.select(R), R, "left_semi")
     dca = dca_flows(open_, days)
     planned = cut(dca.unionByName(lump_flows(dca, open_, days)))

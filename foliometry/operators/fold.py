@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from foliometry.runtime import cut_lineage
+from foliometry.runtime import stored
 
 SLICE_ROWS = 2_000_000
 
@@ -55,7 +55,7 @@ def ordered_fold(df: DataFrame, fold: Fold, slice_rows: int = SLICE_ROWS) -> Dat
 def _fold_with_hot_keys(df: DataFrame, fold: Fold, hot: DataFrame, slice_rows: int) -> DataFrame:
     keys = list(fold.keys)
     ordinary = _run(df.join(hot, keys, "left_anti"), fold, carried=False)
-    sliced = cut_lineage(_with_slices(df.join(hot, keys, "left_semi"), fold, slice_rows))
+    sliced = stored(_with_slices(df.join(hot, keys, "left_semi"), fold, slice_rows))
     last = sliced.agg(F.max("fold_slice")).first()[0]
 
     parts = [ordinary]
@@ -68,7 +68,7 @@ def _fold_with_hot_keys(df: DataFrame, fold: Fold, hot: DataFrame, slice_rows: i
             # a key whose rows ended in an earlier slice has no row here and needs no state
             live = state.join(rows.select(*keys).distinct(), keys, "left_semi")
             rows = rows.unionByName(live, allowMissingColumns=True)
-        done = cut_lineage(_run(rows, fold, carried=True))
+        done = stored(_run(rows, fold, carried=True))
         parts.append(done.where(F.col(STATE).isNull()).drop(STATE))
         state = done.where(F.col(STATE).isNotNull()).select(*keys, STATE)
     return reduce(DataFrame.unionByName, parts)

@@ -305,6 +305,21 @@ def clean_snapshots(portfolios: DataFrame, valuation_date: datetime.date = VALUA
     )
 
 
+def freshness(snapshots_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every tenth portfolio's snapshot is bound to an older version; every seventh lacks a market run."""
+    p = F.col("portfolio_id")
+    stale = p % 10 == 9
+    state = snapshots_.select(
+        "portfolio_id",
+        F.when(stale, "STALE").otherwise("CURRENT").alias("freshness"),
+        F.when(stale, "TRANSACTION_VERSION_STALE").alias("freshness_issue"),
+    )
+    missing = snapshots_.where(p % 7 == 3).select(
+        "portfolio_id", F.lit("NO_RUN").alias("issue_code"), F.lit(None).cast("date").alias("date")
+    )
+    return state, missing
+
+
 def _money_text(c: Column) -> Column:
     """12345.6 as 12,345.60 from whole cents."""
     v = F.round(c * 100).cast("bigint")

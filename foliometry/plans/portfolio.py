@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliometry.operators import cash_ledger, fx_ledger, gate, nav, position_ledger, returns, valuation
 from foliometry.plans import fixtures
@@ -19,6 +20,10 @@ class Book:
     tx: DataFrame
     marks: DataFrame
     snapshots: DataFrame
+    freshness: DataFrame  # portfolio_id, freshness, freshness_issue
+    bars: DataFrame | None = None  # merged market bars with market_id
+    market_issues: DataFrame | None = None  # portfolio_id, issue_code, date
+    strategies: DataFrame | None = None  # backtest summary rows
 
     @cached_property
     def security_ledger(self) -> DataFrame:
@@ -106,5 +111,7 @@ def book(spark: SparkSession, sf_dir: str, clean: bool = False) -> Book:
     if key not in _books:
         tx = fixtures.tx_clean(spark, sf_dir) if clean else fixtures.tx(spark, sf_dir)
         snapshots = stored(fixtures.clean_snapshots(tx) if clean else fixtures.snapshots(tx))
-        _books[key] = Book(tx, fixtures.marks(spark, sf_dir), snapshots)
+        bars = fixtures.bars(spark, sf_dir).withColumn("market_id", F.lit(0).cast("bigint"))
+        freshness, market_issues = fixtures.freshness(snapshots)
+        _books[key] = Book(tx, fixtures.marks(spark, sf_dir), snapshots, freshness, bars, market_issues)
     return _books[key]

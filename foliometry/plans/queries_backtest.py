@@ -10,7 +10,7 @@ from foliometry.operators import backtest, market
 from foliometry.plans import fixtures
 from foliometry.plans.catalog import query, rounded, sql_rounded
 from foliometry.plans.oracle_views import view
-from foliometry.runtime import cut_lineage
+from foliometry.runtime import stored
 
 R = "request_id"
 
@@ -36,14 +36,15 @@ def request_texts(spark, sf):
     )
 
 
-def _parsed(spark, sf):
+@fixtures.shared
+def parsed_requests(spark, sf):
     df = request_texts(spark, sf).withColumn("allocations", backtest.parse_allocations(F.col("text")))
     issue = backtest.request_issue(F.col("allocations"), F.col("start_date"), F.col("end_date"), F.col("monthly_amount"))
     return df.withColumn("request_issue", issue)
 
 
 def requests(spark, sf):
-    return _parsed(spark, sf).where("request_issue is null").drop("text", "request_issue")
+    return parsed_requests(spark, sf).where("request_issue is null").drop("text", "request_issue")
 
 
 @fixtures.shared
@@ -125,8 +126,8 @@ _comparisons = {}
 def _compare(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _comparisons:
-        summary, curve = backtest.compare(requests(spark, sf), prices(spark, sf), fixtures.tx_clean(spark, sf), cut=cut_lineage)
-        _comparisons[key] = (cut_lineage(summary), curve)
+        summary, curve = backtest.compare(requests(spark, sf), prices(spark, sf), fixtures.tx_clean(spark, sf), cut=stored)
+        _comparisons[key] = (stored(summary), curve)
     return _comparisons[key]
 
 
@@ -135,7 +136,7 @@ def _compare(spark, sf):
     "SELECT request_id, request_issue, CASE WHEN request_issue = 'INVALID_ALLOCATIONS' THEN -1 WHEN k % 29 = 5 OR k % 23 = 6 THEN 1 ELSE 2 END AS legs FROM b_requests",
 )
 def _(spark, sf):
-    return _parsed(spark, sf).select(R, "request_issue", F.coalesce(F.size("allocations"), F.lit(-1)).alias("legs"))
+    return parsed_requests(spark, sf).select(R, "request_issue", F.coalesce(F.size("allocations"), F.lit(-1)).alias("legs"))
 
 
 @query("strategy_calendar", "SELECT request_id, date FROM b_cal")

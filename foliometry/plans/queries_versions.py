@@ -14,7 +14,7 @@ from foliometry.operators.ranking import number_within
 from foliometry.plans import fixtures
 from foliometry.plans.catalog import query, rounded, sql_rounded
 from foliometry.plans.oracle_views import view
-from foliometry.runtime import cut_lineage, shared_folder
+from foliometry.runtime import shared_folder, stored
 from foliometry.sources import store
 
 P = "portfolio_id"
@@ -177,7 +177,7 @@ _plans = {}
 def _plan(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _plans:
-        _plans[key] = cut_lineage(lineage.lineage_plan(previous(spark, sf), incoming(spark, sf), cut=cut_lineage))
+        _plans[key] = stored(lineage.lineage_plan(previous(spark, sf), incoming(spark, sf), cut=stored))
     return _plans[key]
 
 

@@ -19,17 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, and later passes do not replay earlier ones."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """Write a table that several queries read to the shared folder and return the scan of it.
+    """Write a table that later steps read to the shared folder and return the scan of it.
 
     Later plans start from a columnar scan with statistics and column pruning instead of replaying
-    the ledger, and a lost executor costs a re-read instead of a re-run.
+    the ledger, and a lost executor costs a re-read instead of a re-run.  Unlike a checkpoint, the
+    plan runs once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
