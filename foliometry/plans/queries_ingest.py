@@ -77,6 +77,12 @@ _CONTENT = " || '|' || ".join(
 )
 view("v_accepted", f"SELECT *, sha256({_CONTENT}) AS content_hash FROM v_parsed WHERE reject_reason IS NULL")
 
+@fixtures.shared
+def parsed_transactions(spark, sf):
+    """Typed rows are written once: rejects, hashes and the profile read them."""
+    return ingest.parse_transactions(fixtures.raw_transactions(spark, sf))
+
+
 _TYPED = ("quantity", "price", "amount_foreign", "fx_rate", "fee")
 
 
@@ -92,7 +98,7 @@ def _(spark, sf):
 
 @query("rejected_rows", "SELECT portfolio_id, source_row_number, reject_reason FROM v_parsed WHERE reject_reason IS NOT NULL")
 def _(spark, sf):
-    return ingest.rejected(ingest.parse_transactions(fixtures.raw_transactions(spark, sf)))
+    return ingest.rejected(parsed_transactions(spark, sf))
 
 
 @query(
@@ -101,7 +107,7 @@ def _(spark, sf):
 SELECT *, row_number() OVER (PARTITION BY portfolio_id, content_hash ORDER BY source_row_number) AS occurrence FROM v_accepted)""",
 )
 def _(spark, sf):
-    rows = ingest.accepted(ingest.parse_transactions(fixtures.raw_transactions(spark, sf)))
+    rows = ingest.accepted(parsed_transactions(spark, sf))
     return rows.select(P, "source_row_number", "occurrence", "content_hash", "row_hash")
 
 
@@ -112,7 +118,7 @@ CAST(count(*) FILTER (currency <> 'TWD' AND fx_rate IS NULL AND transaction_type
 CAST(count(*) - count(DISTINCT content_hash) AS BIGINT) AS repeated_content_count FROM v_accepted GROUP BY portfolio_id""",
 )
 def _(spark, sf):
-    rows = ingest.parse_transactions(fixtures.raw_transactions(spark, sf)).where("reject_reason is null")
+    rows = parsed_transactions(spark, sf).where("reject_reason is null")
     return gate.dataset_profile(rows)
 
 
