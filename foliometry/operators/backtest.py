@@ -15,6 +15,7 @@ from foliometry.functions.market import monthly_dates
 from foliometry.operators.fold import Fold, ordered_fold
 from foliometry.operators.marks import next_trading_date
 from foliometry.operators.xirr import xirr
+from foliometry.runtime import stored
 from foliometry.schema import EPSILON, SECURITY, clean, gross_native, twd_rate
 
 R = "request_id"
@@ -375,8 +376,11 @@ def summarise(runs: DataFrame, executions: DataFrame, curve: DataFrame, issues:
     )
 
 
-def compare(requests: DataFrame, prices: DataFrame, tx: DataFrame, cut=lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """(summary with three rows per request, curves of all runs); ``cut`` shortens shared plans."""
+def compare(requests: DataFrame, prices: DataFrame, tx: DataFrame, cut=stored) -> tuple[DataFrame, DataFrame]:
+    """(summary with three rows per request, curves of all runs).
+
+    ``cut`` writes what several later steps read, so that no plan contains another one many times.
+    """
     calendar = cut(market_calendar(requests, prices))
     closed = cut(market_issues(requests, prices, calendar))
     open_ = cut(requests.join(closed.select(R).distinct(), R, "left_anti"))

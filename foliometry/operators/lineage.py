@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliometry.functions.hashing import content_hash
 from foliometry.operators.ranking import number_within
+from foliometry.runtime import stored
 
 P = "portfolio_id"
 IDENTITY = ("transaction_type", "ticker_key", "currency_key")
@@ -18,12 +19,19 @@ SEMANTIC = ("trade_date", *IDENTITY)
 CORRECTION = ("source_row_number", *IDENTITY)
 
 
-def _keyed(rows: DataFrame, row: str) -> DataFrame:
-    return (
-        rows.withColumn("ticker_key", F.upper("ticker"))
-        .withColumn("currency_key", F.upper("currency"))
-        .withColumn("content", content_hash(rows))
-        .withColumn(row, F.col("source_row_number"))
+def _keyed(rows: DataFrame, row: str, *more: str) -> DataFrame:
+    """Only the columns that matching needs: group keys, row hash and row number."""
+    return rows.select(
+        P,
+        F.col("source_row_number").alias(row),
+        "source_row_number",
+        "trade_date",
+        "transaction_type",
+        F.upper("ticker").alias("ticker_key"),
+        F.upper("currency").alias("currency_key"),
+        "row_hash",
+        content_hash(rows).alias("content"),
+        *more,
     )
 
 
@@ -36,22 +44,17 @@ def _compare(previous: DataFrame, incoming: DataFrame, key: list[str]) -> DataFr
     return _counts(previous, key, "n_previous").join(_counts(incoming, key, "n_incoming"), key)
 
 
-def _flag(incoming: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
-    """Mark incoming rows whose group is in ``groups`` as ambiguous."""
-    hit = incoming.join(groups.select(*key).withColumn("hit", F.lit(True)), key, "left")
-    return hit.withColumn("ambiguous", F.col("ambiguous") | F.coalesce(F.col("hit"), F.lit(False))).drop("hit")
+def _flag(rows: DataFrame, groups: DataFrame, key: list[str], which: Column | None = None) -> DataFrame:
+    """Mark rows whose group is in ``groups`` as ambiguous."""
+    hit = rows.join(groups.select(*key).withColumn("hit", F.lit(True)), key, "left")
+    found = F.coalesce(F.col("hit"), F.lit(False))
+    return hit.withColumn("ambiguous", F.col("ambiguous") | (found if which is None else found & which)).drop("hit")
 
 
-def _assign(incoming: DataFrame, matches: DataFrame, kind: str) -> DataFrame:
-    """Give matched incoming rows the stored id."""
-    m = matches.select(P, "row_in", F.col("transaction_id").alias("matched_id"))
-    df = incoming.join(m, [P, "row_in"], "left")
-    found = F.col("matched_id").isNotNull()
-    return (
-        df.withColumn("transaction_id", F.coalesce("transaction_id", "matched_id"))
-        .withColumn("kind", F.when(found, kind).otherwise(F.col("kind")))
-        .drop("matched_id")
-    )
+def _assign(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """Give matched rows the stored id."""
+    df = rows.join(matches.select(P, "row_in", F.col("transaction_id").alias("matched_id")), [P, "row_in"], "left")
+    return df.withColumn("transaction_id", F.coalesce("transaction_id", "matched_id")).drop("matched_id")
 
 
 def _unused(previous: DataFrame, matches: DataFrame) -> DataFrame:
@@ -69,32 +72,31 @@ def _unique_pairs(previous: DataFrame, incoming: DataFrame, key: list[str]) -> t
     return matches, sizes.where(~single).select(*key)
 
 
-def lineage_plan(previous: DataFrame, incoming: DataFrame, cut=lambda df: df) -> DataFrame:
+def lineage_plan(previous: DataFrame, incoming: DataFrame, cut=stored) -> DataFrame:
     """Incoming rows with ``kind`` UNCHANGED, CORRECTED or NEW, the id they keep and ``ambiguous``.
 
     ``previous`` carries ``transaction_id`` and ``row_hash``; ``incoming`` carries ``row_hash``.  Row
-    numbers are unique per portfolio on each side.  ``cut`` shortens the plan between steps.
+    numbers are unique per portfolio on each side.  ``cut`` writes what several later steps read.
     """
-    prev = cut(_keyed(previous, "row_prev"))
-    inc = _keyed(incoming, "row_in").withColumn("ambiguous", F.lit(False))
-    inc = inc.withColumn("transaction_id", F.lit(None).cast("string")).withColumn("kind", F.lit("NEW"))
+    prev = cut(_keyed(previous, "row_prev", "transaction_id"))
+    inc = cut(_keyed(incoming, "row_in"))
 
     # repeated identical fills whose number changed: their occurrence hashes are no evidence
     shifted = _compare(prev, inc, [P, "content"]).where("n_previous <> n_incoming")
-    inc = cut(_flag(inc, shifted, [P, "content"]))
+    inc = cut(_flag(inc.withColumn("ambiguous", F.lit(False)), shifted, [P, "content"]))
 
     by_hash = lambda rows, row: number_within(rows, [P, "row_hash"], row, "copy")
-    exact = (
-        by_hash(inc.where("not ambiguous"), "row_in")
-        .select(P, "row_hash", "copy", "row_in")
-        .join(by_hash(prev, "row_prev").select(P, "row_hash", "copy", "transaction_id"), [P, "row_hash", "copy"])
+    exact = by_hash(inc.where("not ambiguous"), "row_in").select(P, "row_hash", "copy", "row_in").join(
+        by_hash(prev, "row_prev").select(P, "row_hash", "copy", "transaction_id"), [P, "row_hash", "copy"]
     )
     exact = cut(exact.select(P, "row_in", "transaction_id"))
-    inc = cut(_assign(inc, exact, "UNCHANGED"))
-    prev = cut(_unused(prev, exact))
+
+    # from here on only the rows without an exact match are carried along
+    left = inc.join(exact, [P, "row_in"], "left_anti").drop("content", "row_hash")
+    left = cut(left.withColumn("transaction_id", F.lit(None).cast("string")))
+    prev = cut(_unused(prev, exact).drop("content", "row_hash"))
 
     # identity groups that are neither one-to-one nor equal as multisets of dated trades
-    left = inc.where("kind = 'NEW'")
     dated = _counts(prev, [P, *SEMANTIC], "n_previous").join(
         _counts(left, [P, *SEMANTIC], "n_incoming"), [P, *SEMANTIC], "full_outer"
     )
@@ -107,28 +109,27 @@ def lineage_plan(previous: DataFrame, incoming: DataFrame, cut=lambda df: df) ->
     unequal = groups.where(
         "n_previous > 0 and n_incoming > 0 and not same and not (n_previous = 1 and n_incoming = 1)"
     )
-    open_ = F.col("kind") == "NEW"
-    inc = cut(_flag_open(inc, unequal, [P, *IDENTITY], open_))
+    left = cut(_flag(left, unequal, [P, *IDENTITY]))
 
-    matches, several = _unique_pairs(prev, inc.where(open_ & ~F.col("ambiguous")), [P, *SEMANTIC])
+    clear = ~F.col("ambiguous")
+    matches, several = _unique_pairs(prev, left.where(clear), [P, *SEMANTIC])
     matches = cut(matches)
-    inc = _flag_open(inc, several, [P, *SEMANTIC], open_ & ~F.col("ambiguous"))
-    inc = cut(_assign(inc, matches, "CORRECTED"))
+    left = cut(_assign(_flag(left, several, [P, *SEMANTIC], clear), matches))
     prev = cut(_unused(prev, matches))
 
     # what is left must be one-to-one per identity before the row number may speak
-    sizes = _compare(prev, inc.where(open_), [P, *IDENTITY])
-    inc = cut(_flag_open(inc, sizes.where("not (n_previous = 1 and n_incoming = 1)"), [P, *IDENTITY], open_))
-    matches, _several = _unique_pairs(prev, inc.where(open_ & ~F.col("ambiguous")), [P, *CORRECTION])
-    inc = _assign(inc, cut(matches), "CORRECTED")
-    return inc.select(*incoming.columns, "transaction_id", "kind", (F.col("ambiguous") & open_).alias("ambiguous"))
-
-
-def _flag_open(incoming: DataFrame, groups: DataFrame, key: list[str], which: Column) -> DataFrame:
-    hit = incoming.join(groups.select(*key).withColumn("hit", F.lit(True)), key, "left")
-    return hit.withColumn(
-        "ambiguous", F.col("ambiguous") | (F.coalesce(F.col("hit"), F.lit(False)) & which)
-    ).drop("hit")
+    open_ = F.col("transaction_id").isNull()
+    sizes = _compare(prev, left.where(open_), [P, *IDENTITY])
+    left = cut(_flag(left, sizes.where("not (n_previous = 1 and n_incoming = 1)"), [P, *IDENTITY], open_))
+    matches, _several = _unique_pairs(prev, left.where(open_ & clear), [P, *CORRECTION])
+    left = _assign(left, matches)
+
+    unchanged = exact.select(P, "row_in", "transaction_id", F.lit("UNCHANGED").alias("kind"), F.lit(False).alias("ambiguous"))
+    rest = left.select(
+        P, "row_in", "transaction_id", F.when(open_, "NEW").otherwise("CORRECTED").alias("kind"), (F.col("ambiguous") & open_).alias("ambiguous")
+    )
+    verdicts = unchanged.unionByName(rest).withColumnRenamed("row_in", "source_row_number")
+    return incoming.join(verdicts, [P, "source_row_number"]).select(*incoming.columns, "transaction_id", "kind", "ambiguous")
 
 
 def plan_summary(plan: DataFrame, previous: DataFrame) -> DataFrame:

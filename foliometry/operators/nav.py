@@ -58,17 +58,17 @@ def _external(tx: DataFrame) -> DataFrame:
     return tx.where(F.col("transaction_type").isin("CASH_IN", "CASH_OUT"))
 
 
-def _as_of(states: DataFrame, keys: list[str], dates: DataFrame, since: DataFrame, values: list[str]) -> DataFrame:
+def _as_of(states: DataFrame, keys: list[str], dates: DataFrame, since: DataFrame, value: str) -> DataFrame:
     """Last day state at or before every date of the portfolio, from ``since.first_day`` on."""
     asks = since.join(dates, P).where(F.col("as_of") >= F.col("first_day")).select(
-        *keys, F.col("as_of").alias("day"), F.lit(1).alias("ask"), F.lit(None).cast(states.schema["state"].dataType).alias("state")
+        *keys, F.col("as_of").alias("day"), F.lit(1).alias("ask"), F.lit(None).cast("double").alias(value)
     )
-    rows = states.select(*keys, "day", F.lit(0).alias("ask"), "state").unionByName(asks)
+    rows = states.select(*keys, "day", F.lit(0).alias("ask"), value).unionByName(asks)
     upto = Window.partitionBy(*keys).orderBy("day", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        rows.withColumn("state", F.last("state", ignorenulls=True).over(upto))
+        rows.withColumn(value, F.last(value, ignorenulls=True).over(upto))
         .where("ask = 1")
-        .select(*keys, F.col("day").alias("as_of"), *[F.col(f"state.{v}").alias(v) for v in values])
+        .select(*keys, F.col("day").alias("as_of"), value)
     )
 
 
@@ -77,11 +77,10 @@ def holdings_on_dates(security_ledger: DataFrame, dates: DataFrame) -> DataFrame
     states = (
         security_ledger.where(F.col("issue_code").isNull() | (F.col("issue_code") != MISMATCH))
         .groupBy(*keys, F.col("trade_date").alias("day"))
-        .agg(F.max_by("quantity_after", "step").alias("quantity"), F.max_by("cost_after", "step").alias("cost_basis"))
-        .select(*keys, "day", F.struct("quantity", "cost_basis").alias("state"))
+        .agg(F.max_by("quantity_after", "step").alias("quantity"))
     )
     since = states.groupBy(*keys).agg(F.min("day").alias("first_day"))
-    return _as_of(states, keys, dates, since, ["quantity", "cost_basis"])
+    return _as_of(states, keys, dates, since, "quantity").where("quantity > 0")
 
 
 def wallets_on_dates(cash_ledger: DataFrame, tracking: DataFrame, dates: DataFrame) -> DataFrame:
@@ -90,7 +89,6 @@ def wallets_on_dates(cash_ledger: DataFrame, tracking: DataFrame, dates: DataFra
     states = (
         cash_ledger.groupBy(*keys, F.col("trade_date").alias("day"))
         .agg(F.max_by("balance_after", "step").alias("ending_balance"))
-        .select(*keys, "day", F.struct("ending_balance").alias("state"))
     )
     since = (
         states.groupBy(*keys)
@@ -98,7 +96,7 @@ def wallets_on_dates(cash_ledger: DataFrame, tracking: DataFrame, dates: DataFra
         .join(tracking.select(P, "tracked_from"), P)
         .select(*keys, F.greatest("first_seen", "tracked_from").alias("first_day"))
     )
-    return _as_of(states, keys, dates, since, ["ending_balance"])
+    return _as_of(states, keys, dates, since, "ending_balance")
 
 
 def issue_days(security: DataFrame, cash: DataFrame, fx: DataFrame, tracking: DataFrame) -> DataFrame:
@@ -158,7 +156,7 @@ def nav_points(
     as_of = F.col("as_of")
     wanted = dates.select(P, "as_of")
     snap = snapshots.select(P, "snapshot_id")
-    held = holdings_on_dates(security, wanted).join(snap, P)
+    held = holdings_on_dates(security, wanted).withColumn("cost_basis", F.lit(0.0)).join(snap, P)
     money = wallets_on_dates(cash, tracking, wanted).join(snap, P)
     columns = [P, "as_of", "asset_type", "market_value_twd", "price_date", "fx_date", "missing_price", "missing_fx"]
     parts = value_positions(held, quotes, on, as_of).select(*columns).unionByName(

@@ -126,7 +126,7 @@ _comparisons = {}
 def _compare(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _comparisons:
-        summary, curve = backtest.compare(requests(spark, sf), prices(spark, sf), fixtures.tx_clean(spark, sf), cut=stored)
+        summary, curve = backtest.compare(requests(spark, sf), prices(spark, sf), fixtures.tx_clean(spark, sf))
         _comparisons[key] = (stored(summary), curve)
     return _comparisons[key]
 

@@ -21,7 +21,7 @@ _POS = ("quantity_after", "cost_after", "realized_delta", "gross_buy", "gross_se
     f"SELECT portfolio_id, ticker, currency, trade_date, source_row_number, {sql_rounded(4, *_POS)}, issue_code FROM pos_all",
 )
 def _(spark, sf):
-    return position_ledger.position_ledger(fixtures.tx(spark, sf)).select(
+    return book(spark, sf).security_ledger.select(
         P, "ticker", "currency", "trade_date", "source_row_number", *rounded(4, *_POS), "issue_code"
     )
 
@@ -88,7 +88,7 @@ _CASH = (*cash_ledger.AMOUNTS, "balance_after", "required", "available")
     f"SELECT portfolio_id, currency, trade_date, source_row_number, {sql_rounded(3, *_CASH)}, issue_code FROM cash_rows",
 )
 def _(spark, sf):
-    return cash_ledger.cash_ledger(fixtures.tx(spark, sf)).select(
+    return book(spark, sf).cash_ledger.select(
         P, "currency", "trade_date", "source_row_number", *rounded(3, *_CASH), "issue_code"
     )
 
@@ -119,7 +119,7 @@ _FX = (
     f"SELECT portfolio_id, currency, ticker, trade_date, source_row_number, {sql_rounded(3, *_FX)}, issue_code FROM fx_rows",
 )
 def _(spark, sf):
-    return fx_ledger.fx_ledger(fixtures.tx(spark, sf)).select(
+    return book(spark, sf).fx_ledger.select(
         P, "currency", "ticker", "trade_date", "source_row_number", *rounded(3, *_FX), "issue_code"
     )
 

@@ -120,14 +120,14 @@ _NAV = ("contribution_twd", "withdrawal_twd", "position_value_twd", "cash_value_
 
 
 def _nav_sql(suffix: str) -> str:
-    return f"""SELECT portfolio_id, as_of, blocking_issue_count = 0 AS complete, CAST(transaction_count AS BIGINT) AS transaction_count, {sql_rounded(1, *_NAV)},
-CASE WHEN blocking_issue_count = 0 THEN {sql_round(1, "known_total_assets_twd")} END AS total_assets_twd, latest_price_date_used, latest_fx_date_used,
+    return f"""SELECT portfolio_id, as_of, blocking_issue_count = 0 AS complete, CAST(transaction_count AS BIGINT) AS transaction_count, {sql_rounded(0, *_NAV)},
+CASE WHEN blocking_issue_count = 0 THEN {sql_round(0, "known_total_assets_twd")} END AS total_assets_twd, latest_price_date_used, latest_fx_date_used,
 CAST(blocking_issue_count AS BIGINT) AS blocking_issue_count FROM v_nav{suffix}"""
 
 
 def _nav(df):
     amounts = (*_NAV, "total_assets_twd")
-    return df.select(*[c for c in df.columns if c not in amounts], *rounded(1, *amounts))
+    return df.select(*[c for c in df.columns if c not in amounts], *rounded(0, *amounts))
 
 
 @query("nav_dates", "SELECT portfolio_id, as_of FROM v_nav_dates")

@@ -177,7 +177,7 @@ _plans = {}
 def _plan(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _plans:
-        _plans[key] = stored(lineage.lineage_plan(previous(spark, sf), incoming(spark, sf), cut=stored))
+        _plans[key] = stored(lineage.lineage_plan(previous(spark, sf), incoming(spark, sf)))
     return _plans[key]
 
 
