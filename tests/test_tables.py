@@ -1,4 +1,5 @@
 import datetime
+import functools
 
 import numpy as np
 import pytest
@@ -148,28 +149,39 @@ def hashed(df):
     return numbered.withColumn("row_hash", hashing.occurrence_hash(F.col("content_hash"), F.col("occurrence"))).drop("content_hash", "occurrence")
 
 
-def plan(spark, old, new):
+def test_lineage_cases(spark):
+    """One portfolio per case, planned together."""
+    a, b = "2026-01-01", "2026-01-02"
+    cases = {
+        # unchanged and added
+        1: ([(2, a, "X", 10)], [(2, a, "X", 10), (3, a, "Y", 1)], {2: ("UNCHANGED", "id2", False), 3: ("NEW", None, False)}),
+        # repriced, same trade
+        2: ([(2, a, "X", 10)], [(5, a, "X", 11)], {5: ("CORRECTED", "id2", False)}),
+        # re-dated on its own row
+        3: ([(2, a, "X", 10)], [(2, b, "X", 10)], {2: ("CORRECTED", "id2", False)}),
+        # one deleted, one repriced: no guess
+        4: ([(2, a, "X", 10), (3, b, "X", 20)], [(2, a, "X", 11)], {2: ("NEW", None, True)}),
+        # both repriced, dates unchanged
+        5: ([(2, a, "X", 10), (3, b, "X", 20)], [(2, a, "X", 11), (3, b, "X", 21)], {2: ("CORRECTED", "id2", False), 3: ("CORRECTED", "id3", False)}),
+        # a repeated fill vanished
+        6: ([(2, a, "X", 10), (3, a, "X", 10)], [(2, a, "X", 10)], {2: ("NEW", None, True)}),
+        # everything removed
+        7: ([(2, a, "X", 10)], [], {}),
+    }
     security = lambda n, d, k, p: (n, d, "SECURITY", k, "TWD", 1, p, p, 1, 0)
-    before = hashed(transactions(spark, [security(*r) for r in old])).withColumn("transaction_id", F.concat(F.lit("id"), F.col("source_row_number")))
-    after = hashed(transactions(spark, [security(*r) for r in new]))
-    result = lineage.lineage_plan(before, after)
-    return {r.source_row_number: (r.kind, r.transaction_id, r.ambiguous) for r in result.collect()}, lineage.plan_summary(result, before).first()
-
 
-def test_lineage_cases(spark):
-    A, B = "2026-01-01", "2026-01-02"
-    got, _ = plan(spark, [(2, A, "X", 10)], [(2, A, "X", 10), (3, A, "Y", 1)])
-    assert got == {2: ("UNCHANGED", "id2", False), 3: ("NEW", None, False)}
-    got, _ = plan(spark, [(2, A, "X", 10)], [(5, A, "X", 11)])  # repriced, same trade
-    assert got == {5: ("CORRECTED", "id2", False)}
-    got, _ = plan(spark, [(2, A, "X", 10)], [(2, B, "X", 10)])  # re-dated on its row
-    assert got == {2: ("CORRECTED", "id2", False)}
-    got, summary = plan(spark, [(2, A, "X", 10), (3, B, "X", 20)], [(2, A, "X", 11)])  # one deleted, one repriced
-    assert got == {2: ("NEW", None, True)} and (summary.removed, summary.ambiguous) == (2, 1)
-    got, _ = plan(spark, [(2, A, "X", 10), (3, B, "X", 20)], [(2, A, "X", 11), (3, B, "X", 21)])
-    assert got == {2: ("CORRECTED", "id2", False), 3: ("CORRECTED", "id3", False)}
-    got, _ = plan(spark, [(2, A, "X", 10), (3, A, "X", 10)], [(2, A, "X", 10)])  # a repeated fill vanished
-    assert got[2][0] == "NEW" and got[2][2]
+    def side(i):
+        parts = [transactions(spark, [security(*r) for r in case[i]], portfolio=n) for n, case in cases.items() if case[i]]
+        return hashed(functools.reduce(lambda x, y: x.unionByName(y), parts))
+
+    before = side(0).withColumn("transaction_id", F.concat(F.lit("id"), F.col("source_row_number")))
+    result = lineage.lineage_plan(before, side(1))
+    got = {n: {} for n in cases}
+    for r in result.collect():
+        got[r.portfolio_id][r.source_row_number] = (r.kind, r.transaction_id, r.ambiguous)
+    assert got == {n: case[2] for n, case in cases.items()}
+    summary = rows(lineage.plan_summary(result, before), "portfolio_id")
+    assert (summary[4].removed, summary[4].ambiguous) == (2, 1) and summary[7].removed == 1
 
 
 def test_diff_counts_hashes_once(spark):
