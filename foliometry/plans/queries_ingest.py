@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,8 +13,9 @@ from foliometry.operators import gate, ingest
 from foliometry.plans import fixtures
 from foliometry.plans.catalog import query, rounded, sql_rounded
 from foliometry.plans.oracle_views import view
+from foliometry.runtime import shared_folder
 from foliometry.schema import clean, gross_native, twd_rate
-from foliometry.sources import provider
+from foliometry.sources import files, provider
 
 P = "portfolio_id"
 
@@ -96,6 +98,19 @@ def _(spark, sf):
     )
 
 
+@query(
+    "file_transactions",
+    "SELECT portfolio_id, coalesce(reject_reason, 'VALID') AS verdict, count(*) AS rows FROM v_parsed GROUP BY ALL",
+)
+def _(spark, sf):
+    """The raw rows written as text files, read back with their file row numbers and parsed."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    fixtures.raw_transactions(spark, sf).drop("source_row_number").write.option("header", True).csv(folder)
+    raw = files.read_transactions(spark, folder).withColumn(P, F.col(P).cast("bigint"))
+    verdict = F.coalesce("reject_reason", F.lit("VALID")).alias("verdict")
+    return ingest.parse_transactions(raw).groupBy(P, verdict).agg(F.count("*").alias("rows"))
+
+
 @query("rejected_rows", "SELECT portfolio_id, source_row_number, reject_reason FROM v_parsed WHERE reject_reason IS NOT NULL")
 def _(spark, sf):
     return ingest.rejected(parsed_transactions(spark, sf))

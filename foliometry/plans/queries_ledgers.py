@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from foliometry.operators import cash_ledger, fx_ledger, gate, position_ledger, valuation
 from foliometry.operators.marks import snapshot_quotes
 from foliometry.plans import fixtures
