@@ -109,7 +109,7 @@ def fragment_rows(documents: DataFrame, size: int, fragments: int) -> DataFrame:
             runs = np.flatnonzero(np.diff(fragment.astype(np.int64) * len(sizes) + text, prepend=-1))
             counts = np.diff(runs, append=len(text))
             numbers, begins = np.unique(fragment[runs], return_index=True)
-            stops = np.append(begins[1:], len(runs))
+            stops = np.append(begins, len(runs))[1:]
             out: dict[str, list] = {"fragment": numbers.astype(np.int64), "signatures": [], "sizes": [], "counts": [], "grams": []}
             for a, b in zip(begins, stops, strict=True):
                 low, high = runs[a], runs[b - 1] + counts[b - 1]
@@ -145,7 +145,7 @@ def count_fragment(table: pa.Table, buckets: int) -> pa.Table:
     alone = counts[order] - together
     border = np.searchsorted(run, np.arange(len(marks) + 1))
     numbers, begins = np.unique(bucket[order], return_index=True)
-    stops = np.append(begins[1:], len(marks))
+    stops = np.append(begins, len(marks))[1:]
     out: dict[str, list] = {name: [] for name in ("signatures", "sizes", "alone", "counts", "grams", "often")}
     for a, b in zip(begins, stops, strict=True):
         out["signatures"].append(marks[order[a:b]].tobytes())
