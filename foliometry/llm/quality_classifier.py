@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliometry.llm.quality_rules import FEATURES, features, training_rows
 from foliometry.llm.statistics import text_statistics
-from foliometry.llm.tables import arrow_pass, read
+from foliometry.llm.tables import arrow_pass, read, stored
 from foliometry.llm.words import LOWER, blocks, hashes, mix, owners, words
 
 TRAINING_ROWS = 20_000
@@ -85,19 +85,32 @@ def hashed_features(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray |
     return both & ((1 << TABLE_BITS) - 1), np.searchsorted(both >> TABLE_BITS, np.arange(n + 1))
 
 
-def associated(slots: np.ndarray, rows: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """Features of MIN_DOCUMENTS texts or more whose grades differ: their correlation with some upper grades is MIN_ASSOCIATION or more, and at least 3 standard errors."""
-    kept, column, counts = np.unique(slots, return_inverse=True, return_counts=True)
-    strength = np.zeros(len(kept))
+def associated(rows: DataFrame) -> np.ndarray:
+    """Features of MIN_DOCUMENTS texts or more whose grades differ: their correlation with some upper grades is MIN_ASSOCIATION or more, and at
+    least 3 standard errors. rows: (grade, slots); counts are added up per batch, then per feature; only the features chosen come back."""
+
+    def step(batch: pa.RecordBatch) -> Iterator[dict]:
+        each = [np.frombuffer(x, np.int32) for x in batch.column("slots").to_pylist()]
+        grades = np.repeat(batch.column("grade").to_numpy().astype(np.int64), [len(x) for x in each])
+        both, n = np.unique(np.concatenate([np.zeros(0, np.int32), *each]).astype(np.int64) * GRADES + grades, return_counts=True)
+        yield {"slot": both // GRADES, "grade": both % GRADES, "n": n}
+
+    totals = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
+    n = sum(totals.values())
+    counts = arrow_pass(rows.select("grade", "slots"), step, "slot bigint, grade bigint, n bigint").groupBy("slot")
+    above = [F.sum(F.when(F.col("grade") >= k, F.col("n")).otherwise(0)).alias(f"above{k}") for k in range(1, GRADES)]
+    table = counts.agg(F.sum("n").alias("n"), *above).where(F.col("n") >= MIN_DOCUMENTS)
+    strength = F.lit(0.0)
     for k in range(1, GRADES):
-        p = (grades >= k).mean()
+        p = sum(m for g, m in totals.items() if g >= k) / max(n, 1)
         if 0 < p < 1:
-            strength = np.maximum(strength, np.abs(np.bincount(column, (grades >= k)[rows], len(kept)) - counts * p) / np.sqrt(counts * p * (1 - p)))
-    return kept[(counts >= MIN_DOCUMENTS) & (strength >= max(3.0, MIN_ASSOCIATION * len(grades) ** 0.5))]
+            strength = F.greatest(strength, F.abs(F.col(f"above{k}") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p)))
+    chosen = table.where(strength >= max(3.0, MIN_ASSOCIATION * n**0.5)).select("slot").toArrow()
+    return np.sort(chosen.column("slot").to_numpy())
 
 
 def fit_ordinal(slots: np.ndarray, first: np.ndarray, grades: np.ndarray) -> OrdinalModel:
-    """Adam on the cumulative-link likelihood, in which each grade weighs alike. Features that are rare or not associated with the grades keep weight 0.
+    """Adam on the cumulative-link likelihood, in which each grade weighs alike. Features that occur nowhere keep weight 0.
 
     Without rows, or with one grade only, all weights are 0 and every tail probability is 1 at or below that grade (no rows: all grades).
     """
@@ -106,11 +119,8 @@ def fit_ordinal(slots: np.ndarray, first: np.ndarray, grades: np.ndarray) -> Ord
     if len(seen) < 2:
         best = int(seen[0]) if len(seen) else GRADES - 1
         return OrdinalModel(table, np.where(np.arange(1, GRADES) <= best, -40.0, 40.0))
-    kept = associated(slots, np.repeat(np.arange(len(grades)), np.diff(first)), grades)
-    column = np.searchsorted(kept, slots)
-    known = (column < len(kept)) & (kept[np.minimum(column, max(len(kept) - 1, 0))] == slots) if len(kept) else np.zeros(len(slots), bool)
-    rows = np.repeat(np.arange(len(grades)), np.diff(first))[known]
-    column = column[known]
+    kept, column = np.unique(slots, return_inverse=True)
+    rows = np.repeat(np.arange(len(grades)), np.diff(first))
     n = len(grades)
     per_grade = np.bincount(grades, minlength=GRADES)
     weight = (n / len(seen) / np.maximum(per_grade, 1))[grades]
@@ -145,7 +155,7 @@ def grade_of(quality: str = "quality", toxic: str = "toxic") -> F.Column:
 
 
 def fit_classifier(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> OrdinalModel:
-    """Fit on at most `limit` labelled documents. Their hashed features, a bounded number of rows, come to the driver."""
+    """Fit on at most `limit` labelled documents. Only their features that are associated with the grades come to the driver."""
     sample = F.broadcast(training_rows(labels, grade_of(), limit))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -156,11 +166,18 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, limit: int = TRAININ
 
     rows = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(sample, "doc_id")
     found = arrow_pass(rows.select("doc_id", "grade", "text"), step, "doc_id bigint, grade int, slots binary")
-    found = found.groupBy("doc_id", "grade").agg(F.min("slots").alias("slots")).toArrow().sort_by("doc_id")
-    each = [np.frombuffer(b, np.int32) for b in found.column("slots").to_pylist()]
+    found = stored(found.groupBy("doc_id", "grade").agg(F.min("slots").alias("slots")))
+    chosen = associated(found)
+
+    def choose(batch: pa.RecordBatch) -> Iterator[dict]:
+        each = [np.frombuffer(x, np.int32) for x in batch.column("slots").to_pylist()]
+        yield {"doc_id": batch.column("doc_id"), "grade": batch.column("grade"), "slots": pa.array([x[np.isin(x, chosen)].tobytes() for x in each], pa.binary())}
+
+    few = arrow_pass(found, choose, "doc_id bigint, grade int, slots binary").toArrow().sort_by("doc_id")
+    each = [np.frombuffer(b, np.int32) for b in few.column("slots").to_pylist()]
     first = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     slots = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-    return fit_ordinal(slots, first, found.column("grade").to_numpy().astype(np.int64))
+    return fit_ordinal(slots, first, few.column("grade").to_numpy().astype(np.int64))
 
 
 def judged(model: OrdinalModel, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
