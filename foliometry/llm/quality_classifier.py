@@ -18,6 +18,7 @@ from foliometry.llm.words import LOWER, blocks, hashes, mix, owners, words
 TRAINING_ROWS = 20_000
 MIN_DOCUMENTS = 4
 TABLE_BITS = 22
+TEXT_BLOCK = 1 << 20
 MIN_ASSOCIATION = 0.08
 STEM_BYTES = (4, 5, 6)
 STEPS = 400
@@ -159,7 +160,7 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, limit: int = TRAININ
     sample = F.broadcast(training_rows(labels, grade_of(), limit))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        for row, end, data, offsets in blocks(batch.column("text")):
+        for row, end, data, offsets in blocks(batch.column("text"), TEXT_BLOCK):
             slots, first = hashed_features(data, offsets)
             slots = slots.astype(np.int32)
             yield {"doc_id": batch.column("doc_id")[row:end], "grade": batch.column("grade")[row:end], "slots": pa.array([slots[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())}
@@ -197,7 +198,7 @@ def classify(documents: DataFrame, model: OrdinalModel) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        for row, end, data, offsets in blocks(batch.column("text")):
+        for row, end, data, offsets in blocks(batch.column("text"), TEXT_BLOCK):
             yield {"doc_id": batch.column("doc_id")[row:end], **judged(shared.value, data, offsets)}
 
     return arrow_pass(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), step, "doc_id bigint, expected_grade double, p_good double, kept boolean")
@@ -209,7 +210,7 @@ def select_good(documents: DataFrame, model: OrdinalModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in blocks(batch.column("text")):
+            for row, end, data, offsets in blocks(batch.column("text"), TEXT_BLOCK):
                 yield batch.slice(row, end - row).filter(pa.array(judged(shared.value, data, offsets)["kept"]))
 
     return documents.mapInArrow(run, documents.schema)
