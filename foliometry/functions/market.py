@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 
 STALE_AFTER_DAYS = 4
-MAX_SCHEDULE_MONTHS = 1_200
 
 
 def quote_currency(unit: Column) -> Column:
@@ -66,7 +65,7 @@ def external_flow_twd(currency: Column, amount: Column, rate: Column) -> Column:
 
 def monthly_dates(start: Column, end: Column) -> Column:
     """Anchor-day schedule: start plus k months, clamped to month ends, up to ``end``."""
-    span = F.least(F.floor(F.months_between(F.last_day(end), F.trunc(start, "month"))) , F.lit(MAX_SCHEDULE_MONTHS - 1)).cast("int")
+    span = F.floor(F.months_between(F.last_day(end), F.trunc(start, "month"))).cast("int")
     months = F.when(start <= end, F.sequence(F.lit(0), F.greatest(span, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     return F.filter(F.transform(months, lambda k: F.add_months(start, k)), lambda d: d <= end)
 

@@ -68,7 +68,7 @@ def _release(s: dict, units: float) -> float | None:
 def _step(s: dict, row: tuple, emit) -> None:
     currency, kind, ticker, date, number, quantity, amount, rate, fee = row
     slots = [0.0] * len(POOL_AMOUNTS)
-    pooled = False  # does the reference pool exist because of this row
+    pooled = False  # does the source pool exist because of this row
     problem = (None, None, None)
     realized = 0.0
     foreign = currency != BASE_CURRENCY

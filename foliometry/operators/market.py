@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliometry.functions.hashing import combined_hash, observation_hash
-from foliometry.functions.market import adjusted_price_twd, provider_fx_symbol
+from foliometry.functions.market import adjusted_price_twd, provider_fx_symbol, quote_scale
 from foliometry.operators.marks import fx_with_tolerance
 from foliometry.schema import BASE_CURRENCY, SECURITY
 
@@ -77,11 +77,13 @@ def latest_dates(exploded: DataFrame) -> DataFrame:
     return exploded.groupBy("market_id", *INSTRUMENT).agg(F.max("date").alias("latest_date"))
 
 
-def instrument_universe(tx: DataFrame, latest: DataFrame | None = None) -> DataFrame:
+def instrument_universe(tx: DataFrame, latest: DataFrame | None = None, markets: DataFrame | None = None) -> DataFrame:
     """Instruments to refresh per portfolio, with the first day needed.
 
     Securities ever traded, foreign currencies seen, and the benchmark with USD from the start of
-    the portfolio where it is not traded.  Known history moves the start to its end less an overlap.
+    the portfolio where it is not traded.  Known history moves the start to its end less an overlap: the
+    history of the portfolio's market, where ``markets`` (portfolio, market_id) links them, else the
+    earliest end of any market, so that no market is left with a gap.
     """
     securities = (
         tx.where(F.col("transaction_type") == SECURITY)
@@ -124,9 +126,14 @@ def instrument_universe(tx: DataFrame, latest: DataFrame | None = None) -> DataF
     )
     if latest is None:
         return every
-    known = latest.select(*INSTRUMENT, "latest_date")
+    if markets is None:
+        known = latest.groupBy(*INSTRUMENT).agg(F.min("latest_date").alias("latest_date"))
+        dated = every.join(known, list(INSTRUMENT), "left")
+    else:
+        known = latest.groupBy("market_id", *INSTRUMENT).agg(F.max("latest_date").alias("latest_date"))
+        dated = every.join(markets.select(P, "market_id").distinct(), P, "left").join(known, ["market_id", *INSTRUMENT], "left")
     return (
-        every.join(known, list(INSTRUMENT), "left")
+        dated
         .withColumn("start_date", F.greatest("start_date", F.date_sub("latest_date", OVERLAP_DAYS)))
         .select(*every.columns)
     )
@@ -230,16 +237,23 @@ def history_gaps(dates: DataFrame, key: list[str], start, end) -> DataFrame:
 
 
 def strategy_prices(bars: DataFrame) -> DataFrame:
-    """Total-return price in TWD per ticker and day; a hole is an issue, never a skipped day."""
-    prices = bars.where("instrument_type <> 'FX'").select("ticker", "currency", "date", "adjusted_close")
+    """Total-return price in TWD per ticker and day; a hole is an issue, never a skipped day.
+
+    Markets are kept apart where the bars name them (``market_id``), and quotes in sub-units are scaled
+    where the bars carry a ``quote_unit``.
+    """
+    market = [c for c in ("market_id",) if c in bars.columns]
+    scale = quote_scale(F.col("quote_unit")) if "quote_unit" in bars.columns else F.lit(1.0)
+    prices = bars.where("instrument_type <> 'FX'").select(*market, "ticker", "currency", "date", "adjusted_close", scale.alias("scale"))
     rates = fx_with_tolerance(bars, prices.where(F.col("currency") != BASE_CURRENCY))
-    df = prices.join(rates, ["currency", "date"], "left").withColumn(
+    df = prices.join(rates, [*market, "currency", "date"], "left").withColumn(
         "fx", F.when(F.col("currency") == BASE_CURRENCY, 1.0).otherwise(F.col("rate"))
     )
     adjusted = F.col("adjusted_close")
     unusable = adjusted.isNull() | F.isnan(adjusted) | (adjusted <= 0)
-    price = adjusted_price_twd(adjusted, F.lit(1.0), F.col("fx"))
+    price = adjusted_price_twd(adjusted, F.col("scale"), F.col("fx"))
     return df.select(
+        *market,
         "ticker",
         "date",
         price.alias("price_twd"),

@@ -118,18 +118,19 @@ def with_fx(df: DataFrame, marks: DataFrame, on: list[str], as_of: Column) -> Da
 
 
 def fx_with_tolerance(bars: DataFrame, dates: DataFrame, max_age_days: int = 10) -> DataFrame:
-    """Newest FX bar at or before each (currency, date), only if positive and young enough."""
-    daily = bars.where(F.col("instrument_type") == "FX").groupBy("currency", "date").agg(F.max("raw_close").alias("close"))
-    wanted = dates.select("currency", "date").distinct().withColumn("wanted", F.lit(True))
-    upto = Window.partitionBy("currency").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Newest FX bar at or before each (currency, date), only if positive and young enough; per market where both tables name one."""
+    keys = [c for c in ("market_id", "currency") if c == "currency" or c in bars.columns and c in dates.columns]
+    daily = bars.where(F.col("instrument_type") == "FX").groupBy(*keys, "date").agg(F.max("raw_close").alias("close"))
+    wanted = dates.select(*keys, "date").distinct().withColumn("wanted", F.lit(True))
+    upto = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bar = F.last(F.when(F.col("close").isNotNull(), F.struct("date", "close")), ignorenulls=True).over(upto)
     age = F.datediff("date", F.col("bar.date"))
     usable = (age <= max_age_days) & (F.col("bar.close") > 0)
     return (
-        daily.join(wanted, ["currency", "date"], "full_outer")
+        daily.join(wanted, [*keys, "date"], "full_outer")
         .withColumn("bar", bar)
         .where("wanted")
-        .select("currency", "date", F.when(usable, F.col("bar.close")).alias("rate"), F.when(usable, age).alias("age_days"))
+        .select(*keys, "date", F.when(usable, F.col("bar.close")).alias("rate"), F.when(usable, age).alias("age_days"))
     )
 
 

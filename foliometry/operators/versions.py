@@ -81,14 +81,14 @@ def active_versions(manifest: DataFrame) -> DataFrame:
 
 def portfolio_state(portfolios: DataFrame, manifest: DataFrame) -> DataFrame:
     """Every portfolio with its active dataset's metadata, if it has one."""
-    active = active_versions(manifest).withColumnRenamed("revision", "cloud_revision")
+    active = active_versions(manifest).withColumnRenamed("revision", "stored_revision")
     details = manifest.select("dataset_id", "row_count", "earliest_date", "latest_date")
     return (
         portfolios.select(P)
         .distinct()
         .join(active, P, "left")
         .join(details, "dataset_id", "left")
-        .select(P, "dataset_id", F.coalesce("cloud_revision", F.lit(0)).alias("cloud_revision"), "row_count", "earliest_date", "latest_date")
+        .select(P, "dataset_id", F.coalesce("stored_revision", F.lit(0)).alias("stored_revision"), "row_count", "earliest_date", "latest_date")
     )
 
 
@@ -97,7 +97,7 @@ def binding_freshness(state: DataFrame, snapshots: DataFrame, stale_by_date) ->
 
     ``snapshots`` has (portfolio_id, snapshot_id, bound_dataset_id, bound_revision, valuation_date).
     """
-    matches = (F.col("bound_dataset_id") == F.col("dataset_id")) & (F.col("bound_revision") == F.col("cloud_revision"))
+    matches = (F.col("bound_dataset_id") == F.col("dataset_id")) & (F.col("bound_revision") == F.col("stored_revision"))
     reason = F.when(F.col("snapshot_id").isNull(), F.lit(None).cast("string")).when(
         ~F.coalesce(matches, F.lit(False)), "TRANSACTION_VERSION_STALE"
     ).when(stale_by_date, "VALUATION_DATE_STALE")

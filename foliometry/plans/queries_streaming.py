@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from foliometry.plans import fixtures
-from foliometry.plans.catalog import query, rounded, sql_rounded
+from foliometry.plans.catalog import query, rounded, sql_round
 from foliometry.runtime import shared_folder
 from foliometry.streaming import bars
 
 
 @query(
     "bar_stream_merge",
-    f"""SELECT CAST(0 AS BIGINT) AS market_id, 'SECURITY' AS instrument_type, 'U' || user_id AS ticker, 'USD' AS currency, CAST(ts AS DATE) AS date, {sql_rounded(4, 'max(value)').replace(' AS max(value)', ' AS raw_close')} FROM events WHERE event_type <> 'error' GROUP BY ALL""",
+    f"""SELECT CAST(0 AS BIGINT) AS market_id, 'SECURITY' AS instrument_type, 'U' || user_id AS ticker, 'USD' AS currency, CAST(ts AS DATE) AS date, {sql_round(4, 'arg_max(value, (ts, event_id))')} AS raw_close FROM events GROUP BY ALL""",
 )
 def _(spark, sf):
     schema = fixtures.read(spark, sf, "events").schema
@@ -23,7 +23,6 @@ def _(spark, sf):
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf)
-        .where("event_type <> 'error'")
         .select(
             F.lit(0).cast("bigint").alias("market_id"),
             F.lit("SECURITY").alias("instrument_type"),
@@ -32,8 +31,10 @@ def _(spark, sf):
             F.to_date("ts").alias("date"),
             F.col("value").alias("raw_close"),
             F.col("value").alias("adjusted_close"),
+            "ts",
+            "event_id",
         )
     )
-    bars.merge_stream(stream, f"{folder}/rows", f"{folder}/progress").awaitTermination()
+    bars.merge_stream(stream, f"{folder}/rows", f"{folder}/progress", ("ts", "event_id")).awaitTermination()
     merged = bars.read_merged(spark, f"{folder}/rows")
     return merged.select("market_id", "instrument_type", "ticker", "currency", "date", *rounded(4, "raw_close"))

@@ -254,7 +254,7 @@ UNION ALL SELECT portfolio_id, 2, count(*), min(trade_date), max(trade_date) FRO
 )
 view(
     "v_state",
-    """SELECT portfolio_id, 'dataset-' || portfolio_id || '-' || max(revision) AS dataset_id, CAST(max(revision) AS INTEGER) AS cloud_revision, arg_max(row_count, revision) AS row_count,
+    """SELECT portfolio_id, 'dataset-' || portfolio_id || '-' || max(revision) AS dataset_id, CAST(max(revision) AS INTEGER) AS stored_revision, arg_max(row_count, revision) AS row_count,
 arg_max(earliest_date, revision) AS earliest_date, arg_max(latest_date, revision) AS latest_date FROM v_manifest GROUP BY portfolio_id""",
 )
 

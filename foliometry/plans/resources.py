@@ -195,11 +195,6 @@ def status(freshness: Column, issues: Column) -> Column:
     )
 
 
-def estimated_status(freshness: Column, complete: Column, issues: Column) -> Column:
-    """Security flows are at best an estimate."""
-    return F.when(complete & (freshness == "CURRENT"), "ESTIMATED").otherwise(status(freshness, issues))
-
-
 def evaluate(book: Book, name: str, **parameters) -> DataFrame:
     if name not in METRICS:
         raise QueryError("UNKNOWN_METRIC", name)

@@ -76,8 +76,3 @@ def twd_rate() -> Column:
     rate = F.col("fx_rate")
     usable = rate.isNotNull() & ~F.isnan(rate) & (rate > 0) & (rate < float("inf"))
     return F.when(F.col("currency") == BASE_CURRENCY, F.lit(1.0)).when(usable, rate)
-
-
-def sequence_number(date: str = "trade_date", row: str = "source_row_number") -> Column:
-    """Processing order (date, row) as one sortable struct."""
-    return F.struct(F.col(date), F.col(row))

@@ -16,12 +16,16 @@ P = "portfolio_id"
 SHARDS = 64
 
 
-def publish_version(rows: DataFrame, folder: str, revision: int, status: str = "ACTIVE", shards: int = SHARDS) -> None:
-    """Append ``rows`` as the given revision of every portfolio in them, then its manifest."""
+def publish_version(rows: DataFrame, folder: str, revision: int, status: str = "ACTIVE", shards: int = SHARDS, batch: str = "all") -> None:
+    """Write ``rows`` as the given revision of every portfolio in them, then its manifest.
+
+    A (revision, batch) has folders of its own, which a repeated publication overwrites: it leaves the
+    same rows, not twice as many. Portfolios that are published apart name batches of their own.
+    """
     shard = F.pmod(F.hash(P), F.lit(shards))
-    versioned = rows.withColumn("revision", F.lit(revision)).withColumn("shard", shard)
+    versioned = rows.withColumn("shard", shard)
     # rows of one shard may be many: spread them by portfolio and day, and let tasks write several files
-    versioned.repartition("shard", "trade_date").write.partitionBy("revision", "shard").mode("append").parquet(f"{folder}/rows")
+    versioned.repartition("shard", "trade_date").write.partitionBy("shard").mode("overwrite").parquet(f"{folder}/rows/revision={revision}/batch={batch}")
     manifest = rows.groupBy(P).agg(
         F.count("*").alias("row_count"), F.min("trade_date").alias("earliest_date"), F.max("trade_date").alias("latest_date")
     )
@@ -34,11 +38,11 @@ def publish_version(rows: DataFrame, folder: str, revision: int, status: str = "
         "earliest_date",
         "latest_date",
     )
-    manifest.write.mode("append").parquet(f"{folder}/manifest")
+    manifest.write.mode("overwrite").parquet(f"{folder}/manifest/published={revision}-{batch}")
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/manifest")
+    return spark.read.parquet(f"{folder}/manifest").drop("published")
 
 
 def read_dataset(spark: SparkSession, folder: str, revision: int, portfolio_id: int | None = None, shards: int = SHARDS) -> DataFrame:
@@ -47,12 +51,12 @@ def read_dataset(spark: SparkSession, folder: str, revision: int, portfolio_id:
     if portfolio_id is not None:
         shard = F.pmod(F.hash(F.lit(portfolio_id).cast("bigint")), F.lit(shards))
         rows = rows.where((F.col("shard") == shard) & (F.col(P) == portfolio_id))
-    return rows.drop("shard")
+    return rows.drop("shard", "batch")
 
 
 def read_active(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each portfolio's highest published revision."""
-    rows = spark.read.parquet(f"{folder}/rows").drop("shard")
+    rows = spark.read.parquet(f"{folder}/rows").drop("shard", "batch")
     active = active_versions(read_manifest(spark, folder)).select(P, "revision", "dataset_id")
     return rows.join(active, [P, "revision"])
 

@@ -23,16 +23,18 @@ STORED = T.StructType(
 )
 
 
-def merge_stream(bars: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def merge_stream(bars: DataFrame, folder: str, checkpoint: str, order: tuple[str, ...] = ()) -> StreamingQuery:
     """Write every micro-batch of bars as one revision; a replayed batch overwrites its own folder.
 
-    ``bars`` is a streaming frame with (market_id, instrument, date, raw_close, adjusted_close).  The
+    ``bars`` is a streaming frame with (market_id, instrument, date, raw_close, adjusted_close) and the
+    columns of ``order``, by which the later of several observations of a day in one batch wins; equal
+    orders, and a batch without one, are settled by the bar itself, so that a replay agrees.  The
     revision is the batch number, so a retry after a failure cannot add the same rows twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("market_id", *INSTRUMENT, "date").agg(
-            F.max(F.struct("raw_close", "adjusted_close")).alias("bar")
+            F.max(F.struct(*order, "raw_close", "adjusted_close")).alias("bar")
         )
         rows = latest.select("market_id", *INSTRUMENT, "date", "bar.raw_close", "bar.adjusted_close")
         rows.withColumn("revision", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
