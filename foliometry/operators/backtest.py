@@ -7,12 +7,15 @@ calendar day, so nothing grows beyond days x requests.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliometry.functions.market import monthly_dates
 from foliometry.operators.fold import Fold, ordered_fold
+from foliometry.operators.market import history_gaps
 from foliometry.operators.marks import next_trading_date
 from foliometry.operators.xirr import xirr
 from foliometry.runtime import stored
@@ -60,24 +63,38 @@ def request_issue(allocations: Column, start: Column, end: Column, amount: Colum
 
 def _legs(requests: DataFrame) -> DataFrame:
     return requests.select(
-        R, "start_date", "end_date", F.size("allocations").alias("leg_count"), F.posexplode("allocations").alias("leg", "a")
-    ).select(R, "start_date", "end_date", "leg_count", "leg", F.upper("a.ticker").alias("ticker"), "a.weight")
+        *_market(requests), R, "start_date", "end_date", F.size("allocations").alias("leg_count"), F.posexplode("allocations").alias("leg", "a")
+    ).select(*_market(requests), R, "start_date", "end_date", "leg_count", "leg", F.upper("a.ticker").alias("ticker"), "a.weight")
+
+
+def _market(*frames: DataFrame) -> list[str]:
+    """Markets are kept apart where both requests and prices name one."""
+    return ["market_id"] if all("market_id" in f.columns for f in frames) else []
 
 
-def leg_prices(requests: DataFrame, prices: DataFrame) -> DataFrame:
-    """Valid prices of every leg inside the request window."""
+def leg_bars(requests: DataFrame, prices: DataFrame) -> DataFrame:
+    """Every bar of every leg inside the request window, with its price or the reason it has none.
+
+    The month is part of the join key, so a ticker that every request names is spread over its months.
+    """
     p = F.col("price_twd")
-    valid = prices.where(p.isNotNull() & ~F.isnan(p) & (p > 0) & (p < float("inf"))).select(
-        F.upper("ticker").alias("ticker"), "date", "price_twd"
-    )
-    return _legs(requests).join(valid, "ticker").where(F.col("date").between(F.col("start_date"), F.col("end_date")))
+    known = F.col("issue_code") if "issue_code" in prices.columns else F.lit(None).cast("string")
+    issue = F.coalesce(known, F.when(p.isNull() | F.isnan(p) | (p <= 0) | (p == float("inf")), "INVALID_PRICE"))
+    market = _market(requests, prices)
+    month = F.trunc("date", "month").alias("month")
+    bars = prices.select(*market, F.upper("ticker").alias("ticker"), "date", month, "price_twd", issue.alias("issue_code"))
+    months = F.sequence(F.trunc("start_date", "month"), F.trunc("end_date", "month"), F.expr("interval 1 month"))
+    legs = _legs(requests).where("start_date <= end_date").withColumn("month", F.explode(months))
+    inside = F.col("date").between(F.col("start_date"), F.col("end_date"))
+    return legs.join(bars, [*market, "ticker", "month"]).where(inside).drop("month")
 
 
 def market_calendar(requests: DataFrame, prices: DataFrame) -> DataFrame:
     """Days on which all legs of a request have a price, with weights and prices in leg order."""
     leg = F.struct("leg", "weight", "price_twd")
     return (
-        leg_prices(requests, prices)
+        leg_bars(requests, prices)
+        .where("issue_code is null")
         .groupBy(R, "date", "leg_count")
         .agg(F.array_sort(F.collect_list(leg)).alias("legs"))
         .where(F.size("legs") == F.col("leg_count"))
@@ -85,23 +102,46 @@ def market_calendar(requests: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def market_issues(requests: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Missing or empty series per leg; no common date only where every leg has prices."""
+def market_issues(
+    requests: DataFrame, prices: DataFrame, calendar: DataFrame, max_gap_days: int | None = None, as_of: datetime.date | None = None
+) -> DataFrame:
+    """Why a request may not run; each (request, code) once.
+
+    A leg without a series or without a bar in the window; a bar without a usable price or rate, which is
+    incomplete data and never a day without trading.  With ``max_gap_days`` also a leg whose bars start
+    later, end earlier or pause longer than that; where all legs are whole, the same holds for the days
+    that they share.  ``as_of`` ends the window that must be covered.
+    """
+    market = _market(requests, prices)
     legs = _legs(requests)
-    known = prices.select(F.upper("ticker").alias("ticker")).distinct()
-    seen = leg_prices(requests, prices).select(R, "ticker").distinct()
-    missing = legs.join(known, "ticker", "left_anti").select(R, F.lit("MISSING_PRICE_SERIES").alias("issue_code"))
+    ticker = F.upper("ticker").alias("ticker")
+    series = [*market, "ticker"]
+    quoted = prices.select(*market, ticker).distinct()
+    bars = leg_bars(requests, prices)
+    missing = legs.join(quoted, series, "left_anti").select(R, F.lit("MISSING_PRICE_SERIES").alias("issue_code"))
     empty = (
-        legs.join(known, "ticker", "left_semi").join(seen, [R, "ticker"], "left_anti").select(R, F.lit("EMPTY_PRICE_SERIES").alias("issue_code"))
-    )
-    broken = missing.unionByName(empty)
-    closed = (
-        requests.select(R)
-        .join(calendar.select(R).distinct(), R, "left_anti")
-        .join(broken.select(R).distinct(), R, "left_anti")
-        .select(R, F.lit("NO_COMMON_TRADING_DATE").alias("issue_code"))
-    )
-    return broken.unionByName(closed)
+        legs.join(quoted, series, "left_semi")
+        .join(bars.select(R, "ticker").distinct(), [R, "ticker"], "left_anti")
+        .select(R, F.lit("EMPTY_PRICE_SERIES").alias("issue_code"))
+    )
+    holes = bars.where("issue_code is not null").select(R, "issue_code")
+    start = F.col("start_date")
+    end = F.least("end_date", F.lit(as_of)) if as_of else F.col("end_date")
+    broken = missing.unionByName(empty).unionByName(holes)
+    if max_gap_days is not None:
+        gaps = history_gaps(bars, [R, "ticker"], start, end, max_gap_days)
+        broken = broken.unionByName(gaps.where("issue_code is not null").select(R, "issue_code"))
+    broken = broken.distinct()
+    whole = requests.select(R, "start_date", "end_date").join(broken.select(R).distinct(), R, "left_anti")
+    closed = whole.join(calendar.select(R).distinct(), R, "left_anti").select(R, F.lit("NO_COMMON_TRADING_DATE").alias("issue_code"))
+    if max_gap_days is None:
+        return broken.unionByName(closed)
+    shared = (
+        history_gaps(calendar.select(R, "date").join(whole, R), [R], start, end, max_gap_days)
+        .where("issue_code is not null")
+        .select(R, F.regexp_replace("issue_code", "_HISTORY", "_COMMON_HISTORY").alias("issue_code"))
+    )
+    return broken.unionByName(closed).unionByName(shared)
 
 
 def dca_flows(requests: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -376,13 +416,23 @@ def summarise(runs: DataFrame, executions: DataFrame, curve: DataFrame, issues:
     )
 
 
-def compare(requests: DataFrame, prices: DataFrame, tx: DataFrame, cut=stored) -> tuple[DataFrame, DataFrame]:
+def compare(
+    requests: DataFrame,
+    prices: DataFrame,
+    tx: DataFrame,
+    cut=stored,
+    max_gap_days: int | None = None,
+    as_of: datetime.date | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(summary with three rows per request, curves of all runs).
 
+    ``prices`` has (ticker, date, price_twd) and, as ``market.strategy_prices`` gives them, the issue of a
+    bar without a price: such a bar blocks the request, and with ``max_gap_days`` so does a truncated or
+    gapped history (``market_issues``).
     ``cut`` writes what several later steps read, so that no plan contains another one many times.
     """
     calendar = cut(market_calendar(requests, prices))
-    closed = cut(market_issues(requests, prices, calendar))
+    closed = cut(market_issues(requests, prices, calendar, max_gap_days, as_of))
     open_ = cut(requests.join(closed.select(R).distinct(), R, "left_anti"))
     days = calendar.join(open_.select(R), R, "left_semi")
     dca = dca_flows(open_, days)

@@ -216,7 +216,7 @@ def source_version(bars: DataFrame) -> DataFrame:
     return series_hash(bars).groupBy("market_id").agg(combined_hash(F.collect_list("series_hash")).alias("source_version"))
 
 
-def history_gaps(dates: DataFrame, key: list[str], start, end) -> DataFrame:
+def history_gaps(dates: DataFrame, key: list[str], start, end, limit: int = MAX_GAP_DAYS) -> DataFrame:
     """TRUNCATED or GAPPED per key: late first day, early last day, or an inner gap over the limit."""
     in_order = Window.partitionBy(*key).orderBy("date")
     gap = F.datediff("date", F.lag("date").over(in_order))
@@ -230,8 +230,8 @@ def history_gaps(dates: DataFrame, key: list[str], start, end) -> DataFrame:
             F.max("gap").alias("widest_gap"),
         )
     )
-    code = F.when((F.col("head") > MAX_GAP_DAYS) | (F.col("tail") > MAX_GAP_DAYS), "TRUNCATED_HISTORY").when(
-        F.col("widest_gap") > MAX_GAP_DAYS, "GAPPED_HISTORY"
+    code = F.when((F.col("head") > limit) | (F.col("tail") > limit), "TRUNCATED_HISTORY").when(
+        F.col("widest_gap") > limit, "GAPPED_HISTORY"
     )
     return per.select(*key, "head", "tail", "widest_gap", code.alias("issue_code"))
 

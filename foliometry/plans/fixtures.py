@@ -38,12 +38,21 @@ COLUMNS = (
 _kept: dict[tuple, DataFrame] = {}
 
 
+def key_of(name: object, spark: SparkSession, sf_dir: str) -> tuple:
+    """What a kept table depends on: the session, the folder and the state of the files in it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    entries = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    state = hash(tuple(sorted((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in entries)))
+    return name, spark.sparkContext.applicationId, sf_dir, state
+
+
 def shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Write a derived base table once per (session, folder)."""
 
     @wraps(build)
     def table(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (build.__name__, spark.sparkContext.applicationId, sf_dir)
+        key = key_of(f"{build.__module__}.{build.__name__}", spark, sf_dir)
         if key not in _kept:
             _kept[key] = stored(build(spark, sf_dir))
         return _kept[key]
@@ -287,6 +296,14 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.unionByName(fx).withColumn("adjusted_close", F.round(F.col("raw_close") * 0.95 + NUDGE, 4))
 
 
+def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two markets: the bars as they are, and other closes of the same instruments without EUR."""
+    first = bars(spark, sf_dir)
+    second = first.where("currency <> 'EUR'").withColumn("raw_close", F.round(F.col("raw_close") * 1.25 + NUDGE, 4))
+    market = lambda df, n: df.withColumn("market_id", F.lit(n).cast("bigint"))
+    return market(first, 0).unionByName(market(second, 1))
+
+
 def snapshots(portfolios: DataFrame, valuation_date: datetime.date = VALUATION_DATE) -> DataFrame:
     """Every fourth portfolio is valued with snapshot 1, the others with snapshot 0."""
     p = F.col("portfolio_id")

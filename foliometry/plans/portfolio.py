@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliometry.operators import cash_ledger, fx_ledger, gate, nav, position_ledger, returns, valuation
+from foliometry.operators import backtest, cash_ledger, fx_ledger, gate, market, nav, position_ledger, returns, valuation
 from foliometry.plans import fixtures
 from foliometry.runtime import stored
 
@@ -23,7 +23,9 @@ class Book:
     freshness: DataFrame  # portfolio_id, freshness, freshness_issue
     bars: DataFrame | None = None  # merged market bars with market_id
     market_issues: DataFrame | None = None  # portfolio_id, issue_code, date
-    strategies: DataFrame | None = None  # backtest summary rows
+    markets: DataFrame | None = None  # portfolio_id, market_id
+    requests: DataFrame | None = None  # strategy requests with request_id and portfolio_id
+    prices: DataFrame | None = None  # ticker, date, price_twd, issue_code
 
     @cached_property
     def security_ledger(self) -> DataFrame:
@@ -45,7 +47,16 @@ class Book:
     def nav_dates(self) -> DataFrame:
         return nav.nav_dates(self.tx, self.marks, self.snapshots)
 
+    @cached_property
+    def comparison(self) -> tuple[DataFrame, DataFrame]:
+        """Backtest summary and curves of all requests."""
+        summary, curve = backtest.compare(self.requests, self.prices, self.tx, max_gap_days=market.MAX_GAP_DAYS)
+        return stored(summary), curve
 
+    @cached_property
+    def strategies(self) -> DataFrame:
+        """Backtest summary rows with the portfolio of their request."""
+        return self.comparison[0].join(self.requests.select("request_id", "portfolio_id"), "request_id")
 
     @cached_property
     def nav_points(self) -> DataFrame:
@@ -107,11 +118,13 @@ _books: dict[tuple, Book] = {}
 
 def book(spark: SparkSession, sf_dir: str, clean: bool = False) -> Book:
     """Books are kept per session: ledgers are written once, so every query over them shares one fold."""
-    key = (spark.sparkContext.applicationId, sf_dir, clean)
+    key = fixtures.key_of(clean, spark, sf_dir)
     if key not in _books:
         tx = fixtures.tx_clean(spark, sf_dir) if clean else fixtures.tx(spark, sf_dir)
         snapshots = stored(fixtures.clean_snapshots(tx) if clean else fixtures.snapshots(tx))
-        bars = fixtures.bars(spark, sf_dir).withColumn("market_id", F.lit(0).cast("bigint"))
         freshness, market_issues = fixtures.freshness(snapshots)
-        _books[key] = Book(tx, fixtures.marks(spark, sf_dir), snapshots, freshness, bars, market_issues)
+        markets = snapshots.select("portfolio_id", (F.col("portfolio_id") % 2).alias("market_id"))
+        _books[key] = Book(
+            tx, fixtures.marks(spark, sf_dir), snapshots, freshness, fixtures.market_bars(spark, sf_dir), market_issues, markets
+        )
     return _books[key]

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from foliometry.operators import backtest, market
 from foliometry.plans import fixtures
-from foliometry.plans.catalog import query, rounded, sql_rounded
+from foliometry.plans.catalog import query, rounded, sql_round, sql_rounded
 from foliometry.plans.oracle_views import view
-from foliometry.runtime import stored
+from foliometry.plans.portfolio import book
 
 R = "request_id"
 
@@ -25,10 +26,15 @@ def request_texts(spark, sf):
         .when(k % 17 == 8, F.lit("T1:0,T2:100"))
         .otherwise(two)
     )
-    end = F.when(k % 31 == 9, datetime.date(1995, 12, 31)).otherwise(F.lit(datetime.date(1998, 12, 31)))
+    end = (
+        F.when(k % 31 == 9, datetime.date(1995, 12, 31))
+        .when(k % 13 == 4, datetime.date(2001, 10, 31))
+        .when(k % 37 == 11, datetime.date(2002, 1, 31))
+        .otherwise(F.lit(datetime.date(1998, 12, 31)))
+    )
     return fixtures.read(spark, sf, "supplier").select(
         k.alias(R),
-        k.alias("portfolio_id"),
+        (k - k % 2).alias("portfolio_id"),
         F.date_add(F.lit(datetime.date(1996, 1, 10)), (k % 28).cast("int")).alias("start_date"),
         end.alias("end_date"),
         (1000.0 * (1 + k % 5)).alias("monthly_amount"),
@@ -49,22 +55,64 @@ def requests(spark, sf):
 
 @fixtures.shared
 def prices(spark, sf):
-    return market.strategy_prices(fixtures.bars(spark, sf)).where("issue_code is null").drop("issue_code")
+    return market.strategy_prices(fixtures.bars(spark, sf))
+
+
+@fixtures.shared
+def calendar(spark, sf):
+    return backtest.market_calendar(requests(spark, sf), prices(spark, sf))
+
+
+@fixtures.shared
+def closed(spark, sf):
+    return backtest.market_issues(requests(spark, sf), prices(spark, sf), calendar(spark, sf), market.MAX_GAP_DAYS)
+
+
+def open_requests(spark, sf):
+    return requests(spark, sf).join(closed(spark, sf).select(R).distinct(), R, "left_anti")
+
+
+def open_calendar(spark, sf):
+    return calendar(spark, sf).join(open_requests(spark, sf).select(R), R, "left_semi")
 
 
 view(
     "b_requests",
     """SELECT *, CASE WHEN k % 17 = 8 AND NOT (k % 29 = 5 OR k % 23 = 6 OR k % 19 = 7) THEN 'INVALID_ALLOCATIONS' WHEN k % 31 = 9 THEN 'END_BEFORE_START' WHEN k % 29 = 5 THEN NULL WHEN k % 23 = 6 THEN 'WEIGHTS_NOT_ONE' WHEN k % 19 = 7 THEN 'DUPLICATE_TICKER' END AS request_issue,
-CASE WHEN k % 29 = 5 THEN 'ZZZ' ELSE 'T' || (k % 20) END AS t1, 'T' || ((k + 7) % 20) AS t2 FROM (SELECT s_suppkey AS request_id, s_suppkey AS k, s_suppkey AS portfolio_id, DATE '1996-01-10' + CAST(s_suppkey % 28 AS INTEGER) AS start_date,
-CASE WHEN s_suppkey % 31 = 9 THEN DATE '1995-12-31' ELSE DATE '1998-12-31' END AS end_date, 1000e0 * (1 + s_suppkey % 5) AS monthly_amount FROM supplier)""",
+CASE WHEN k % 29 = 5 THEN 'ZZZ' ELSE 'T' || (k % 20) END AS t1, 'T' || ((k + 7) % 20) AS t2 FROM (SELECT s_suppkey AS request_id, s_suppkey AS k, s_suppkey - s_suppkey % 2 AS portfolio_id, DATE '1996-01-10' + CAST(s_suppkey % 28 AS INTEGER) AS start_date,
+CASE WHEN s_suppkey % 31 = 9 THEN DATE '1995-12-31' WHEN s_suppkey % 13 = 4 THEN DATE '2001-10-31' WHEN s_suppkey % 37 = 11 THEN DATE '2002-01-31' ELSE DATE '1998-12-31' END AS end_date, 1000e0 * (1 + s_suppkey % 5) AS monthly_amount FROM supplier)""",
 )
 view("b_ok", "SELECT * FROM b_requests WHERE request_issue IS NULL")
-view("b_open", "SELECT * FROM b_ok WHERE t1 <> 'ZZZ'")
 view("b_prices", "SELECT ticker, date, price_twd FROM v_strategy_prices WHERE price_twd IS NOT NULL")
 view(
-    "b_cal",
-    """SELECT r.request_id, a.date, a.price_twd AS p1, b.price_twd AS p2 FROM b_open r JOIN b_prices a ON a.ticker = r.t1 AND a.date BETWEEN r.start_date AND r.end_date JOIN b_prices b ON b.ticker = r.t2 AND b.date = a.date""",
+    "b_calendar",
+    """SELECT r.request_id, r.start_date, r.end_date, a.date, a.price_twd AS p1, b.price_twd AS p2 FROM b_ok r JOIN b_prices a ON a.ticker = r.t1 AND a.date BETWEEN r.start_date AND r.end_date JOIN b_prices b ON b.ticker = r.t2 AND b.date = a.date""",
+)
+view(
+    "b_bars",
+    """SELECT r.request_id, r.ticker, r.start_date, r.end_date, p.date, p.issue_code FROM (SELECT *, t1 AS ticker FROM b_ok UNION ALL SELECT *, t2 FROM b_ok WHERE t1 <> 'ZZZ') r
+JOIN v_strategy_prices p ON p.ticker = r.ticker AND p.date BETWEEN r.start_date AND r.end_date""",
+)
+
+
+def _gapped(rows: str, key: str, word: str) -> str:
+    return f"""SELECT request_id, CASE WHEN min(date) - min(start_date) > 14 OR min(end_date) - max(date) > 14 THEN 'TRUNCATED_{word}HISTORY' WHEN max(gap) > 14 THEN 'GAPPED_{word}HISTORY' END AS issue_code
+FROM (SELECT *, date - lag(date) OVER (PARTITION BY {key} ORDER BY date) AS gap FROM {rows}) GROUP BY {key}"""
+
+
+view(
+    "b_broken",
+    f"""SELECT DISTINCT request_id, issue_code FROM (SELECT request_id, 'MISSING_PRICE_SERIES' AS issue_code FROM b_ok WHERE t1 = 'ZZZ'
+UNION ALL SELECT request_id, issue_code FROM b_bars UNION ALL {_gapped('b_bars', 'request_id, ticker', '')}) WHERE issue_code IS NOT NULL""",
+)
+view("b_whole", "SELECT * FROM b_ok WHERE request_id NOT IN (SELECT request_id FROM b_broken)")
+view(
+    "b_closed",
+    f"""SELECT request_id, issue_code FROM b_broken UNION ALL SELECT request_id, 'NO_COMMON_TRADING_DATE' FROM b_whole WHERE request_id NOT IN (SELECT request_id FROM b_calendar)
+UNION ALL SELECT request_id, issue_code FROM ({_gapped('b_calendar', 'request_id', 'COMMON_')}) WHERE issue_code IS NOT NULL AND request_id IN (SELECT request_id FROM b_whole)""",
 )
+view("b_open", "SELECT * FROM b_ok WHERE request_id NOT IN (SELECT request_id FROM b_closed)")
+view("b_cal", "SELECT request_id, date, p1, p2 FROM b_calendar WHERE request_id IN (SELECT request_id FROM b_open)")
 view(
     "b_dca",
     """SELECT request_id, requested_date, min(date) AS execution_date, min(monthly_amount) AS amount_twd FROM (
@@ -120,15 +168,19 @@ SELECT *, lag(after) OVER (PARTITION BY request_id, mode ORDER BY date) AS prev
 )
 view("b_dead", "SELECT DISTINCT request_id, mode FROM (SELECT *, lag(after) OVER (PARTITION BY request_id, mode ORDER BY date) AS prev FROM b_values) WHERE prev > 1e-9 AND before / prev <= 0")
 
-_comparisons = {}
+_books = {}
+
+
+def request_book(spark, sf):
+    """The clean book with its requests; kept, so that all queries over it share one comparison."""
+    key = fixtures.key_of("requests", spark, sf)
+    if key not in _books:
+        _books[key] = replace(book(spark, sf, clean=True), requests=requests(spark, sf), prices=prices(spark, sf))
+    return _books[key]
 
 
 def _compare(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _comparisons:
-        summary, curve = backtest.compare(requests(spark, sf), prices(spark, sf), fixtures.tx_clean(spark, sf))
-        _comparisons[key] = (stored(summary), curve)
-    return _comparisons[key]
+    return request_book(spark, sf).comparison
 
 
 @query(
@@ -139,24 +191,24 @@ def _(spark, sf):
     return parsed_requests(spark, sf).select(R, "request_issue", F.coalesce(F.size("allocations"), F.lit(-1)).alias("legs"))
 
 
-@query("strategy_calendar", "SELECT request_id, date FROM b_cal")
+@query("strategy_calendar", f"SELECT request_id, date, 6e-1 AS weight_1, 4e-1 AS weight_2, {sql_round(3, 'p1')} AS price_1, {sql_round(3, 'p2')} AS price_2 FROM b_calendar")
 def _(spark, sf):
-    return backtest.market_calendar(requests(spark, sf), prices(spark, sf)).select(R, "date")
+    days = calendar(spark, sf).withColumns({f"price_{i}": F.col("prices")[i - 1] for i in (1, 2)})
+    weights = [F.col("weights")[i - 1].alias(f"weight_{i}") for i in (1, 2)]
+    return days.select(R, "date", *weights, *rounded(3, "price_1", "price_2"))
 
 
 @query(
     "strategy_market_issues",
-    "SELECT request_id, 'MISSING_PRICE_SERIES' AS issue_code FROM b_ok WHERE t1 = 'ZZZ'",
+    "SELECT request_id, issue_code FROM b_closed",
 )
 def _(spark, sf):
-    asked, quoted = requests(spark, sf), prices(spark, sf)
-    return backtest.market_issues(asked, quoted, backtest.market_calendar(asked, quoted))
+    return closed(spark, sf)
 
 
 @query("dca_schedule", f"SELECT request_id, requested_date, execution_date, {sql_rounded(2, 'amount_twd')} FROM b_dca")
 def _(spark, sf):
-    asked = requests(spark, sf)
-    flows = backtest.dca_flows(asked, backtest.market_calendar(asked, prices(spark, sf)))
+    flows = backtest.dca_flows(open_requests(spark, sf), open_calendar(spark, sf))
     return flows.select(R, "requested_date", "execution_date", *rounded(2, "amount_twd"))
 
 
@@ -165,9 +217,8 @@ def _(spark, sf):
     f"SELECT request_id, date AS execution_date, {sql_rounded(2, 'amount_twd')} FROM b_planned WHERE mode = 'LUMP_SUM'",
 )
 def _(spark, sf):
-    asked = requests(spark, sf)
-    calendar = backtest.market_calendar(asked, prices(spark, sf))
-    flows = backtest.lump_flows(backtest.dca_flows(asked, calendar), asked, calendar)
+    asked, days = open_requests(spark, sf), open_calendar(spark, sf)
+    flows = backtest.lump_flows(backtest.dca_flows(asked, days), asked, days)
     return flows.select(R, "execution_date", *rounded(2, "amount_twd"))
 
 
@@ -211,36 +262,55 @@ UNION ALL SELECT e.request_id, 'TRANSACTION_REPLAY', e.date, e.kind, e.amount_tw
 )
 view(
     "b_runs",
-    """SELECT r.request_id, m.mode, CASE WHEN r.t1 = 'ZZZ' THEN 'MISSING_PRICE_SERIES' WHEN d.request_id IS NOT NULL THEN 'INVALID_UNITIZED_RETURN' WHEN m.mode = 'TRANSACTION_REPLAY' AND r.request_id IN (SELECT request_id FROM b_late) THEN 'REPLAY_EVENT_AFTER_LAST_MARKET_DATE'
+    """SELECT r.request_id, m.mode, CASE WHEN k.codes IS NOT NULL THEN k.codes WHEN d.request_id IS NOT NULL THEN 'INVALID_UNITIZED_RETURN' WHEN m.mode = 'TRANSACTION_REPLAY' AND r.request_id IN (SELECT request_id FROM b_late) THEN 'REPLAY_EVENT_AFTER_LAST_MARKET_DATE'
 WHEN m.mode = 'TRANSACTION_REPLAY' AND r.request_id IN (SELECT request_id FROM b_replay WHERE issue IS NOT NULL) THEN 'REPLAY_WITHDRAWAL_EXCEEDS_VALUE' END AS blocking
-FROM b_ok r CROSS JOIN (SELECT unnest(['DCA', 'LUMP_SUM', 'TRANSACTION_REPLAY']) AS mode) m LEFT JOIN b_dead d ON d.request_id = r.request_id AND d.mode = m.mode""",
+FROM b_ok r CROSS JOIN (SELECT unnest(['DCA', 'LUMP_SUM', 'TRANSACTION_REPLAY']) AS mode) m LEFT JOIN b_dead d ON d.request_id = r.request_id AND d.mode = m.mode
+LEFT JOIN (SELECT request_id, string_agg(issue_code, ',' ORDER BY issue_code) AS codes FROM b_closed GROUP BY ALL) k ON k.request_id = r.request_id""",
 )
 view(
     "b_ends",
     """SELECT request_id, mode, min(date) AS start_date, max(date) AS end_date, arg_max(after, date) AS terminal, arg_max(growth_index, date) AS idx, min(growth_index / running_peak - 1) AS dd FROM b_curve GROUP BY ALL""",
 )
+view(
+    "b_trough",
+    "SELECT c.request_id, c.mode, min(c.date) AS low, arg_min(c.running_peak, c.date) AS peak FROM b_curve c JOIN b_ends e USING (request_id, mode) WHERE e.dd < 0 AND c.growth_index / c.running_peak - 1 = e.dd GROUP BY ALL",
+)
+view(
+    "b_recovery",
+    "SELECT c.request_id, c.mode, min(c.date) AS recovery_date FROM b_curve c JOIN b_trough t USING (request_id, mode) WHERE c.date > t.low AND c.growth_index + 1e-9 >= t.peak GROUP BY ALL",
+)
 view(
     "b_summary",
-    """SELECT r.request_id, r.mode, r.blocking, e.start_date, e.end_date, x.paid, x.taken, x.n, e.terminal, e.idx, e.dd, e.end_date - e.start_date AS days FROM b_runs r LEFT JOIN b_ends e USING (request_id, mode)
+    """SELECT r.request_id, r.mode, r.blocking, y.recovery_date, e.start_date, e.end_date, x.paid, x.taken, x.n, e.terminal, e.idx, e.dd, e.end_date - e.start_date AS days FROM b_runs r LEFT JOIN b_ends e USING (request_id, mode) LEFT JOIN b_recovery y USING (request_id, mode)
 LEFT JOIN (SELECT request_id, mode, sum(amount_twd) FILTER (kind = 'CONTRIBUTION') AS paid, coalesce(sum(amount_twd) FILTER (kind = 'WITHDRAWAL'), 0e0) AS taken, count(*) AS n FROM b_exec GROUP BY ALL) x USING (request_id, mode)""",
 )
 _S1 = ("gross_contributions_twd", "gross_withdrawals_twd", "terminal_value_twd", "estimated_gain_twd")
 _S6 = ("money_multiple", "cumulative_twr", "annualized_twr", "maximum_drawdown")
 
 
-@query(
-    "strategy_summary",
-    f"""SELECT request_id, mode, start_date, end_date, execution_count, blocking_code, {sql_rounded(0, *_S1)}, {sql_rounded(6, *_S6)} FROM (
-SELECT request_id, mode, CASE WHEN ok THEN start_date END AS start_date, CASE WHEN ok THEN end_date END AS end_date, CASE WHEN ok THEN n ELSE 0 END AS execution_count, coalesce(blocking, '') AS blocking_code,
+view(
+    "b_figures",
+    """SELECT request_id, mode, CASE WHEN ok THEN start_date END AS start_date, CASE WHEN ok THEN end_date END AS end_date, CASE WHEN ok THEN recovery_date END AS recovery_date, CASE WHEN ok THEN n ELSE 0 END AS execution_count, coalesce(blocking, '') AS blocking_code,
 CASE WHEN ok THEN paid ELSE 0e0 END AS gross_contributions_twd, CASE WHEN ok THEN taken ELSE 0e0 END AS gross_withdrawals_twd, CASE WHEN ok THEN terminal END AS terminal_value_twd, CASE WHEN ok THEN terminal + taken - paid END AS estimated_gain_twd,
 CASE WHEN ok THEN (terminal + taken) / paid END AS money_multiple, CASE WHEN ok THEN idx - 1 END AS cumulative_twr, CASE WHEN ok THEN pow(idx, 365e0 / days) - 1 END AS annualized_twr, CASE WHEN ok THEN dd END AS maximum_drawdown
-FROM (SELECT *, blocking IS NULL AS ok FROM b_summary))""",
+FROM (SELECT *, blocking IS NULL AS ok FROM b_summary)""",
+)
+
+
+@query(
+    "strategy_summary",
+    f"""SELECT request_id, mode, start_date, end_date, recovery_date, execution_count, blocking_code, {sql_rounded(0, *_S1)}, {sql_rounded(6, *_S6)} FROM b_figures""",
 )
 def _(spark, sf):
     summary, _curve = _compare(spark, sf)
+    fields = [R, "mode", "start_date", "end_date", "recovery_date", "execution_count", blocking_code()]
+    return summary.select(*fields, *rounded(0, *_S1), *rounded(6, *_S6))
+
+
+def blocking_code():
+    """The codes that block a run; codes of its end, such as a missing rate of return, leave its figures."""
     late = F.col("issue_codes").isin("XIRR_NOT_FOUND", "MULTIPLE_XIRR_ROOTS", "ZERO_TIME_SPAN", "NO_CONTRIBUTION")
-    code = F.when(late, "").otherwise(F.col("issue_codes")).alias("blocking_code")
-    return summary.select(R, "mode", "start_date", "end_date", "execution_count", code, *rounded(0, *_S1), *rounded(6, *_S6))
+    return F.when(late, "").otherwise(F.col("issue_codes")).alias("blocking_code")
 
 
 _LO, _HI = "ln(1e-6)", "ln(1000001e0)"
@@ -275,11 +345,15 @@ FROM (SELECT *, {_npv('(lo + hi) / 2')} AS m FROM b_bisect WHERE n < 50)""",
 )
 
 
-@query(
-    "strategy_xirr",
-    f"""SELECT r.request_id, r.mode, CASE WHEN r.blocking IS NULL THEN {sql_rounded(6, 'x.xirr').rsplit(' AS ', 1)[0]} END AS xirr, CASE WHEN r.blocking IS NULL AND x.xirr IS NOT NULL THEN 'ESTIMATED' ELSE 'INCOMPLETE' END AS status
+view(
+    "b_rates",
+    """SELECT r.request_id, r.mode, CASE WHEN r.blocking IS NULL THEN x.xirr END AS xirr, CASE WHEN r.blocking IS NULL AND x.xirr IS NOT NULL THEN 'ESTIMATED' ELSE 'INCOMPLETE' END AS status
 FROM b_runs r LEFT JOIN (SELECT request_id, mode, CASE WHEN count(*) = 1 THEN min(exp((lo + hi) / 2) - 1) END AS xirr FROM b_bisect WHERE n = 50 GROUP BY ALL) x USING (request_id, mode)""",
 )
+view("b_results", "SELECT f.*, r.xirr, r.status, b.portfolio_id FROM b_figures f JOIN b_rates r USING (request_id, mode) JOIN b_ok b USING (request_id)")
+
+
+@query("strategy_xirr", f"SELECT request_id, mode, {sql_rounded(6, 'xirr')}, status FROM b_rates")
 def _(spark, sf):
     summary, _curve = _compare(spark, sf)
     return summary.select(R, "mode", *rounded(6, "xirr"), "status")

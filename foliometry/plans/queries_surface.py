@@ -109,26 +109,34 @@ def _(spark, sf):
     return _digits(resources.select(book(spark, sf), "valuations"), 3, *_VAL)
 
 
-for _name, _cond in (("market_prices", "<> 'FX'"), ("fx_rates", "= 'FX'")):
+view(
+    "v_market_bars",
+    f"""SELECT CAST(0 AS BIGINT) AS market_id, * FROM v_bars
+UNION ALL SELECT 1, * REPLACE ({sql_rounded(4, 'raw_close * 125e-2').rsplit(' AS ', 1)[0]} AS raw_close) FROM v_bars WHERE currency <> 'EUR'""",
+)
+for _name, _cond, _filters in (
+    ("market_prices", "<> 'FX'", {}),
+    ("fx_rates", "= 'FX'", {}),
+    ("market_prices_of_portfolio", "<> 'FX' AND market_id = 1", {"portfolio_id": 3}),
+):
 
     @query(
         _name,
-        f"""SELECT CAST(0 AS BIGINT) AS portfolio_id, date, instrument_type, ticker AS symbol, currency, {sql_rounded(4, 'raw_close', 'adjusted_close')} FROM v_bars WHERE instrument_type {_cond} AND date >= DATE '1996-01-01'""",
+        f"""SELECT market_id, date, instrument_type, ticker AS symbol, currency, {sql_rounded(4, 'raw_close', 'adjusted_close')} FROM v_market_bars WHERE instrument_type {_cond}""",
     )
-    def _(spark, sf, _name=_name):
-        rows = resources.select(book(spark, sf), _name, filters={"from": "1996-01-01"})
+    def _(spark, sf, _name=_name.removesuffix("_of_portfolio"), _filters=_filters):
+        rows = resources.select(book(spark, sf), _name, filters=_filters)
         return _digits(rows, 4, "raw_close", "adjusted_close")
 
 
 @query(
     "strategy_comparison",
-    """SELECT r.request_id AS portfolio_id, r.mode, r.blocking IS NOT NULL AS blocked FROM b_runs r""",
+    f"""SELECT portfolio_id, request_id, mode, start_date, end_date, recovery_date, execution_count, blocking_code, status, {sql_rounded(0, *queries_backtest._S1)}, {sql_rounded(6, 'xirr', *queries_backtest._S6)} FROM b_results""",
 )
 def _(spark, sf):
-    b = book(spark, sf)
-    b.strategies = queries_backtest._compare(spark, sf)[0]
-    rows = resources.select(b, "strategy_comparison", ["mode", "terminal_value_twd"])
-    return rows.select(P, "mode", F.col("terminal_value_twd").isNull().alias("blocked"))
+    rows = resources.select(queries_backtest.request_book(spark, sf), "strategy_comparison")
+    rows = rows.withColumn("blocking_code", queries_backtest.blocking_code()).drop("issue_codes")
+    return _digits(_digits(rows, 0, *queries_backtest._S1), 6, "xirr", *queries_backtest._S6)
 
 
 @query(
@@ -165,17 +173,29 @@ def _(spark, sf):
     return resources.select(book(spark, sf), "data_quality")
 
 
+_META = {
+    "nav": ("TWD", "valuation-1"),
+    "cash_ratio": ("decimal", "valuation-1"),
+    "twr": ("decimal", "returns-1"),
+    "max_drawdown": ("decimal", "returns-1"),
+    "xirr": ("decimal", "performance-1"),
+    "realized_pl": ("TWD", "fx-cost-1"),
+    "unrealized_pl": ("TWD", "fx-cost-1"),
+}
+
+
 def _metric(name: str, oracle_value: str, digits: int, source: str, complete: str, first: str, last: str, **parameters):
     """A metric over the clean book; every tenth portfolio is stale."""
+    unit, version = _META[name]
 
     @query(
         f"metric_{name}",
         f"""SELECT portfolio_id, '{name}' AS metric, CASE WHEN portfolio_id % 10 <> 9 AND {complete} THEN {sql_round(digits, oracle_value)} END AS value, {first} AS period_from, {last} AS period_to,
-CASE WHEN portfolio_id % 10 = 9 THEN 'STALE' WHEN {complete} THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS status FROM {source}""",
+CASE WHEN portfolio_id % 10 = 9 THEN 'STALE' WHEN {complete} THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS status, {last} AS as_of, '{unit}' AS unit, '{version}' AS calculation_version FROM {source}""",
     )
     def _(spark, sf):
         df = resources.evaluate(book(spark, sf, clean=True), name, **parameters)
-        return df.select(P, "metric", *rounded(digits, "value"), "period_from", "period_to", "status")
+        return df.select(P, "metric", *rounded(digits, "value"), "period_from", "period_to", "status", "as_of", "unit", "calculation_version")
 
 
 _VD = "DATE '2001-06-30'"

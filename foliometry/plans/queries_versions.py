@@ -175,7 +175,7 @@ _plans = {}
 
 
 def _plan(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
+    key = fixtures.key_of("versions", spark, sf)
     if key not in _plans:
         _plans[key] = stored(lineage.lineage_plan(previous(spark, sf), incoming(spark, sf)))
     return _plans[key]
@@ -210,7 +210,7 @@ _folders = {}
 
 def _published(spark, sf):
     """Three revisions: all portfolios, the even ones again, and a rejected one that must stay unread."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = fixtures.key_of("versions", spark, sf)
     if key not in _folders:
         folder = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
         old = previous(spark, sf).drop("transaction_id")

@@ -58,6 +58,7 @@ class Resource:
     date: str | None = None
     paged: bool = True
     version: str = VERSION
+    key: str = P  # the first column; a resource of markets is read through the portfolio's market
 
 
 @dataclass(frozen=True)
@@ -141,15 +142,18 @@ def select(
             df = df.where(from_date(F.col(r.date), value))
         elif key == "to":
             df = df.where(to_date(F.col(r.date), value))
-        elif key == P:
+        elif key == P and r.key == P:
             df = df.where(F.col(P) == value)
+        elif key == P:
+            own = book.markets.where(F.col(P) == value).select(r.key).distinct()
+            df = df.join(own, r.key, "left_semi")
         else:
             df = df.where(equals_text(F.col(r.filters[key]), value))
     if sort:
         column = F.col(sort[0])
         first = column.desc_nulls_last() if sort[1] == "desc" else column.asc_nulls_first()
         df = df.orderBy(first, *[c for c in r.order if c != sort[0]])
-    return df.select(P, *[c for c in chosen if c != P])
+    return df.select(r.key, *[c for c in chosen if c != r.key])
 
 
 def encode_cursor(name: str, offset: int) -> str:
@@ -276,6 +280,9 @@ def portfolio_snapshot(book: Book) -> DataFrame:
     )
 
 
+_OPTIONAL = (("budget_waterline", "double"), ("budget_balance", "double"), ("note", "string"))
+
+
 def transactions(book: Book) -> DataFrame:
     return book.tx.select(
         P,
@@ -290,6 +297,7 @@ def transactions(book: Book) -> DataFrame:
         "amount_foreign",
         F.col("fx_rate").alias("fx_rate_twd"),
         "fee",
+        *[(F.col(c) if c in book.tx.columns else F.lit(None)).cast(kind).alias(c) for c, kind in _OPTIONAL],
     )
 
 
@@ -377,10 +385,16 @@ def valuations(book: Book) -> DataFrame:
 def _market(book: Book, fx: bool) -> DataFrame:
     kind = F.col("instrument_type") == "FX"
     return book.bars.where(kind if fx else ~kind).select(
-        F.col("market_id").alias(P), "date", "instrument_type", F.col("ticker").alias("symbol"), "currency", "raw_close", "adjusted_close"
+        "market_id", "date", "instrument_type", F.col("ticker").alias("symbol"), "currency", "raw_close", "adjusted_close"
     )
 
 
+def strategies(book: Book) -> DataFrame:
+    if book.requests is None or book.prices is None:
+        raise QueryError("NO_STRATEGY_REQUESTS", "the book has no request table or no prices")
+    return book.strategies
+
+
 def data_quality(book: Book) -> DataFrame:
     """Every issue of every domain, one row each."""
     none = F.lit(None)
@@ -507,9 +521,10 @@ _PORTFOLIO = Field(P, "integer", "portfolio the row belongs to")
 _TWD = {"unit": "TWD"}
 
 
-def _resource_of(name: str, description: str, build, fields: list[Field], filters, sorts, order, date=None, paged=True) -> None:
+def _resource_of(name: str, description: str, build, fields: list[Field], filters, sorts, order, date=None, paged=True, key=_PORTFOLIO) -> None:
     columns = filters if isinstance(filters, dict) else {f: f for f in filters}
-    register_resource(Resource(name, description, (_PORTFOLIO, *fields), build, columns, tuple(sorts), (P, *order), date, paged))
+    resource = Resource(name, description, (key, *fields), build, columns, tuple(sorts), (key.name, *order), date, paged, key=key.name)
+    register_resource(resource)
 
 
 _resource_of(
@@ -546,6 +561,9 @@ _resource_of(
         Field("amount_foreign", "number", "native amount"),
         Field("fx_rate_twd", "number", "TWD per unit", True, **_TWD),
         Field("fee", "number", "native fee"),
+        Field("budget_waterline", "number", "budget line of the source row", True),
+        Field("budget_balance", "number", "budget left by the source row", True),
+        Field("note", "string", "note of the source row", True),
     ],
     ["transaction_id", "symbol", "type", "currency"],
     ["date", "symbol", "type", "currency", "source_row_number"],
@@ -628,6 +646,7 @@ _resource_of(
     ["as_of", "asset_type", "symbol", "currency", "market_value_twd"],
     ["asset_type", "currency", "symbol"],
 )
+_MARKET_KEY = Field("market_id", "integer", "market the row belongs to; a filter by portfolio reads its market")
 _MARKET = [
     Field("date", "date", "exchange-local date"),
     Field("instrument_type", "enum", "instrument", values=("SECURITY", "BENCHMARK", "FX")),
@@ -646,12 +665,14 @@ for _name, _fx, _text in (("market_prices", False, "security and benchmark close
         ["date", "symbol", "currency", "instrument_type"],
         ["date", "instrument_type", "currency", "symbol"],
         "date",
+        key=_MARKET_KEY,
     )
 _resource_of(
     "strategy_comparison",
     "three backtest rows per request; complete, never paged",
-    lambda book: book.strategies.withColumnRenamed("request_id", P),
+    strategies,
     [
+        Field("request_id", "string", "request"),
         Field("mode", "enum", "plan", values=("DCA", "LUMP_SUM", "TRANSACTION_REPLAY")),
         Field("status", "enum", "quality", values=("ESTIMATED", "INCOMPLETE")),
         Field("start_date", "date", "first execution", True),
@@ -669,9 +690,9 @@ _resource_of(
         Field("execution_count", "number", "executed flows", unit="count"),
         Field("issue_codes", "string", "limitations, comma-separated"),
     ],
-    ["mode"],
-    ["mode"],
-    ["mode"],
+    ["mode", "request_id"],
+    ["mode", "request_id"],
+    ["request_id", "mode"],
     paged=False,
 )
 _resource_of(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliometry import runtime
 from foliometry.functions import market as units
 from foliometry.functions import parsing
-from foliometry.operators import market
+from foliometry.operators import backtest, market
 from foliometry.operators.marks import fx_with_tolerance
 from foliometry.sources import store
 from foliometry.streaming import bars as bar_stream
@@ -91,3 +91,44 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         runtime.shared_folder(Session())
+
+
+REQUEST = "request_id long, portfolio_id long, start_date date, end_date date, monthly_amount double, allocations array<struct<ticker:string,weight:double>>"
+PRICE = "ticker string, date date, price_twd double, issue_code string"
+
+
+def refusals(spark, rows, legs, days=90, **options):
+    """The codes that refuse a request of ``days`` days over (ticker, day number, price, issue)."""
+    first = datetime.date(2026, 1, 1)
+    request = spark.createDataFrame([(1, 1, first, first + datetime.timedelta(days), 100.0, [(t, 1 / len(legs)) for t in legs])], REQUEST)
+    prices = spark.createDataFrame([(t, first + datetime.timedelta(n), p, issue) for t, n, p, issue in rows], PRICE)
+    days = backtest.market_calendar(request, prices)
+    found = backtest.market_issues(request, prices, days, market.MAX_GAP_DAYS, **options)
+    return sorted(r.issue_code for r in found.collect())
+
+
+def test_histories_that_refuse_a_request(spark):
+    weekly = [("A", n, 100.0 + n, None) for n in range(0, 91, 7)]
+    hole = [("A", 35, None, "MISSING_ADJUSTED_CLOSE") if n == 35 else (t, n, p, i) for t, n, p, i in weekly]
+    assert refusals(spark, weekly, ["A"]) == []
+    assert refusals(spark, hole, ["A"]) == ["MISSING_ADJUSTED_CLOSE"]
+    assert refusals(spark, weekly[3:], ["A"]) == ["TRUNCATED_HISTORY"]
+    assert refusals(spark, weekly[:5] + weekly[8:], ["A"]) == ["GAPPED_HISTORY"]
+    assert refusals(spark, weekly[:5], ["A"]) == ["TRUNCATED_HISTORY"]
+    assert refusals(spark, weekly[:5], ["A"], as_of=datetime.date(2026, 2, 10)) == []
+    assert refusals(spark, weekly, ["A", "B"]) == ["MISSING_PRICE_SERIES"]
+    apart = [("B", n, 50.0, None) for n in [0, *range(3, 90, 7), 84]]
+    assert refusals(spark, weekly + apart, ["A", "B"]) == ["GAPPED_COMMON_HISTORY"]
+
+
+def test_a_hole_blocks_all_modes_instead_of_moving_a_purchase(spark):
+    first = datetime.date(2026, 1, 1)
+    request = spark.createDataFrame([(1, 1, first, datetime.date(2026, 3, 1), 100.0, [("A", 1.0)])], REQUEST)
+    rows = [("A", datetime.date(2026, m, 1), p, i) for m, p, i in ((1, 100.0, None), (2, None, "MISSING_ADJUSTED_CLOSE"), (3, 110.0, None))]
+    tx = spark.createDataFrame(
+        [],
+        "portfolio_id long, source_row_number int, trade_date date, transaction_type string, ticker string, currency string, quantity double, "
+        "price double, amount_foreign double, fx_rate double, fee double",
+    )
+    summary, _curve = backtest.compare(request, spark.createDataFrame(rows, PRICE), tx)
+    assert {r.issue_codes for r in summary.collect()} == {"MISSING_ADJUSTED_CLOSE"} and summary.count() == 3
