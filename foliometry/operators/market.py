@@ -19,7 +19,6 @@ INSTRUMENT = ("instrument_type", "ticker", "currency")
 READABLE = ("ACTIVE", "ARCHIVED")
 BENCHMARK = "SPY"
 OVERLAP_DAYS = 10
-MAX_INSTRUMENTS = 25
 MAX_GAP_DAYS = 14
 
 
@@ -139,8 +138,8 @@ def instrument_universe(tx: DataFrame, latest: DataFrame | None = None, markets:
     )
 
 
-def universe_issues(tx: DataFrame, universe: DataFrame) -> DataFrame:
-    """Portfolios whose universe cannot be refreshed."""
+def universe_issues(tx: DataFrame, universe: DataFrame, max_instruments: int | None = None) -> DataFrame:
+    """Portfolios whose universe cannot be refreshed; ``max_instruments`` is a limit of the caller, off by default."""
     mixed = (
         tx.where(F.col("transaction_type") == SECURITY)
         .groupBy(P, "ticker")
@@ -154,10 +153,12 @@ def universe_issues(tx: DataFrame, universe: DataFrame) -> DataFrame:
         .where("n = 0")
         .select(P, F.lit("NO_SECURITY").alias("issue_code"), F.lit("").alias("ticker"))
     )
+    if max_instruments is None:
+        return mixed.unionByName(none)
     many = (
         universe.groupBy(P)
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") > MAX_INSTRUMENTS)
+        .where(F.col("n") > max_instruments)
         .select(P, F.lit("TOO_MANY_INSTRUMENTS").alias("issue_code"), F.lit("").alias("ticker"))
     )
     return mixed.unionByName(none).unionByName(many)

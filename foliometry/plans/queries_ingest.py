@@ -100,15 +100,31 @@ def _(spark, sf):
 
 @query(
     "file_transactions",
-    "SELECT portfolio_id, coalesce(reject_reason, 'VALID') AS verdict, count(*) AS rows FROM v_parsed GROUP BY ALL",
+    f"""SELECT portfolio_id, CAST(1 + row_number() OVER (PARTITION BY portfolio_id ORDER BY source_row_number) AS BIGINT) AS source_row_number, trade_date, transaction_type, ticker, currency,
+{sql_rounded(4, *_TYPED)}, CASE WHEN source_row_number % 7 = 0 THEN 'two, "quoted"' || chr(10) || 'lines' ELSE note END AS note, reject_reason FROM v_parsed""",
 )
 def _(spark, sf):
-    """The raw rows written as text files, read back with their file row numbers and parsed."""
+    """A file per portfolio, in two spellings and orders of the header, with quoted line breaks; read back with row numbers."""
+    odd = F.col("source_row_number") % 7 == 0
+    rows = fixtures.raw_transactions(spark, sf).withColumn("memo", F.when(odd, 'two, "quoted"\nlines').otherwise(F.col("memo")))
+    other = ["memo", *[c for c in rows.columns if c != "memo"]]
     folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    fixtures.raw_transactions(spark, sf).drop("source_row_number").write.option("header", True).csv(folder)
-    raw = files.read_transactions(spark, folder).withColumn(P, F.col(P).cast("bigint"))
-    verdict = F.coalesce("reject_reason", F.lit("VALID")).alias("verdict")
-    return ingest.parse_transactions(raw).groupBy(P, verdict).agg(F.count("*").alias("rows"))
+    _write_files(rows.where(F.col(P) % 2 == 0), f"{folder}/first")
+    _write_files(rows.where(F.col(P) % 2 == 1).select(other).withColumnRenamed("Qty", "股數"), f"{folder}/second")
+    raw = files.read_transactions(spark, f"{folder}/*/*").withColumn(P, _portfolio_of_file())
+    return ingest.parse_transactions(raw).select(
+        P, "source_row_number", "trade_date", "transaction_type", "ticker", "currency", *rounded(4, *_TYPED), "note", "reject_reason"
+    )
+
+
+def _write_files(rows, folder: str) -> None:
+    """One file per portfolio in the order of the row numbers, which are not written."""
+    ordered = rows.repartition(P).sortWithinPartitions(P, "source_row_number").drop("source_row_number")
+    ordered.write.partitionBy(P).option("header", True).option("escape", '"').csv(folder)
+
+
+def _portfolio_of_file():
+    return F.regexp_extract(files.FILE, "portfolio_id=([0-9]+)", 1).cast("bigint")
 
 
 @query("rejected_rows", "SELECT portfolio_id, source_row_number, reject_reason FROM v_parsed WHERE reject_reason IS NOT NULL")
@@ -163,6 +179,20 @@ def _(spark, sf):
     )
 
 
+@query(
+    "file_marks",
+    f"""SELECT portfolio_id, CAST(1 + row_number() OVER (PARTITION BY portfolio_id ORDER BY source_row_number) AS BIGINT) AS source_row_number, mark_date, mark_type, ticker,
+CASE WHEN mark_type IS NULL THEN NULL ELSE currency END AS currency, {sql_rounded(4, 'value')}, source, reject_reason FROM v_parsed_marks""",
+)
+def _(spark, sf):
+    """A file of marks per snapshot, read back with its row numbers."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    _write_files(fixtures.raw_marks(spark, sf), folder)
+    parsed = ingest.parse_marks(files.read_marks(spark, f"{folder}/*").withColumn(P, _portfolio_of_file()))
+    known = F.when(F.col("mark_type").isNotNull(), F.col("currency")).alias("currency")
+    return parsed.select(P, "source_row_number", "mark_date", "mark_type", "ticker", known, *rounded(4, "value"), "source", "reject_reason")
+
+
 @query(
     "valuation_date_gate",
     """SELECT portfolio_id, CASE WHEN count(DISTINCT vd) = 1 THEN max(CAST(replace(vd, '/', '-') AS DATE)) END AS valuation_date,
@@ -255,7 +285,8 @@ NOW = datetime.datetime(2001, 11, 5, 12, 0)
 def _documents(spark, sf):
     """One chart document per instrument, shaped like the provider's answer, from the daily bars.
 
-    The last bar of T1 lies in an unfinished session, every tenth close of T2 is null, T3 stops early.
+    The last bar of T1 lies in an unfinished session, every tenth close of T2 is null, T3 stops early, T4 has a
+    unit that nobody knows and T5 another currency than expected.
     """
     bars = fixtures.bars(spark, sf).where("instrument_type = 'SECURITY'").where("ticker <> 'T3' or date < '2001-06-01'")
     stamp = (F.unix_date("date").cast("bigint") * 86400 + 20 * 3600).alias("stamp")
@@ -269,7 +300,7 @@ def _documents(spark, sf):
     session = F.when(F.col("ticker") == "T1", F.struct(last.alias("start"), (last + 10**9).alias("end")))
     result = F.struct(
         F.struct(
-            F.col("currency"),
+            F.when(F.col("ticker") == "T4", "cents").otherwise(F.col("currency")).alias("currency"),
             F.lit("Asia/Taipei").alias("exchangeTimezoneName"),
             F.struct(session.alias("regular")).alias("currentTradingPeriod"),
         ).alias("meta"),
@@ -280,8 +311,9 @@ def _documents(spark, sf):
         ).alias("indicators"),
     )
     text = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), {"ignoreNullFields": "false"})
+    expected = F.when(F.col("ticker") == "T5", "JPY").otherwise(F.col("currency")).alias("expected_currency")
     return per.select(
-        F.col("ticker").alias("symbol"), F.lit(datetime.date(1996, 1, 1)).alias("start_date"), F.lit(None).cast("date").alias("end_date"), text.alias("document")
+        F.col("ticker").alias("symbol"), F.lit(fixtures.START).alias("start_date"), F.lit(None).cast("date").alias("end_date"), expected, text.alias("document")
     )
 
 
@@ -290,24 +322,28 @@ view(
     "v_provider",
     """SELECT ticker AS symbol, currency, date + 1 AS date, CASE WHEN NOT (ticker = 'T2' AND day(date) = 10) THEN raw_close END AS raw_close, CASE WHEN day(date) <> 11 THEN adjusted_close END AS adjusted_close
 FROM (SELECT *, max(date) OVER (PARTITION BY ticker) AS last FROM v_bars WHERE instrument_type = 'SECURITY' AND (ticker <> 'T3' OR date < DATE '2001-06-01'))
-WHERE date + 1 >= DATE '1996-01-01' AND NOT (ticker = 'T1' AND date = last)""",
+WHERE NOT (ticker = 'T1' AND date = last)""",
+)
+view(
+    "v_refused",
+    """SELECT symbol, CASE WHEN symbol = 'T4' THEN 'UNKNOWN_QUOTE_UNIT' WHEN symbol = 'T5' THEN 'CURRENCY_MISMATCH' WHEN count(*) FILTER (raw_close IS NULL) > 0 THEN 'MISSING_RAW_CLOSE' ELSE 'STALE_HISTORY' END AS issue_code FROM v_provider GROUP BY symbol
+HAVING symbol IN ('T4', 'T5') OR count(*) FILTER (raw_close IS NULL) > 0 OR DATE '2001-11-05' - max(date) > 10""",
 )
 
 
 @query(
     "provider_bars",
-    f"SELECT symbol, date, {sql_rounded(4, 'raw_close', 'adjusted_close')}, 'Asia/Taipei' AS exchange_timezone, currency AS quote_unit FROM v_provider WHERE raw_close IS NOT NULL",
+    f"SELECT symbol, date, {sql_rounded(4, 'raw_close', 'adjusted_close')}, 'Asia/Taipei' AS exchange_timezone, currency AS quote_unit FROM v_provider WHERE symbol NOT IN (SELECT symbol FROM v_refused)",
 )
 def _(spark, sf):
-    return provider.daily_bars(_documents(spark, sf), NOW).select(
+    return provider.daily_bars(_documents(spark, sf), NOW, strict=True).select(
         "symbol", "date", *rounded(4, "raw_close", "adjusted_close"), "exchange_timezone", "quote_unit"
     )
 
 
 @query(
     "provider_issues",
-    """SELECT symbol, CASE WHEN count(*) FILTER (raw_close IS NULL) > 0 THEN 'MISSING_RAW_CLOSE' ELSE 'STALE_HISTORY' END AS issue_code FROM v_provider GROUP BY symbol
-HAVING count(*) FILTER (raw_close IS NULL) > 0 OR DATE '2001-11-05' - max(date) > 10""",
+    "SELECT symbol, issue_code FROM v_refused",
 )
 def _(spark, sf):
-    return provider.document_issues(_documents(spark, sf), NOW, strict=True)
+    return provider.document_issues(_documents(spark, sf), NOW, strict=True).select("symbol", "issue_code")

@@ -117,11 +117,11 @@ def _(spark, sf):
 @query(
     "universe_issues",
     """SELECT portfolio_id, 'CONFLICTING_CURRENCY' AS issue_code, ticker FROM v_tx WHERE transaction_type = 'SECURITY' GROUP BY portfolio_id, ticker HAVING count(DISTINCT currency) > 1
-UNION ALL SELECT portfolio_id, 'TOO_MANY_INSTRUMENTS', '' FROM v_universe GROUP BY portfolio_id HAVING count(*) > 25""",
+UNION ALL SELECT portfolio_id, 'TOO_MANY_INSTRUMENTS', '' FROM v_universe GROUP BY portfolio_id HAVING count(*) > 20""",
 )
 def _(spark, sf):
     tx = fixtures.tx(spark, sf)
-    return market.universe_issues(tx, market.instrument_universe(tx))
+    return market.universe_issues(tx, market.instrument_universe(tx), max_instruments=20)
 
 
 @query(

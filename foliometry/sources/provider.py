@@ -7,7 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BARS = 10_000
+from foliometry.functions.market import quote_currency
+
 MAX_AGE_DAYS = 10
 MAX_BOUNDED_AGE_DAYS = 14
 
@@ -27,8 +28,10 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     """``documents`` has (symbol, start_date, end_date, document); one row per document, parsed."""
     parsed = documents.withColumn("d", F.from_json("document", CHART))
     result = F.try_element_at("d.chart.result", F.lit(1))
+    expected = F.col("expected_currency") if "expected_currency" in documents.columns else F.lit(None)
     return parsed.select(
         *_KEYS,
+        expected.cast("string").alias("expected_currency"),
         F.col("d.chart.error.code").alias("provider_error"),
         result.alias("result"),
     )
@@ -80,9 +83,18 @@ def _valid(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (c > 0) & (c < float("inf"))
 
 
-def daily_bars(documents: DataFrame, now: datetime.datetime) -> DataFrame:
-    """Completed sessions, last observation per exchange-local date; unusable closes dropped."""
-    points = _points(documents, now).where(_valid(F.col("raw_close")))
+def _without(df: DataFrame, refused: DataFrame) -> DataFrame:
+    same = [df[k].eqNullSafe(refused[k]) for k in _KEYS]
+    return df.join(refused, same[0] & same[1] & same[2], "left_anti")
+
+
+def daily_bars(documents: DataFrame, now: datetime.datetime, strict: bool = False) -> DataFrame:
+    """Completed sessions, last observation per exchange-local date; unusable closes dropped.
+
+    A refused document (``document_issues``) gives no bars.
+    """
+    refused = document_issues(documents, now, strict).select(*_KEYS).distinct()
+    points = _without(_points(documents, now).where(_valid(F.col("raw_close"))), refused)
     pick = F.max_by(F.struct("raw_close", "adjusted", "exchange_timezone", "quote_unit"), "position")
     return (
         points.groupBy(*_KEYS, "date")
@@ -98,25 +110,42 @@ def daily_bars(documents: DataFrame, now: datetime.datetime) -> DataFrame:
     )
 
 
-def document_issues(documents: DataFrame, now: datetime.datetime, strict: bool = False) -> DataFrame:
-    """Why a document is refused, one row per symbol; strict also refuses a dated bar without close."""
+def document_issues(
+    documents: DataFrame, now: datetime.datetime, strict: bool = False, max_bars: int | None = None
+) -> DataFrame:
+    """Why a document is refused, one row per (symbol, start, end).
+
+    Where documents carry an ``expected_currency``, another quote currency refuses them; null expects
+    none.  ``strict`` also refuses a dated bar without close and a missing or unknown quote unit.
+    ``max_bars`` is a limit of the caller, off by default.
+    """
     points = _points(documents, now)
     good = _valid(F.col("raw_close"))
     today = now.date()
     end = F.least(F.coalesce(F.col("end_date"), F.lit(today)), F.lit(today))
     limit = F.when(F.col("end_date").isNull(), MAX_AGE_DAYS).otherwise(MAX_BOUNDED_AGE_DAYS)
-    per = points.groupBy("symbol").agg(
+    per = points.groupBy(*_KEYS).agg(
         F.count_distinct(F.when(good, F.col("date"))).alias("bars"),
         F.max(F.when(good, F.col("date"))).alias("latest"),
         F.count_if(~good).alias("holes"),
     )
     parsed = parse_documents(documents)
+    unit = F.trim(F.coalesce(F.col("result.meta.currency"), F.lit("")))
     reason = (
         F.when(F.col("provider_error").isNotNull(), "PROVIDER_ERROR")
         .when(F.col("result").isNull(), "NO_RESULT")
         .when(F.lit(strict) & (F.col("holes") > 0), "MISSING_RAW_CLOSE")
-        .when(F.coalesce(F.col("bars"), F.lit(0)) > MAX_BARS, "TOO_MANY_BARS")
+        .when(F.lit(strict) & (unit == ""), "MISSING_QUOTE_UNIT")
+        .when(F.lit(strict) & quote_currency(unit).isNull(), "UNKNOWN_QUOTE_UNIT")
+        .when(F.upper(unit) != F.col("expected_currency"), "CURRENCY_MISMATCH")
+        .when(F.lit(max_bars is not None) & (F.coalesce(F.col("bars"), F.lit(0)) > (max_bars or 0)), "TOO_MANY_BARS")
         .when(F.coalesce(F.col("bars"), F.lit(0)) == 0, "NO_COMPLETED_BAR")
         .when(F.datediff(end, "latest") > limit, "STALE_HISTORY")
     )
-    return parsed.join(per, "symbol", "left").select("symbol", reason.alias("issue_code")).where("issue_code is not null")
+    per = per.select(*[F.col(k).alias(f"of_{k}") for k in _KEYS], "bars", "latest", "holes")
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in _KEYS]
+    return (
+        parsed.join(per, same[0] & same[1] & same[2], "left")
+        .select(*_KEYS, reason.alias("issue_code"))
+        .where("issue_code is not null")
+    )

@@ -1,6 +1,7 @@
 """Markets kept apart, quotes in sub-units, later observations, repeated publication, early serials, the shared folder."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from foliometry.functions import market as units
 from foliometry.functions import parsing
 from foliometry.operators import backtest, market
 from foliometry.operators.marks import fx_with_tolerance
-from foliometry.sources import store
+from foliometry.sources import files, provider, store
 from foliometry.streaming import bars as bar_stream
 
 DAY = datetime.date(2026, 1, 2)
@@ -132,3 +133,38 @@ def test_a_hole_blocks_all_modes_instead_of_moving_a_purchase(spark):
     )
     summary, _curve = backtest.compare(request, spark.createDataFrame(rows, PRICE), tx)
     assert {r.issue_codes for r in summary.collect()} == {"MISSING_ADJUSTED_CLOSE"} and summary.count() == 3
+
+
+def test_files_with_line_breaks_and_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffdate,qty,note\n2026-01-02,1,"two, ""quoted""\nlines"\n2026-01-03,2,\n')
+    (tmp_path / "b.csv").write_text("memo,shares,date\nplain,3,2026-01-04\nshort\n")
+    (tmp_path / "c.csv").write_text("")
+    got = files.read_transactions(spark, str(tmp_path))
+    assert set(got.columns) == {"source_file", "source_row_number", "portfolio_id", "date", "quantity", "note"}
+    cells = [(r.source_file[-5:], r.source_row_number, r.date, r.quantity, r.note) for r in got.collect()]
+    assert sorted(cells, key=lambda c: c[:2]) == [
+        ("a.csv", 2, "2026-01-02", "1", 'two, "quoted"\nlines'),
+        ("a.csv", 3, "2026-01-03", "2", None),
+        ("b.csv", 2, "2026-01-04", "3", "plain"),
+        ("b.csv", 3, None, None, "short"),
+    ]
+
+
+def test_refused_documents_give_no_bars(spark):
+    def document(currency, closes=(10.0, 11.0)):
+        stamps = [1767355200 + 86400 * n for n in range(len(closes))]  # from 2026-01-02 12:00 UTC
+        prices = [c if c else None for c in closes]
+        chart = {"meta": {"currency": currency}, "timestamp": stamps, "indicators": {"quote": [{"close": prices}], "adjclose": [{"adjclose": prices}]}}
+        return json.dumps({"chart": {"result": [chart]}})
+
+    rows = [("GOOD", "USD", document("USD")), ("PENCE", "GBP", document("GBp")), ("OTHER", "TWD", document("USD"))]
+    rows += [("UNIT", None, document("cents")), ("NONE", None, document("")), ("HOLE", "USD", document("USD", (10.0, 0)))]
+    first = datetime.date(2026, 1, 1)
+    docs = [(s, first, None, e, d) for s, e, d in rows] + [("GOOD", first, datetime.date(2026, 1, 2), "USD", document("EUR"))]
+    docs = spark.createDataFrame(docs, "symbol string, start_date date, end_date date, expected_currency string, document string")
+    now = datetime.datetime(2026, 1, 5)
+    reasons = lambda strict: {(r.symbol, r.end_date is None): r.issue_code for r in provider.document_issues(docs, now, strict).collect()}
+    assert reasons(False) == {("OTHER", True): "CURRENCY_MISMATCH", ("GOOD", False): "CURRENCY_MISMATCH"}
+    assert reasons(True) == reasons(False) | {("UNIT", True): "UNKNOWN_QUOTE_UNIT", ("NONE", True): "MISSING_QUOTE_UNIT", ("HOLE", True): "MISSING_RAW_CLOSE"}
+    bars = provider.daily_bars(docs, now, strict=True).collect()
+    assert sorted((r.symbol, r.raw_close, r.quote_unit) for r in bars) == [("GOOD", 10.0, "USD"), ("GOOD", 11.0, "USD"), ("PENCE", 10.0, "GBp"), ("PENCE", 11.0, "GBp")]
