@@ -3,7 +3,8 @@
 Words are runs of letters and digits. A word that begins with a digit is a number, one that begins with a capital is a name, one of UNITS is a
 unit; in a window each of these counts only by its type, any other word as itself. Windows of WINDOW words that share their hash with a
 benchmark window are joined, put in line by their distance, and the slots of each line are compared: a value of the item must always stand
-for the same value in the document, and names must stay apart.
+for the same value in the document, and names must stay apart. Windows of lower-cased words are joined as well, of any words; a line of these is
+a verbatim copy and has no slots to compare.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ MIN_WINDOWS = 3
 BROADCAST_WINDOWS = 2_000_000
 
 NUMBER, NAME, UNIT = 1, 2, 3
+#: How a text is read: lower-cased words as they are, or words with slots.
+EXACT, TYPED = 0, 1
 #: Words that name a unit.
 UNITS = (
     "mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "ms", "hz", "khz", "mb", "gb", "kb", "kwh", "w", "kw", "v",
@@ -47,10 +50,16 @@ def canonical(word: Column) -> Column:
     return F.when(kind > 0, kind.cast("bigint")).otherwise(F.xxhash64(word))
 
 
-def windows_of(codes: Column) -> Column:
-    """Hash of each window by its first position; an array shorter than WINDOW has none."""
+def exact(word: Column) -> Column:
+    """The hash of a word in lower case."""
+    return F.xxhash64(F.lower(word))
+
+
+def windows_of(codes: Column, reading: int) -> Column:
+    """Hash of each window by its first position; an array shorter than WINDOW has none. Readings share no hash."""
     starts = F.sequence(F.lit(1), F.size(codes) - WINDOW + 1)
-    return F.when(F.size(codes) >= WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice(codes, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(codes, i, WINDOW), F.lit(reading)))
+    return F.when(F.size(codes) >= WINDOW, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
 def text_key(text: Column) -> list[Column]:
@@ -64,15 +73,22 @@ def leaking_texts(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame
     items = stored(items.where("item_id is not null").distinct())
     codes = F.transform("item_words", canonical)
     literals = lambda at: F.size(F.filter(F.slice(codes, at + 1, WINDOW), lambda c: (c < NUMBER) | (c > UNIT)))
-    windows = items.select("item_id", codes.alias("codes"), F.posexplode(windows_of(codes)).alias("item_at", "window"))
-    windows = stored(windows.where(literals(F.col("item_at")) >= MIN_LITERALS).select("window", "item_id", "item_at").distinct())
+    typed = items.select("item_id", codes.alias("codes"), F.lit(TYPED).alias("reading"), F.posexplode(windows_of(codes, TYPED)).alias("item_at", "window"))
+    typed = typed.where(literals(F.col("item_at")) >= MIN_LITERALS).drop("codes")
+    verbatim = items.select("item_id", F.lit(EXACT).alias("reading"), F.posexplode(windows_of(F.transform("item_words", exact), EXACT)).alias("item_at", "window"))
+    windows = stored(typed.unionByName(verbatim).distinct())
     bounded = F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    coded = texts.select(*text_key(F.col("text")), F.transform(words_of(F.col("text")), canonical).alias("codes"))
-    scanned = coded.select("h1", "h2", F.posexplode(windows_of(F.col("codes"))).alias("at", "window"))
-    hits = scanned.join(bounded, "window").groupBy("h1", "h2", "item_id", "at", "item_at").agg(F.lit(1).alias("one"))
-    lines = hits.groupBy("h1", "h2", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("n_windows"), F.min("at").alias("low"), (F.max("at") + WINDOW).alias("end"))
+    split = texts.select(*text_key(F.col("text")), words_of(F.col("text")).alias("words"))
+    coded = split.select("h1", "h2", F.transform("words", exact).alias("exact"), F.transform("words", canonical).alias("typed"))
+    read_twice = F.concat(windows_of(F.col("exact"), EXACT), windows_of(F.col("typed"), TYPED))
+    each = F.greatest(F.size("exact") - WINDOW + 1, F.lit(0)).alias("each")
+    scanned = coded.select("h1", "h2", each, F.posexplode(read_twice).alias("place", "window"))
+    at = (F.col("place") - F.col("each") * F.col("reading")).alias("at")
+    hits = scanned.join(bounded, "window").select("h1", "h2", "item_id", "reading", "item_at", at).distinct()
+    line = ("h1", "h2", "item_id", "reading", (F.col("at") - F.col("item_at")).alias("shift"))
+    lines = hits.groupBy(*line).agg(F.count("*").alias("n_windows"), F.min("at").alias("low"), (F.max("at") + WINDOW).alias("end"))
     lines = stored(lines.where(F.col("n_windows") >= MIN_WINDOWS))
 
     found = lines.select("h1", "h2").distinct()
@@ -87,7 +103,8 @@ def leaking_texts(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame
     count = lambda kind, field: F.size(F.array_distinct(F.transform(F.filter("slots", lambda p: p["kind"] == kind), lambda p: p[field])))
     number = lambda kind: F.size(F.filter("slots", lambda p: p["kind"] == kind))
     steady = (count(NUMBER, "theirs") == number(NUMBER)) & (count(NAME, "theirs") == number(NAME)) & (count(NAME, "ours") == number(NAME)) & (count(UNIT, "theirs") == number(UNIT))
-    same = ~F.exists("slots", lambda p: p["theirs"] != p["ours"])
+    steady = (F.col("reading") == EXACT) | steady
+    same = ~F.exists("slots", lambda p: F.when(F.col("reading") == EXACT, F.lower(p["theirs"]) != F.lower(p["ours"])).otherwise(p["theirs"] != p["ours"]))
     best = F.struct("n_windows", (-F.col("low")).alias("early"), (F.col("end") - F.col("low")).alias("n_words"), same.alias("same_slots"))
     taken = slots.where(steady).groupBy("h1", "h2", "item_id").agg(F.max(best).alias("best"))
     return hit_rows, stored(taken)
@@ -96,8 +113,8 @@ def leaking_texts(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_words, first_word, same_slots): one row per row of documents and benchmark item that it contains.
 
-    A line is taken when at least MIN_WINDOWS template windows agree and its slots are consistent; of several, the longest counts. same_slots tells
-    that no slot was changed. Null or empty texts and items of fewer than WINDOW + MIN_WINDOWS - 1 words match nothing; repeated rows give
+    A line is taken when at least MIN_WINDOWS template windows agree and its slots are consistent, or as many windows of words agree when case is
+    ignored; of several, the longest counts. same_slots tells that no slot was changed. Null or empty texts and items of fewer than WINDOW + MIN_WINDOWS - 1 words match nothing; repeated rows give
     repeated results, equal items one row each; empty tables give no rows; other columns are ignored. Work per text is linear in its words;
     equal texts are compared once.
     """

@@ -186,3 +186,14 @@ def test_templates_and_slots(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 6, 8]
     assert decontamination.leaks(frame.where("doc_id < 0"), benchmark).count() == 0
     assert decontamination.leaks(frame, benchmark.where("item_id < 0")).count() == 0
+
+
+def test_case_hides_no_copy(spark):
+    """Verbatim passages in capitals, in lower case and dense in slots are found; the same words in another order are not."""
+    dense = "Anna 3 Bob 4 Carl 5 Dora 6 Emil 7 Fritz 8"
+    texts = {0: f"lead in {ITEM.upper()} tail", 1: f"lead in {ITEM.lower()} tail", 2: f"lead in {dense} tail", 3: " ".join(reversed(ITEM.upper().split()))}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(10, ITEM), (11, dense)], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["first_word"], r["n_words"], r["same_slots"]) for r in decontamination.leaks(frame, benchmark).collect()}
+    assert found == {(0, 10): (2, 23, True), (1, 10): (2, 23, True), (2, 11): (2, 12, True)}
+    assert [r["doc_id"] for r in decontamination.without_leaks(frame, benchmark).collect()] == [3]
