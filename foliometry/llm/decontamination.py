@@ -3,7 +3,7 @@
 Words are runs of letters and digits. A word that begins with a digit is a number, one that begins with a capital is a name, one of UNITS is a
 unit; in a window each of these counts only by its type, any other word as itself. Windows of WINDOW words that share their hash with a
 benchmark window are joined, put in line by their distance, and the slots of each line are compared: a value of the item must always stand
-for the same value in the document, and names must stay apart. Windows of lower-cased words are joined as well, of any words; a line of these is
+for the same value in the document, and names must stay apart. A line is split where a slot disagrees with an earlier one. Windows of lower-cased words are joined as well, of any words; a line of these is
 a verbatim copy and has no slots to compare.
 """
 
@@ -62,13 +62,24 @@ def windows_of(codes: Column, reading: int) -> Column:
     return F.when(F.size(codes) >= WINDOW, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
+def clashes(slots: Column) -> Column:
+    """Of slots in line, (first, second): each place that contradicts an earlier one, with the last such. A line without any is consistent."""
+
+    def against(p: Column, q: Column) -> Column:
+        same_theirs, same_ours = p["theirs"] == q["theirs"], p["ours"] == q["ours"]
+        return (q["at"] < p["at"]) & (q["kind"] == p["kind"]) & ((same_theirs & ~same_ours) | ((p["kind"] == NAME) & same_ours & ~same_theirs))
+
+    last = F.transform(slots, lambda p: F.struct(F.array_max(F.transform(F.filter(slots, lambda q: against(p, q)), lambda q: q["at"])).alias("first"), p["at"].alias("second")))
+    return F.filter(last, lambda c: c["first"].isNotNull())
+
+
 def text_key(text: Column) -> list[Column]:
     """What equal texts share: two independent checksums."""
     return [F.xxhash64(text).alias("h1"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("h2")]
 
 
 def leaking_texts(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of documents with a matching line, and (h1, h2, item_id, best): their texts' best consistent line with each benchmark item."""
+    """The rows of documents with a matching line, and (h1, h2, item_id, best): their texts' best consistent stretch of a line with each item."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), words_of(F.col("text").cast("string")).alias("item_words"))
     items = stored(items.where("item_id is not null").distinct())
     codes = F.transform("item_words", canonical)
@@ -88,32 +99,36 @@ def leaking_texts(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame
     at = (F.col("place") - F.col("each") * F.col("reading")).alias("at")
     hits = scanned.join(bounded, "window").select("h1", "h2", "item_id", "reading", "item_at", at).distinct()
     line = ("h1", "h2", "item_id", "reading", (F.col("at") - F.col("item_at")).alias("shift"))
-    lines = hits.groupBy(*line).agg(F.count("*").alias("n_windows"), F.min("at").alias("low"), (F.max("at") + WINDOW).alias("end"))
-    lines = stored(lines.where(F.col("n_windows") >= MIN_WINDOWS))
+    lines = hits.groupBy(*line).agg(F.collect_list("at").alias("places"), F.min("at").alias("low"), (F.max("at") + WINDOW).alias("end"))
+    lines = stored(lines.where(F.size("places") >= MIN_WINDOWS))
 
     found = lines.select("h1", "h2").distinct()
     hit_rows = stored(texts.select("doc_id", "text", *text_key(F.col("text"))).join(found, ["h1", "h2"]))
     words = hit_rows.dropDuplicates(["h1", "h2"]).select("h1", "h2", words_of(F.col("text")).alias("doc_words"))
     paired = lines.join(items, "item_id").join(words, ["h1", "h2"])
     pair = lambda i: F.struct(
-        slot_type(F.element_at("item_words", i - F.col("shift"))).alias("kind"), F.element_at("item_words", i - F.col("shift")).alias("theirs"), F.element_at("doc_words", i).alias("ours")
+        i.alias("at"), slot_type(F.element_at("item_words", i - F.col("shift") + 1)).alias("kind"), F.element_at("item_words", i - F.col("shift") + 1).alias("theirs"), F.element_at("doc_words", i + 1).alias("ours")
     )
-    inside = F.transform(F.sequence(F.col("low") + 1, F.col("end")), lambda i: pair(i.cast("int")))
-    slots = paired.withColumn("slots", F.array_distinct(F.filter(inside, lambda p: (p["kind"] > 0) & (p["kind"] == slot_type(p["ours"])))))
-    count = lambda kind, field: F.size(F.array_distinct(F.transform(F.filter("slots", lambda p: p["kind"] == kind), lambda p: p[field])))
-    number = lambda kind: F.size(F.filter("slots", lambda p: p["kind"] == kind))
-    steady = (count(NUMBER, "theirs") == number(NUMBER)) & (count(NAME, "theirs") == number(NAME)) & (count(NAME, "ours") == number(NAME)) & (count(UNIT, "theirs") == number(UNIT))
-    steady = (F.col("reading") == EXACT) | steady
-    same = ~F.exists("slots", lambda p: F.when(F.col("reading") == EXACT, F.lower(p["theirs"]) != F.lower(p["ours"])).otherwise(p["theirs"] != p["ours"]))
-    best = F.struct("n_windows", (-F.col("low")).alias("early"), (F.col("end") - F.col("low")).alias("n_words"), same.alias("same_slots"))
-    taken = slots.where(steady).groupBy("h1", "h2", "item_id").agg(F.max(best).alias("best"))
+    inside = F.transform(F.sequence(F.col("low"), F.col("end") - 1), lambda i: pair(i.cast("int")))
+    slots = paired.withColumn("slots", F.filter(inside, lambda p: (p["kind"] > 0) & (p["kind"] == slot_type(p["ours"]))))
+    changed = lambda p: F.when(F.col("reading") == EXACT, F.lower(p["theirs"]) != F.lower(p["ours"])).otherwise(p["theirs"] != p["ours"])
+    slots = slots.withColumn("changes", F.transform(F.filter("slots", changed), lambda p: p["at"]))
+    split = slots.withColumn("clashes", F.when(F.col("reading") == EXACT, F.expr("filter(array(named_struct('first', 0, 'second', 0)), c -> false)")).otherwise(clashes(F.col("slots"))))
+    starts = F.array_distinct(F.concat(F.array("low"), F.transform("clashes", lambda c: c["first"] + 1)))
+    runs = split.select("h1", "h2", "item_id", "end", "places", "changes", "clashes", F.explode(starts).alias("start"))
+    stop = F.least("end", F.array_min(F.transform(F.filter("clashes", lambda c: c["first"] >= F.col("start")), lambda c: c["second"])))
+    runs = runs.withColumn("stop", stop).withColumn("run", F.filter("places", lambda at: (at >= F.col("start")) & (at + WINDOW <= F.col("stop"))))
+    runs = runs.where(F.size("run") >= MIN_WINDOWS).withColumn("low", F.array_min("run")).withColumn("end", F.array_max("run") + WINDOW)
+    same = ~F.exists("changes", lambda at: (at >= F.col("low")) & (at < F.col("end")))
+    best = F.struct(F.size("run").cast("bigint").alias("n_windows"), (-F.col("low")).alias("early"), (F.col("end") - F.col("low")).alias("n_words"), same.alias("same_slots"))
+    taken = runs.groupBy("h1", "h2", "item_id").agg(F.max(best).alias("best"))
     return hit_rows, stored(taken)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_words, first_word, same_slots): one row per row of documents and benchmark item that it contains.
 
-    A line is taken when at least MIN_WINDOWS template windows agree and its slots are consistent, or as many windows of words agree when case is
+    A line is taken when at least MIN_WINDOWS template windows agree in a stretch of it whose slots are consistent, or as many windows of words agree when case is
     ignored; of several, the longest counts. same_slots tells that no slot was changed. Null or empty texts and items of fewer than WINDOW + MIN_WINDOWS - 1 words match nothing; repeated rows give
     repeated results, equal items one row each; empty tables give no rows; other columns are ignored. Work per text is linear in its words;
     equal texts are compared once.

@@ -197,3 +197,15 @@ def test_case_hides_no_copy(spark):
     found = {(r["doc_id"], r["item_id"]): (r["first_word"], r["n_words"], r["same_slots"]) for r in decontamination.leaks(frame, benchmark).collect()}
     assert found == {(0, 10): (2, 23, True), (1, 10): (2, 23, True), (2, 11): (2, 12, True)}
     assert [r["doc_id"] for r in decontamination.without_leaks(frame, benchmark).collect()] == [3]
+
+
+def test_one_slot_splits_a_line(spark):
+    """A repeated name that is edited once leaves the unchanged part, also where all other slots are changed; one name for two is no copy."""
+    other = ITEM.replace("Alice", "Carol").replace("Bob", "Dave").replace("3", "17").replace("12 km", "9 miles")
+    mixed = "when Ann met Ann and Ann saw Ann then Ann told Ann about Ann near Ann while Ann slept"
+    texts = {0: ITEM.replace("does Alice", "does Erin"), 1: other.replace("does Carol", "does Erin"), 2: "The" + ITEM[2:], 3: mixed}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    item = "when Ida met Eva and Ida saw Eva then Ida told Eva about Ida near Eva while Ida slept"
+    benchmark = spark.createDataFrame([(10, ITEM), (11, item)], "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(frame, benchmark).collect()} == {(0, 10), (1, 10), (2, 10)}
+    assert [r["doc_id"] for r in decontamination.without_leaks(frame, benchmark).collect()] == [3]
