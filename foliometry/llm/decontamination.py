@@ -4,7 +4,8 @@ Words are runs of letters and digits. A word that begins with a digit is a numbe
 unit; in a window each of these counts only by its type, any other word as itself. Windows of WINDOW words that share their hash with a
 benchmark window are joined, put in line by their distance, and the slots of each line are compared: a value of the item must always stand
 for the same value in the document, and names must stay apart. A line is split where a slot disagrees with an earlier one. Windows of lower-cased words are joined as well, of any words; a line of these is
-a verbatim copy and has no slots to compare.
+a verbatim copy and has no slots to compare. A third kind of windows counts a whole number (sign, separators, decimals) and a run of capitalised
+words as one place, so that a slot may change its width. Items with too few windows are joined as a whole.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ MIN_WINDOWS = 3
 BROADCAST_WINDOWS = 2_000_000
 
 NUMBER, NAME, UNIT = 1, 2, 3
-#: How a text is read: lower-cased words as they are, or words with slots.
-EXACT, TYPED = 0, 1
+#: How a text is read: lower-cased words as they are, words with slots, or tokens whose numbers and names are one place each.
+EXACT, TYPED, PLACED = 0, 1, 2
+TOKEN = r"[\p{Ll}\p{Lo}][\p{L}\p{N}]*|[\p{Lu}\p{Lt}][\p{L}\p{N}]*(?:[\s'\u2019-]+[\p{Lu}\p{Lt}][\p{L}\p{N}]*)*|(?:[+\-\u2212](?<![\p{L}\p{N}].))?[0-9]+(?:[.,][0-9]+)*[\p{L}\p{N}]*|[\p{L}\p{N}]+"
 #: Words that name a unit.
 UNITS = (
     "mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "ms", "hz", "khz", "mb", "gb", "kb", "kwh", "w", "kw", "v",
@@ -38,16 +40,25 @@ def words_of(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def tokens_of(text: Column) -> Column:
+    """Words, but a whole number and a run of capitalised words are one each."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
 def slot_type(word: Column) -> Column:
     """NUMBER, NAME, UNIT or, for a literal word, 0."""
-    first = F.substring(word, 1, 1)
-    return F.when(first.between("0", "9"), NUMBER).when(first != F.lower(first), NAME).when(word.isin(*UNITS), UNIT).otherwise(0)
+    return slots_or(word, F.lit(0))
 
 
 def canonical(word: Column) -> Column:
     """The type of a slot, the hash of a literal."""
-    kind = slot_type(word)
-    return F.when(kind > 0, kind.cast("bigint")).otherwise(F.xxhash64(word))
+    return slots_or(word, F.xxhash64(word)).cast("bigint")
+
+
+def slots_or(word: Column, other: Column) -> Column:
+    first = F.substring(word, 1, 1)
+    number = (word >= "0") & (word < ":") | first.isin("+", "-", "\u2212")
+    return F.when(number, NUMBER).when(first != F.lower(first), NAME).when(word.isin(*UNITS), UNIT).otherwise(other)
 
 
 def exact(word: Column) -> Column:
@@ -55,11 +66,32 @@ def exact(word: Column) -> Column:
     return F.xxhash64(F.lower(word))
 
 
-def windows_of(codes: Column, reading: int) -> Column:
-    """Hash of each window by its first position; an array shorter than WINDOW has none. Readings share no hash."""
-    starts = F.sequence(F.lit(1), F.size(codes) - WINDOW + 1)
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(codes, i, WINDOW), F.lit(reading)))
-    return F.when(F.size(codes) >= WINDOW, hashed).otherwise(F.array().cast("array<bigint>"))
+def windows_of(codes: Column, reading: int, width: int = WINDOW) -> Column:
+    """Hash of each window by its first position; an array shorter than the width has none. Readings share no hash."""
+    starts = F.sequence(F.lit(1), F.size(codes) - width + 1)
+    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(codes, i, width), F.lit(reading)))
+    return F.when(F.size(codes) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def literals(codes: Column) -> Column:
+    """How many of the codes are no slots."""
+    return F.size(F.filter(codes, lambda c: (c < NUMBER) | (c > UNIT)))
+
+
+def dense_enough(items: DataFrame, column: str, reading: int) -> DataFrame:
+    """(item_id, reading, item_at, window): the items' windows of words or tokens with MIN_LITERALS literals."""
+    codes = items.select("item_id", F.transform(column, canonical).alias("codes"))
+    cut = codes.select("item_id", "codes", F.lit(reading).alias("reading"), F.posexplode(windows_of(F.col("codes"), reading)).alias("item_at", "window"))
+    return cut.where(literals(F.slice("codes", F.col("item_at") + 1, WINDOW)) >= MIN_LITERALS).drop("codes")
+
+
+def whole_items(items: DataFrame, placed: DataFrame) -> DataFrame:
+    """(item_id, reading, width, window): items to be found as a whole. As words where they are too short for MIN_WINDOWS windows; as tokens where
+    too few of their windows in placed have MIN_LITERALS literals, if they have as many all in all."""
+    short = items.where(F.size("item_words").between(1, WINDOW + MIN_WINDOWS - 2)).select("item_id", F.lit(EXACT).alias("reading"), F.transform("item_words", exact).alias("codes"))
+    few = items.join(placed.groupBy("item_id").count().where(F.col("count") >= MIN_WINDOWS), "item_id", "left_anti")
+    few = few.select("item_id", F.lit(PLACED).alias("reading"), F.transform("item_tokens", canonical).alias("codes")).where(literals(F.col("codes")) >= MIN_LITERALS)
+    return short.unionByName(few).select("item_id", "reading", F.size("codes").alias("width"), F.xxhash64("codes", "reading").alias("window")).distinct()
 
 
 def clashes(slots: Column) -> Column:
@@ -78,36 +110,51 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("h2")]
 
 
+def whole_lines(coded: DataFrame, whole: DataFrame, reading: int, width: int) -> DataFrame:
+    """Lines of one window each: where texts hold whole items of this reading and width. Below MIN_LITERALS words only a text that is all item counts."""
+    codes = F.col("exact" if reading == EXACT else "placed")
+    texts = coded if width >= MIN_LITERALS else coded.where(F.size(codes) == width)
+    scanned = texts.select("h1", "h2", F.posexplode(windows_of(codes, reading, width)).alias("low", "window"))
+    fitting = whole.where((F.col("reading") == reading) & (F.col("width") == width))
+    hits = scanned.join(fitting, "window").select("h1", "h2", "item_id", "reading", "low", "width").distinct()
+    return hits.select("h1", "h2", "item_id", "reading", F.col("low").alias("shift"), F.array("low").alias("places"), "low", (F.col("low") + width).alias("end"), "width", F.lit(1).alias("least"))
+
+
 def leaking_texts(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of documents with a matching line, and (h1, h2, item_id, best): their texts' best consistent stretch of a line with each item."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), words_of(F.col("text").cast("string")).alias("item_words"))
+    text = F.col("text").cast("string")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), words_of(text).alias("item_words"), tokens_of(text).alias("item_tokens"))
     items = stored(items.where("item_id is not null").distinct())
-    codes = F.transform("item_words", canonical)
-    literals = lambda at: F.size(F.filter(F.slice(codes, at + 1, WINDOW), lambda c: (c < NUMBER) | (c > UNIT)))
-    typed = items.select("item_id", codes.alias("codes"), F.lit(TYPED).alias("reading"), F.posexplode(windows_of(codes, TYPED)).alias("item_at", "window"))
-    typed = typed.where(literals(F.col("item_at")) >= MIN_LITERALS).drop("codes")
     verbatim = items.select("item_id", F.lit(EXACT).alias("reading"), F.posexplode(windows_of(F.transform("item_words", exact), EXACT)).alias("item_at", "window"))
-    windows = stored(typed.unionByName(verbatim).distinct())
+    placed = dense_enough(items, "item_tokens", PLACED)
+    windows = stored(dense_enough(items, "item_words", TYPED).unionByName(placed).unionByName(verbatim).distinct())
+    whole = stored(whole_items(items, placed))
     bounded = F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = texts.select(*text_key(F.col("text")), words_of(F.col("text")).alias("words"))
-    coded = split.select("h1", "h2", F.transform("words", exact).alias("exact"), F.transform("words", canonical).alias("typed"))
-    read_twice = F.concat(windows_of(F.col("exact"), EXACT), windows_of(F.col("typed"), TYPED))
+    split = texts.select(*text_key(F.col("text")), words_of(F.col("text")).alias("words"), tokens_of(F.col("text")).alias("tokens"))
+    coded = split.select("h1", "h2", F.transform("words", exact).alias("exact"), F.transform("words", canonical).alias("typed"), F.transform("tokens", canonical).alias("placed"))
+    every = F.concat(windows_of(F.col("exact"), EXACT), windows_of(F.col("typed"), TYPED), windows_of(F.col("placed"), PLACED))
     each = F.greatest(F.size("exact") - WINDOW + 1, F.lit(0)).alias("each")
-    scanned = coded.select("h1", "h2", each, F.posexplode(read_twice).alias("place", "window"))
+    scanned = coded.select("h1", "h2", each, F.posexplode(every).alias("place", "window"))
     at = (F.col("place") - F.col("each") * F.col("reading")).alias("at")
     hits = scanned.join(bounded, "window").select("h1", "h2", "item_id", "reading", "item_at", at).distinct()
     line = ("h1", "h2", "item_id", "reading", (F.col("at") - F.col("item_at")).alias("shift"))
     lines = hits.groupBy(*line).agg(F.collect_list("at").alias("places"), F.min("at").alias("low"), (F.max("at") + WINDOW).alias("end"))
-    lines = stored(lines.where(F.size("places") >= MIN_WINDOWS))
-
-    found = lines.select("h1", "h2").distinct()
-    hit_rows = stored(texts.select("doc_id", "text", *text_key(F.col("text"))).join(found, ["h1", "h2"]))
-    words = hit_rows.dropDuplicates(["h1", "h2"]).select("h1", "h2", words_of(F.col("text")).alias("doc_words"))
+    lines = lines.where(F.size("places") >= MIN_WINDOWS).withColumns({"width": F.lit(WINDOW), "least": F.lit(MIN_WINDOWS)})
+    for r in whole.select("reading", "width").distinct().collect():
+        lines = lines.unionByName(whole_lines(coded, whole, r["reading"], r["width"]))
+    lines = stored(lines)
+
+    found = stored(lines.select("h1", "h2").distinct())
+    few = F.broadcast(found) if found.count() <= BROADCAST_WINDOWS else found
+    hit_rows = stored(texts.select("doc_id", "text", *text_key(F.col("text"))).join(few, ["h1", "h2"]))
+    words = hit_rows.dropDuplicates(["h1", "h2"]).select("h1", "h2", words_of(F.col("text")).alias("doc_words"), tokens_of(F.col("text")).alias("doc_tokens"))
     paired = lines.join(items, "item_id").join(words, ["h1", "h2"])
+    by_token = F.col("reading") == PLACED
+    paired = paired.withColumns({"theirs": F.when(by_token, F.col("item_tokens")).otherwise(F.col("item_words")), "ours": F.when(by_token, F.col("doc_tokens")).otherwise(F.col("doc_words"))})
     pair = lambda i: F.struct(
-        i.alias("at"), slot_type(F.element_at("item_words", i - F.col("shift") + 1)).alias("kind"), F.element_at("item_words", i - F.col("shift") + 1).alias("theirs"), F.element_at("doc_words", i + 1).alias("ours")
+        i.alias("at"), slot_type(F.element_at("theirs", i - F.col("shift") + 1)).alias("kind"), F.element_at("theirs", i - F.col("shift") + 1).alias("theirs"), F.element_at("ours", i + 1).alias("ours")
     )
     inside = F.transform(F.sequence(F.col("low"), F.col("end") - 1), lambda i: pair(i.cast("int")))
     slots = paired.withColumn("slots", F.filter(inside, lambda p: (p["kind"] > 0) & (p["kind"] == slot_type(p["ours"]))))
@@ -115,12 +162,14 @@ def leaking_texts(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame
     slots = slots.withColumn("changes", F.transform(F.filter("slots", changed), lambda p: p["at"]))
     split = slots.withColumn("clashes", F.when(F.col("reading") == EXACT, F.expr("filter(array(named_struct('first', 0, 'second', 0)), c -> false)")).otherwise(clashes(F.col("slots"))))
     starts = F.array_distinct(F.concat(F.array("low"), F.transform("clashes", lambda c: c["first"] + 1)))
-    runs = split.select("h1", "h2", "item_id", "end", "places", "changes", "clashes", F.explode(starts).alias("start"))
+    runs = split.select("h1", "h2", "item_id", "reading", "ours", "width", "least", "end", "places", "changes", "clashes", F.explode(starts).alias("start"))
     stop = F.least("end", F.array_min(F.transform(F.filter("clashes", lambda c: c["first"] >= F.col("start")), lambda c: c["second"])))
-    runs = runs.withColumn("stop", stop).withColumn("run", F.filter("places", lambda at: (at >= F.col("start")) & (at + WINDOW <= F.col("stop"))))
-    runs = runs.where(F.size("run") >= MIN_WINDOWS).withColumn("low", F.array_min("run")).withColumn("end", F.array_max("run") + WINDOW)
+    runs = runs.withColumn("stop", stop).withColumn("run", F.filter("places", lambda at: (at >= F.col("start")) & (at + F.col("width") <= F.col("stop"))))
+    runs = runs.where(F.size("run") >= F.col("least")).withColumn("low", F.array_min("run")).withColumn("end", F.array_max("run") + F.col("width"))
     same = ~F.exists("changes", lambda at: (at >= F.col("low")) & (at < F.col("end")))
-    best = F.struct(F.size("run").cast("bigint").alias("n_windows"), (-F.col("low")).alias("early"), (F.col("end") - F.col("low")).alias("n_words"), same.alias("same_slots"))
+    n_words = lambda start, size: F.when(by_token, F.size(words_of(F.array_join(F.slice("ours", start, size), " ")))).otherwise(size)
+    early, n = -n_words(F.lit(1), F.col("low")), n_words(F.col("low") + 1, F.col("end") - F.col("low"))
+    best = F.struct(F.size("run").cast("bigint").alias("n_windows"), early.alias("early"), n.alias("n_words"), same.alias("same_slots"))
     taken = runs.groupBy("h1", "h2", "item_id").agg(F.max(best).alias("best"))
     return hit_rows, stored(taken)
 
@@ -129,9 +178,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_words, first_word, same_slots): one row per row of documents and benchmark item that it contains.
 
     A line is taken when at least MIN_WINDOWS template windows agree in a stretch of it whose slots are consistent, or as many windows of words agree when case is
-    ignored; of several, the longest counts. same_slots tells that no slot was changed. Null or empty texts and items of fewer than WINDOW + MIN_WINDOWS - 1 words match nothing; repeated rows give
-    repeated results, equal items one row each; empty tables give no rows; other columns are ignored. Work per text is linear in its words;
-    equal texts are compared once.
+    ignored; of several, the longest counts. Items with too few windows are found as a whole, one window each: those of fewer than WINDOW +
+    MIN_WINDOWS - 1 words verbatim, those with MIN_LITERALS literals also by their template; one of fewer than MIN_LITERALS words only where it is
+    all of a text. same_slots tells that no slot was changed. Null or empty texts match nothing; repeated rows give repeated results, equal items
+    one row each; empty tables give no rows; other columns are ignored. Work per text is linear in its words, for windows and for each width of
+    items found as a whole; equal texts are compared once.
     """
     hit_rows, taken = leaking_texts(documents, benchmark)
     rows = hit_rows.select("doc_id", "h1", "h2").join(taken, ["h1", "h2"])

@@ -209,3 +209,37 @@ def test_one_slot_splits_a_line(spark):
     benchmark = spark.createDataFrame([(10, ITEM), (11, item)], "item_id bigint, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(frame, benchmark).collect()} == {(0, 10), (1, 10), (2, 10)}
     assert [r["doc_id"] for r in decontamination.without_leaks(frame, benchmark).collect()] == [3]
+
+
+FARM = "a small farm with seven hands ships 1,250 boxes of fruit on each working morning here"
+
+
+def test_slots_of_other_width_and_short_items(spark):
+    town = "trains that leave New York for the coast take less time than those from Rome do"
+    short = "how far is it from 3 to 7"
+    rows = "2 3 plus 4 5 gives 6 7 while 8 2 makes 9 1"
+    texts = {
+        0: FARM.replace("1,250", "80"),
+        1: FARM.replace("1,250", "-2.5"),
+        2: "lead " + town.replace("New York", "Paris"),
+        3: "lead in " + short.replace("3", "1,000").replace("7", "9"),
+        4: "lead in " + short.upper() + " tail",
+        5: rows.replace("2", "20").replace("6", "0.5"),
+        6: "Tiny item",
+        7: "a tiny item among others",
+        8: "how far is it from them to us",
+        9: "lead in 20 3 plus 4 50 gives 6 7 while 8 21 makes 9 1",
+    }
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, FARM), (2, town), (3, short), (4, rows), (5, "tiny item"), (6, "Oslo"), (7, "")], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["first_word"], r["n_words"], r["same_slots"]) for r in decontamination.leaks(frame, benchmark).collect()}
+    assert found == {
+        (0, 1): (0, 16, False),
+        (1, 1): (0, 17, False),
+        (2, 2): (1, 15, False),
+        (3, 3): (2, 9, False),
+        (4, 3): (2, 8, True),
+        (5, 4): (0, 15, False),
+        (6, 5): (0, 2, True),
+    }
+    assert [r["doc_id"] for r in decontamination.without_leaks(frame, benchmark).collect()] == [7, 8, 9]
