@@ -259,9 +259,9 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE_WORDS, threshol
 def one_of_each(documents: DataFrame, size: int = NEAR_SHINGLE_WORDS, threshold: tuple[int, int] = NEAR_THRESHOLD) -> DataFrame:
     """documents, with all their columns, with one row of each component: the one with the smallest doc_id, the first of equal ones.
 
-    documents must be a scan of files, whose row numbers are the same each time they are read. Texts without a word link with nothing and stay.
+    Rows are numbered once and written with their numbers, so all later steps see the same ones. Texts without a word link with nothing and stay.
     """
-    numbered = documents.withColumn("_row", F.monotonically_increasing_id())
+    numbered = stored(documents.withColumn("_row", F.monotonically_increasing_id()))
     found = jaccard_components(numbered.select(F.col("_row").alias("doc_id"), "text"), size, threshold)
     ranked = found.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.select("_row", F.col("doc_id").alias("_doc")), "_row")
     least = F.min(F.struct(F.col("_doc").isNull().alias("missing"), "_doc", "_row"))

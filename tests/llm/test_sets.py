@@ -243,3 +243,21 @@ def test_slots_of_other_width_and_short_items(spark):
         (6, 5): (0, 2, True),
     }
     assert [r["doc_id"] for r in decontamination.without_leaks(frame, benchmark).collect()] == [7, 8, 9]
+
+
+def test_one_of_each_when_files_are_split_otherwise_later(spark, documents, hard_texts, tmp_path):
+    """Row numbers of a scan depend on how files are packed into tasks; another packing between the steps changes no result."""
+    for k in range(3):
+        documents.where(f"doc_id % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    packing = {"spark.sql.files.openCostInBytes": ("0", "1g"), "spark.sql.files.minPartitionNum": ("1", "3")}
+    try:
+        for name, (early, _) in packing.items():
+            spark.conf.set(name, early)
+        kept = jaccard_join.one_of_each(spark.read.parquet(str(tmp_path / "docs")), 5, (8, 10))
+        for name, (_, late) in packing.items():
+            spark.conf.set(name, late)
+        got = sorted(r["doc_id"] for r in kept.collect())
+    finally:
+        for name in packing:
+            spark.conf.unset(name)
+    assert got == sorted({c for _, c in brute_components(hard_texts, 5, 8, 10).values()})
