@@ -38,6 +38,9 @@ SKIPPED_WORDS = frozenset(
     " pager login search disclaimer alert widget widgets aside teaser teasers outbrain taboola".split()
 )
 KEPT_WORDS = frozenset("with without has no not after before".split())
+#: A block left outside a container is prose from this many characters outside links on, and a container keeps nearly all with this share.
+PROSE_CHARS = 40
+KEPT_PERCENT = 90
 CONTAINERS = frozenset("article main section div td body center blockquote table tbody tr".split())
 
 
@@ -54,7 +57,7 @@ class Node:
 @dataclass
 class Page:
     nodes: list[Node] = field(default_factory=list)
-    blocks: list[tuple[int, str]] = field(default_factory=list)
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
 
 def _unwanted(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
@@ -85,8 +88,8 @@ def parse(html: str) -> Page:
             text = " ".join(unescape("".join(parts)).split())
             if text and not stack[-1][2]:
                 at = stack[-1][1]
-                page.blocks.append((at, text))
                 prose = max(0, len(text) - linked)
+                page.blocks.append((at, text, prose))
                 while at >= 0:
                     nodes[at].prose += prose
                     at = nodes[at].parent
@@ -175,8 +178,25 @@ def parse(html: str) -> Page:
     return page
 
 
+def under(page: Page, roots: set[int]) -> list[bool]:
+    """Of each node, whether it is one of these containers or inside one."""
+    inside = [False] * len(page.nodes)
+    for k, node in enumerate(page.nodes):
+        inside[k] = k in roots or node.parent >= 0 and inside[node.parent]
+    return inside
+
+
+def loses_prose(page: Page, whole: int, roots: set[int]) -> bool:
+    """Whether the blocks of the container `whole` that are in none of the roots hold a block of prose rather than links, or much prose in all."""
+    wanted, kept = under(page, {whole}), under(page, roots)
+    outside = [(text, prose) for at, text, prose in page.blocks if wanted[at] and not kept[at]]
+    if any(prose >= PROSE_CHARS and 2 * prose > len(text) for text, prose in outside):
+        return True
+    return 100 * sum(prose for _, prose in outside) > (100 - KEPT_PERCENT) * page.nodes[whole].prose
+
+
 def best_container(page: Page) -> int:
-    """The largest article with a third of the page's prose, else the main element, else the deepest container that keeps most prose and the title."""
+    """The largest article with a third of the page's prose, else the main element, else the deepest container that loses no prose and keeps the title."""
     nodes = page.nodes
     total = nodes[0].prose
     for tag in ("article", "main"):
@@ -190,23 +210,28 @@ def best_container(page: Page) -> int:
     at = 0
     while True:
         best = max(children.get(at, ()), key=lambda k: (nodes[k].prose, -k), default=-1)
-        if best < 0 or not nodes[best].prose or 4 * nodes[best].prose < 3 * nodes[at].prose or nodes[at].title and not nodes[best].title:
+        if best < 0 or not nodes[best].prose or nodes[at].title and not nodes[best].title:
+            return at
+        if nodes[best].prose < nodes[at].prose and loses_prose(page, 0, {best}):
             return at
         at = best
 
 
 def text_under(page: Page, roots: set[int]) -> str:
     """The wanted blocks inside these containers, in page order."""
-    inside = [False] * len(page.nodes)
-    for k, node in enumerate(page.nodes):
-        inside[k] = k in roots or node.parent >= 0 and inside[node.parent]
-    return "\n".join(text for at, text in page.blocks if inside[at])
+    inside = under(page, roots)
+    return "\n".join(text for at, text, _ in page.blocks if inside[at])
 
 
 def extract(page: Page, paths: list[str]) -> str:
-    """Text under the first of the paths that the page has with text, else under its own best container."""
+    """Text under the first of the paths that the page has with text, else under its own best container. A path inside the page's own container
+    counts only if it loses no prose of it."""
+    own = best_container(page)
+    inside = under(page, {own})
     for path in paths:
         roots = {k for k, n in enumerate(page.nodes) if n.path == path and not n.skipped and n.prose}
+        if own not in roots and any(inside[k] for k in roots) and loses_prose(page, own, roots):
+            continue
         if roots and (text := text_under(page, roots)):
             return text
-    return text_under(page, {best_container(page)})
+    return text_under(page, {own})

@@ -37,3 +37,14 @@ def test_host_consensus(spark):
     assert (got[6]["text"], got[6]["n_chars"], got[7]["text"], got[8]["text"]) == ("", 0, "", "alone")
     assert got[9]["n_chars"] == 3_000 * (len(BODY) + 1) - 1
     assert extract_pages(pages.where("page_id < 0")).count() == 0
+
+
+def test_prose_beside_the_container_stays():
+    intro = "This paragraph opens the article and stands in a block of its own."
+    links = "<div class=more><a href=x>Another article of this site with a long title</a></div>"
+    page = parse(f"<body><div class=intro><p>{intro}</p></div><div class=body><p>{BODY * 6}</p></div>{links}</body>")
+    assert extract(page, []).startswith(f"{intro}\n{BODY}")
+    page = parse(f"<body><div class=col><p>{BODY * 6}</p></div>{links}</body>")
+    assert extract(page, []) == BODY * 6
+    spread = parse(f"<body><div class=post><div class=text><p>{BODY}</p></div><div class=more><p>{BODY}</p></div></div></body>")
+    assert extract(spread, [">body>div.post>div.text"]) == f"{BODY}\n{BODY}"
