@@ -17,7 +17,7 @@ BLOCKS = frozenset(
     " hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select noframes xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe svg annotation annotation-xml object canvas audio video select noframes xmp".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "li", "dd", "dt", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr", "summary"}
 #: An opening tag ends these open elements, up to the nearest of the others.
 ENDS = {
@@ -37,6 +37,9 @@ SKIPPED_WORDS = frozenset(
     " topbar comment comments disqus reply replies respond discussion reactions related recommended recommendations share sharing social toolbar pagination"
     " pager login search disclaimer alert widget widgets aside teaser teasers outbrain taboola".split()
 )
+#: Of these, the ones that also name parts of an article: they skip only what is mostly links, or lies outside the main container, and no heading.
+AMBIGUOUS_WORDS = frozenset("discussion related social share sharing search header notice notices alert".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_WORDS = frozenset("with without has no not after before".split())
 #: A block left outside a container is prose from this many characters outside links on, and a container keeps nearly all with this share.
 PROSE_CHARS = 40
@@ -52,6 +55,9 @@ class Node:
     skipped: bool
     prose: int = 0
     title: bool = False
+    doubtful: bool = False
+    chars: int = 0
+    links: int = 0
 
 
 @dataclass
@@ -67,15 +73,28 @@ def _unwanted(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
+    return any(word in SKIPPED_WORDS and word not in AMBIGUOUS_WORDS for word in _outer_words(attributes))
+
+
+def _outer_words(attributes: dict[str, str]) -> list[str]:
+    """The first and the last word of each class and id without a word of KEPT_WORDS."""
+    found = []
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         parts = [w.lower() for w in WORDS.findall(name)]
-        if parts and not KEPT_WORDS.intersection(parts) and (parts[-1] in SKIPPED_WORDS or parts[0] in SKIPPED_WORDS):
-            return True
-    return False
+        if parts and not KEPT_WORDS.intersection(parts):
+            found += [parts[0], parts[-1]]
+    return found
+
+
+def _doubtful(tag: str, attributes: dict[str, str]) -> bool:
+    return tag not in HEADINGS and tag not in ("html", "body", "main", "article") and not AMBIGUOUS_WORDS.isdisjoint(_outer_words(attributes))
 
 
 def parse(html: str) -> Page:
-    """Containers with their generalised tag-class paths and prose (characters outside links), and the wanted blocks in page order."""
+    """Containers with their generalised tag-class paths and prose (characters outside links), and the wanted blocks in page order.
+
+    Doubtful elements, with an ambiguous word, add no prose to containers; their blocks are dropped where most of their text is in links.
+    """
     page = Page([Node(-1, "#", "", False)])
     nodes, lower = page.nodes, None
     stack: list[tuple[str, int, bool]] = [("#", 0, False)]
@@ -88,10 +107,12 @@ def parse(html: str) -> Page:
             text = " ".join(unescape("".join(parts)).split())
             if text and not stack[-1][2]:
                 at = stack[-1][1]
-                prose = max(0, len(text) - linked)
+                prose = 0 if nodes[at].doubtful else max(0, len(text) - linked)
                 page.blocks.append((at, text, prose))
                 while at >= 0:
                     nodes[at].prose += prose
+                    nodes[at].chars += len(text)
+                    nodes[at].links += min(linked, len(text))
                     at = nodes[at].parent
             parts, linked = [], 0
 
@@ -163,10 +184,15 @@ def parse(html: str) -> Page:
         _, node, skipped = stack[-1]
         if not skipped and (attributes or tag in SKIPPED_TAGS):
             skipped = _unwanted(tag, attributes, any(t == "article" for t, _, _ in stack))
+        doubtful = not skipped and bool(attributes) and _doubtful(tag, attributes)
+        if doubtful and tag not in BLOCKS:
+            close = html.find(f"</{tag}", at)
+            skipped = tag == "a" or links > 0 or re.search("<(a|button)[^a-z]", html[at : close if close >= 0 else at], re.I) is not None
         if tag in BLOCKS:
             classes = sorted({DIGITS.sub("#", c) for c in attributes.get("class", "").split()})
             nodes.append(Node(node, tag, f"{nodes[node].path}>{'.'.join([tag, *classes])}", skipped))
-            node = len(nodes) - 1
+            above, node = node, len(nodes) - 1
+            nodes[node].doubtful = doubtful or nodes[above].doubtful and tag not in ("article", "main")
             if tag == "h1" and not skipped:
                 up = node
                 while up >= 0:
@@ -175,6 +201,10 @@ def parse(html: str) -> Page:
         links += tag == "a"
         stack.append((tag, node, skipped))
     flush()
+    dense = [False] * len(nodes)
+    for k, n in enumerate(nodes):
+        dense[k] = n.doubtful and (2 * n.links > n.chars or dense[n.parent])
+    page.blocks = [b for b in page.blocks if not dense[b[0]]]
     return page
 
 

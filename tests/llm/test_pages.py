@@ -48,3 +48,16 @@ def test_prose_beside_the_container_stays():
     assert extract(page, []) == BODY * 6
     spread = parse(f"<body><div class=post><div class=text><p>{BODY}</p></div><div class=more><p>{BODY}</p></div></div></body>")
     assert extract(spread, [">body>div.post>div.text"]) == f"{BODY}\n{BODY}"
+
+
+def test_ambiguous_names_inside_the_article():
+    inside = (
+        "<h1 class=page-header>Title</h1><p>{b}</p><section id=discussion><h2 class=article-header>Discussion</h2><p>{b}</p></section>"
+        "<section id=related-work><p>Work <a href=x>one</a> came first.</p></section><div class=social-policy><p>Policy text.</p></div>"
+        "<p id=search-methods>We <span class=notice>searched</span> where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p>"
+        "<div class=share><a href=x>Share this</a> now</div><div class=related><a href=x>Other article</a></div><p>End<span class=share><a href=x>Post</a></span></p>"
+    ).format(b=BODY)
+    wanted = f"Title\n{BODY}\nDiscussion\n{BODY}\nWork one came first.\nPolicy text.\nWe searched where x=2 holds.\nEnd"
+    page = f"<body><div class=page-header><p>{BODY * 3}</p></div>{{}}<div class=discussion><p>{BODY}</p></div></body>"
+    assert extract(parse(page.format(f"<article>{inside}</article>")), []) == wanted
+    assert extract(parse(page.format(f"<div class=post>{inside}</div>")), []) == wanted
