@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from foliometry.llm.tokenizing import place
 from test_sets import brute_components, brute_spans
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
@@ -54,3 +56,34 @@ def test_stages_on_odd_rows(spark, documents, no_documents, tmp_path):
             stage(spark, docs, SF).write.parquet(out)
             columns, docs = docs.columns, spark.read.parquet(out)
             assert k == 4 or docs.columns == columns
+
+
+def plain_words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def test_leaks_against_a_plain_search(spark):
+    """Stage 3 drops what a search of ten words in a row, without case, finds, and planted copies; so it is not compared with its own output."""
+    documents, benchmark = (spark.read.parquet(f"{SF}/{name}.parquet").select(key, "text").collect() for name, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+    items = [text for _, text in benchmark]
+    first = "a small farm with seven hands ships 1,250 boxes of fruit on each working morning here"
+    planted = [form(text) for text in items[:20] for form in (str.upper, str.lower, lambda t: " ".join(["Edited", *t.split()[1:]]))]
+    planted += [first.replace("1,250", value) for value in ("80", "2,400", "-3.5")]
+    runs = {tuple(w[i : i + 10]) for text in [*items, first] for w in [plain_words(text)] for i in range(len(w) - 9)}
+    rows = [*((doc, text) for doc, text in documents), *((10**9 + k, f"lead {text} tail") for k, text in enumerate(planted))]
+    expected = {doc for doc, text in rows for w in [plain_words(text)] if any(tuple(w[i : i + 10]) in runs for i in range(len(w) - 9))}
+    expected |= set(range(10**9 + 60, 10**9 + len(planted)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = spark.createDataFrame([*((k, text) for k, text in benchmark), (10**9, first)], "item_id bigint, text string")
+    kept = {r["doc_id"] for r in decontamination.without_leaks(frame, wanted).collect()}
+    assert expected >= set(range(10**9, 10**9 + len(planted)))
+    assert not kept & expected
+
+
+def test_quality_against_held_out_labels(spark):
+    """Stage 1, fitted on the labels of even doc_ids, grades the odd ones as their labels say."""
+    documents, labels = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    graded = quality_classifier.quality_classifier(documents, labels.where("doc_id % 2 = 0")).select("doc_id", "kept")
+    rows = graded.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    right = sum(r["kept"] == (r["quality"] == 1 and r["toxic"] == 0) for r in rows)
+    assert rows and right >= 0.8 * len(rows)
