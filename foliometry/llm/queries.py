@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from foliometry.llm import decontamination, html_extraction, jaccard_join, packing, quality_classifier, quality_rules, secrets, sharding, token_counts, training_order
+from foliometry.llm import (
+    decontamination,
+    filter_audit,
+    host_reputation,
+    html_extraction,
+    jaccard_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    sharding,
+    token_counts,
+    training_order,
+)
 
 PLANS = {
     f.__name__: f
@@ -17,6 +30,8 @@ PLANS = {
         secrets.op8_secret_scans,
         html_extraction.op9_html_extraction,
         packing.op10_packing,
+        host_reputation.op11_host_reputation,
+        filter_audit.op12_filter_audit,
     )
 }
-ORACLES = {"op4_jaccard_join": jaccard_join.OP4_SQL, "op8_secret_scans": secrets.OP8_SQL}
+ORACLES = {"op4_jaccard_join": jaccard_join.OP4_SQL, "op8_secret_scans": secrets.OP8_SQL, "op11_host_reputation": host_reputation.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
