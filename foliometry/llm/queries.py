@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foliometry.llm import (
+    collocations,
     decontamination,
     filter_audit,
     host_reputation,
@@ -32,6 +33,13 @@ PLANS = {
         packing.op10_packing,
         host_reputation.op11_host_reputation,
         filter_audit.op12_filter_audit,
+        collocations.op13_collocations,
     )
 }
-ORACLES = {"op4_jaccard_join": jaccard_join.OP4_SQL, "op8_secret_scans": secrets.OP8_SQL, "op11_host_reputation": host_reputation.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL}
+ORACLES = {
+    "op4_jaccard_join": jaccard_join.OP4_SQL,
+    "op8_secret_scans": secrets.OP8_SQL,
+    "op11_host_reputation": host_reputation.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
+}
