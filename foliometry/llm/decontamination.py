@@ -10,20 +10,25 @@ words as one place, so that a slot may change its width. Items with too few wind
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliometry.llm.tables import read, stored
+from foliometry.llm.tables import free_names, read, stored
 
 WINDOW = 8
 MIN_LITERALS = 4
 MIN_WINDOWS = 3
+MOST_KINDS = 10
 BROADCAST_WINDOWS = 2_000_000
+ANCHORS = 20_000
 
 NUMBER, NAME, UNIT = 1, 2, 3
 #: How a text is read: lower-cased words as they are, words with slots, or tokens whose numbers and names are one place each.
 EXACT, TYPED, PLACED = 0, 1, 2
-TOKEN = r"[\p{Ll}\p{Lo}][\p{L}\p{N}]*|[\p{Lu}\p{Lt}][\p{L}\p{N}]*(?:[\s'\u2019-]+[\p{Lu}\p{Lt}][\p{L}\p{N}]*)*|(?:[+\-\u2212](?<![\p{L}\p{N}].))?[0-9]+(?:[.,][0-9]+)*[\p{L}\p{N}]*|[\p{L}\p{N}]+"
+CODES = ("exact", "typed", "placed")
+TOKEN = r"[\p{Ll}\p{Lo}][\p{L}\p{N}]*|[\p{Lu}\p{Lt}][\p{L}\p{N}]*(?:[\s'\u2019-]+[\p{Lu}\p{Lt}][\p{L}\p{N}]*+)*+|(?:[+\-\u2212](?<![\p{L}\p{N}].))?[0-9]+(?:[.,][0-9]+)*+[\p{L}\p{N}]*|[\p{L}\p{N}]+"
 #: Words that name a unit.
 UNITS = (
     "mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "min", "h", "ms", "hz", "khz", "mb", "gb", "kb", "kwh", "w", "kw", "v",
@@ -68,9 +73,12 @@ def exact(word: Column) -> Column:
 
 def windows_of(codes: Column, reading: int, width: int = WINDOW) -> Column:
     """Hash of each window by its first position; an array shorter than the width has none. Readings share no hash."""
-    starts = F.sequence(F.lit(1), F.size(codes) - width + 1)
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(codes, i, width), F.lit(reading)))
-    return F.when(F.size(codes) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
+    starts = F.sequence(F.lit(0), F.size(codes) - width)
+    return F.when(F.size(codes) >= width, F.transform(starts, lambda i: window_at(codes, i, reading, width))).otherwise(F.array().cast("array<bigint>"))
+
+
+def window_at(codes: Column, start: Column, reading: int, width: int) -> Column:
+    return F.xxhash64(F.slice(codes, start + 1, width), F.lit(reading))
 
 
 def literals(codes: Column) -> Column:
@@ -78,20 +86,47 @@ def literals(codes: Column) -> Column:
     return F.size(F.filter(codes, lambda c: (c < NUMBER) | (c > UNIT)))
 
 
-def dense_enough(items: DataFrame, column: str, reading: int) -> DataFrame:
-    """(item_id, reading, item_at, window): the items' windows of words or tokens with MIN_LITERALS literals."""
-    codes = items.select("item_id", F.transform(column, canonical).alias("codes"))
-    cut = codes.select("item_id", "codes", F.lit(reading).alias("reading"), F.posexplode(windows_of(F.col("codes"), reading)).alias("item_at", "window"))
-    return cut.where(literals(F.slice("codes", F.col("item_at") + 1, WINDOW)) >= MIN_LITERALS).drop("codes")
+def longest_word(words: Column, reading: int) -> Column:
+    """The lower-case hash of the longest word, among literals only where slots count by their type; null if there is none."""
+    usable = words if reading == EXACT else F.filter(words, lambda w: slot_type(w) == 0)
+    return F.array_max(F.transform(usable, lambda w: F.struct(F.length(w).alias("size"), exact(w).alias("code"))))["code"]
+
+
+def cut_items(items: DataFrame, reading: int, width: int = WINDOW) -> DataFrame:
+    """(item_id, kind, reading, width, item_at, window, anchor, literals): all windows of the items' words or tokens."""
+    words = F.col("item_tokens" if reading == PLACED else "item_words")
+    codes = F.transform(words, exact if reading == EXACT else canonical)
+    coded = items.select("item_id", "kind", words.alias("words"), codes.alias("codes"))
+    cut = coded.select("*", F.posexplode(windows_of(F.col("codes"), reading, width)).alias("item_at", "window"))
+    inside = lambda c: F.slice(c, F.col("item_at") + 1, width)
+    figures = (longest_word(inside("words"), reading).alias("anchor"), literals(inside("codes")).alias("literals"))
+    return cut.select("item_id", "kind", F.lit(reading).alias("reading"), F.lit(width).alias("width"), "item_at", "window", *figures)
 
 
-def whole_items(items: DataFrame, placed: DataFrame) -> DataFrame:
-    """(item_id, reading, width, window): items to be found as a whole. As words where they are too short for MIN_WINDOWS windows; as tokens where
-    too few of their windows in placed have MIN_LITERALS literals, if they have as many all in all."""
-    short = items.where(F.size("item_words").between(1, WINDOW + MIN_WINDOWS - 2)).select("item_id", F.lit(EXACT).alias("reading"), F.transform("item_words", exact).alias("codes"))
-    few = items.join(placed.groupBy("item_id").count().where(F.col("count") >= MIN_WINDOWS), "item_id", "left_anti")
-    few = few.select("item_id", F.lit(PLACED).alias("reading"), F.transform("item_tokens", canonical).alias("codes")).where(literals(F.col("codes")) >= MIN_LITERALS)
-    return short.unionByName(few).select("item_id", "reading", F.size("codes").alias("width"), F.xxhash64("codes", "reading").alias("window")).distinct()
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item_id, reading, width, item_at, window, anchor, least, whole): what is looked for, and how many windows of a line make a find.
+
+    Lower-cased words: any windows, MIN_WINDOWS or all there are; items shorter than a window are one window. Words and tokens with slots: windows
+    with MIN_LITERALS literals, MIN_WINDOWS of them. An item with fewer such windows of tokens, but MIN_LITERALS literals all in all, is found
+    whole: all its windows with a literal must agree, and then every place. Windows in items of more than MOST_KINDS kinds, that is with
+    different templates, are boilerplate and prove nothing; an item is one window short of none.
+    """
+    per_item = lambda cut: cut.join(cut.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
+    verbatim = per_item(cut_items(items, EXACT)).withColumns({"least": F.least(F.col("n"), F.lit(MIN_WINDOWS)), "whole": F.lit(False)})
+    typed = cut_items(items, TYPED).where(F.col("literals") >= MIN_LITERALS).withColumns({"least": F.lit(MIN_WINDOWS), "whole": F.lit(False)})
+    tokens = stored(cut_items(items, PLACED).where("anchor is not null"))
+    placed = tokens.where(F.col("literals") >= MIN_LITERALS).withColumns({"least": F.lit(MIN_WINDOWS), "whole": F.lit(False)})
+    rich = placed.groupBy("item_id").count().where(F.col("count") >= MIN_WINDOWS)
+    sparse = items.join(rich, "item_id", "left_anti").where(literals(F.transform("item_tokens", canonical)) >= MIN_LITERALS)
+    few = per_item(tokens.join(sparse, "item_id", "left_semi")).withColumns({"least": F.col("n"), "whole": F.lit(True)})
+    columns = ("item_id", "kind", "reading", "width", "item_at", "window", "anchor", "least", "whole")
+    parts = [verbatim, typed, placed, few]
+    for width in range(1, WINDOW):
+        parts.append(cut_items(items.where(F.size("item_words") == width), EXACT, width).withColumns({"least": F.lit(1), "whole": F.lit(False)}))
+        parts.append(cut_items(sparse.where(F.size("item_tokens") == width), PLACED, width).withColumns({"least": F.lit(1), "whole": F.lit(True)}))
+    every = stored(reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]).distinct())
+    common = every.where("not whole").groupBy("reading", "window").agg(F.count_distinct("kind").alias("kinds")).where(F.col("kinds") > MOST_KINDS)
+    return stored(every.join(common.select("reading", "window"), ["reading", "window"], "left_anti").drop("kind"))
 
 
 def clashes(slots: Column) -> Column:
@@ -110,41 +145,62 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("h2")]
 
 
-def whole_lines(coded: DataFrame, whole: DataFrame, reading: int, width: int) -> DataFrame:
-    """Lines of one window each: where texts hold whole items of this reading and width. Below MIN_LITERALS words only a text that is all item counts."""
-    codes = F.col("exact" if reading == EXACT else "placed")
-    texts = coded if width >= MIN_LITERALS else coded.where(F.size(codes) == width)
-    scanned = texts.select("h1", "h2", F.posexplode(windows_of(codes, reading, width)).alias("low", "window"))
-    fitting = whole.where((F.col("reading") == reading) & (F.col("width") == width))
-    hits = scanned.join(fitting, "window").select("h1", "h2", "item_id", "reading", "low", "width").distinct()
-    return hits.select("h1", "h2", "item_id", "reading", F.col("low").alias("shift"), F.array("low").alias("places"), "low", (F.col("low") + width).alias("end"), "width", F.lit(1).alias("least"))
+def anchored(codes: Column, anchors: list[int] | None) -> Column:
+    """Places whose word is one of the anchors; all places where there are too many of these to be a literal."""
+    if anchors is None:
+        return F.transform(codes, lambda _, i: i)
+    return F.filter(F.transform(codes, lambda c, i: F.when(c.isin(*anchors), i)), lambda i: i.isNotNull())
+
+
+def starts_around(places: Column, size: Column, width: int) -> Column:
+    """Where windows begin that hold one of the places."""
+    around = F.transform(places, lambda i: F.sequence(F.greatest(i - (width - 1), F.lit(0)), F.least(i, size - width)))
+    return F.when((size >= width) & (F.size(places) > 0), F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
+
+
+def windows_around(codes: Column, places: Column, reading: int, width: int) -> Column:
+    """(at, window) of the windows that hold one of the places; below MIN_LITERALS words only where that is the whole text."""
+    starts = starts_around(places, F.size(codes), width)
+    if width < MIN_LITERALS:
+        starts = F.when(F.size(codes) == width, starts).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), window_at(codes, i, reading, width).alias("window")))
+
+
+def window_hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(h1, h2, at) with the columns of windows: where texts hold them.
+
+    Each window is known by an anchor, its longest word. Texts are split into words once; windows are hashed around anchors only, and tokens are found only
+    in texts with an anchor of a window of tokens. One pass, whatever the widths.
+    """
+    kinds = sorted({(r["reading"], r["width"]) for r in windows.select("reading", "width").distinct().collect()})
+    pick = lambda by_token: [r["anchor"] for r in windows.where((F.col("reading") == PLACED) == by_token).select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    word_anchors, token_anchors = (found if len(found) <= ANCHORS else None for found in (pick(False), pick(True)))
+    bounded = F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows
+
+    words = texts.select(*text_key(F.col("text")), "text", words_of(F.col("text")).alias("words"))
+    coded = words.withColumn("exact", F.transform("words", exact))
+    placed = coded.select("h1", "h2", "words", "exact", anchored(F.col("exact"), word_anchors).alias("near"), F.when(F.size(anchored(F.col("exact"), token_anchors)) > 0, F.col("text")).alias("text"))
+    typed = F.when(F.size("near") > 0, F.transform("words", canonical)).otherwise(F.array().cast("array<bigint>"))
+    tokens = F.when(F.col("text").isNotNull(), tokens_of(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    ready = placed.select("h1", "h2", "exact", "near", typed.alias("typed"), tokens.alias("tokens"))
+    ready = ready.withColumns({"placed": F.transform("tokens", canonical), "token_near": anchored(F.transform("tokens", exact), token_anchors)})
+    around = [windows_around(F.col(CODES[r]), F.col("token_near" if r == PLACED else "near"), r, w) for r, w in kinds]
+    none = F.array().cast("array<struct<at:int,window:bigint>>")
+    scanned = ready.select("h1", "h2", F.explode(F.concat(none, *around)).alias("hit")).select("h1", "h2", "hit.at", "hit.window")
+    return scanned.join(bounded, "window").distinct()
 
 
 def leaking_texts(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of documents with a matching line, and (h1, h2, item_id, best): their texts' best consistent stretch of a line with each item."""
     text = F.col("text").cast("string")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), words_of(text).alias("item_words"), tokens_of(text).alias("item_tokens"))
-    items = stored(items.where("item_id is not null").distinct())
-    verbatim = items.select("item_id", F.lit(EXACT).alias("reading"), F.posexplode(windows_of(F.transform("item_words", exact), EXACT)).alias("item_at", "window"))
-    placed = dense_enough(items, "item_tokens", PLACED)
-    windows = stored(dense_enough(items, "item_words", TYPED).unionByName(placed).unionByName(verbatim).distinct())
-    whole = stored(whole_items(items, placed))
-    bounded = F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows
-
+    items = stored(items.where("item_id is not null").distinct().withColumn("kind", F.xxhash64(F.transform("item_tokens", canonical))))
+    windows = item_windows(items)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = texts.select(*text_key(F.col("text")), words_of(F.col("text")).alias("words"), tokens_of(F.col("text")).alias("tokens"))
-    coded = split.select("h1", "h2", F.transform("words", exact).alias("exact"), F.transform("words", canonical).alias("typed"), F.transform("tokens", canonical).alias("placed"))
-    every = F.concat(windows_of(F.col("exact"), EXACT), windows_of(F.col("typed"), TYPED), windows_of(F.col("placed"), PLACED))
-    each = F.greatest(F.size("exact") - WINDOW + 1, F.lit(0)).alias("each")
-    scanned = coded.select("h1", "h2", each, F.posexplode(every).alias("place", "window"))
-    at = (F.col("place") - F.col("each") * F.col("reading")).alias("at")
-    hits = scanned.join(bounded, "window").select("h1", "h2", "item_id", "reading", "item_at", at).distinct()
-    line = ("h1", "h2", "item_id", "reading", (F.col("at") - F.col("item_at")).alias("shift"))
-    lines = hits.groupBy(*line).agg(F.collect_list("at").alias("places"), F.min("at").alias("low"), (F.max("at") + WINDOW).alias("end"))
-    lines = lines.where(F.size("places") >= MIN_WINDOWS).withColumns({"width": F.lit(WINDOW), "least": F.lit(MIN_WINDOWS)})
-    for r in whole.select("reading", "width").distinct().collect():
-        lines = lines.unionByName(whole_lines(coded, whole, r["reading"], r["width"]))
-    lines = stored(lines)
+    hits = window_hits(texts, windows)
+    line = ("h1", "h2", "item_id", "reading", "width", "least", "whole", (F.col("at") - F.col("item_at")).alias("shift"))
+    lines = hits.groupBy(*line).agg(F.collect_set("at").alias("places"), F.min("at").alias("low"), (F.max("at") + F.max("width")).alias("end"))
+    lines = stored(lines.where(F.size("places") >= F.col("least")))
 
     found = stored(lines.select("h1", "h2").distinct())
     few = F.broadcast(found) if found.count() <= BROADCAST_WINDOWS else found
@@ -156,16 +212,21 @@ def leaking_texts(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame
     pair = lambda i: F.struct(
         i.alias("at"), slot_type(F.element_at("theirs", i - F.col("shift") + 1)).alias("kind"), F.element_at("theirs", i - F.col("shift") + 1).alias("theirs"), F.element_at("ours", i + 1).alias("ours")
     )
+    paired = paired.withColumns({"low": F.when(F.col("whole"), F.col("shift")).otherwise(F.col("low")), "end": F.when(F.col("whole"), F.col("shift") + F.size("theirs")).otherwise(F.col("end"))})
+    paired = paired.where((F.col("low") >= 0) & (F.col("end") <= F.size("ours")))
     inside = F.transform(F.sequence(F.col("low"), F.col("end") - 1), lambda i: pair(i.cast("int")))
+    agrees = lambda p: (p["kind"] == slot_type(p["ours"])) & ((p["kind"] > 0) | (p["theirs"] == p["ours"]))
+    paired = paired.where(~F.col("whole") | F.forall(inside, agrees))
     slots = paired.withColumn("slots", F.filter(inside, lambda p: (p["kind"] > 0) & (p["kind"] == slot_type(p["ours"]))))
     changed = lambda p: F.when(F.col("reading") == EXACT, F.lower(p["theirs"]) != F.lower(p["ours"])).otherwise(p["theirs"] != p["ours"])
     slots = slots.withColumn("changes", F.transform(F.filter("slots", changed), lambda p: p["at"]))
     split = slots.withColumn("clashes", F.when(F.col("reading") == EXACT, F.expr("filter(array(named_struct('first', 0, 'second', 0)), c -> false)")).otherwise(clashes(F.col("slots"))))
     starts = F.array_distinct(F.concat(F.array("low"), F.transform("clashes", lambda c: c["first"] + 1)))
-    runs = split.select("h1", "h2", "item_id", "reading", "ours", "width", "least", "end", "places", "changes", "clashes", F.explode(starts).alias("start"))
+    runs = split.select("h1", "h2", "item_id", "reading", "ours", "width", "least", "whole", "low", "end", "places", "changes", "clashes", F.explode(starts).alias("start"))
     stop = F.least("end", F.array_min(F.transform(F.filter("clashes", lambda c: c["first"] >= F.col("start")), lambda c: c["second"])))
     runs = runs.withColumn("stop", stop).withColumn("run", F.filter("places", lambda at: (at >= F.col("start")) & (at + F.col("width") <= F.col("stop"))))
-    runs = runs.where(F.size("run") >= F.col("least")).withColumn("low", F.array_min("run")).withColumn("end", F.array_max("run") + F.col("width"))
+    runs = runs.where(F.size("run") >= F.col("least")).withColumn("low", F.when(F.col("whole"), F.col("low")).otherwise(F.array_min("run")))
+    runs = runs.withColumn("end", F.when(F.col("whole"), F.col("end")).otherwise(F.array_max("run") + F.col("width")))
     same = ~F.exists("changes", lambda at: (at >= F.col("low")) & (at < F.col("end")))
     n_words = lambda start, size: F.when(by_token, F.size(words_of(F.array_join(F.slice("ours", start, size), " ")))).otherwise(size)
     early, n = -n_words(F.lit(1), F.col("low")), n_words(F.col("low") + 1, F.col("end") - F.col("low"))
@@ -178,11 +239,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_words, first_word, same_slots): one row per row of documents and benchmark item that it contains.
 
     A line is taken when at least MIN_WINDOWS template windows agree in a stretch of it whose slots are consistent, or as many windows of words agree when case is
-    ignored; of several, the longest counts. Items with too few windows are found as a whole, one window each: those of fewer than WINDOW +
+    ignored; of several, the longest counts. Items with too few windows are found as a whole: those of fewer than WINDOW +
     MIN_WINDOWS - 1 words verbatim, those with MIN_LITERALS literals also by their template; one of fewer than MIN_LITERALS words only where it is
-    all of a text. same_slots tells that no slot was changed. Null or empty texts match nothing; repeated rows give repeated results, equal items
-    one row each; empty tables give no rows; other columns are ignored. Work per text is linear in its words, for windows and for each width of
-    items found as a whole; equal texts are compared once.
+    all of a text. Windows in items of more than MOST_KINDS different templates are boilerplate and make no find. same_slots tells that no slot was changed. Null or empty texts match nothing; repeated rows give repeated results, equal items
+    one row each; empty tables give no rows; other columns are ignored. Work per text is linear in its words; equal texts are compared once.
     """
     hit_rows, taken = leaking_texts(documents, benchmark)
     rows = hit_rows.select("doc_id", "h1", "h2").join(taken, ["h1", "h2"])
@@ -190,10 +250,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents, with all their columns, without the rows whose text contains a benchmark item; null texts stay."""
-    bad = leaking_texts(documents, benchmark)[1].select(F.col("h1").alias("bad1"), F.col("h2").alias("bad2")).distinct()
+    """documents, with all their columns whatever their names, without the rows whose text contains a benchmark item; null texts stay, repeated rows share
+    their fate, an empty table gives no rows and an empty benchmark takes none."""
+    one, two = free_names(documents, "bad1", "bad2")
+    bad = leaking_texts(documents, benchmark)[1].select(F.col("h1").alias(one), F.col("h2").alias(two)).distinct()
     h1, h2 = text_key(F.col("text").cast("string"))
-    return documents.join(bad, (h1 == F.col("bad1")) & (h2 == F.col("bad2")), "left_anti")
+    return documents.join(bad, (h1 == F.col(one)) & (h2 == F.col(two)), "left_anti")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

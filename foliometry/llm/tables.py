@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from foliometry.runtime import shared_folder, stored
 
-__all__ = ["arrow_pass", "new_folder", "read", "stored"]
+__all__ = ["arrow_pass", "free_names", "new_folder", "read", "stored"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores as it takes that no column of df has one of them."""
+    taken, tail = {c.lower() for c in df.columns}, ""
+    while any((name + tail).lower() in taken for name in names):
+        tail += "_"
+    return [name + tail for name in names]
+
+
 def arrow_pass(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """Apply `step` to each Arrow batch; it yields columns by name, which are cast to the schema."""
     target = to_arrow_schema(StructType.fromDDL(schema))

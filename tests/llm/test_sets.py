@@ -179,15 +179,98 @@ def test_templates_and_slots(spark):
     benchmark = spark.createDataFrame([(10, ITEM), (11, ITEM), (12, None), (13, "too short"), (None, ITEM)], "item_id bigint, text string")
     rows = decontamination.leaks(frame, benchmark).collect()
     found = {(r["doc_id"], r["item_id"]): r["same_slots"] for r in rows}
-    assert found == {(0, 10): True, (0, 11): True, (7, 10): True, (7, 11): True, (1, 10): False, (1, 11): False}
-    assert {r["first_word"] for r in rows} == {10}
+    whole = {(k, i): k != 1 for k in (0, 1, 7, 8) for i in (10, 11)}
+    # 2 keeps its first 18 words and 3 the 12 words between its changed names, so both are finds; their longest stretch has another name in it
+    assert found == whole | {(k, i): False for k in (2, 3) for i in (10, 11)}
+    assert {(r["doc_id"], r["first_word"], r["n_words"]) for r in rows if r["doc_id"] not in (2, 3)} == {(0, 10, 23), (1, 10, 23), (7, 10, 23), (8, 0, 23)}
     kept = decontamination.without_leaks(frame, benchmark)
     assert kept.columns == frame.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 6, 8]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 6]
     assert decontamination.leaks(frame.where("doc_id < 0"), benchmark).count() == 0
     assert decontamination.leaks(frame, benchmark.where("item_id < 0")).count() == 0
 
 
+def test_runs_of_capitals_and_numbers_do_not_recurse(spark):
+    texts = ["Alpha " * 100_000, "1," * 100_000, "+-" * 50_000, f"{'Alpha ' * 50_000}{ITEM} end"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")
+    assert [(r["doc_id"], r["first_word"]) for r in decontamination.leaks(frame, benchmark).collect()] == [(3, 50_000)]
+
+
+def test_a_sentence_of_many_items_proves_nothing(spark):
+    lead = "read the following passage with care and choose the one answer that fits best of all"
+    rng = random.Random(5)
+    own = [" ".join(rng.choice(["copper", "river", "stone", "lantern", "paper", "garden", "window", "basket", "yellow"]) for _ in range(14)) for _ in range(30)]
+    benchmark = spark.createDataFrame([(k, f"{lead}: {o}") for k, o in enumerate(own)], "item_id bigint, text string")
+    frame = spark.createDataFrame([(0, f"the teacher said {lead} to us"), (1, f"and then {lead}: {own[7]} was asked"), (2, f"it read {own[8]} there")], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(frame, benchmark).collect()} == {(1, 7), (2, 8)}
+
+
+def test_short_items_of_every_width(spark):
+    """Verbatim items of four to nine words inside a text, shorter ones only as a whole text."""
+    words = "quartz lantern basket window garden paper river copper stone".split()
+    items = [(k, " ".join(words[:k])) for k in range(1, 10)]
+    texts = [(k, f"lead {w.upper()} tail") for k, w in items] + [(10 + k, w) for k, w in items]
+    found = decontamination.leaks(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    expected = {(k, i) for k in range(1, 10) for i in range(4, k + 1)} | {(10 + k, i) for k in range(1, 10) for i in range(1, k + 1) if i >= 4 or i == k}
+    assert got == expected
+
+
+def brute_verbatim(text, item, window=8, least=3):
+    """Whether `least` windows of lower-cased words agree in one line of text and item."""
+    split = lambda t: [w.lower() for w in re.findall(r"[^\W_]+", t or "")]
+    a, b = split(text), split(item)
+    lines = Counter()
+    for i in range(len(a) - window + 1):
+        for j in range(len(b) - window + 1):
+            if a[i : i + window] == b[j : j + window]:
+                lines[i - j] += 1
+    return any(n >= least for n in lines.values())
+
+
+def brute_template(text, item, window=8, least=3, literal=4):
+    """Whether `least` consecutive windows of words with slots agree in one line, at any places and without contradiction between their slots."""
+
+    def split(t):
+        words = re.findall(r"[^\W_]+", t or "")
+        kinds = ["number" if w[0] in "0123456789" else "name" if w[0] != w[0].lower() else "unit" if w in decontamination.UNITS else "" for w in words]
+        return words, [k or w for k, w in zip(kinds, words)], [bool(k) for k in kinds]
+
+    (x, a, _), (y, b, slot) = split(text), split(item)
+    span = window + least - 1
+    for i in range(len(a) - span + 1):
+        for j in range(len(b) - span + 1):
+            if a[i : i + span] != b[j : j + span] or any(sum(not s for s in slot[j + k : j + k + window]) < literal for k in range(least)):
+                continue
+            pairs = [(b[j + k], y[j + k], x[i + k]) for k in range(span) if slot[j + k]]
+            if not any(p[0] == q[0] and (p[1] == q[1]) != (p[2] == q[2]) and (p[1] == q[1] or p[0] == "name") for p in pairs for q in pairs):
+                return True
+    return False
+
+
+def test_template_search_equals_brute_force(spark):
+    """All pairs of windows, by a plain search: what it finds, verbatim or by template, is found; what neither it nor a change of slot widths explains is not."""
+    rng = random.Random(23)
+    plain = "copper river stone lantern paper garden window basket yellow quiet walks buys sells carries".split()
+
+    def sentence(n):
+        return " ".join(rng.choice([rng.choice(plain), rng.choice(plain), rng.choice(["Anna", "Bob", "Carl"]), str(rng.randrange(9)), rng.choice(["km", "apples"])]) for _ in range(n))
+
+    def changed(t):
+        names = dict(zip(["Anna", "Bob", "Carl"], rng.sample(["Dora", "Emil", "Fritz", "Gus"], 3)))
+        return " ".join(names.get(w, str(int(w) + 20) if w.isdigit() else w) for w in t.split())
+
+    items = [sentence(rng.randrange(18, 30)) for _ in range(8)]
+    texts = [f"{sentence(9)} {t} {sentence(7)}" for item in items for t in (item, changed(item), item.upper(), changed(item)[: len(item) // 2], "")] + [sentence(60) for _ in range(20)]
+    found = decontamination.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    brute = {(k, i) for k, t in enumerate(texts) for i, item in enumerate(items) if brute_verbatim(t, item) or brute_template(t, item)}
+    assert len(brute) >= 24
+    assert brute <= got
+    assert all(k // 5 == i and k < 40 for k, i in got - brute)
+
+
 def test_case_hides_no_copy(spark):
     """Verbatim passages in capitals, in lower case and dense in slots are found; the same words in another order are not."""
     dense = "Anna 3 Bob 4 Carl 5 Dora 6 Emil 7 Fritz 8"
