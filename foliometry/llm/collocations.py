@@ -1,7 +1,7 @@
 """Phrase collocations: phrases of two to four words, counted by sorting suffix pointers, scored by their weakest cut.
 
 Every word of a piece begins a suffix of up to DEPTH words. Tasks count equal suffixes of their own texts first. Suffixes are then routed by their
-leading words to buckets: by the first word, by more where the first ones lead more than a quarter of a bucket. In a bucket the pointers are sorted
+leading words to buckets: by the first word, by more where the first ones lead more than half a bucket. In a bucket the pointers are sorted
 by a multikey three-way quicksort; the size of an equal partition is the number of occurrences of its phrase, and a partition below the
 least count is abandoned, as no phrase in it can reach that count elsewhere.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliometry.llm.tables import read, stored
+from foliometry.llm.tables import new_folder, read, stored
 
 DEPTH = 4
 LEAST = 30
@@ -27,8 +27,8 @@ INSIDE_PERCENT = 80
 TOP = 2000
 UNKNOWN = "und"
 
-BUCKET_WORDS = 4_000_000
-FLUSH_WORDS = 3_000_000
+BUCKET_WORDS = 1_500_000
+FLUSH_WORDS = 2_000_000
 CHUNK_BYTES = 4 << 20
 COMMON_WORDS = 1 << 15
 MOST_HEAVY = 100_000
@@ -38,6 +38,7 @@ BREAK = b"\xff"
 #: A-Z in lower case, ends of pieces as a byte that no text holds, a tab as a space.
 FOLD = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz " + BREAK * 10))
 
+ROUTED = "lang string, bucket int, used binary, extra binary, codes binary, width int, times binary"
 PHRASES = "lang string, phrase string, size int, f bigint"
 
 
@@ -55,11 +56,10 @@ def chunks(text: bytes) -> Iterator[bytes]:
 
 
 class Words:
-    """Numbers for words: 0 ends a piece, 1 and up are the common words, later numbers are given as words are met."""
+    """Numbers for words in the order in which they are met; 0 ends a piece."""
 
-    def __init__(self, common: list[bytes]):
-        self.of: defaultdict = defaultdict(count(len(common) + 1).__next__, zip([BREAK, *common], range(len(common) + 1), strict=True))
-        self.common = len(common)
+    def __init__(self):
+        self.of: defaultdict = defaultdict(count(1).__next__, {BREAK: 0})
 
     def codes(self, texts: list[bytes]) -> np.ndarray:
         """The words of the texts as numbers, in order, with at least one break after each text."""
@@ -69,9 +69,6 @@ class Words:
             parts.append(np.fromiter(map(self.of.__getitem__, found), np.int32, len(found)))
         return np.concatenate(parts)
 
-    def listed(self) -> list[bytes]:
-        return list(self.of)
-
 
 def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
     """The batch's texts of each lang, in groups of about CHUNK_BYTES."""
@@ -92,55 +89,72 @@ def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
             yield lang, held
 
 
-def coded(batches: Iterator[pa.RecordBatch], common: list[bytes]) -> Iterator[tuple[Words, dict[str, np.ndarray]]]:
-    """The words of a task's texts by lang as numbers, about FLUSH_WORDS at a time."""
-    words, parts, size = Words(common), defaultdict(list), 0
-    for batch in batches:
-        for lang, texts in by_lang(batch):
-            codes = words.codes(texts)
-            parts[lang].append(codes)
-            size += len(codes)
-            if size > FLUSH_WORDS:
-                yield words, {k: np.concatenate(v) for k, v in parts.items()}
-                words, parts, size = Words(common), defaultdict(list), 0
-    if size:
-        yield words, {k: np.concatenate(v) for k, v in parts.items()}
+def coded_words(documents: DataFrame) -> DataFrame:
+    """(lang, listed, codes): the words of about FLUSH_WORDS words of one lang's texts, joined by spaces, and their numbers from 1 in the order of
+    the text, 0 where a piece ends. Written once, as the texts are read for nothing else."""
+    texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
+    def row(lang: str, words: Words, parts: list[np.ndarray]) -> pa.RecordBatch:
+        listed = b" ".join(islice(words.of, 1, None))
+        return pa.RecordBatch.from_pydict({"lang": [lang], "listed": pa.array([listed], pa.binary()), "codes": pa.array([np.concatenate(parts).tobytes()], pa.binary())})
 
-def texts_of(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[Words, list]] = {}
+        size = 0
+        for batch in batches:
+            for lang, group in by_lang(batch):
+                words, parts = held.setdefault(lang, (Words(), []))
+                parts.append(words.codes(group))
+                size += len(parts[-1])
+                if size > FLUSH_WORDS:
+                    yield from (row(k, *v) for k, v in held.items())
+                    held, size = {}, 0
+        yield from (row(k, *v) for k, v in held.items())
+
+    spark = documents.sparkSession
+    path = new_folder(spark, "coded-words")
+    schema = "lang string, listed binary, codes binary"
+    texts.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def coded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """(lang, words, codes) of the rows of coded_words; words[0] stands for the end of a piece."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            listed = batch.column("listed")[k].as_py()
+            yield batch.column("lang")[k].as_py(), [BREAK, *(listed.split(b" ") if listed else [])], np.frombuffer(batch.column("codes")[k].as_buffer(), np.int32)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+def word_counts(coded: DataFrame) -> DataFrame:
     """(lang, phrase, size = 1, f): every word with its occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, found in coded(batches, []):
-            listed = words.listed()
-            for lang, codes in found.items():
-                sizes = np.bincount(codes, minlength=len(listed))
-                sizes[0] = 0
-                used = np.flatnonzero(sizes)
-                yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(used)), "phrase": pa.array([listed[k] for k in used], pa.binary()).cast(pa.string()), "f": sizes[used].astype(np.int64)})
-
-    local = texts.mapInArrow(run, "lang string, phrase string, f bigint")
+        for lang, listed, codes in coded_rows(batches):
+            sizes = np.bincount(codes, minlength=len(listed))
+            yield counts_batch(lang, listed[1:], sizes[1:].astype(np.int64))
+
+    local = coded.mapInArrow(run, "lang string, phrase string, f bigint")
     return local.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).select("lang", "phrase", F.lit(1).alias("size"), "f")
 
 
+def counts_batch(lang: str, phrases: list[bytes], f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(phrases)), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "f": pa.array(f, pa.int64())})
+
+
 def suffixes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(columns, times): the different suffixes of two words or more, DEPTH rows of numbers with 0 behind their piece's end, sorted, and how often each occurs."""
-    columns = np.zeros((DEPTH, len(codes)), np.int64)
+    columns = np.zeros((DEPTH, len(codes)), np.int32)
     columns[0] = codes
     for d in range(1, DEPTH):
-        columns[d, :-d] = np.where(columns[d - 1, :-d] > 0, codes[d:], 0)
-    columns = columns[:, (columns[0] > 0) & (columns[1] > 0)]
-    high, low = columns[0] << 32 | columns[1], columns[2] << 32 | columns[3]
+        np.multiply(codes[d:], columns[d - 1, :-d] > 0, out=columns[d, :-d])
+    long = np.flatnonzero((columns[0] > 0) & (columns[1] > 0))
+    high, low = (columns[d, long].astype(np.int64) << 32 | columns[d + 1, long] for d in (0, 2))
     order = np.lexsort((low, high))
     high, low = high[order], low[order]
-    first = np.flatnonzero(np.diff(high, prepend=-1).astype(bool) | np.diff(low, prepend=-1).astype(bool))
-    mask = (1 << 32) - 1
-    high, low = high[first], low[first]
-    return np.stack([high >> 32, high & mask, low >> 32, low & mask]), np.diff(first, append=len(order))
+    first = np.flatnonzero(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(order)])
+    times = np.diff(first, append=len(order))
+    return np.ascontiguousarray(columns[:, long[order[first]]]), times
 
 
 def leads(columns: np.ndarray, words: list[bytes], lang: str, heavy: list[set]) -> np.ndarray:
@@ -162,71 +176,90 @@ def leads(columns: np.ndarray, words: list[bytes], lang: str, heavy: list[set])
     return depth
 
 
-def heavy_phrases(texts: DataFrame, shorter: set, size: int, common: list[bytes], heavy_count: int) -> set:
-    """(lang, phrase) with counts above heavy_count of the phrases of `size` words that begin with one of the shorter heavy ones."""
+def heavy_phrases(coded: DataFrame, shorter: list[dict], heavy_count: int) -> dict:
+    """{(lang, phrase): f} above heavy_count, of the phrases one word longer than the last ones in `shorter`, which begin with these."""
+    chain, size = [set(h) for h in shorter], len(shorter) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, found in coded(batches, common):
-            listed = words.listed()
-            for lang, codes in found.items():
-                columns, times = suffixes(codes)
-                chain = [{(of, " ".join(p.split(" ")[:k])) for of, p in shorter} for k in range(1, size)]
-                at = np.flatnonzero((leads(columns, listed, lang, chain) == size) & (columns[size - 1] > 0))
-                totals: dict[tuple, int] = defaultdict(int)
-                for p, n in zip(columns[:size, at].T.tolist(), times[at].tolist(), strict=True):
-                    totals[tuple(p)] += n
-                rows = list(totals)
-                phrases = [b" ".join(listed[k] for k in p) for p in rows]
-                yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(rows)), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "f": pa.array([totals[p] for p in rows], pa.int64())})
-
-    counts = texts.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        for lang, listed, codes in coded_rows(batches):
+            columns, times = suffixes(codes)
+            at = np.flatnonzero((leads(columns, listed, lang, chain) == size) & (columns[size - 1] > 0))
+            columns, times = columns[:size, at], times[at]
+            first = np.flatnonzero(np.append(True, (columns[:, 1:] != columns[:, :-1]).any(0))[: len(at)])
+            if len(first):
+                phrases = [b" ".join([listed[k] for k in p]) for p in columns[:, first].T.tolist()]
+                yield counts_batch(lang, phrases, np.add.reduceat(times, first))
+
+    counts = coded.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return {(r["lang"], r["phrase"]): r["f"] for r in counts.where(F.col("f") > heavy_count).collect()}
 
 
-def routed(texts: DataFrame, common: list[bytes], buckets: dict[str, int], heavy: list[dict]) -> DataFrame:
-    """(lang, bucket, used, extra, codes, width, times): the suffixes of one task's texts that go to one bucket.
+def routed(coded: DataFrame, common: list[bytes], buckets: dict[str, int], heavy: list[dict]) -> DataFrame:
+    """(lang, bucket, used, extra, codes, width, times): the suffixes of one row of coded_words that go to one bucket.
 
-    used are the numbers of common words in it and extra its other words, joined by spaces; codes are DEPTH rows of numbers of `width` bytes, 0 for
-    none, then the used words and then the extra ones.
+    used are the numbers of common words in it, from 1, and extra its other words, joined by spaces; codes are DEPTH rows of numbers of `width` bytes,
+    0 for none, then the used words and then the extra ones.
     """
     chain = [set(h) for h in heavy]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, found in coded(batches, common):
-            listed = words.listed()
-            marks = np.fromiter(map(zlib.crc32, listed), np.int64, len(listed))
-            for lang, codes in found.items():
-                columns, times = suffixes(codes)
-                depth = leads(columns, listed, lang, chain)
-                mark = np.zeros(columns.shape[1], np.uint64)
-                for d in range(DEPTH):
-                    mark = np.where(d < depth, (mark ^ marks[columns[d]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15), mark)
-                    mark ^= mark >> np.uint64(29)
-                bucket = (mark >> np.uint64(16)) % np.uint64(buckets.get(lang, 1))
-                order = np.argsort(bucket, kind="stable")
-                ends = np.append(np.flatnonzero(np.diff(bucket[order])) + 1, len(order))
-                at = 0
-                for end in ends.tolist() if len(order) else []:
-                    part = order[at:end]
-                    at = end
-                    yield packed(lang, int(bucket[part[0]]), columns[:, part], times[part], listed, words.common)
-
-    return texts.mapInArrow(run, "lang string, bucket int, used binary, extra binary, codes binary, width int, times binary")
-
-
-def packed(lang: str, bucket: int, columns: np.ndarray, times: np.ndarray, listed: list[bytes], common: int) -> pa.RecordBatch:
+        number = {w: k for k, w in enumerate(common, 1)}
+        for lang, listed, codes in coded_rows(batches):
+            columns, times = suffixes(codes)
+            shared = np.fromiter((number.get(w, 0) for w in listed), np.uint32, len(listed))
+            bucket = bucket_of(columns, leads(columns, listed, lang, chain), listed, buckets.get(lang, 1))
+            order = np.argsort(bucket, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(bucket[order])) + 1, len(order))
+            at, rows = 0, []
+            for end in ends.tolist() if len(order) else []:
+                part = order[at:end]
+                at = end
+                rows.append((lang, int(bucket[part[0]]), *packed(columns[:, part], times[part], listed, shared)))
+            if rows:
+                types = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=ROUTED.replace(",", "").split()[::2])
+
+    return coded.mapInArrow(run, ROUTED)
+
+
+def bucket_of(columns: np.ndarray, depth: np.ndarray, listed: list[bytes], buckets: int) -> np.ndarray:
+    """A bucket for each suffix, from its first `depth` words."""
+    marks = np.fromiter(map(zlib.crc32, listed), np.uint64, len(listed))
+    mark = np.zeros(columns.shape[1], np.uint64)
+    for d in range(int(depth.max(initial=0))):
+        mixed = (mark ^ marks[columns[d]]) * np.uint64(0x9E3779B97F4A7C15)
+        mark = np.where(d < depth, mixed ^ (mixed >> np.uint64(29)), mark)
+    return ((mark >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+
+
+def packed(columns: np.ndarray, times: np.ndarray, listed: list[bytes], shared: np.ndarray) -> tuple:
     seen = np.zeros(len(listed), bool)
     seen[columns.ravel()] = True
     seen[0] = False
     present = np.flatnonzero(seen)
+    known = shared[present] > 0
+    used, extra = present[known], present[~known]
     small = np.zeros(len(listed), np.uint32)
-    small[present] = np.arange(1, len(present) + 1, dtype=np.uint32)
+    small[used] = np.arange(1, len(used) + 1)
+    small[extra] = np.arange(len(used) + 1, len(present) + 1)
     width = 2 if len(present) < 1 << 16 else 4
-    used = present[present <= common]
-    extra = b" ".join(listed[k] for k in present[len(used) :].tolist())
-    row = {"lang": [lang], "bucket": pa.array([bucket], pa.int32()), "used": [used.astype(np.uint32).tobytes()], "extra": pa.array([extra], pa.binary())}
     codes = small[columns].astype(f"<u{width}")
-    return pa.RecordBatch.from_pydict({**row, "codes": [codes.tobytes()], "width": pa.array([width], pa.int32()), "times": [times.astype("<u4").tobytes()]})
+    return shared[used].astype("<u4").tobytes(), b" ".join([listed[k] for k in extra.tolist()]), codes.tobytes(), width, times.astype("<u4").tobytes()
+
+
+def unpacked(table: pa.Table, common: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(columns, times, words) of all rows of one bucket, with one numbering of words."""
+    extras = Words()
+    parts, times = [], []
+    for row in table.to_batches():
+        for k in range(row.num_rows):
+            extra = row.column("extra")[k].as_py()
+            numbers = [len(common) + extras.of[w] for w in extra.split(b" ")] if extra else []
+            every = np.concatenate([[0], np.frombuffer(row.column("used")[k].as_py(), "<u4"), numbers]).astype(np.int32)
+            codes = np.frombuffer(row.column("codes")[k].as_buffer(), f"<u{row.column('width')[k].as_py()}").reshape(DEPTH, -1)
+            parts.append(every[codes])
+            times.append(np.frombuffer(row.column("times")[k].as_buffer(), "<u4"))
+    return np.concatenate(parts, 1), np.concatenate(times).astype(np.int64), [BREAK, *common, *islice(extras.of, 1, None)]
 
 
 def equal_partitions(columns: np.ndarray, times: np.ndarray, least: int, small: int = SMALL) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -262,7 +295,7 @@ def finished(columns: np.ndarray, times: np.ndarray, least: int, rest: list[tupl
     pointers = np.concatenate([p for p, _ in rest])
     sizes = [len(p) for p, _ in rest]
     part, depth = np.repeat(np.arange(len(rest)), sizes), np.repeat([d for _, d in rest], sizes)
-    high, low = columns[0, pointers] << 32 | columns[1, pointers], columns[2, pointers] << 32 | columns[3, pointers]
+    high, low = (columns[d, pointers].astype(np.int64) << 32 | columns[d + 1, pointers] for d in (0, 2))
     order = np.lexsort((low, high, part))
     pointers, part, depth = pointers[order], part[order], depth[order]
     fresh = np.diff(part, prepend=-1) > 0
@@ -276,45 +309,35 @@ def finished(columns: np.ndarray, times: np.ndarray, least: int, rest: list[tupl
             yield d + 1, pointers[first[good]], totals[good]
 
 
-def frequent_phrases(texts: DataFrame, words: DataFrame, least: int = LEAST, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def frequent_phrases(coded: DataFrame, words: DataFrame, least: int = LEAST, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(lang, phrase, size, f): all phrases of one to DEPTH words with f >= least. words: the table of word_counts."""
-    spark = texts.sparkSession
+    spark = coded.sparkSession
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     whole = totals.agg(F.sum("n")).first()[0] or 0
     buckets = {r["lang"]: -(-r["n"] // bucket_words) for r in totals.where(F.col("n") > bucket_words).collect()}
     top = words.groupBy("phrase").agg(F.sum("f").alias("f")).orderBy(F.desc("f"), "phrase").limit(COMMON_WORDS).select("phrase").collect()
     common = [r["phrase"].encode() for r in top]
-    heavy_count = max(bucket_words // 4, whole // MOST_HEAVY, least - 1)
+    heavy_count = max(bucket_words // 2, whole // MOST_HEAVY, least - 1)
     heavy = [{(r["lang"], r["phrase"]): r["f"] for r in words.where(F.col("f") > heavy_count).collect()}]
     while heavy[-1] and len(heavy) < DEPTH - 1:
-        heavy.append(heavy_phrases(texts, set(heavy[-1]), len(heavy) + 1, common, heavy_count))
+        heavy.append(heavy_phrases(coded, heavy, heavy_count))
     shared = spark.sparkContext.broadcast((common, {key for h in heavy for key in h}))
 
     def run(table: pa.Table) -> pa.Table:
         common, known = shared.value
         lang = table.column("lang")[0].as_py()
-        words, parts, times = Words(common), [], []
-        for row in table.to_batches():
-            for k in range(row.num_rows):
-                width = row.column("width")[k].as_py()
-                extra = row.column("extra")[k].as_py()
-                numbers = np.concatenate([[0], np.frombuffer(row.column("used")[k].as_py(), np.uint32), [words.of[w] for w in extra.split(b" ")] if extra else []]).astype(np.int64)
-                parts.append(numbers[np.frombuffer(row.column("codes")[k].as_py(), f"<u{width}").reshape(DEPTH, -1)])
-                times.append(np.frombuffer(row.column("times")[k].as_py(), "<u4").astype(np.int64))
-        columns, listed = np.concatenate(parts, 1), words.listed()
-        out: dict[str, list] = {"phrase": [], "size": [], "f": []}
-        for size, pointers, totals in equal_partitions(columns, np.concatenate(times), least):
+        columns, times, listed = unpacked(table, common)
+        out: list[tuple] = []
+        for size, pointers, totals in equal_partitions(columns, times, least):
             if size > 1:
                 for p, f in zip(columns[:size, pointers].T.tolist(), totals.tolist(), strict=True):
-                    phrase = b" ".join(listed[k] for k in p).decode()
+                    phrase = b" ".join([listed[k] for k in p]).decode()
                     if (lang, phrase) not in known:
-                        out["phrase"].append(phrase)
-                        out["size"].append(size)
-                        out["f"].append(f)
-        n = len(out["f"])
-        return pa.table({"lang": pa.array([lang] * n, pa.string()), "phrase": pa.array(out["phrase"], pa.string()), "size": pa.array(out["size"], pa.int32()), "f": pa.array(out["f"], pa.int64())})
+                        out.append((lang, phrase, size, f))
+        types = (pa.string(), pa.string(), pa.int32(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, types, strict=True)], names=["lang", "phrase", "size", "f"])
 
-    longer = routed(texts, common, buckets, heavy).groupBy("lang", "bucket").applyInArrow(run, PHRASES)
+    longer = routed(coded, common, buckets, heavy).groupBy("lang", "bucket").applyInArrow(run, PHRASES)
     leading = [(lang, phrase, size, f) for size, h in enumerate(heavy[1:], 2) for (lang, phrase), f in h.items()]
     return words.where(F.col("f") >= least).unionByName(longer).unionByName(spark.createDataFrame(leading, PHRASES))
 
@@ -351,12 +374,12 @@ def collocations(documents: DataFrame, least: int = LEAST, percent: int = INSIDE
 
     Null and empty texts have no words and repeated rows count each; an empty table gives no rows; other columns are ignored. Texts of any length
     are read in chunks cut between words, which does not part phrases. A lang's total n and its words are counted first; the driver holds the
-    COMMON_WORDS most common words, langs with more than bucket_words words and phrases with more than a quarter of that, at most MOST_HEAVY of
+    COMMON_WORDS most common words, langs with more than bucket_words words and phrases with more than half of that, at most MOST_HEAVY of
     each length. No word is known by a hash, so counts are exact.
     """
-    texts = texts_of(documents)
-    words = stored(word_counts(texts))
-    phrases = stored(frequent_phrases(texts, words, least, bucket_words))
+    coded = coded_words(documents)
+    words = stored(word_counts(coded))
+    phrases = stored(frequent_phrases(coded, words, least, bucket_words))
     kept = scored(phrases).join(inside(phrases, percent), ["lang", "phrase"], "left_anti")
     ranked = kept.withColumn("rank", F.expr("cast(row_number() over (partition by lang order by score desc, a desc, phrase) as bigint)")).where(F.col("rank") <= top)
     return ranked.join(words.groupBy("lang").agg(F.sum("f").alias("n")), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
