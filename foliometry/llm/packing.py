@@ -25,7 +25,7 @@ WINDOW = 2048
 SHARD_PIECES = 512
 K1, B = 1.2, 0.75
 
-RESTS = "doc_id bigint, row bigint, doc_tokens bigint, full_crcs array<bigint>, rest binary"
+RESTS = "doc_id bigint, row bigint, doc_tokens bigint, full_crcs array<bigint>, rest binary, terms binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -35,20 +35,22 @@ def crc32(ids: np.ndarray) -> int:
 
 
 def window_rests(documents: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDOW) -> DataFrame:
-    """Per row of documents: its number of ids, the checksums of its full windows, and the ids left, written to the shared folder."""
+    """Per row of documents: its number of ids, the checksums of its full windows, the ids left and the different ones among these, written to the shared folder."""
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
         code = encoder(vocabulary)
         for row, end, data, offsets in blocks(batch.column("text")):
             flat, where = code.ids_block(data, offsets)
-            totals, crcs, rests = [], [], []
+            totals, crcs, rests, terms = [], [], [], []
             for k in range(end - row):
                 ids = np.append(flat[where[k] : where[k + 1]], flat.dtype.type(END_ID))
                 full = len(ids) // window * window
                 totals.append(len(ids))
                 crcs.append([crc32(ids[a : a + window]) for a in range(0, full, window)])
                 rests.append(ids[full:].tobytes())
-            yield {"doc_id": batch.column("doc_id")[row:end], "row": batch.column("row")[row:end], "doc_tokens": totals, "full_crcs": pa.array(crcs, pa.list_(pa.int64())), "rest": pa.array(rests, pa.binary())}
+                terms.append(np.unique(ids[full:]).tobytes())
+            found = {"full_crcs": pa.array(crcs, pa.list_(pa.int64())), "rest": pa.array(rests, pa.binary()), "terms": pa.array(terms, pa.binary())}
+            yield {"doc_id": batch.column("doc_id")[row:end], "row": batch.column("row")[row:end], "doc_tokens": totals, **found}
 
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string"))
@@ -58,12 +60,11 @@ def window_rests(documents: DataFrame, vocabulary: str = VOCABULARY, window: int
 
 
 def _terms(batch: pa.RecordBatch, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of every distinct term of the batch's rests, in this order."""
-    column = batch.column("rest")
-    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in column], np.int64) // dtype.itemsize
-    flat = np.frombuffer(b"".join(column.to_pylist()), dtype).astype(np.int64)
-    both = np.unique((np.repeat(np.arange(len(sizes)), sizes) << 32) | flat)
-    return both >> 32, both & 0xFFFFFFFF
+    """The different terms of the batch's rests, one rest after another, and where each rest's begin."""
+    column = batch.column("terms").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(data[offsets[0] : offsets[-1]]).view(dtype), (offsets - offsets[0]) // dtype.itemsize
 
 
 class Statistics:
@@ -79,10 +80,11 @@ class Statistics:
 
 def corpus_statistics(rests: DataFrame, dtype: np.dtype) -> Statistics:
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        terms, counts = np.unique(_terms(batch, dtype)[1], return_counts=True)
-        yield {"term": terms, "n": counts}
+        counts = np.bincount(_terms(batch, dtype)[0])
+        terms = np.flatnonzero(counts)
+        yield {"term": terms, "n": counts[terms]}
 
-    counts = arrow_pass(rests.select("rest"), step, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = arrow_pass(rests.select("terms"), step, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     whole = rests.where(F.length("rest") > 0).agg(F.count("*").alias("n"), F.avg(F.length("rest")).alias("size")).first()
     return Statistics(counts.column("term").to_numpy(), counts.column("n").to_numpy(), whole["n"], (whole["size"] or 0) / dtype.itemsize)
 
@@ -92,17 +94,17 @@ def key_terms(rests: DataFrame, statistics: Statistics, dtype: np.dtype) -> Data
     shared = rests.sparkSession.sparkContext.broadcast(statistics)
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
-        row, term = _terms(batch, dtype)
+        term, first = _terms(batch, dtype)
         often = shared.value.frequency[term]
-        row, term, often = row[often > 1], term[often > 1], often[often > 1]
-        order = np.lexsort((term, often, row))
-        row, term = row[order], term[order]
-        first = np.flatnonzero(np.diff(row, prepend=-1))
+        order = np.where(often > 1, often << 32 | term, np.iinfo(np.int64).max)
         key = np.full(batch.num_rows, -1, np.int64)
-        key[row[first]] = term[first]
-        yield {**{c: batch.column(c) for c in batch.schema.names}, "key": key}
+        some = np.flatnonzero(np.diff(first))
+        best = np.minimum.reduceat(order, first[some]) if len(some) else np.zeros(0, np.int64)
+        key[some] = np.where(best < np.iinfo(np.int64).max, best & 0xFFFFFFFF, -1)
+        yield {**{c: batch.column(c) for c in batch.schema.names if c != "terms"}, "key": key}
 
-    return arrow_pass(rests, step, f"{RESTS}, key bigint")
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rests.schema if f.name != "terms"]
+    return arrow_pass(rests, step, ", ".join([*kept, "key bigint"]))
 
 
 def shard_layout(counts: list[tuple[int, int]], target: int) -> list[tuple[int, int, int]]:
@@ -186,7 +188,7 @@ def pack(documents: DataFrame, vocabulary: str = VOCABULARY, window: int = WINDO
     rests = window_rests(documents, vocabulary, window)
     statistics = corpus_statistics(rests, dtype)
     keyed = key_terms(rests, statistics, dtype)
-    counts = [(r["key"], r["count"]) for r in keyed.groupBy("key").count().collect()]
+    counts = [(r["key"], r["count"]) for r in key_terms(rests.select("terms"), statistics, dtype).groupBy("key").count().collect()]
     layout = spark.createDataFrame(shard_layout(counts, shard_pieces) or [(-1, 0, 1)], "key bigint, first bigint, parts bigint")
     sharded = keyed.join(F.broadcast(layout), "key").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")))
     shared = spark.sparkContext.broadcast(statistics)

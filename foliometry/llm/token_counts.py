@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ OVERLAP_CHARS = 512
 TOKEN_LIMIT = 512
 
 _SPACES = frozenset(" \t\n\r")
+BORDER = re.compile(r"[^ \t\n\r][ \t\n\r]")
 
 
 class _Chunk:
@@ -49,8 +51,9 @@ def _common(text: str, left: _Chunk, right: _Chunk, after: int) -> int | None:
 def chunked_count(code: Encoder, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[int, int]:
     """(tokens, chunks encoded) of a text, by chunks that overlap.
 
-    Where the overlap has no common stable border it is doubled, up to the whole chunk; a chunk without any such border grows by another chunk.
-    So a text without white space is encoded whole, and the count is always the library's.
+    Where the overlap has no common stable border it is doubled, up to the whole chunk; overlaps whose text has no border at all are not encoded. A
+    chunk without any common border is doubled, or grows to the next border of the text where that is further, so a text without white space is
+    encoded whole after its first chunk and work stays linear. The count is always the library's.
     """
     if code.pieces is not KEEPING:
         return len(code.whole(text)), 1
@@ -61,6 +64,11 @@ def chunked_count(code: Encoder, text: str, chunk: int = CHUNK_CHARS, overlap: i
         width, at, following = overlap, None, None
         while at is None:
             start = max(current.end - width, current.start)
+            if not BORDER.search(text, start, current.end):
+                if start == current.start:
+                    break
+                width *= 2
+                continue
             following = _Chunk(code, text, start, min(start + max(chunk, 2 * width), len(text)))
             encoded += 1
             at = _common(text, current, following, done)
@@ -68,7 +76,9 @@ def chunked_count(code: Encoder, text: str, chunk: int = CHUNK_CHARS, overlap: i
                 break
             width *= 2
         if at is None:
-            current = _Chunk(code, text, current.start, min(current.end + chunk, len(text)))
+            ahead = BORDER.search(text, current.end - 1)
+            end = max(2 * current.end - current.start, ahead.end() + overlap if ahead else len(text))
+            current = _Chunk(code, text, current.start, min(end, len(text)))
             encoded += 1
             counted = current.upto[done] if done > current.start else 0
             continue
@@ -81,7 +91,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, chunk: int
     """doc_id, n_bytes, n_tokens and n_chunks of each row, in one pass without a shuffle.
 
     A null text counts as empty: 0 bytes, 0 tokens. Texts of up to `chunk` bytes are one chunk. Repeated rows give repeated results;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; other columns are ignored. Work is linear in a text's length, with or without white space.
     """
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:

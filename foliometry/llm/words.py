@@ -11,20 +11,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 50_000
-HASH_BYTES = 1 << 18
-BASE = 0x9E3779B97F4A7C55
+LONG_BYTES = 256
+SEED = 0x5851F42D4C957F2D
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: list[np.ndarray] = []
-
-
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive rows with at most BLOCK_ROWS rows and `limit` bytes, or of one longer row; a null is an empty text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -70,33 +68,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        inverse = pow(BASE, -1, 1 << 64)
-        tables = []
-        for factor in (BASE, inverse):
-            row = np.full(n, factor, np.uint64)
-            row[0] = 1
-            tables.append(np.multiply.accumulate(row))
-        _powers[:] = tables
-    return _powers
-
-
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span: prefix sums of a polynomial modulo 2**64, then mixed with the length."""
-    out = np.empty(len(starts), np.uint64)
+    """A 64-bit hash of the bytes of each span: its length, then eight bytes at a time mixed in; spans over LONG_BYTES by xxh3.
+
+    No sum of bytes is taken, so no arrangement of equal parts, such as a Thue-Morse word, meets its complement.
+    """
+    sizes = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(SEED))
+    active = np.flatnonzero((sizes > 0) & (sizes <= LONG_BYTES))
     at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES, "right")))
-        low, high = int(starts[at]), int(ends[stop - 1])
-        up, down = _power_tables(max(high - low + 1, HASH_BYTES + 1))
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
-        a, b = starts[at:stop] - low, ends[at:stop] - low
-        out[at:stop] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        at = stop
-    return mix(out)
+    while len(active):
+        left = sizes[active] - at
+        lane = lanes[starts[active] + at]
+        short = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+        out[active] = mix((out[active] ^ ((lane << short) >> short)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xA0761D6478BD642F))
+        at += 8
+        active = active[left > 8]
+    for k in np.flatnonzero(sizes > LONG_BYTES).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]], SEED)
+    return out
 
 
 def window_hashes(word_hashes: np.ndarray, size: int) -> np.ndarray:

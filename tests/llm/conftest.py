@@ -16,7 +16,9 @@ def hard_texts():
     base = [f"{prose(rng, 60)} id{k}x y{k}z {prose(rng, 40)}" for k in range(20)]
     near = [t.replace("copper", "silver", 1) for t in base[:8]]
     odd = [None, "", " \n\t ", "one", "two words", "a b c", "x\x0by\x0cz", "naïve café ÉCOLE 漢字 <|endoftext|> it's  done\r\n", "  lead and trail  ", "é nbsp here"]
-    return [*base, *base[:6], base[0], base[0], *near, *odd, f"{prose(rng, 12_000)}\n" * 2, "w" * 9_000]
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    twins = [morse, morse.translate({97: 98, 98: 97})]
+    return [*base, *base[:6], base[0], base[0], *near, *odd, *twins, "\n".join(twins), f"{prose(rng, 12_000)}\n" * 2, "w" * 9_000]
 
 
 @pytest.fixture(scope="session")

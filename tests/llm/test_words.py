@@ -31,6 +31,22 @@ def test_statistics_of_blocks(texts):
             assert tuple(int(got[c][k - row]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute(texts[k])
 
 
+def thue_morse(n, a="a", b="b"):
+    word = "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+    return word, word.translate(str.maketrans({a: b, b: a}))
+
+
+def test_complementary_words_have_other_hashes():
+    for n in (64, 256, 1024, 4096):
+        data = np.frombuffer(" ".join(thue_morse(n)).encode(), np.uint8)
+        starts, ends, _ = words(data, np.array([0, len(data)]))
+        assert len(set(hashes(data, starts, ends).tolist())) == 2
+    data = np.arange(256, dtype=np.uint8).repeat(3)
+    every = [(a, b) for a in range(0, 700, 7) for b in range(a, min(a + 20, 768))]
+    parts = {data[a:b].tobytes() for a, b in every}
+    assert len(set(hashes(data, np.array([a for a, _ in every]), np.array([b for _, b in every])).tolist())) == len(parts)
+
+
 def test_hash_depends_on_bytes_only():
     text = ("alpha beta alpha " * 90_000 + "beta").encode()
     data = np.frombuffer(text, np.uint8)
