@@ -277,7 +277,7 @@ def equal_partitions(columns: np.ndarray, times: np.ndarray, least: int, small:
             rest.append((pointers, depth))
             continue
         key = columns[depth, pointers]
-        pivot = np.partition(sample := key[:: len(key) // 64], len(sample) // 2)[len(sample) // 2]
+        pivot = np.partition(sample := key[:: max(1, len(key) // 64)], len(sample) // 2)[len(sample) // 2]
         same = pointers[key == pivot]
         stack.append((pointers[key < pivot], depth))
         stack.append((pointers[key > pivot], depth))

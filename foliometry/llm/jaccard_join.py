@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliometry.llm.components import components
-from foliometry.llm.tables import arrow_pass, read, stored
+from foliometry.llm.tables import arrow_pass, free_names, read, stored
 from foliometry.llm.words import LOWER, blocks, hashes, mix, owners, window_hashes, words
 
 SHINGLE_WORDS = 3
@@ -259,14 +259,16 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE_WORDS, threshol
 def one_of_each(documents: DataFrame, size: int = NEAR_SHINGLE_WORDS, threshold: tuple[int, int] = NEAR_THRESHOLD) -> DataFrame:
     """documents, with all their columns, with one row of each component: the one with the smallest doc_id, the first of equal ones.
 
-    Rows are numbered once and written with their numbers, so all later steps see the same ones. Texts without a word link with nothing and stay.
+    Rows are numbered once and written with their numbers, so all later steps see the same ones. Texts without a word link with nothing and stay; null
+    doc_ids come last. An empty table gives no rows; other columns keep names and values, whatever they are called.
     """
-    numbered = stored(documents.withColumn("_row", F.monotonically_increasing_id()))
-    found = jaccard_components(numbered.select(F.col("_row").alias("doc_id"), "text"), size, threshold)
-    ranked = found.select(F.col("doc_id").alias("_row"), "component_id").join(numbered.select("_row", F.col("doc_id").alias("_doc")), "_row")
-    least = F.min(F.struct(F.col("_doc").isNull().alias("missing"), "_doc", "_row"))
-    chosen = ranked.groupBy("component_id").agg(least.alias("least")).select("least._row")
-    return numbered.join(chosen, "_row", "left_semi").drop("_row")
+    (row,) = free_names(documents, "row")
+    numbered = stored(documents.withColumn(row, F.monotonically_increasing_id()))
+    found = jaccard_components(numbered.select(F.col(row).alias("doc_id"), "text"), size, threshold)
+    ids = numbered.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("own_id"))
+    least = F.min(F.struct(F.col("own_id").isNull().alias("missing"), "own_id", "doc_id"))
+    chosen = found.join(ids, "doc_id").groupBy("component_id").agg(least.alias("least")).select(F.col("least.doc_id").alias(row))
+    return numbered.join(chosen, row, "left_semi").select(*documents.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

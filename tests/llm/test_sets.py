@@ -344,3 +344,33 @@ def test_one_of_each_when_files_are_split_otherwise_later(spark, documents, hard
         for name in packing:
             spark.conf.unset(name)
     assert got == sorted({c for _, c in brute_components(hard_texts, 5, 8, 10).values()})
+
+
+def test_columns_keep_names_and_values(spark, tmp_path):
+    """Columns named like those the stages make come through every filtering stage as they went in."""
+    words = "quartz lantern basket window garden paper river copper stone yellow".split()
+    texts = [" ".join(words), " ".join(words), f"password: hunter22x {' '.join(reversed(words))}", None, "", f"see {ITEM} here"]
+    rows = [(k, t, f"b{k}", [k], k * 2, f"x{k}", f"y{k}", k + 0.5, f"r{k}", f"c{k}") for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, blob string, found array<int>, _row int, bad1 string, bad2 string, h1 double, row string, cuts string")
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    others = [c for c in frame.columns if c != "text"]
+    before = {r["doc_id"]: tuple(r[c] for c in others) for r in frame.collect()}
+    stages = {
+        "redact": (secrets.redact(frame, str(tmp_path / "ledger")), set(range(6))),
+        "near": (jaccard_join.one_of_each(frame), {0, 2, 3, 4, 5}),
+        "leaks": (decontamination.without_leaks(frame, benchmark), set(range(5))),
+    }
+    for name, (result, kept) in stages.items():
+        assert result.columns == frame.columns, name
+        assert {r["doc_id"]: tuple(r[c] for c in others) for r in result.collect()} == {k: v for k, v in before.items() if k in kept}, name
+        assert result.schema == frame.schema, name
+
+
+def test_many_spans_in_one_text(spark, tmp_path):
+    one = "é token=abcdefgh AKIA" + "Q" * 20 + " "
+    frame = spark.createDataFrame([(1, one * 16_000), (2, one)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["found"] for r in secrets.scan(frame, str(tmp_path / "ledger")).collect()}
+    assert len(found[1]) == 32_000
+    assert [(s["start"], s["end"]) for s in found[1][-2:]] == [(s["start"] + 15_999 * len(one), s["end"] + 15_999 * len(one)) for s in found[2]]
+    cleaned = {r["doc_id"]: r["text"] for r in secrets.redact(frame, str(tmp_path / "other")).collect()}
+    assert cleaned == {1: "é [SECRET] [SECRET] " * 16_000, 2: "é [SECRET] [SECRET] "}
