@@ -1,8 +1,9 @@
 """Ordered folds over keyed rows, for ledgers whose next step depends on an earlier rejection.
 
-Rows are hash-partitioned by key, sorted inside the partition and streamed through the step
-function batch by batch, so a task holds one Arrow batch and one key's running state, never a
-whole group.  A key with more than ``slice_rows`` rows is not given to one task: its rows are cut
+Rows are hash-partitioned by key, sorted inside the partition and streamed in blocks of whole
+keys.  A fold that has a column form walks the keys of a block side by side in numpy; the few
+longest keys of a block, and a key that fills a block alone, go row by row through the step
+function, so a task holds one block and one key's running state, never a whole group.  A key with more than ``slice_rows`` rows is not given to one task: its rows are cut
 into ordered slices of bounded size, and slice ``n`` of all such keys runs as one job that starts
 from the state slice ``n - 1`` wrote.
 """
@@ -13,21 +14,39 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from foliometry.operators.lockstep import Block, key_starts
 from foliometry.runtime import stored
 
 SLICE_ROWS = 2_000_000
+BLOCK_ROWS = 200_000
+BATCH_ROWS = 20_000
 
 STATE = "fold_state"
 STEP = "step"  # 1, 2, ... within a key: the processing order of the emitting row
 
 
+class Columns(Protocol):
+    """A fold over the keys of a block side by side."""
+
+    def advance(self, rows: np.ndarray, keys: np.ndarray) -> None:
+        """One row of each of these keys."""
+
+    def state(self, key: int) -> dict:
+        """A key's state, as the step function has it."""
+
+    def outputs(self) -> list[tuple[np.ndarray, dict[str, pa.Array]]]:
+        """(rows, columns) per kind of output row; columns that are missing are those of the input row."""
+
+
 @dataclass(frozen=True)
 class Fold:
     """``step(state, row, emit)`` updates ``state`` (JSON-able) and emits output tuples.
@@ -42,6 +61,7 @@ class Fold:
     outputs: T.StructType
     initial: Callable[[], dict]
     step: Callable[[dict, tuple, Callable[[tuple], None]], None]
+    columns: Callable | None = None  # the same fold as a Columns over a Block
 
 
 def ordered_fold(df: DataFrame, fold: Fold, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -104,9 +124,103 @@ def _run(df: DataFrame, fold: Fold, carried: bool) -> DataFrame:
         sort.append(F.col(STATE).desc_nulls_last())  # the carried state precedes the key's rows
     columns = [*fold.keys, *fold.inputs] + ([STATE] if carried else [])
     ordered = df.repartition(*fold.keys).sortWithinPartitions(*sort, *fold.order)
-    return ordered.select(*[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)]).mapInArrow(
-        _stream(fold, schema, carried), schema
-    )
+    named = ordered.select(*[F.col(c).alias(f"f{i}") for i, c in enumerate(columns)])
+    stream = _stream(fold, schema, carried) if carried or fold.columns is None else _blocks(fold, schema)
+    return named.mapInArrow(stream, schema)
+
+
+def _blocks(fold: Fold, schema: T.StructType):
+    """Stream blocks of whole keys; a key longer than a block is streamed row by row from its first row on."""
+    keys = [f"f{i}" for i in range(len(fold.keys))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        scalar = _stream(fold, schema, carried=False)
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < BLOCK_ROWS:
+                continue
+            block = pa.concat_batches(held)
+            cut = int(key_starts([block.column(k) for k in keys])[-1])
+            if cut:
+                yield from _fold_block(fold, schema, block.slice(0, cut))
+                held = [block.slice(cut)]
+                continue
+            follow = _Following(block, batches, keys)
+            yield from scalar(follow.same_key())
+            held = follow.rest
+        if held:
+            yield from _fold_block(fold, schema, pa.concat_batches(held))
+
+    return run
+
+
+class _Following:
+    """The batches of the key that a block begins with, and what comes after it."""
+
+    def __init__(self, block: pa.RecordBatch, batches: Iterator[pa.RecordBatch], keys: list[str]):
+        self.block, self.batches, self.keys = block, batches, keys
+        self.rest: list[pa.RecordBatch] = []
+
+    def same_key(self) -> Iterator[pa.RecordBatch]:
+        yield self.block
+        last = self.block.slice(self.block.num_rows - 1)
+        for batch in self.batches:
+            starts = key_starts([pa.concat_arrays([last.column(k), batch.column(k)]) for k in self.keys])
+            same = int(starts[1]) - 1 if len(starts) > 1 else batch.num_rows
+            if same:
+                yield batch.slice(0, same)
+            if same < batch.num_rows:
+                self.rest = [batch.slice(same)]
+                return
+
+
+def _fold_block(fold: Fold, schema: T.StructType, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Walk the keys side by side, finish the longest ones row by row, and put the output rows in the order of the input."""
+    names = [*fold.keys, *fold.inputs]
+    place = {name: i for i, name in reversed(list(enumerate(names)))}
+    target = to_arrow_schema(schema)
+    block = Block(pa.RecordBatch.from_arrays(batch.columns, names=[f"f{i}" for i in range(len(names))]), [f"f{i}" for i in range(len(fold.keys))])
+    walker = fold.columns(block, {name: f"f{i}" for name, i in place.items()})
+    walked = np.zeros(block.rows, bool)
+    for rows, keys in block.walk():
+        walker.advance(rows, keys)
+        walked[rows] = True
+
+    parts, order = [], []
+    for kind, (rows, columns) in enumerate(walker.outputs()):
+        done = walked[rows]
+        rows = rows[done]
+        taken, kept = batch.take(pa.array(rows)), pa.array(done)
+        arrays = []
+        for field in target:
+            if field.name == STEP:
+                arrays.append(pa.array(block.step[rows], pa.int64()))
+            elif field.name in columns:
+                arrays.append(columns[field.name].filter(kept).cast(field.type))
+            else:
+                arrays.append(taken.column(place[field.name]).cast(field.type))
+        parts.append(pa.RecordBatch.from_arrays(arrays, schema=target))
+        order.append(rows * 4 + kind)
+
+    out: list[tuple] = []
+    at: list[int] = []
+    for key, t in block.left:
+        state, start = walker.state(key), int(block.starts[key])
+        rows = batch.slice(start + t, int(block.lengths[key]) - t)
+        for n, row in enumerate(zip(*(c.to_pylist() for c in rows.columns))):
+            index, before = start + t + n, len(out)
+
+            def emit(values: tuple, row=row, step=t + n + 1) -> None:
+                out.append((*row[: len(fold.keys)], *values, step))
+
+            fold.step(state, row[len(fold.keys) :], emit)
+            at.extend(index * 4 + j for j in range(len(out) - before))
+    if out:
+        parts.append(pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), target)], schema=target))
+        order.append(np.array(at))
+    table = pa.Table.from_batches(parts, schema=target)
+    yield from table.take(pa.array(np.argsort(np.concatenate(order), kind="stable"))).combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
 
 
 def _stream(fold: Fold, schema: T.StructType, carried: bool):

@@ -6,11 +6,14 @@ no pool and fold per (portfolio, ticker); ``fold_ticker`` is blank for foreign r
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliometry.operators.fold import SLICE_ROWS, Fold, ordered_fold
+from foliometry.operators.lockstep import Block, doubles, named, snap
 from foliometry.schema import BASE_CURRENCY, EPSILON, SECURITY, clean, gross_native
 
 POOL_AMOUNTS = (
@@ -164,6 +167,141 @@ def _step(s: dict, row: tuple, emit) -> None:
     emit((ticker, date, number, *pool, *slots, *state, realized, *problem))
 
 
+ISSUES = (
+    "INVALID_FX_CURRENCY",
+    "MISSING_FX_RATE",
+    "NEGATIVE_NET_FX_PROCEEDS",
+    "INSUFFICIENT_FOREIGN_POOL",
+    "NEGATIVE_NET_CASH_IN",
+    "MISSING_FX_RATE_FOR_AUTO_FUND",
+    "OVERSELL",
+    "NEGATIVE_NET_SECURITY_PROCEEDS",
+    "MISSING_SECURITY_SALE_FX",
+)
+_ISSUE = {name: i for i, name in enumerate(ISSUES, 1)}
+
+
+class FxColumns:
+    """The same steps for many pools side by side; a holding is a number of (pool, ticker)."""
+
+    def __init__(self, block: Block, name: dict[str, str]):
+        self.block = block
+        kind, kinds = block.codes(name["transaction_type"])
+        self.kind = {k: kind == i for i, k in enumerate(kinds)}
+        currency, currencies = block.codes(name["currency"])
+        self.foreign = currency != (currencies.index(BASE_CURRENCY) if BASE_CURRENCY in currencies else len(currencies))
+        self.ticker, self.tickers = block.codes(name["ticker"])
+        self.holding, first = block.slots(self.ticker)
+        self.quantity, self.amount, self.rate, self.fee = (block.numbers(name[c]) for c in ("quantity", "amount", "fx_rate", "fee"))
+        self.units, self.cost = np.zeros((2, len(block.starts)))
+        self.held = np.zeros((3, len(first)))  # quantity, native cost, TWD cost
+        self.noted = np.zeros((len(POOL_AMOUNTS), block.rows))
+        self.pool_after, self.state_after = np.zeros((2, block.rows)), np.zeros((3, block.rows))
+        self.realized, self.required, self.available = np.zeros((3, block.rows))
+        self.issue, self.pooled = np.zeros(block.rows, np.int32), np.zeros(block.rows, bool)
+
+    def _is(self, kind: str, rows: np.ndarray) -> np.ndarray:
+        return self.kind[kind][rows] if kind in self.kind else np.zeros(len(rows), bool)
+
+    def advance(self, rows: np.ndarray, keys: np.ndarray) -> None:
+        amount, fee, rate, quantity = self.amount[rows], self.fee[rows], self.rate[rows], self.quantity[rows]
+        foreign, units, cost = self.foreign[rows], self.units[keys], self.cost[keys]
+        holding = self.holding[rows]
+        shares, native_cost, twd_cost = self.held[:, holding]
+        rated = rate > 0
+        issue, required, available = np.zeros(len(rows), np.int32), np.full(len(rows), np.nan), np.full(len(rows), np.nan)
+
+        def block(where: np.ndarray, code: str, needed=None, there=None) -> np.ndarray:
+            issue[where] = _ISSUE[code]
+            if needed is not None:
+                required[where], available[where] = needed[where], there[where]
+            return where
+
+        def note(slot: str, where: np.ndarray, value: np.ndarray) -> None:
+            self.noted[_SLOT[slot], rows[where]] = value[where]
+
+        def average(total: np.ndarray, parts: np.ndarray) -> np.ndarray:
+            return np.divide(total, parts, out=np.zeros(len(rows)), where=parts > EPSILON)
+
+        fx_buy, fx_sell, cash_in, cash_out = (self._is(k, rows) for k in ("FX_BUY", "FX_SELL", "CASH_IN", "CASH_OUT"))
+        trade = self._is(SECURITY, rows)
+        buy, sell = trade & (quantity > 0), trade & ~(quantity > 0)
+        spent, net, gross, sold = amount + fee, amount - fee, amount * rate, np.abs(quantity)
+
+        exchange = fx_buy | fx_sell
+        refused = block(exchange & ~foreign, "INVALID_FX_CURRENCY") | block(((exchange & foreign) | cash_in) & ~rated, "MISSING_FX_RATE")
+        fx_buy, fx_sell, cash_in = fx_buy & ~refused, fx_sell & ~refused, cash_in & ~refused
+        fx_sell &= ~block(fx_sell & (gross - fee < -EPSILON), "NEGATIVE_NET_FX_PROCEEDS")
+        cash_in &= ~block(cash_in & (net < -EPSILON), "NEGATIVE_NET_CASH_IN")
+        pooled = fx_buy | fx_sell | cash_in | cash_out | (buy & foreign)
+
+        # a purchase first adds what the pool lacks
+        gap = spent - units
+        short = buy & foreign & (units + EPSILON < spent)
+        unrated = block(short & ~rated, "MISSING_FX_RATE_FOR_AUTO_FUND", gap, units)
+        added = short & ~unrated
+        buy &= ~unrated
+        units, cost = np.where(added, snap(units + gap), units), np.where(added, snap(cost + gap * rate), cost)
+
+        # what leaves the pool takes its average cost along
+        wanted = np.where(fx_sell, amount, spent)
+        leaving = fx_sell | cash_out | (buy & foreign)
+        empty = block(leaving & (units + EPSILON < wanted), "INSUFFICIENT_FOREIGN_POOL", wanted, units)
+        fx_sell, cash_out, buy, leaving = fx_sell & ~empty, cash_out & ~empty, buy & ~empty, leaving & ~empty
+        each = average(cost, units)
+        released = each * wanted
+        units, cost = np.where(leaving, snap(units - wanted), units), np.where(leaving, snap(cost - released), cost)
+        cost = np.where(leaving & (units == 0), 0.0, cost)
+
+        # a sale needs the shares and, for its proceeds, a rate
+        sell &= ~block(sell & (sold > shares + EPSILON), "OVERSELL", sold, shares)
+        sell &= ~block(sell & (net < -EPSILON), "NEGATIVE_NET_SECURITY_PROCEEDS")
+        sell &= ~block(sell & foreign & (net > EPSILON) & ~rated, "MISSING_SECURITY_SALE_FX")
+        proceeds = np.where(foreign, net * np.nan_to_num(rate, nan=0.0), net)
+        out_twd = average(twd_cost, shares) * sold
+        left = snap(shares - sold)
+        after_sale = [left, np.where(left == 0, 0.0, snap(native_cost - average(native_cost, shares) * sold)), np.where(left == 0, 0.0, snap(twd_cost - out_twd))]
+        after_buy = [shares + quantity, native_cost + spent, twd_cost + np.where(foreign, released, spent)]
+        self.held[:, holding] = [np.where(buy, b, np.where(sell, a, now)) for b, a, now in zip(after_buy, after_sale, (shares, native_cost, twd_cost))]
+        paid_in = sell & foreign & (net > EPSILON)
+        pooled |= paid_in
+
+        gained = np.where(fx_buy, amount, net)
+        value = np.where(fx_buy, gross + fee, np.where(cash_in, net * rate, proceeds))
+        adding = fx_buy | cash_in | paid_in
+        self.units[keys], self.cost[keys] = np.where(adding, snap(units + gained), units), np.where(adding, snap(cost + value), cost)
+
+        note("explicit_fx_units_in", fx_buy, amount)
+        note("external_cash_units_in", cash_in, net)
+        note("automatic_units_in", added, gap)
+        note("units_assigned_to_securities", buy & foreign, spent)
+        note("units_sold_to_twd", fx_sell, amount)
+        note("units_withdrawn", cash_out, amount)
+        note("foreign_fee_units", cash_in | cash_out, fee)
+        note("foreign_fee_twd_cost", cash_in | cash_out, np.where(cash_in, fee * rate, fee * each))
+        note("twd_fees", fx_buy | fx_sell, fee)
+        note("realized_fx_delta", fx_sell, gross - fee - released)
+        self.realized[rows] = np.where(sell, proceeds - out_twd, 0.0)
+        self.pooled[rows] = pooled
+        self.pool_after[:, rows] = self.units[keys], self.cost[keys]
+        self.state_after[:, rows] = self.held[:, holding]
+        self.issue[rows], self.required[rows], self.available[rows] = issue, required, available
+
+    def state(self, key: int) -> dict:
+        start, end = self.block.starts[key], self.block.starts[key] + self.block.lengths[key]
+        held = {self.tickers[t]: self.held[:, h].tolist() for t, h in zip(self.ticker[start:end].tolist(), self.holding[start:end].tolist()) if t >= 0}
+        return {"units": float(self.units[key]), "cost": float(self.cost[key]), "held": held}
+
+    def outputs(self) -> list[tuple[np.ndarray, dict[str, pa.Array]]]:
+        trade = self.kind.get(SECURITY, np.zeros(self.block.rows, bool))
+        columns = {name: doubles(self.noted[i]) for name, i in _SLOT.items()}
+        columns |= {name: doubles(values, self.pooled) for name, values in zip(("units_after", "pool_cost_after"), self.pool_after)}
+        columns |= {name: doubles(values, trade) for name, values in zip(("quantity_after", "native_cost_after", "twd_cost_after"), self.state_after)}
+        columns |= {"realized_twd_delta": doubles(self.realized), "issue_code": named(self.issue, ISSUES)}
+        columns |= {name: doubles(values, ~np.isnan(values)) for name, values in (("required", self.required), ("available", self.available))}
+        return [(np.arange(self.block.rows), columns)]
+
+
 FX_FOLD = Fold(
     keys=("portfolio_id", "currency", "fold_ticker"),
     order=("trade_date", "source_row_number"),
@@ -181,6 +319,7 @@ FX_FOLD = Fold(
     outputs=_OUTPUT,
     initial=lambda: {"units": 0.0, "cost": 0.0, "held": {}},
     step=_step,
+    columns=FxColumns,
 )
 
 

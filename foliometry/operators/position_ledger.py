@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliometry.operators.fold import SLICE_ROWS, Fold, ordered_fold
+from foliometry.operators.lockstep import Block, doubles, named, snap
 from foliometry.schema import EPSILON, SECURITY, clean, gross_native
 
 MISMATCH = "CURRENCY_MISMATCH"
@@ -53,6 +56,50 @@ def _step(s: dict, row: tuple, emit) -> None:
     emit((currency, date, number, s["quantity"], s["cost"], amount - fee - released, 0.0, amount, fee, None))
 
 
+class PositionColumns:
+    """The same steps for many tickers side by side."""
+
+    def __init__(self, block: Block, name: dict[str, str]):
+        self.block = block
+        self.currency, self.currencies = block.codes(name["currency"])
+        self.quantity, self.amount, self.fee = (block.numbers(name[c]) for c in ("quantity", "amount", "fee"))
+        self.own = self.currency[block.starts]
+        self.held, self.cost = np.zeros((2, len(block.starts)))
+        self.quantity_after, self.cost_after, self.realized, self.buy, self.sell, self.paid = np.zeros((6, block.rows))
+        self.issue = np.zeros(block.rows, np.int32)
+
+    def advance(self, rows: np.ndarray, keys: np.ndarray) -> None:
+        q, amount, fee, held, cost = self.quantity[rows], self.amount[rows], self.fee[rows], self.held[keys], self.cost[keys]
+        match = self.currency[rows] == self.own[keys]
+        buy, sold = match & (q > 0), np.abs(q)
+        over = match & ~buy & (sold > held + EPSILON)
+        sell = match & ~buy & ~over
+        released = np.divide(cost, held, out=np.zeros(len(rows)), where=held > EPSILON) * sold
+        self.held[keys] = np.where(buy, held + q, np.where(sell, snap(held - sold), held))
+        self.cost[keys] = np.where(buy, cost + amount + fee, np.where(sell, snap(cost - released), cost))
+        self.quantity_after[rows], self.cost_after[rows] = self.held[keys], self.cost[keys]
+        self.realized[rows] = np.where(sell, amount - fee - released, 0.0)
+        self.buy[rows], self.sell[rows], self.paid[rows] = np.where(buy, amount, 0.0), np.where(sell, amount, 0.0), np.where(buy | sell, fee, 0.0)
+        self.issue[rows] = np.where(over, 2, np.where(match, 0, 1))
+
+    def state(self, key: int) -> dict:
+        own = int(self.own[key])
+        return {"currency": self.currencies[own] if own >= 0 else None, "quantity": float(self.held[key]), "cost": float(self.cost[key])}
+
+    def outputs(self) -> list[tuple[np.ndarray, dict[str, pa.Array]]]:
+        gated = self.issue != 1
+        columns = {
+            "quantity_after": doubles(self.quantity_after, gated),
+            "cost_after": doubles(self.cost_after, gated),
+            "realized_delta": doubles(self.realized),
+            "gross_buy": doubles(self.buy),
+            "gross_sell": doubles(self.sell),
+            "fee": doubles(self.paid),
+            "issue_code": named(self.issue, (MISMATCH, OVERSELL)),
+        }
+        return [(np.arange(self.block.rows), columns)]
+
+
 POSITION_FOLD = Fold(
     keys=("portfolio_id", "ticker"),
     order=("trade_date", "source_row_number"),
@@ -60,6 +107,7 @@ POSITION_FOLD = Fold(
     outputs=_OUTPUT,
     initial=lambda: {"currency": None, "quantity": 0.0, "cost": 0.0},
     step=_step,
+    columns=PositionColumns,
 )
 
 
