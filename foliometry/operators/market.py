@@ -185,14 +185,22 @@ def refresh_marks(bars: DataFrame) -> DataFrame:
 
 def run_summary(exploded: DataFrame) -> DataFrame:
     """Counts and span of each revision."""
-    per = exploded.groupBy("market_id", "revision", *INSTRUMENT).agg(
-        F.count("*").alias("bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
-    )
+    per = instrument_summary(exploded)
     return per.groupBy("market_id", "revision").agg(
         F.count("*").alias("instrument_count"),
-        F.sum("bars").alias("bar_count"),
-        F.min("first_date").alias("earliest_bar_date"),
-        F.max("last_date").alias("latest_bar_date"),
+        F.sum("bar_count").alias("bar_count"),
+        F.min("earliest_bar_date").alias("earliest_bar_date"),
+        F.max("latest_bar_date").alias("latest_bar_date"),
+    )
+
+
+def instrument_summary(exploded: DataFrame) -> DataFrame:
+    """Counts, span and latest close of each instrument of a revision."""
+    return exploded.groupBy("market_id", "revision", *INSTRUMENT).agg(
+        F.count("*").alias("bar_count"),
+        F.min("date").alias("earliest_bar_date"),
+        F.max("date").alias("latest_bar_date"),
+        F.max_by("raw_close", "date").alias("latest_raw_close"),
     )
 
 

@@ -114,6 +114,26 @@ def binding_freshness(state: DataFrame, snapshots: DataFrame, stale_by_date) ->
     )
 
 
+def market_freshness(state: DataFrame, runs: DataFrame, stale_by_date) -> DataFrame:
+    """CURRENT, STALE or NO_RUN per portfolio with the reason and, for an old market day, that day.
+
+    ``runs`` has (portfolio_id, market_revision, run_dataset_id, run_transaction_revision, latest_bar_date).
+    """
+    matches = (F.col("run_dataset_id") == F.col("dataset_id")) & (F.col("run_transaction_revision") == F.col("stored_revision"))
+    reason = (
+        F.when(F.col("market_revision").isNull(), "NO_RUN")
+        .when(~F.coalesce(matches, F.lit(False)), "TRANSACTION_VERSION_STALE")
+        .when(stale_by_date, "MARKET_DATA_DATE_STALE")
+    )
+    df = state.join(runs, P, "left").withColumn("issue_code", reason)
+    return df.select(
+        P,
+        F.when(F.col("issue_code") == "NO_RUN", "NO_RUN").when(F.col("issue_code").isNotNull(), "STALE").otherwise("CURRENT").alias("market_freshness"),
+        "issue_code",
+        F.when(F.col("issue_code") == "MARKET_DATA_DATE_STALE", F.col("latest_bar_date")).alias("date"),
+    )
+
+
 def first_identity(rows: DataFrame) -> DataFrame:
     """Every stored row with the id of the earliest revision that holds the same row hash."""
     first = rows.groupBy(P, "row_hash").agg(

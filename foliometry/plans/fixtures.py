@@ -15,6 +15,8 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliometry.functions.market import is_stale
+from foliometry.operators import versions
 from foliometry.runtime import stored
 
 VALUATION_DATE = datetime.date(2001, 6, 30)
@@ -322,19 +324,56 @@ def clean_snapshots(portfolios: DataFrame, valuation_date: datetime.date = VALUA
     )
 
 
-def freshness(snapshots_: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every tenth portfolio's snapshot is bound to an older version; every seventh lacks a market run."""
+TODAY = VALUATION_DATE + datetime.timedelta(days=3)
+
+
+def bindings(tx_: DataFrame, snapshots_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(state, bound snapshots, market runs): each portfolio's stored version, and the versions its snapshot and its market run were made from.
+
+    Every tenth snapshot and every seventh run (rest 5) are bound to the version before; every seventh
+    portfolio (rest 3) has no run, and every seventh run (rest 1) ends nine days before today.
+    """
     p = F.col("portfolio_id")
-    stale = p % 10 == 9
-    state = snapshots_.select(
+    dataset = lambda revision: F.concat(F.lit("ds-"), p.cast("string"), F.lit("-"), revision.cast("string"))
+    revision = (p % 3 + 1).cast("bigint")
+    state = tx_.groupBy("portfolio_id").agg(F.max("trade_date").alias("latest_date")).select(
+        "portfolio_id", dataset(revision).alias("dataset_id"), revision.alias("stored_revision"), F.lit("parser-1").alias("parser_version"), "latest_date"
+    )
+    before = lambda late: revision - F.when(late, 1).otherwise(0)
+    bound = snapshots_.select(
+        "portfolio_id",
+        "snapshot_id",
+        "valuation_date",
+        dataset(before(p % 10 == 9)).alias("bound_dataset_id"),
+        before(p % 10 == 9).alias("bound_revision"),
+        (p % 2 + 1).cast("bigint").alias("valuation_version"),
+    )
+    runs = snapshots_.where(p % 7 != 3).select(
         "portfolio_id",
-        F.when(stale, "STALE").otherwise("CURRENT").alias("freshness"),
-        F.when(stale, "TRANSACTION_VERSION_STALE").alias("freshness_issue"),
+        (p % 4 + 1).cast("bigint").alias("market_revision"),
+        dataset(before(p % 7 == 5)).alias("run_dataset_id"),
+        before(p % 7 == 5).alias("run_transaction_revision"),
+        F.concat(F.lit("run-"), (p % 2).cast("string"), F.lit("-"), (p % 4 + 1).cast("string")).alias("market_source_version"),
+        F.date_sub(F.lit(VALUATION_DATE), F.when(p % 7 == 1, 6).otherwise(0)).alias("latest_bar_date"),
     )
-    missing = snapshots_.where(p % 7 == 3).select(
-        "portfolio_id", F.lit("NO_RUN").alias("issue_code"), F.lit(None).cast("date").alias("date")
+    return state, bound, runs
+
+
+def freshness(tx_: DataFrame, snapshots_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(freshness, market issues, version vector) of a book, from the versions its parts are bound to."""
+    state, bound, runs = bindings(tx_, snapshots_)
+    today = F.lit(TODAY)
+    valued = versions.binding_freshness(state, bound, is_stale(F.col("valuation_date"), today))
+    market = versions.market_freshness(state, runs, is_stale(F.col("latest_bar_date"), today))
+    vector = (
+        state.withColumnRenamed("stored_revision", "transaction_revision")
+        .drop("dataset_id")
+        .join(bound.select("portfolio_id", "valuation_date", "bound_revision", "valuation_version"), "portfolio_id", "left")
+        .join(runs.drop("run_dataset_id", "market_revision"), "portfolio_id", "left")
+        .join(market.select("portfolio_id", "market_freshness"), "portfolio_id", "left")
     )
-    return state, missing
+    issues = market.where("issue_code is not null").select("portfolio_id", "issue_code", "date")
+    return stored(valued.select("portfolio_id", "freshness", "freshness_issue")), issues, stored(vector)
 
 
 def _money_text(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -26,6 +27,8 @@ class Book:
     markets: DataFrame | None = None  # portfolio_id, market_id
     requests: DataFrame | None = None  # strategy requests with request_id and portfolio_id
     prices: DataFrame | None = None  # ticker, date, price_twd, issue_code
+    versions: DataFrame | None = None  # portfolio_id and the versions its parts were made from
+    issue_rows: Callable[[Book], DataFrame] | None = None  # every issue with its domain
 
     @cached_property
     def security_ledger(self) -> DataFrame:
@@ -104,6 +107,11 @@ class Book:
     def fx_issues(self) -> DataFrame:
         return gate.ledger_issues(self.fx_ledger, "FX_COST")
 
+    @cached_property
+    def issue_counts(self) -> DataFrame:
+        """(portfolio_id, domain, code, n), counted once for all results."""
+        return stored(self.issue_rows(self).groupBy("portfolio_id", "domain", "code").agg(F.count("*").alias("n")))
+
     @cached_property
     def reconciled(self) -> DataFrame:
         return valuation.reconcile(self.components, self.basis)
@@ -122,9 +130,9 @@ def book(spark: SparkSession, sf_dir: str, clean: bool = False) -> Book:
     if key not in _books:
         tx = fixtures.tx_clean(spark, sf_dir) if clean else fixtures.tx(spark, sf_dir)
         snapshots = stored(fixtures.clean_snapshots(tx) if clean else fixtures.snapshots(tx))
-        freshness, market_issues = fixtures.freshness(snapshots)
+        freshness, market_issues, versions = fixtures.freshness(tx, snapshots)
         markets = snapshots.select("portfolio_id", (F.col("portfolio_id") % 2).alias("market_id"))
         _books[key] = Book(
-            tx, fixtures.marks(spark, sf_dir), snapshots, freshness, fixtures.market_bars(spark, sf_dir), market_issues, markets
+            tx, fixtures.marks(spark, sf_dir), snapshots, freshness, fixtures.market_bars(spark, sf_dir), market_issues, markets, versions=versions
         )
     return _books[key]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foliometry.operators import market
 from foliometry.operators.marks import fx_with_tolerance
 from foliometry.plans import fixtures
-from foliometry.plans.catalog import query, rounded, sql_rounded
+from foliometry.plans.catalog import query, rounded, sql_round, sql_rounded
 from foliometry.plans.oracle_views import view
 
 P = "portfolio_id"
@@ -143,6 +143,16 @@ def _(spark, sf):
     return market.run_summary(market.exploded_segments(segments(spark, sf), runs(spark)))
 
 
+@query(
+    "market_instrument_summary",
+    f"""SELECT CAST(0 AS BIGINT) AS market_id, revision, instrument_type, ticker, currency, count(*) AS bar_count, min(date) AS earliest_bar_date, max(date) AS latest_bar_date, {sql_round(4, 'arg_max(raw_close, date)')} AS latest_raw_close
+FROM v_revision_bars GROUP BY revision, instrument_type, ticker, currency""",
+)
+def _(spark, sf):
+    df = market.instrument_summary(market.exploded_segments(segments(spark, sf), runs(spark)))
+    return df.select(*df.columns[:-1], *rounded(4, "latest_raw_close"))
+
+
 def _text(c: str) -> str:
     return f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELSE CAST({c} AS VARCHAR) END"
 

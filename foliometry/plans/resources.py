@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from foliometry.functions.search import equals_text, from_date, to_date
 from foliometry.operators import flows, gate, returns, valuation
+from foliometry.plans import envelope
+from foliometry.plans.envelope import FX_COST_VERSION, PERFORMANCE_VERSION, RETURNS_VERSION, VALUATION_VERSION
+from foliometry.plans.envelope import by_freshness as status
 from foliometry.plans.portfolio import Book
 from foliometry.schema import twd_rate
 
@@ -24,11 +27,6 @@ P = "portfolio_id"
 VERSION = "1"
 DEFAULT_PAGE, MAX_PAGE = 100, 500  # fixed values
 
-VALUATION_VERSION = "valuation-1"
-PERFORMANCE_VERSION = "performance-1"
-RETURNS_VERSION = "returns-1"
-FX_COST_VERSION = "fx-cost-1"
-
 
 class QueryError(ValueError):
     def __init__(self, code: str, message: str) -> None:
@@ -190,13 +188,24 @@ def page(book: Book, name: str, limit: int | None = None, cursor: str | None = N
     return rows.offset(offset).limit(limit), encode_cursor(name, offset + limit) if more else None
 
 
-def status(freshness: Column, issues: Column) -> Column:
-    """STALE outranks INCOMPLETE (no snapshot or any issue), which outranks COMPLETE."""
-    return (
-        F.when(freshness == "STALE", "STALE")
-        .when((freshness != "CURRENT") | (issues > 0), "INCOMPLETE")
-        .otherwise("COMPLETE")
-    )
+def with_lineage(book: Book, name: str, rows: DataFrame, portfolio_id: int | None = None) -> DataFrame:
+    """rows of a resource, each with the status, issue digest and versions of its portfolio's result.
+
+    Rows of a market have those of one portfolio that reads it, which must be named.
+    """
+    quality = envelope.of_resource(_with_issues(book), name, security_terminal)
+    if _resource(name).key != P:
+        if portfolio_id is None:
+            raise QueryError("MISSING_PORTFOLIO", "rows of a market have a quality for a portfolio only")
+        quality = quality.join(book.markets, P).where(F.col(P) == portfolio_id)
+        return rows.join(quality, _resource(name).key)
+    taken = [c for c in quality.columns if c != P and c in rows.columns]
+    return rows.join(quality.drop(*taken), P)
+
+
+def _with_issues(book: Book) -> Book:
+    book.issue_rows = book.issue_rows or data_quality
+    return book
 
 
 def evaluate(book: Book, name: str, **parameters) -> DataFrame:
@@ -206,7 +215,8 @@ def evaluate(book: Book, name: str, **parameters) -> DataFrame:
     _allowed(parameters, m.parameters, "INVALID_METRIC_PARAMETER")
     if parameters.get("from_") and parameters.get("to") and parameters["from_"] > parameters["to"]:
         raise QueryError("INVALID_METRIC_PARAMETER", "from lies after to")
-    return m.build(book, **parameters).select(
+    quality = envelope.of_metric(_with_issues(book), name, parameters)
+    return m.build(book, **parameters).join(quality, P, "left").select(
         P,
         F.lit(name).alias("metric"),
         "value",
@@ -216,6 +226,10 @@ def evaluate(book: Book, name: str, **parameters) -> DataFrame:
         F.col("period_to").alias("as_of"),
         "status",
         F.lit(m.version).alias("calculation_version"),
+        F.when(F.col("status") == "COMPLETE", "").otherwise(F.col("issues")).alias("issues"),
+        "transaction_revision",
+        "valuation_version",
+        "source_version",
     )
 
 
@@ -404,6 +418,7 @@ def data_quality(book: Book) -> DataFrame:
             P,
             F.lit(domain).alias("domain"),
             code.alias("code"),
+            envelope.message(code).alias("message"),
             F.lit("BLOCKING").alias("severity"),
             date.cast("date").alias("date"),
             symbol.cast("string").alias("symbol"),
@@ -702,6 +717,7 @@ _resource_of(
     [
         Field("domain", "enum", "domain", values=("TRANSACTIONS", "CASH", "FX_COST", "VALUATION", "PERFORMANCE", "MARKET_DATA")),
         Field("code", "string", "issue code"),
+        Field("message", "string", "what the code says"),
         Field("severity", "enum", "severity", values=("BLOCKING",)),
         Field("date", "date", "date", True),
         Field("symbol", "string", "security", True),
