@@ -2,26 +2,25 @@
 
 Two kinds of vocabulary files are split at borders which no token and no pre-token crosses, whatever stands around them:
 a byte-level file between a character that is not white space and one of space, tab, \\n, \\r that follows it; a file that drops white
-space at every white space character of ASCII. The pieces between are encoded once and found again by their bytes. Any other file, and any text with rarer white space characters, is encoded whole.
+space at every white space character of ASCII. The pieces between are encoded once, found again by a hash and compared by their bytes. Any other file, and any text with rarer white space characters, is encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
-from collections import defaultdict
 from functools import lru_cache
-from itertools import count, islice
+from itertools import chain
 
 import numpy as np
 
-from foliometry.llm.words import owners, sums
+from foliometry.llm.words import hashes, owners, same_bytes, sums, words
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_500_000
+CACHE_STEMS = 300_000
 CACHE_BYTES = 64 << 20
-TEXT_END = b"\xff"
-SPACED_WORD = re.compile(rb"\s*\S+|\s+")
 
 RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 KEEPING, DROPPING = "keeping", "dropping"
@@ -95,7 +94,7 @@ class Encoder:
         """Ids of one pre-token of letters, or of one mark, from the library's model."""
         found = self.stems.get(stem)
         if found is None:
-            if len(self.stems) >= CACHE_PIECES:
+            if len(self.stems) >= CACHE_STEMS:
                 self.stems.clear()
             plain = stem.lower() if self.lower else stem
             mapped = plain if plain.isascii() and plain.isalpha() else "".join([self.letters[b] for b in plain.encode()])
@@ -110,45 +109,74 @@ class Encoder:
         ids = self._stem(space) + self._stem(stem) if space == "\n" else self._stem(space + stem)
         return ids + self._stem(mark) if mark else ids
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Store the ids of new pieces, whose entries follow those known; -1 ids tell that their text must be encoded whole."""
-        if not pieces:
-            return
-        encoded = []
-        for raw in pieces:
-            piece = raw.decode()
-            encoded.append(() if RARE_SPACE.search(piece) else self._piece(piece))
-        lengths = np.array([len(e) for e in encoded], np.int64)
-        ids = np.fromiter((i for e in encoded for i in e), self.dtype, int(lengths.sum()))
-        lengths[lengths == 0] = -1
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))[:-1]]).astype(np.int64)])
-        self.lengths = np.concatenate([self.lengths, lengths])
+    def _encoded(self, raw: bytes) -> list[int] | tuple[int, ...]:
+        if self.pieces is DROPPING:
+            if raw.isalpha():  # letters of ASCII alone
+                return self._stem(raw.decode())
+            if raw[-1:] in (b".", b",") and raw[:-1].isalpha():
+                return self._stem(raw[:-1].decode()) + self._stem(raw[-1:].decode())
+        piece = raw.decode()
+        return () if RARE_SPACE.search(piece) else self._piece(piece)
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Store new pieces with their ids; their entries. Length -1 tells that a text with this piece must be encoded whole."""
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects, none in a cycle
+        try:
+            encoded = [self._encoded(raw) for raw in pieces]
+        finally:
+            if collecting:
+                gc.enable()
+        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        ids = np.fromiter(chain.from_iterable(encoded), self.dtype, int(lengths.sum()))
+        entries = len(self.lengths) + np.arange(len(pieces))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, np.where(lengths == 0, -1, lengths)])
         self.flat = np.concatenate([self.flat, ids])
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.places = np.concatenate([self.places, len(self.bytes) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
+        return entries
 
     def _forget(self) -> None:
-        self.of: defaultdict = defaultdict(count(1).__next__, {TEXT_END: 0})
-        self.held_bytes = 0
-        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.dtype)
+        """Entry 0 is for pieces that are no known piece: their texts are encoded whole."""
+        self.keys, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.full(1, -1, np.int64), np.zeros(0, self.dtype)
+        self.places, self.sizes, self.bytes = np.zeros(1, np.int64), np.full(1, -1, np.int64), np.zeros(0, np.uint8)
+
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of a block of texts, and each text's first piece."""
+        starts, ends, first = words(data, offsets)
+        if self.pieces is KEEPING:
+            text = owners(first)
+            before = np.empty_like(starts)
+            before[1:] = ends[:-1]
+            heads = first[:-1][first[:-1] < first[1:]]
+            before[heads] = offsets[text[heads]]
+            last = np.where(first[1:] > first[:-1], ends[np.maximum(first[1:] - 1, 0)] if len(ends) else 0, offsets[:-1])
+            loose = np.flatnonzero(last < offsets[1:])
+            starts, ends = np.insert(before, first[loose + 1], last[loose]), np.insert(ends, first[loose + 1], offsets[loose + 1])
+            first = first + np.searchsorted(loose, np.arange(len(first)), "left")
+        return starts, ends, first
 
     def _entries(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The entry of every piece of a block of texts, and each text's first piece. Pieces are known by their bytes."""
-        if len(self.of) > CACHE_PIECES or self.held_bytes > CACHE_BYTES:
+        """The entry of every piece of a block of texts, and each text's first piece. Pieces are found by a hash and compared by their bytes."""
+        starts, ends, first = self._cut(data, offsets)
+        keys, example, column = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE_PIECES or len(self.bytes) > CACHE_BYTES:
             self._forget()
-        raw, ends = data.tobytes(), offsets.tolist()
-        if self.pieces is KEEPING:
-            found = []
-            for a, b in zip(ends, ends[1:], strict=False):
-                found += SPACED_WORD.findall(raw, a, b)
-                found.append(TEXT_END)
-        else:
-            found = b"".join([raw[a:b] + b" \xff " for a, b in zip(ends, ends[1:], strict=False)]).split()
-        known = len(self.of)
-        entry = np.fromiter(map(self.of.__getitem__, found), np.int64, len(found))
-        new = list(islice(self.of, known, None))
-        self.held_bytes += sum(map(len, new))
-        self._learn(new)
-        marks = np.flatnonzero(entry == 0)
-        return entry[entry > 0], np.append(0, marks - np.arange(len(marks)))
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        entry = np.empty(len(keys), np.int64)
+        entry[~new] = self.entries[at[~new]]
+        raw = data.tobytes()
+        entry[new] = self._learn([raw[starts[k] : ends[k]] for k in example[new].tolist()])
+        self.keys, self.entries = np.insert(self.keys, at[new], keys[new]), np.insert(self.entries, at[new], entry[new])
+        found = entry[column]
+        return np.where(same_bytes(data, starts, ends, self.bytes, self.places[found], self.sizes[found]), found, 0), first
 
     def _by_text(self, data: np.ndarray, offsets: np.ndarray, texts: np.ndarray) -> dict[int, list[int]]:
         return {int(t): self.whole(data[offsets[t] : offsets[t + 1]].tobytes().decode()) for t in texts}

@@ -68,22 +68,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _cut_lane(lane: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Without the bytes behind a span of which `left` bytes are left."""
+    short = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+    return (lane << short) >> short
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span: its length, then eight bytes at a time mixed in; spans over LONG_BYTES by xxh3.
 
     No sum of bytes is taken, so no arrangement of equal parts, such as a Thue-Morse word, meets its complement.
     """
     sizes = ends - starts
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    lanes = _lanes(data)
     out = mix(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(SEED))
-    active = np.flatnonzero((sizes > 0) & (sizes <= LONG_BYTES))
-    at = 0
+    active, at = np.flatnonzero((sizes > 0) & (sizes <= LONG_BYTES)), 0
     while len(active):
         left = sizes[active] - at
-        lane = lanes[starts[active] + at]
-        short = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
-        out[active] = mix((out[active] ^ ((lane << short) >> short)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xA0761D6478BD642F))
+        lane = _cut_lane(lanes[starts[active] + at], left)
+        out[active] = mix((out[active] ^ lane) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xA0761D6478BD642F))
         at += 8
         active = active[left > 8]
     for k in np.flatnonzero(sizes > LONG_BYTES).tolist():
@@ -91,6 +100,22 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each span has the same bytes as the one of `sizes` bytes from `places` on in others."""
+    same = ends - starts == sizes
+    lanes, other_lanes = _lanes(data), _lanes(others)
+    active, at = np.flatnonzero(same & (sizes > 0) & (sizes <= LONG_BYTES)), 0
+    while len(active):
+        left = sizes[active] - at
+        differ = _cut_lane(lanes[starts[active] + at] ^ other_lanes[places[active] + at], left) != 0
+        same[active[differ]] = False
+        at += 8
+        active = active[(left > 8) & ~differ]
+    for k in np.flatnonzero(same & (sizes > LONG_BYTES)).tolist():
+        same[k] = np.array_equal(data[starts[k] : ends[k]], others[places[k] : places[k] + sizes[k]])
+    return same
+
+
 def window_hashes(word_hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each `size` consecutive words, by the first word; the last size-1 entries are missing."""
     n = len(word_hashes) - size + 1
