@@ -98,8 +98,9 @@ class Issues:
         self.book = book
 
     def domain(self, name: str) -> DataFrame:
-        found = self.book.issue_counts.where(F.col("domain") == name)
-        return found.where(~F.col("code").isin(*FRESHNESS_CODES, returns.COVERAGE_ISSUE)).select(P, "code", "n")
+        """Of one domain, without reading what the others are made from."""
+        found = coded(self.book.issue_rows(self.book, name), "code")
+        return found.where(~F.col("code").isin(*FRESHNESS_CODES, returns.COVERAGE_ISSUE))
 
     @property
     def freshness(self) -> DataFrame:
@@ -159,7 +160,7 @@ def of_resource(book, name: str, security_terminal) -> DataFrame:
     elif name == "strategy_comparison":
         parts, version, status = (issues.absent("MISSING_VALUATION").where("false"),), F.lit(STRATEGY_VERSION), "rows"
     else:
-        parts, status = (book.issue_counts.select(P, "code", "n"),), "all"
+        parts, status = (coded(book.issue_rows(book, None), "code"),), "all"
 
     df = book.freshness.select(P, "freshness").join(v, P, "left").join(digest(*parts), P, "left")
     n = F.coalesce("n_issues", F.lit(0))

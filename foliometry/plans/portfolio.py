@@ -28,7 +28,7 @@ class Book:
     requests: DataFrame | None = None  # strategy requests with request_id and portfolio_id
     prices: DataFrame | None = None  # ticker, date, price_twd, issue_code
     versions: DataFrame | None = None  # portfolio_id and the versions its parts were made from
-    issue_rows: Callable[[Book], DataFrame] | None = None  # every issue with its domain
+    issue_rows: Callable[[Book, str | None], DataFrame] | None = None  # issues of one domain, or of all
 
     @cached_property
     def security_ledger(self) -> DataFrame:
@@ -107,11 +107,6 @@ class Book:
     def fx_issues(self) -> DataFrame:
         return gate.ledger_issues(self.fx_ledger, "FX_COST")
 
-    @cached_property
-    def issue_counts(self) -> DataFrame:
-        """(portfolio_id, domain, code, n), counted once for all results."""
-        return stored(self.issue_rows(self).groupBy("portfolio_id", "domain", "code").agg(F.count("*").alias("n")))
-
     @cached_property
     def reconciled(self) -> DataFrame:
         return valuation.reconcile(self.components, self.basis)

@@ -11,6 +11,7 @@ import base64
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,7 +205,7 @@ def with_lineage(book: Book, name: str, rows: DataFrame, portfolio_id: int | Non
 
 
 def _with_issues(book: Book) -> Book:
-    book.issue_rows = book.issue_rows or data_quality
+    book.issue_rows = book.issue_rows or issue_rows
     return book
 
 
@@ -409,11 +410,16 @@ def strategies(book: Book) -> DataFrame:
     return book.strategies
 
 
-def data_quality(book: Book) -> DataFrame:
-    """Every issue of every domain, one row each."""
-    none = F.lit(None)
+DOMAINS = ("TRANSACTIONS", "CASH", "FX_COST", "VALUATION", "PERFORMANCE", "MARKET_DATA")
+
 
-    def rows(df: DataFrame, domain: str, code: Column, date: Column, symbol: Column) -> DataFrame:
+def issue_rows(book: Book, domain: str | None = None) -> DataFrame:
+    """Every issue of a domain, or of all of them, one row each; the ledgers of other domains are not built."""
+    if domain is None:
+        return reduce(DataFrame.unionByName, [issue_rows(book, d) for d in DOMAINS])
+    none, code, day = F.lit(None), F.col("issue_code"), F.col("trade_date")
+
+    def rows(df: DataFrame, code: Column, date: Column, symbol: Column) -> DataFrame:
         return df.select(
             P,
             F.lit(domain).alias("domain"),
@@ -424,9 +430,20 @@ def data_quality(book: Book) -> DataFrame:
             symbol.cast("string").alias("symbol"),
         )
 
-    code, day = F.col("issue_code"), F.col("trade_date")
-    current = book.freshness.where("freshness = 'CURRENT'").select(P)
-    valued = valuation.valuation_issues(book.components, book.marks, book.snapshots).join(current, P, "left_semi")
+    if domain == "TRANSACTIONS":
+        return rows(gate.ledger_issues(book.security_ledger, ""), code, day, F.col("ticker"))
+    if domain == "CASH":
+        return rows(gate.ledger_issues(book.cash_ledger, ""), code, day, none)
+    if domain == "FX_COST":
+        return rows(gate.ledger_issues(book.fx_ledger, ""), code, day, F.nullif(F.col("ticker"), F.lit("")))
+    if domain == "VALUATION":
+        current = book.freshness.where("freshness = 'CURRENT'").select(P)
+        valued = valuation.valuation_issues(book.components, book.marks, book.snapshots).join(current, P, "left_semi")
+        old = book.freshness.where("freshness_issue is not null").join(book.snapshots.select(P, "valuation_date"), P, "left")
+        stale_day = F.when(F.col("freshness_issue") == "VALUATION_DATE_STALE", F.col("valuation_date"))
+        return rows(valued, code, none, none).unionByName(rows(old, F.col("freshness_issue"), stale_day, none))
+    if domain == "MARKET_DATA":
+        return rows(book.market_issues, code, F.col("date"), none)
     summary = flows.performance_summary(book.tx, terminal(book))
     # an unrated external flow is one issue per row; the summary names its code once
     codes = summary.select(P, F.explode(F.split("issue_codes", ",")).alias("issue_code")).where(
@@ -439,23 +456,20 @@ def data_quality(book: Book) -> DataFrame:
         .where("valuation_date is null or trade_date <= valuation_date")
         .withColumn("issue_code", F.lit("MISSING_EXTERNAL_FLOW_FX"))
     )
-    old = book.freshness.where("freshness_issue is not null").join(book.snapshots.select(P, "valuation_date"), P, "left")
-    stale_day = F.when(F.col("freshness_issue") == "VALUATION_DATE_STALE", F.col("valuation_date"))
     starts = book.tx.groupBy(P).agg(F.min("trade_date").alias("first"))
     uncovered = book.snapshots.select(P).join(starts, P)
     return (
-        rows(gate.ledger_issues(book.security_ledger, ""), "TRANSACTIONS", code, day, F.col("ticker"))
-        .unionByName(rows(gate.ledger_issues(book.cash_ledger, ""), "CASH", code, day, none))
-        .unionByName(rows(gate.ledger_issues(book.fx_ledger, ""), "FX_COST", code, day, F.nullif(F.col("ticker"), F.lit(""))))
-        .unionByName(rows(valued, "VALUATION", code, none, none))
-        .unionByName(rows(codes, "PERFORMANCE", code, none, none))
-        .unionByName(rows(unrated, "PERFORMANCE", code, none, none))
-        .unionByName(rows(old, "VALUATION", F.col("freshness_issue"), stale_day, none))
-        .unionByName(rows(uncovered, "PERFORMANCE", F.lit(returns.COVERAGE_ISSUE), F.col("first"), none))
-        .unionByName(rows(book.market_issues, "MARKET_DATA", code, F.col("date"), none))
+        rows(codes, code, none, none)
+        .unionByName(rows(unrated, code, none, none))
+        .unionByName(rows(uncovered, F.lit(returns.COVERAGE_ISSUE), F.col("first"), none))
     )
 
 
+def data_quality(book: Book) -> DataFrame:
+    """Every issue of every domain, one row each."""
+    return issue_rows(book)
+
+
 # --- metrics --------------------------------------------------------------------------------------
 
 
