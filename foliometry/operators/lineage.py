@@ -1,29 +1,27 @@
 """Which stored transaction an incoming row continues: identity kept only where evidence is unique.
 
-All matching is by counts per group and equi-joins on group keys, so a group of any size is spread
-over tasks; no group is ever collected.
+Every group key of the matching holds the identity (type, ticker, currency): equal contents and equal
+row hashes imply it.  Both sides are therefore put side by side and shuffled once, by portfolio and
+identity; all counts are windows inside that partitioning, and the n-th of several equal rows is
+matched with the n-th of the other side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliometry.functions.hashing import content_hash
-from foliometry.operators.ranking import number_within
-from foliometry.runtime import stored
 
 P = "portfolio_id"
 IDENTITY = ("transaction_type", "ticker_key", "currency_key")
-SEMANTIC = ("trade_date", *IDENTITY)
-CORRECTION = ("source_row_number", *IDENTITY)
+GROUP = (P, *IDENTITY)
 
 
-def _keyed(rows: DataFrame, row: str, *more: str) -> DataFrame:
-    """Only the columns that matching needs: group keys, row hash and row number."""
+def _side(rows: DataFrame, incoming: bool, payload: Column, transaction_id: Column) -> DataFrame:
+    """Group keys, row hash, row number and, for incoming rows, all their columns as one."""
     return rows.select(
         P,
-        F.col("source_row_number").alias(row),
         "source_row_number",
         "trade_date",
         "transaction_type",
@@ -31,105 +29,88 @@ def _keyed(rows: DataFrame, row: str, *more: str) -> DataFrame:
         F.upper("currency").alias("currency_key"),
         "row_hash",
         content_hash(rows).alias("content"),
-        *more,
+        F.lit(incoming).alias("incoming"),
+        transaction_id.alias("stored_id"),
+        payload.alias("payload"),
     )
 
 
-def _counts(rows: DataFrame, key: list[str], name: str) -> DataFrame:
-    return rows.groupBy(*key).agg(F.count("*").alias(name))
+def _counted(df: DataFrame, key: list[str], **conditions: Column) -> DataFrame:
+    """Add how many rows of each row's group meet each condition."""
+    group = Window.partitionBy(*key)
+    return df.withColumns({name: F.count_if(condition).over(group) for name, condition in conditions.items()})
 
 
-def _compare(previous: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Group sizes on both sides for groups present in incoming and previous."""
-    return _counts(previous, key, "n_previous").join(_counts(incoming, key, "n_incoming"), key)
-
-
-def _flag(rows: DataFrame, groups: DataFrame, key: list[str], which: Column | None = None) -> DataFrame:
-    """Mark rows whose group is in ``groups`` as ambiguous."""
-    hit = rows.join(groups.select(*key).withColumn("hit", F.lit(True)), key, "left")
-    found = F.coalesce(F.col("hit"), F.lit(False))
-    return hit.withColumn("ambiguous", F.col("ambiguous") | (found if which is None else found & which)).drop("hit")
-
-
-def _assign(rows: DataFrame, matches: DataFrame) -> DataFrame:
-    """Give matched rows the stored id."""
-    df = rows.join(matches.select(P, "row_in", F.col("transaction_id").alias("matched_id")), [P, "row_in"], "left")
-    return df.withColumn("transaction_id", F.coalesce("transaction_id", "matched_id")).drop("matched_id")
-
-
-def _unused(previous: DataFrame, matches: DataFrame) -> DataFrame:
-    return previous.join(matches.select(P, "transaction_id"), [P, "transaction_id"], "left_anti")
-
-
-def _unique_pairs(previous: DataFrame, incoming: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One-to-one matches by key, and the groups that are present on both sides but not one-to-one."""
-    sizes = _compare(previous, incoming, key)
-    single = (F.col("n_previous") == 1) & (F.col("n_incoming") == 1)
-    pairs = sizes.where(single).select(*key)
-    matches = (
-        incoming.join(pairs, key).select(*key, "row_in").join(previous.select(*key, "transaction_id"), key)
-    ).select(P, "row_in", "transaction_id")
-    return matches, sizes.where(~single).select(*key)
-
-
-def lineage_plan(previous: DataFrame, incoming: DataFrame, cut=stored) -> DataFrame:
+def lineage_plan(previous: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows with ``kind`` UNCHANGED, CORRECTED or NEW, the id they keep and ``ambiguous``.
 
     ``previous`` carries ``transaction_id`` and ``row_hash``; ``incoming`` carries ``row_hash``.  Row
-    numbers are unique per portfolio on each side.  ``cut`` writes what several later steps read.
+    numbers are unique per portfolio on each side.
     """
-    prev = cut(_keyed(previous, "row_prev", "transaction_id"))
-    inc = cut(_keyed(incoming, "row_in"))
+    whole = F.struct(*incoming.columns)
+    none = F.lit(None).cast(incoming.select(whole.alias("w")).schema["w"].dataType)
+    stored = _side(previous, False, none, F.col("transaction_id"))
+    df = stored.unionByName(_side(incoming, True, whole, F.lit(None).cast("string"))).repartition(*GROUP)
+    new, old = F.col("incoming"), ~F.col("incoming")
 
     # repeated identical fills whose number changed: their occurrence hashes are no evidence
-    shifted = _compare(prev, inc, [P, "content"]).where("n_previous <> n_incoming")
-    inc = cut(_flag(inc.withColumn("ambiguous", F.lit(False)), shifted, [P, "content"]))
-
-    by_hash = lambda rows, row: number_within(rows, [P, "row_hash"], row, "copy")
-    exact = by_hash(inc.where("not ambiguous"), "row_in").select(P, "row_hash", "copy", "row_in").join(
-        by_hash(prev, "row_prev").select(P, "row_hash", "copy", "transaction_id"), [P, "row_hash", "copy"]
-    )
-    exact = cut(exact.select(P, "row_in", "transaction_id"))
-
-    # from here on only the rows without an exact match are carried along
-    left = inc.join(exact, [P, "row_in"], "left_anti").drop("content", "row_hash")
-    left = cut(left.withColumn("transaction_id", F.lit(None).cast("string")))
-    prev = cut(_unused(prev, exact).drop("content", "row_hash"))
+    df = _counted(df, [*GROUP, "content"], n_old=old, n_new=new)
+    df = df.withColumn("shifted", new & (F.col("n_old") > 0) & (F.col("n_old") != F.col("n_new")))
+    # the n-th row of a hash continues the n-th stored one
+    df = df.withColumn("copy", F.row_number().over(Window.partitionBy(*GROUP, "row_hash", "incoming").orderBy("source_row_number")))
+    df = df.withColumn("copy", F.when(~F.col("shifted"), F.col("copy")))
+    same = Window.partitionBy(*GROUP, "row_hash", "copy")
+    df = df.withColumns({"twin": F.max("stored_id").over(same), "twins": F.count("*").over(same)})
+    exact = F.col("copy").isNotNull() & (F.col("twins") == 2)
+    df = df.withColumn("exact", exact).drop("row_hash", "content", "copy", "twins", "n_old", "n_new")
+
+    # from here on only rows without an exact match count; a missing key matches nothing
+    known = F.col("ticker_key").isNotNull() & F.col("currency_key").isNotNull() & F.col("transaction_type").isNotNull()
+    left = ~F.col("exact") & known
+    semantic = [*GROUP, "trade_date"]
 
     # identity groups that are neither one-to-one nor equal as multisets of dated trades
-    dated = _counts(prev, [P, *SEMANTIC], "n_previous").join(
-        _counts(left, [P, *SEMANTIC], "n_incoming"), [P, *SEMANTIC], "full_outer"
+    df = _counted(df, semantic, day_old=left & old, day_new=left & new)
+    df = _counted(df, [*GROUP], n_old=left & old, n_new=left & new, n_unequal=left & (F.col("day_old") != F.col("day_new")))
+    one_to_one = (F.col("n_old") == 1) & (F.col("n_new") == 1)
+    unequal = left & (F.col("n_old") > 0) & (F.col("n_new") > 0) & (F.col("n_unequal") > 0) & ~one_to_one
+    df = df.withColumn("ambiguous", new & ~F.col("exact") & (F.col("shifted") | unequal))
+
+    # one-to-one by date and identity
+    dated = left & F.col("trade_date").isNotNull()
+    df = _counted(df, semantic, n_old=dated & old, n_new=dated & new & ~F.col("ambiguous"))
+    day = Window.partitionBy(*semantic)
+    both = dated & (F.col("n_old") > 0) & (F.col("n_new") > 0)
+    single = both & (F.col("n_old") == 1) & (F.col("n_new") == 1)
+    clear = new & ~F.col("ambiguous")
+    df = df.withColumns(
+        {
+            "matched_id": F.when(single & clear, F.max(F.when(dated & old, F.col("stored_id"))).over(day)),
+            "used": single & old,
+            "ambiguous": F.col("ambiguous") | (both & ~single & clear),
+        }
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    groups = dated.groupBy(P, *IDENTITY).agg(
-        F.sum(zero("n_previous")).alias("n_previous"),
-        F.sum(zero("n_incoming")).alias("n_incoming"),
-        F.bool_and(zero("n_previous") == zero("n_incoming")).alias("same"),
-    )
-    unequal = groups.where(
-        "n_previous > 0 and n_incoming > 0 and not same and not (n_previous = 1 and n_incoming = 1)"
-    )
-    left = cut(_flag(left, unequal, [P, *IDENTITY]))
-
-    clear = ~F.col("ambiguous")
-    matches, several = _unique_pairs(prev, left.where(clear), [P, *SEMANTIC])
-    matches = cut(matches)
-    left = cut(_assign(_flag(left, several, [P, *SEMANTIC], clear), matches))
-    prev = cut(_unused(prev, matches))
 
     # what is left must be one-to-one per identity before the row number may speak
-    open_ = F.col("transaction_id").isNull()
-    sizes = _compare(prev, left.where(open_), [P, *IDENTITY])
-    left = cut(_flag(left, sizes.where("not (n_previous = 1 and n_incoming = 1)"), [P, *IDENTITY], open_))
-    matches, _several = _unique_pairs(prev, left.where(open_ & clear), [P, *CORRECTION])
-    left = _assign(left, matches)
-
-    unchanged = exact.select(P, "row_in", "transaction_id", F.lit("UNCHANGED").alias("kind"), F.lit(False).alias("ambiguous"))
-    rest = left.select(
-        P, "row_in", "transaction_id", F.when(open_, "NEW").otherwise("CORRECTED").alias("kind"), (F.col("ambiguous") & open_).alias("ambiguous")
+    open_ = new & left & F.col("matched_id").isNull()
+    unused = old & left & ~F.col("used")
+    df = _counted(df, [*GROUP], n_old=unused, n_new=open_)
+    several = (F.col("n_old") > 0) & (F.col("n_new") > 0) & ~one_to_one
+    df = df.withColumn("ambiguous", F.col("ambiguous") | (open_ & several))
+    correction = [*GROUP, "source_row_number"]
+    numbered = F.col("source_row_number").isNotNull()
+    df = _counted(df, correction, n_old=unused & numbered, n_new=open_ & ~F.col("ambiguous") & numbered)
+    row = Window.partitionBy(*correction)
+    partner = F.max(F.when(unused, F.col("stored_id"))).over(row)
+    df = df.withColumn("row_id", F.when(open_ & ~F.col("ambiguous") & numbered & one_to_one, partner))
+
+    found = F.coalesce(F.when(F.col("exact"), F.col("twin")), "matched_id", "row_id")
+    kind = F.when(F.col("exact"), "UNCHANGED").when(found.isNull(), "NEW").otherwise("CORRECTED")
+    out = df.where("incoming").select(
+        "payload.*", found.alias("matched"), kind.alias("kind"), (F.col("ambiguous") & found.isNull()).alias("ambiguous_row")
     )
-    verdicts = unchanged.unionByName(rest).withColumnRenamed("row_in", "source_row_number")
-    return incoming.join(verdicts, [P, "source_row_number"]).select(*incoming.columns, "transaction_id", "kind", "ambiguous")
+    columns = [c for c in incoming.columns]
+    return out.select(*columns, F.col("matched").alias("transaction_id"), "kind", F.col("ambiguous_row").alias("ambiguous"))
 
 
 def plan_summary(plan: DataFrame, previous: DataFrame) -> DataFrame:
