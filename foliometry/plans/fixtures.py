@@ -168,7 +168,7 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def tx_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same trades, never blocked: opening lots cover every sale, opening deposits every purchase."""
+    """The same trades and all orders, never blocked: opening lots cover every sale, opening deposits every purchase, exchange and withdrawal."""
     trades = _trades(spark, sf_dir).withColumn(
         "fx_rate", F.when(F.col("currency") == "TWD", 1.0).otherwise(F.col("rate"))
     )
@@ -190,9 +190,15 @@ def tx_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     buys = trades.select(*COLUMNS).unionByName(lots).where("quantity > 0")
-    spent = buys.groupBy("portfolio_id", "currency").agg(
-        F.sum(cents("amount_foreign") + cents("fee")).alias("spent")
+    purchases = buys.select("portfolio_id", "currency", (cents("amount_foreign") + cents("fee")).alias("cents"))
+    priority = F.substring("o_orderpriority", 1, 1)
+    tenths = 300 + F.col("o_orderkey") % 40  # of TWD per USD
+    leaving = _orders(spark, sf_dir).select(
+        "portfolio_id",
+        F.when(priority == "4", "USD").otherwise("TWD").alias("currency"),
+        F.when(priority == "3", 5_000 * tenths).when(priority == "4", 40_000).when(priority == "5", 5_000_000).cast("bigint").alias("cents"),
     )
+    spent = purchases.unionByName(leaving.where("cents is not null")).groupBy("portfolio_id", "currency").agg(F.sum("cents").alias("spent"))
     deposits = spent.select(
         "portfolio_id",
         F.when(F.col("currency") == "TWD", 1).when(F.col("currency") == "USD", 2).otherwise(3).cast("bigint").alias("source_row_number"),
@@ -206,23 +212,20 @@ def tx_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("currency") == "TWD", 1.0).otherwise(30.5).alias("fx_rate"),
         F.lit(0.0).alias("fee"),
     )
-    urgent = F.col("o_orderpriority") == "1-URGENT"
-    external = (
-        _orders(spark, sf_dir)
-        .where(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
-        .select(
-            "portfolio_id",
-            "source_row_number",
-            "trade_date",
-            F.when(urgent, "CASH_IN").otherwise("CASH_OUT").alias("transaction_type"),
-            F.lit("").alias("ticker"),
-            F.lit("TWD").alias("currency"),
-            F.lit(0.0).alias("quantity"),
-            F.lit(0.0).alias("price"),
-            F.when(urgent, 100_000.0).otherwise(50_000.0).alias("amount_foreign"),
-            F.lit(1.0).alias("fx_rate"),
-            F.lit(0.0).alias("fee"),
-        )
+    kind = F.when(priority.isin("1", "2"), "CASH_IN").when(priority == "3", "FX_BUY").when(priority == "4", "FX_SELL").otherwise("CASH_OUT")
+    amount = F.when(priority == "1", 100_000.0).when(priority == "2", 1_000.0).when(priority == "3", 500.0).when(priority == "4", 400.0).otherwise(50_000.0)
+    external = _orders(spark, sf_dir).select(
+        "portfolio_id",
+        "source_row_number",
+        "trade_date",
+        kind.alias("transaction_type"),
+        F.lit("").alias("ticker"),
+        F.when(priority.isin("1", "5"), "TWD").otherwise("USD").alias("currency"),
+        F.lit(0.0).alias("quantity"),
+        F.lit(0.0).alias("price"),
+        amount.alias("amount_foreign"),
+        F.when(priority.isin("1", "5"), 1.0).otherwise(tenths / 10).alias("fx_rate"),
+        F.lit(0.0).alias("fee"),
     )
     return trades.select(*COLUMNS).unionByName(lots).unionByName(deposits).unionByName(external)
 

@@ -103,12 +103,17 @@ UNION ALL
 SELECT portfolio_id, CASE currency WHEN 'TWD' THEN 1 WHEN 'USD' THEN 2 ELSE 3 END, DATE '1995-01-01', 'CASH_IN', '', currency, 0e0, 0e0,
   ceil(spent / 1e8) * 1e6 + 5e7, CASE WHEN currency = 'TWD' THEN 1e0 ELSE 305e-1 END, 0e0
 FROM (SELECT portfolio_id, currency, sum(CAST(round(amount_foreign * 100) AS BIGINT) + CAST(round(fee * 100) AS BIGINT)) AS spent
-  FROM (SELECT portfolio_id, currency, quantity, amount_foreign, fee FROM v_trades UNION ALL
-        SELECT portfolio_id, currency, quantity, amount_foreign, fee FROM v_lots) WHERE quantity > 0 GROUP BY ALL)
+  FROM (SELECT portfolio_id, currency, amount_foreign, fee FROM v_trades WHERE quantity > 0 UNION ALL
+        SELECT portfolio_id, currency, amount_foreign, fee FROM v_lots WHERE quantity > 0 UNION ALL
+        SELECT portfolio_id, CASE o_orderpriority[1] WHEN '4' THEN 'USD' ELSE 'TWD' END,
+          CASE o_orderpriority[1] WHEN '3' THEN 50 * (300 + o_orderkey % 40) WHEN '4' THEN 400 ELSE 50000 END, 0
+        FROM v_orders WHERE o_orderpriority[1] IN ('3', '4', '5')) GROUP BY ALL)
 UNION ALL
-SELECT portfolio_id, source_row_number, trade_date, CASE o_orderpriority[1] WHEN '1' THEN 'CASH_IN' ELSE 'CASH_OUT' END, '', 'TWD', 0e0, 0e0,
-  CASE o_orderpriority[1] WHEN '1' THEN 1e5 ELSE 5e4 END, 1e0, 0e0
-FROM v_orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
+SELECT portfolio_id, source_row_number, trade_date, CASE o_orderpriority[1] WHEN '3' THEN 'FX_BUY' WHEN '4' THEN 'FX_SELL' WHEN '5' THEN 'CASH_OUT' ELSE 'CASH_IN' END, '',
+  CASE WHEN o_orderpriority[1] IN ('1', '5') THEN 'TWD' ELSE 'USD' END, 0e0, 0e0,
+  CASE o_orderpriority[1] WHEN '1' THEN 1e5 WHEN '2' THEN 1e3 WHEN '3' THEN 5e2 WHEN '4' THEN 4e2 ELSE 5e4 END,
+  CASE WHEN o_orderpriority[1] IN ('1', '5') THEN 1e0 ELSE (300 + o_orderkey % 40) / 1e1 END, 0e0
+FROM v_orders""",
 )
 view(
     "v_prices",
