@@ -233,6 +233,7 @@ _REPLAY_OUTPUT = T.StructType(
         T.StructField("amount_twd", T.DoubleType()),
         T.StructField("value_before", T.DoubleType()),
         T.StructField("value_after", T.DoubleType()),
+        T.StructField("units", T.ArrayType(T.DoubleType())),
         T.StructField("issue_code", T.StringType()),
     ]
 )
@@ -253,7 +254,7 @@ def _replay_step(s: dict, row: tuple, emit) -> None:
         elif value > EPSILON and amount > EPSILON:
             units = [max(0.0, u - amount * (u * p / value) / p) for u, p in zip(units, prices)]
     s["units"] = units
-    emit((date, kind, amount, value, sum(u * p for u, p in zip(units, prices)), problem))
+    emit((date, kind, amount, value, sum(u * p for u, p in zip(units, prices)), units, problem))
 
 
 REPLAY_FOLD = Fold(
@@ -267,7 +268,7 @@ REPLAY_FOLD = Fold(
 
 
 def replay_ledger(flows: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Every common day's opening mark, then its trades in row order; sales shrink all legs alike."""
+    """Trades in row order on their execution days with the units held after each; sales shrink all legs alike."""
     events = flows.where("issue_code is null")
     executed = next_trading_date(calendar, events.withColumnRenamed("requested_date", "date"), R)
     placed = (
@@ -276,18 +277,32 @@ def replay_ledger(flows: DataFrame, calendar: DataFrame) -> DataFrame:
         .select(R, F.col("execution_date").alias("date"), F.col("source_row_number").alias("event_order"), "kind", "amount_twd")
         .join(calendar, [R, "date"])
     )
-    opening = calendar.select(
-        R, "date", F.lit(0).cast("bigint").alias("event_order"), F.lit("OPEN").alias("kind"), F.lit(0.0).alias("amount_twd"), "weights", "prices"
-    )
-    return ordered_fold(opening.unionByName(placed), REPLAY_FOLD)
+    return ordered_fold(placed, REPLAY_FOLD)
+
 
+def replay_values(ledger: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Value before and after the trades of every common day from the first trade on.
 
-def replay_values(ledger: DataFrame) -> DataFrame:
-    traded = ledger.where("kind <> 'OPEN'").groupBy(R).agg(F.min("date").alias("first_day"))
-    days = ledger.groupBy(R, "date").agg(
-        clean(F.min_by("value_before", "step")).alias("value_before"), clean(F.max_by("value_after", "step")).alias("value_after")
+    Units change on trading days only: each common day carries the units of the last one before it.
+    A run that was blocked ends on that day.
+    """
+    ends = ledger.groupBy(R, "date").agg(F.max_by(F.struct("units", "value_after"), "step").alias("end"))
+    span = ledger.groupBy(R).agg(
+        F.min("date").alias("first_day"), F.min(F.when(F.col("issue_code").isNotNull(), F.col("date"))).alias("blocked_day")
+    )
+    in_order = Window.partitionBy(R).orderBy("date")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    df = calendar.join(ends, [R, "date"], "left").withColumn("held", F.last("end.units", ignorenulls=True).over(before))
+    value = F.aggregate(F.zip_with("held", "prices", lambda u, p: u * p), F.lit(0.0), lambda s, v: s + v)
+    df = df.withColumn("opening", F.coalesce(value, F.lit(0.0))).join(span, R)
+    days = df.where((F.col("date") >= F.col("first_day")) & (F.col("blocked_day").isNull() | (F.col("date") <= F.col("blocked_day"))))
+    return days.select(
+        R,
+        F.lit(REPLAY).alias("mode"),
+        "date",
+        clean("opening").alias("value_before"),
+        clean(F.coalesce("end.value_after", "opening")).alias("value_after"),
     )
-    return days.join(traded, R).where("date >= first_day").select(R, F.lit(REPLAY).alias("mode"), "date", "value_before", "value_after")
 
 
 def unitised_curve(values: DataFrame) -> DataFrame:
@@ -450,12 +465,12 @@ def compare(
         replay_ledger(trades.join(refused.select(R).distinct(), R, "left_anti"), days.join(refused.select(R).distinct(), R, "left_anti"))
     )
 
-    values = contribution_values(planned, days).unionByName(replay_values(ledger))
+    values = contribution_values(planned, days).unionByName(replay_values(ledger, days))
     curve = cut(unitised_curve(values))
     executions = planned.select(
         *RUN, F.col("execution_date").alias("date"), F.lit("CONTRIBUTION").alias("kind"), "amount_twd"
     ).unionByName(
-        ledger.where("kind <> 'OPEN' and issue_code is null").select(R, F.lit(REPLAY).alias("mode"), "date", "kind", "amount_twd")
+        ledger.where("issue_code is null").select(R, F.lit(REPLAY).alias("mode"), "date", "kind", "amount_twd")
     )
     modes = F.explode(F.array(*[F.lit(m) for m in (DCA, LUMP, REPLAY)])).alias("mode")
     runs = requests.select(R, modes)
