@@ -71,25 +71,44 @@ def snapshot_quotes(marks: DataFrame, snapshots: DataFrame) -> DataFrame:
     return marks_on_dates(marks, snapshots.select("snapshot_id", F.col("valuation_date").alias("as_of")))
 
 
-def marks_on_dates(marks: DataFrame, dates: DataFrame) -> DataFrame:
-    """Newest mark at or before every wanted (snapshot, date), for every key of the snapshot.
+def marks_on_dates(marks: DataFrame, dates: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Newest mark at or before every wanted (snapshot, date), for every key of the snapshot or those in ``keys``.
 
-    ``dates`` has (snapshot_id, as_of).  Wanted dates are days, so the result is bounded by
-    keys x calendar days and never by the number of portfolios that ask.
+    ``dates`` has (snapshot_id, as_of), ``keys`` the columns of KEY.  Wanted dates are days, so the
+    result is bounded by keys x calendar days and never by the number of portfolios that ask.
     """
     daily = daily_marks(marks)
-    keys = daily.select(*KEY).distinct()
-    wanted = keys.join(dates.distinct(), "snapshot_id").select(*KEY, F.col("as_of").alias("day"), F.lit(True).alias("wanted"))
-    seen = daily.select(*KEY, F.col("mark_date").alias("day"), F.struct("mark_date", "value", "source", "conflict").alias("mark"))
-    both = seen.join(wanted, [*KEY, "day"], "full_outer")
-    upto = Window.partitionBy(*KEY).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if keys is not None:
+        daily = daily.join(keys.distinct(), [*KEY], "left_semi")
+    wanted = daily.select(*KEY).distinct().join(dates.distinct(), "snapshot_id")
+    seen = daily.select(*KEY, F.col("mark_date").alias("day"), F.lit(0).alias("ask"), F.struct("mark_date", "value", "source", "conflict").alias("mark"))
+    asks = wanted.select(*KEY, F.col("as_of").alias("day"), F.lit(1).alias("ask"), F.lit(None).cast(seen.schema["mark"].dataType).alias("mark"))
+    upto = Window.partitionBy(*KEY).orderBy("day", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        both.withColumn("mark", F.last("mark", ignorenulls=True).over(upto))
-        .where("wanted and mark is not null")
+        seen.unionByName(asks)
+        .withColumn("mark", F.last("mark", ignorenulls=True).over(upto))
+        .where("ask = 1 and mark is not null")
         .select(*KEY, F.col("day").alias("as_of"), "mark.mark_date", "mark.value", "mark.source", "mark.conflict")
     )
 
 
+def conflicts_on_dates(marks: DataFrame, dates: DataFrame) -> DataFrame:
+    """(snapshot_id, as_of, conflicts): how many keys' newest mark is a conflict on each wanted date.
+
+    A conflict counts from its day until the key's next marked day, so the number on a date is a
+    running sum of starts and ends; no key is put on days that it has no mark on.
+    """
+    in_order = Window.partitionBy(*KEY).orderBy("mark_date")
+    spells = daily_marks(marks).withColumn("until", F.lead("mark_date").over(in_order)).where("conflict")
+    starts = spells.select("snapshot_id", F.col("mark_date").alias("day"), F.lit(1).alias("n"))
+    ends = spells.where("until is not null").select("snapshot_id", F.col("until").alias("day"), F.lit(-1).alias("n"))
+    changes = starts.unionByName(ends).groupBy("snapshot_id", "day").agg(F.sum("n").alias("n")).withColumn("ask", F.lit(0))
+    asks = dates.distinct().select("snapshot_id", F.col("as_of").alias("day"), F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("ask"))
+    upto = Window.partitionBy("snapshot_id").orderBy("day", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = changes.unionByName(asks).withColumn("conflicts", F.sum("n").over(upto)).where("ask = 1")
+    return counted.select("snapshot_id", F.col("day").alias("as_of"), "conflicts")
+
+
 def twd_fx(as_of: Column) -> tuple[Column, Column, Column]:
     """The implicit base rate: (rate, date, source) of TWD on any date."""
     return F.lit(1.0), as_of, F.lit("IMPLICIT_TWD_BASE")

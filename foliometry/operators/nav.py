@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliometry.operators.gate import ledger_issues
-from foliometry.operators.marks import invalid_marks, marks_on_dates
+from foliometry.operators.marks import conflicts_on_dates, invalid_marks, marks_on_dates
 from foliometry.operators.position_ledger import MISMATCH
 from foliometry.operators.valuation import value_positions, value_wallets
 from foliometry.schema import SECURITY, clean, twd_rate
@@ -140,6 +140,16 @@ def external_flows(tx: DataFrame) -> DataFrame:
     )
 
 
+def asked_keys(security: DataFrame, cash: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Mark keys that some portfolio of a snapshot can need: its tickers' prices and its currencies' rates."""
+    snap = snapshots.select(P, "snapshot_id")
+    held = security.select(P, "ticker", "currency").distinct().join(snap, P).select("snapshot_id", "ticker", "currency").distinct()
+    money = cash.select(P, "currency").distinct().join(snap, P).select("snapshot_id", "currency")
+    prices = held.select("snapshot_id", F.lit("PRICE").alias("mark_type"), "ticker", "currency")
+    rates = held.select("snapshot_id", "currency").unionByName(money).distinct()
+    return prices.unionByName(rates.select("snapshot_id", F.lit("FX").alias("mark_type"), F.lit("").alias("ticker"), "currency"))
+
+
 def nav_points(
     tx: DataFrame,
     security: DataFrame,
@@ -151,7 +161,8 @@ def nav_points(
     dates: DataFrame,
 ) -> DataFrame:
     dates = dates.join(snapshots.select(P, "snapshot_id"), P)
-    quotes = marks_on_dates(marks, dates.select("snapshot_id", "as_of"))
+    days = dates.select("snapshot_id", "as_of")
+    quotes = marks_on_dates(marks, days, asked_keys(security, cash, snapshots))
     on = ["snapshot_id", "as_of"]
     as_of = F.col("as_of")
     wanted = dates.select(P, "as_of")
@@ -171,7 +182,7 @@ def nav_points(
         F.max("fx_date").alias("latest_fx_date_used"),
         F.sum(F.col("missing_price").cast("bigint") + F.col("missing_fx").cast("bigint")).alias("part_issues"),
     )
-    conflicts = quotes.where("conflict").groupBy(*on).agg(F.count("*").alias("conflicts"))
+    conflicts = conflicts_on_dates(marks, days)
     invalid = invalid_marks(marks).groupBy("snapshot_id").agg(F.count("*").alias("invalid"))
     per_day = issue_days(security, cash, fx, tracking).groupBy(P, "day").agg(F.count("*").alias("n"))
     blocked = _running(per_day, wanted, "ledger_issues")
