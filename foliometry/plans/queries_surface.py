@@ -160,15 +160,9 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    rows, _next = resources.page(
-        book(spark, sf),
-        "transactions",
-        limit=200,
-        cursor=resources.encode_cursor("transactions", 300),
-        fields=["transaction_id", "date", "amount_foreign"],
-        filters={"type": "cash_out"},
-        sort=("date", "desc"),
-    )
+    query = {"fields": ["transaction_id", "date", "amount_foreign"], "filters": {"type": "cash_out"}, "sort": ("date", "desc")}
+    _first, cursor = resources.page(book(spark, sf), "transactions", limit=300, **query)
+    rows, _next = resources.page(book(spark, sf), "transactions", limit=200, cursor=cursor, **query)
     return _digits(resources.with_lineage(book(spark, sf), "transactions", rows), 2, "amount_foreign")
 
 

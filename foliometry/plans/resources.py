@@ -155,24 +155,52 @@ def select(
     return df.select(r.key, *[c for c in chosen if c != r.key])
 
 
-def encode_cursor(name: str, offset: int) -> str:
-    text = json.dumps({"resource": name, "version": _resource(name).version, "offset": offset})
+def encode_cursor(name: str, position: object) -> str:
+    text = json.dumps({"resource": name, "version": _resource(name).version, "position": position})
     return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
 
 
-def decode_cursor(name: str, cursor: str) -> int:
+def decode_cursor(name: str, cursor: str) -> dict:
+    """{sort, after, seen}: the sort, the order key of the last row given, and how many equal rows were given with it."""
     try:
         data = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
-        offset = data["offset"]
-        if data["resource"] != name or data["version"] != _resource(name).version or not isinstance(offset, int) or offset < 0:
+        position = data["position"]
+        if data["resource"] != name or data["version"] != _resource(name).version or set(position) != {"sort", "after", "seen"}:
+            raise ValueError
+        if not isinstance(position["after"], list) or not isinstance(position["seen"], int) or position["seen"] < 1:
             raise ValueError
     except (ValueError, KeyError, TypeError) as e:
         raise QueryError("INVALID_CURSOR", "not a cursor of this resource version") from e
-    return offset
+    return position
+
+
+def _order(r: Resource, sort: tuple[str, str] | None) -> list[tuple[str, bool]]:
+    """(column, descending) of a total order: the sort, the tie-break and then all other fields."""
+    first = [(sort[0], sort[1] == "desc")] if sort else []
+    rest = [*r.order, *[f.name for f in r.fields if f.name not in r.order]]
+    return first + [(c, False) for c in rest if not sort or c != sort[0]]
+
+
+def _beyond(df: DataFrame, order: list[tuple[str, bool]], after: list) -> Column:
+    """Rows at or after a key; nulls come first ascending and last descending."""
+    reached, same = F.lit(False), F.lit(True)
+    for (name, descending), value in zip(order, after, strict=True):
+        column, bound = F.col(name), F.lit(value).cast(df.schema[name].dataType)
+        if value is None:
+            later = F.lit(False) if descending else column.isNotNull()
+        else:
+            later = (column < bound) | column.isNull() if descending else column > bound
+        reached, same = reached | (same & F.coalesce(later, F.lit(False))), same & column.eqNullSafe(bound)
+    return reached | same
 
 
 def page(book: Book, name: str, limit: int | None = None, cursor: str | None = None, **query) -> tuple[DataFrame, str | None]:
-    """One page of a query and the cursor of the next page, null at the end."""
+    """One page of a query and the cursor of the next page, null at the end.
+
+    The cursor holds the last row's place in a total order, so a later page reads the rows behind it
+    as a top-k and skips only rows equal to that one.  The query runs once; a page is at most
+    MAX_PAGE rows.
+    """
     r = _resource(name)
     if not r.paged:
         if limit is not None or cursor is not None:
@@ -181,12 +209,35 @@ def page(book: Book, name: str, limit: int | None = None, cursor: str | None = N
     limit = DEFAULT_PAGE if limit is None else limit
     if not 1 <= limit <= MAX_PAGE:
         raise QueryError("INVALID_PAGE_SIZE", f"limit must be 1 to {MAX_PAGE}")
-    offset = decode_cursor(name, cursor) if cursor else 0
-    rows = select(book, name, **query)
-    if query.get("sort") is None:
-        rows = rows.orderBy(*[c for c in r.order if c in rows.columns])
-    more = not rows.offset(offset + limit).limit(1).isEmpty()
-    return rows.offset(offset).limit(limit), encode_cursor(name, offset + limit) if more else None
+    sort, fields = query.get("sort"), query.get("fields")
+    position = decode_cursor(name, cursor) if cursor else None
+    if position and position["sort"] != (list(sort) if sort else None):
+        raise QueryError("INVALID_CURSOR", "the cursor belongs to another sort")
+    _allowed(fields or [], [f.name for f in r.fields], "INVALID_FIELD")
+    if sort:
+        _allowed([sort[0]], r.sorts, "INVALID_SORT")
+    order = _order(r, sort)
+    df = select(book, name, filters=query.get("filters"))
+    rows = df
+    if position:
+        if len(position["after"]) != len(order):
+            raise QueryError("INVALID_CURSOR", "not a cursor of this resource version")
+        rows = df.where(_beyond(df, order, position["after"]))
+    rows = rows.orderBy(*[F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order])
+    seen = position["seen"] if position else 0
+    found = rows.offset(seen).limit(limit + 1).collect()
+    given = found[:limit]
+    following = None
+    if len(found) > limit:
+        key = lambda row: [row[c] for c, _ in order]
+        last = key(given[-1])
+        equal = sum(1 for row in given if key(row) == last)
+        plain = [v.isoformat() if hasattr(v, "isoformat") else v for v in last]
+        if equal == len(given) and position and position["after"] == plain:
+            equal += seen
+        following = encode_cursor(name, {"sort": list(sort) if sort else None, "after": plain, "seen": equal})
+    chosen = fields or [f.name for f in r.fields]
+    return df.sparkSession.createDataFrame(given, df.schema).select(r.key, *[c for c in chosen if c != r.key]), following
 
 
 def with_lineage(book: Book, name: str, rows: DataFrame, portfolio_id: int | None = None) -> DataFrame:

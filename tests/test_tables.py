@@ -1,3 +1,4 @@
+import dataclasses
 import datetime
 import functools
 
@@ -246,3 +247,29 @@ def test_filters_keep_the_null_date_rule(spark):
     assert df.where(from_date(F.col("d"), "2026-01-01")).count() == 2
     assert df.where(to_date(F.col("d"), "2026-01-01")).count() == 1
     assert df.where(equals_text(F.col("s"), "A")).count() == 1 and df.where(equals_text(F.col("s"), None)).count() == 1
+
+
+def test_pages_by_key_give_every_row_once(spark):
+    """Nulls, ties and equal rows across page borders, ascending and descending."""
+    rows = [(k % 3, ["CASH", "VALUATION"][k % 2], "C", None if k % 4 == 0 else datetime.date(2020, 1, 1 + k % 5), None if k % 5 == 0 else f"T{k % 2}") for k in range(60)]
+    schema = "portfolio_id long, domain string, code string, date date, symbol string"
+    frame = spark.createDataFrame(rows, schema).selectExpr("portfolio_id", "domain", "code", "'m' AS message", "'BLOCKING' AS severity", "date", "symbol")
+    name = "data_quality"
+    original = resources.RESOURCES[name]
+    resources.RESOURCES[name] = dataclasses.replace(original, build=lambda _book: frame)
+    try:
+        for sort in (None, ("date", "asc"), ("date", "desc"), ("symbol", "desc")):
+            order = resources._order(resources.RESOURCES[name], sort)
+            whole = [tuple(r) for r in frame.select(*[f.name for f in original.fields]).orderBy(*[F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in order]).collect()]
+            got, cursor = [], None
+            while True:
+                page, cursor = resources.page(None, name, limit=7, cursor=cursor, sort=sort)
+                got += [tuple(r) for r in page.collect()]
+                if cursor is None:
+                    break
+            assert got == whole
+        with pytest.raises(resources.QueryError) as e:
+            resources.page(None, name, cursor=resources.page(None, name, limit=5)[1], sort=("date", "asc"))
+        assert e.value.code == "INVALID_CURSOR"
+    finally:
+        resources.RESOURCES[name] = original
