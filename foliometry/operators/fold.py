@@ -4,8 +4,9 @@ Rows are hash-partitioned by key, sorted inside the partition and streamed in bl
 keys.  A fold that has a column form walks the keys of a block side by side in numpy; the few
 longest keys of a block, and a key that fills a block alone, go row by row through the step
 function, so a task holds one block and one key's running state, never a whole group.  A key with more than ``slice_rows`` rows is not given to one task: its rows are cut
-into ordered slices of bounded size, and slice ``n`` of all such keys runs as one job that starts
-from the state slice ``n - 1`` wrote.
+into ordered slices of bounded size.  A fold with a scan does the slices side by side for keys whose
+rows it proves to be accepted; for all others slice ``n`` runs as one job that starts from the state
+slice ``n - 1`` wrote.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ class Fold:
     initial: Callable[[], dict]
     step: Callable[[dict, tuple, Callable[[tuple], None]], None]
     columns: Callable | None = None  # the same fold as a Columns over a Block
+    scan: Callable | None = None  # slices of large keys side by side: (rows, keys it cannot do)
 
 
 def ordered_fold(df: DataFrame, fold: Fold, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -74,13 +76,17 @@ def ordered_fold(df: DataFrame, fold: Fold, slice_rows: int = SLICE_ROWS) -> Dat
 
 def _fold_with_hot_keys(df: DataFrame, fold: Fold, hot: DataFrame, slice_rows: int) -> DataFrame:
     keys = list(fold.keys)
-    ordinary = _run(df.join(hot, keys, "left_anti"), fold, carried=False)
+    parts = [_run(df.join(hot, keys, "left_anti"), fold, carried=False)]
     sliced = stored(_with_slices(df.join(hot, keys, "left_semi"), fold, slice_rows))
+    if fold.scan is not None:
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _schema(df, fold, carried=False))
+        scanned, refused = fold.scan(sliced, keys, schema)
+        parts.append(stored(scanned))
+        sliced = stored(sliced.join(stored(refused), keys, "left_semi"))
     last = sliced.agg(F.max("fold_slice")).first()[0]
 
-    parts = [ordinary]
     state: DataFrame | None = None
-    for n in range(last + 1):
+    for n in range(0 if last is None else last + 1):
         rows = sliced.where(F.col("fold_slice") == n).drop("fold_slice").withColumn(
             STATE, F.lit(None).cast("string")
         )
@@ -114,11 +120,14 @@ def _with_slices(df: DataFrame, fold: Fold, slice_rows: int) -> DataFrame:
     )
 
 
-def _run(df: DataFrame, fold: Fold, carried: bool) -> DataFrame:
+def _schema(df: DataFrame, fold: Fold, carried: bool) -> T.StructType:
     key_fields = [df.schema[k] for k in fold.keys]
-    schema = T.StructType(key_fields + list(fold.outputs.fields) + [T.StructField(STEP, T.LongType())])
-    if carried:
-        schema = T.StructType(schema.fields + [T.StructField(STATE, T.StringType())])
+    state = [T.StructField(STATE, T.StringType())] if carried else []
+    return T.StructType(key_fields + list(fold.outputs.fields) + [T.StructField(STEP, T.LongType()), *state])
+
+
+def _run(df: DataFrame, fold: Fold, carried: bool) -> DataFrame:
+    schema = _schema(df, fold, carried)
     sort = [*fold.keys]
     if carried:
         sort.append(F.col(STATE).desc_nulls_last())  # the carried state precedes the key's rows

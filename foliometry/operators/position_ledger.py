@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 from foliometry.operators.fold import SLICE_ROWS, Fold, ordered_fold
 from foliometry.operators.lockstep import Block, doubles, named, snap
+from foliometry.operators.scan import scan_positions
 from foliometry.schema import EPSILON, SECURITY, clean, gross_native
 
 MISMATCH = "CURRENCY_MISMATCH"
@@ -111,10 +114,15 @@ POSITION_FOLD = Fold(
 )
 
 
-def position_ledger(tx: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """The first SECURITY row of a ticker fixes its currency; rows in another one are blocked."""
+def position_ledger(tx: DataFrame, slice_rows: int = SLICE_ROWS, side_by_side: bool = False) -> DataFrame:
+    """The first SECURITY row of a ticker fixes its currency; rows in another one are blocked.
+
+    With ``side_by_side``, slices of a key of more than ``slice_rows`` rows are scanned in parallel where no row of
+    the key is refused; costs then equal the fold's up to rounding in the last places.
+    """
     rows = tx.where(F.col("transaction_type") == SECURITY).withColumn("amount", gross_native())
-    return ordered_fold(rows, POSITION_FOLD, slice_rows)
+    fold = replace(POSITION_FOLD, scan=scan_positions) if side_by_side else POSITION_FOLD
+    return ordered_fold(rows, fold, slice_rows)
 
 
 def positions(ledger: DataFrame) -> DataFrame:

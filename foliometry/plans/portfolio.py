@@ -32,7 +32,7 @@ class Book:
 
     @cached_property
     def security_ledger(self) -> DataFrame:
-        return stored(position_ledger.position_ledger(self.tx))
+        return stored(position_ledger.position_ledger(self.tx, side_by_side=True))
 
     @cached_property
     def cash_ledger(self) -> DataFrame:

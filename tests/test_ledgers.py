@@ -1,7 +1,10 @@
+import dataclasses
 import random
 
+import numpy as np
 import pytest
 from builders import FUNDING, FUNDING_MARKS, marks, rows, snapshot, transactions
+from pyspark.sql import functions as F
 
 from foliometry.operators import cash_ledger, flows, fx_ledger, gate, nav, position_ledger, returns, valuation
 from foliometry.plans.portfolio import Book
@@ -230,3 +233,81 @@ def test_total_loss_stays_zero_and_bad_denominators_block(spark):
 def test_flows_do_not_count_as_return(spark):
     obs = observations(spark, [("2026-01-01", 100, 0, 0), ("2026-02-01", 160, 50, 0), ("2026-03-01", 110, 0, 50)])
     assert returns.drawdown_summary(obs).first().cumulative_twr == near(160 / 150 * 160 / 160 - 1)
+
+
+def _random_trades(n, keys, seed, clean):
+    rng = random.Random(seed)
+    data, held = [], {}
+    for k in range(n):
+        ticker = f"S{rng.randrange(keys)}"
+        sell = rng.random() < 0.45
+        most = held.get(ticker, 0)
+        quantity = -rng.randrange(1, 9) if sell else rng.randrange(1, 9)
+        if clean:
+            quantity = -min(-quantity, most) if sell and most else abs(quantity)
+        held[ticker] = max(0, most + quantity) if quantity > 0 or most + quantity >= 0 else most
+        currency = "USD" if clean or rng.random() < 0.95 else "EUR"
+        data.append((k + 1, f"20{20 + k // 400:02d}-{k // 30 % 12 + 1:02d}-{k % 28 + 1:02d}", "SECURITY", ticker, currency, quantity, 10 + k % 7, abs(quantity) * (10 + k % 7), 30, k % 3))
+    return data
+
+
+def test_side_by_side_equals_row_by_row(spark):
+    """The column form of every ledger, with refused rows, to the last bit; a block of one key goes row by row."""
+    rng = random.Random(8)
+    trades = _random_trades(600, 40, 9, clean=False)
+    cash = []
+    for k in range(300):
+        kind = rng.choice(["CASH_IN", "CASH_IN", "CASH_OUT", "FX_BUY", "FX_SELL"])
+        currency = rng.choice(["TWD", "USD", "EUR"])
+        rate = 1 if currency == "TWD" else rng.choice([None, 30, 31.5])
+        cash.append((1000 + k, f"2020-{k % 12 + 1:02d}-{k % 28 + 1:02d}", kind, "", currency, 0, 0, rng.randrange(1, 9000), rate, rng.choice([0, 1, 9000])))
+    tx = transactions(spark, trades + cash).withColumn("portfolio_id", F.col("source_row_number") % 25)
+    for module, name, build in ((position_ledger, "POSITION_FOLD", position_ledger.position_ledger), (cash_ledger, "CASH_FOLD", cash_ledger.cash_ledger), (fx_ledger, "FX_FOLD", fx_ledger.fx_ledger)):
+        kept = getattr(module, name)
+        try:
+            setattr(module, name, dataclasses.replace(kept, columns=None))
+            want = sorted(map(repr, build(tx).collect()))
+        finally:
+            setattr(module, name, kept)
+        assert sorted(map(repr, build(tx).collect())) == want
+        assert sum("None" not in w.rsplit("issue_code", 1)[1][:12] for w in want) > 20
+
+
+def test_small_blocks_and_long_keys(spark, monkeypatch):
+    """Blocks of a few rows, so that some keys fill several blocks."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from foliometry.operators import fold
+
+    monkeypatch.setattr(fold, "BLOCK_ROWS", 10)
+    spec = position_ledger.POSITION_FOLD
+    rows = [(1, t, "USD", None, k, float(q), 10.0 * abs(q), 1.0) for t, n in (("A", 3), ("B", 45), ("C", 2), ("D", 30), ("E", 1)) for k, q in enumerate([5, -2, 4, -9, 3] * 9) if k < n]
+    columns = list(zip(*rows))
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.date32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f"f{i}" for i in range(8)])
+    schema = T.StructType([T.StructField("portfolio_id", T.LongType()), T.StructField("ticker", T.StringType()), *spec.outputs.fields, T.StructField("step", T.LongType())])
+    for size in (1, 7, 100):
+        batches = lambda: iter([whole.slice(k, size) for k in range(0, whole.num_rows, size)])
+        got = [r for b in fold._blocks(spec, schema)(batches()) for r in b.to_pylist()]
+        want = [r for b in fold._stream(spec, schema, carried=False)(batches()) for r in b.to_pylist()]
+        assert got == want
+
+
+def test_large_clean_keys_are_scanned(spark):
+    """Slices side by side give the fold's ledger; keys with a refused row go slice after slice."""
+    from foliometry.operators import scan
+
+    for clean in (True, False):
+        tx = transactions(spark, _random_trades(700, 3, 4, clean))
+        whole, sliced = position_ledger.position_ledger(tx), position_ledger.position_ledger(tx, 40, side_by_side=True)
+        order = lambda r: (r.ticker, r.step)
+        a, b = sorted(whole.collect(), key=order), sorted(sliced.collect(), key=order)
+        assert len(a) == len(b) == 700
+        for x, y in zip(a, b):
+            assert (x.ticker, x.step, x.source_row_number, x.issue_code) == (y.ticker, y.step, y.source_row_number, y.issue_code)
+            for c in ("quantity_after", "cost_after", "realized_delta", "gross_buy", "gross_sell", "fee"):
+                assert (x[c] is None) == (y[c] is None)
+                assert x[c] is None or y[c] == pytest.approx(x[c], abs=1e-6)
+    a, b = scan.affine_prefixes(np.array([2.0, 3.0, 0.0, 1.0]), np.array([1.0, 1.0, 5.0, 2.0]))
+    assert a.tolist() == [2, 6, 0, 0] and b.tolist() == [1, 4, 5, 7]
