@@ -1 +1 @@
-"""Portfolio-ledger analytics as Spark jobs: ledgers, valuation, NAV, returns, backtests, versions."""
+"""Account-ledger analytics as Spark jobs: ledgers, valuation, NAV, returns, backtests, versions."""

@@ -1,6 +1,6 @@
 """Investment-plan backtests for a table of requests: DCA, equal-principal lump sum, trade replay.
 
-A request is (request_id, portfolio_id, start_date, end_date, monthly_amount, allocations) with
+A request is (request_id, account_id, start_date, end_date, monthly_amount, allocations) with
 allocations as an array of (ticker, weight), at most five.  Every stage is keyed by request and
 calendar day, so nothing grows beyond days x requests.
 """
@@ -172,11 +172,11 @@ def replay_flows(requests: DataFrame, tx: DataFrame) -> DataFrame:
     native = F.when(buy, gross_native() + F.col("fee")).otherwise(gross_native() - F.col("fee"))
     bad = F.isnan("native") | F.when(buy, F.col("native") <= 0).otherwise(F.col("native") < 0)
     trades = tx.where(F.col("transaction_type") == SECURITY).select(
-        "portfolio_id", "source_row_number", "trade_date", "quantity", native.alias("native"), twd_rate().alias("rate")
+        "account_id", "source_row_number", "trade_date", "quantity", native.alias("native"), twd_rate().alias("rate")
     )
     return (
-        requests.select(R, "portfolio_id", "start_date", "end_date")
-        .join(trades, "portfolio_id")
+        requests.select(R, "account_id", "start_date", "end_date")
+        .join(trades, "account_id")
         .where(F.col("trade_date").between(F.col("start_date"), F.col("end_date")))
         .withColumn("issue_code", F.when(F.col("rate").isNull(), "MISSING_REPLAY_FX").when(bad, "INVALID_REPLAY_AMOUNT"))
         .where(F.col("issue_code").isNotNull() | buy | (F.col("native") != 0))
@@ -193,10 +193,10 @@ def replay_flows(requests: DataFrame, tx: DataFrame) -> DataFrame:
 
 def replay_issues(requests: DataFrame, flows: DataFrame, tx: DataFrame) -> DataFrame:
     bad = flows.where("issue_code is not null").select(R, "issue_code")
-    days = tx.where(F.col("transaction_type") == SECURITY).groupBy("portfolio_id", "trade_date").agg(F.count("*").alias("n"))
+    days = tx.where(F.col("transaction_type") == SECURITY).groupBy("account_id", "trade_date").agg(F.count("*").alias("n"))
     inside = (
-        requests.select(R, "portfolio_id", "start_date", "end_date")
-        .join(days, "portfolio_id")
+        requests.select(R, "account_id", "start_date", "end_date")
+        .join(days, "account_id")
         .where(F.col("trade_date").between(F.col("start_date"), F.col("end_date")))
         .select(R)
         .distinct()

@@ -134,7 +134,7 @@ _ISSUE = {name: i for i, name in enumerate(ISSUES, 1)}
 
 
 class CashColumns:
-    """The same steps for many portfolios side by side; a wallet is a number of (portfolio, currency)."""
+    """The same steps for many accounts side by side; a wallet is a number of (account, currency)."""
 
     def __init__(self, block: Block, name: dict[str, str]):
         self.block = block
@@ -145,7 +145,7 @@ class CashColumns:
         self.base = self.currency == base
         self.wallet, self.first = block.slots(self.currency)
         self.quantity, self.amount, self.rate, self.fee = (block.numbers(name[c]) for c in ("quantity", "amount_foreign", "fx_rate", "fee"))
-        # balances of the wallets, then of each portfolio's TWD wallet, which need not have a row of its own
+        # balances of the wallets, then of each account's TWD wallet, which need not have a row of its own
         self.balance = np.zeros(len(self.first) + len(block.starts))
         self.wallet = np.where(self.base, len(self.first) + block.key, self.wallet)
         self.own, self.twd = np.zeros((2, len(AMOUNTS), block.rows))
@@ -239,7 +239,7 @@ class CashColumns:
 
 
 CASH_FOLD = Fold(
-    keys=("portfolio_id",),
+    keys=("account_id",),
     order=("trade_date", "source_row_number"),
     inputs=(
         "transaction_type",
@@ -259,22 +259,22 @@ CASH_FOLD = Fold(
 
 
 def tracking(tx: DataFrame) -> DataFrame:
-    """Date from which a portfolio's cash is tracked: its first non-SECURITY row; null if none."""
+    """Date from which an account's cash is tracked: its first non-SECURITY row; null if none."""
     first = F.min(F.when(F.col("transaction_type") != SECURITY, F.col("trade_date")))
-    return tx.groupBy("portfolio_id").agg(first.alias("tracked_from")).withColumn(
+    return tx.groupBy("account_id").agg(first.alias("tracked_from")).withColumn(
         "tracking_mode", F.when(F.col("tracked_from").isNull(), "UNTRACKED").otherwise("TRACKED")
     )
 
 
 def cash_ledger(tx: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """One row per transaction and touched wallet; portfolios without any cash row have no ledger."""
-    tracked = tx.where(F.col("transaction_type") != SECURITY).select("portfolio_id").distinct()
-    rows = tx.withColumn("currency", F.upper("currency")).join(tracked, "portfolio_id", "left_semi")
+    """One row per transaction and touched wallet; accounts without any cash row have no ledger."""
+    tracked = tx.where(F.col("transaction_type") != SECURITY).select("account_id").distinct()
+    rows = tx.withColumn("currency", F.upper("currency")).join(tracked, "account_id", "left_semi")
     return ordered_fold(rows, CASH_FOLD, slice_rows)
 
 
 def wallets(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy("portfolio_id", "currency").agg(
+    return ledger.groupBy("account_id", "currency").agg(
         *[clean(F.sum(name)).alias(name) for name in AMOUNTS],
         clean(F.max_by("balance_after", "step")).alias("ending_balance"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliometry.operators.xirr import xirr
 from foliometry.schema import EPSILON, SECURITY, clean, gross_native, twd_rate
 
-P = "portfolio_id"
+P = "account_id"
 
 
 def _issue(code: str, present) -> F.Column:
@@ -22,7 +22,7 @@ def _collect(*codes):
 def external_events(tx: DataFrame, terminal: DataFrame) -> DataFrame:
     """CONTRIBUTION, WITHDRAWAL and TERMINAL_VALUE events in TWD; unrated flows are left out.
 
-    ``terminal`` has (portfolio_id, valuation_date, complete, total_assets_twd).
+    ``terminal`` has (account_id, valuation_date, complete, total_assets_twd).
     """
     amount = F.col("amount_foreign") * twd_rate()
     into = F.col("transaction_type") == "CASH_IN"
@@ -73,7 +73,7 @@ def _unrated_and_late(tx: DataFrame, terminal: DataFrame) -> DataFrame:
 
 
 def performance_summary(tx: DataFrame, terminal: DataFrame) -> DataFrame:
-    """Contributions, profit, multiple and XIRR per portfolio, with every blocking issue code."""
+    """Contributions, profit, multiple and XIRR per account, with every blocking issue code."""
     events = external_events(tx, terminal)
     sums = events.groupBy(P).agg(
         clean(F.sum(F.when(F.col("kind") == "CONTRIBUTION", F.col("amount_twd")).otherwise(0.0))).alias("paid_in"),
@@ -133,7 +133,7 @@ def performance_summary(tx: DataFrame, terminal: DataFrame) -> DataFrame:
 def security_events(tx: DataFrame, terminal: DataFrame) -> DataFrame:
     """PURCHASE, SALE and TERMINAL_POSITION_VALUE events, with the reason where a trade has none.
 
-    ``terminal`` has (portfolio_id, valuation_date, positions_complete, position_value_twd).
+    ``terminal`` has (account_id, valuation_date, positions_complete, position_value_twd).
     """
     buy = F.col("quantity") > 0
     native = F.when(buy, gross_native() + F.col("fee")).otherwise(gross_native() - F.col("fee"))

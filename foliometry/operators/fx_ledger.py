@@ -1,7 +1,7 @@
 """Foreign-currency cost pools and the TWD cost basis of securities bought out of them.
 
-Pools never cross currencies, so foreign rows fold per (portfolio, currency).  TWD securities use
-no pool and fold per (portfolio, ticker); ``fold_ticker`` is blank for foreign rows.
+Pools never cross currencies, so foreign rows fold per (account, currency).  TWD securities use
+no pool and fold per (account, ticker); ``fold_ticker`` is blank for foreign rows.
 """
 
 from __future__ import annotations
@@ -303,7 +303,7 @@ class FxColumns:
 
 
 FX_FOLD = Fold(
-    keys=("portfolio_id", "currency", "fold_ticker"),
+    keys=("account_id", "currency", "fold_ticker"),
     order=("trade_date", "source_row_number"),
     inputs=(
         "currency",
@@ -340,7 +340,7 @@ def pools(ledger: DataFrame) -> DataFrame:
     """Terminal pool per foreign currency; exists once a row passed its rate and net checks."""
     return (
         ledger.where(F.col("units_after").isNotNull())
-        .groupBy("portfolio_id", "currency")
+        .groupBy("account_id", "currency")
         .agg(
             clean(F.max_by("units_after", "step")).alias("units"),
             clean(F.max_by("pool_cost_after", "step")).alias("twd_cost_basis"),
@@ -355,11 +355,11 @@ def pools(ledger: DataFrame) -> DataFrame:
 
 
 def security_basis(ledger: DataFrame) -> DataFrame:
-    """Terminal native and TWD cost per (portfolio, ticker, currency), without any currency gate."""
+    """Terminal native and TWD cost per (account, ticker, currency), without any currency gate."""
     average = lambda c: F.when(F.col("quantity") > EPSILON, F.col(c) / F.col("quantity")).otherwise(0.0)
     return (
         ledger.where(F.col("ticker").isNotNull())
-        .groupBy("portfolio_id", "ticker", "currency")
+        .groupBy("account_id", "ticker", "currency")
         .agg(
             clean(F.max_by("quantity_after", "step")).alias("quantity"),
             clean(F.max_by("native_cost_after", "step")).alias("native_cost_basis"),

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from foliometry.schema import BASE_CURRENCY
 
-P = "portfolio_id"
+P = "account_id"
 
 
 def ledger_issues(ledger: DataFrame, domain: str) -> DataFrame:
-    """Blocked rows of one ledger as (portfolio, domain, code, row, date, ticker, currency, amounts)."""
+    """Blocked rows of one ledger as (account, domain, code, row, date, ticker, currency, amounts)."""
     optional = lambda name, kind: (
         F.col(name) if name in ledger.columns else F.lit(None).cast(kind)
     ).alias(name)
@@ -44,10 +44,10 @@ def nav_issues(security: DataFrame, cash: DataFrame, fx: DataFrame) -> DataFrame
     return primary.unionByName(extra)
 
 
-def activation_gate(issues: DataFrame, portfolios: DataFrame) -> DataFrame:
+def activation_gate(issues: DataFrame, accounts: DataFrame) -> DataFrame:
     counts = issues.groupBy(P).agg(F.count("*").alias("n"))
     n = F.coalesce(F.col("n"), F.lit(0))
-    return portfolios.select(P).distinct().join(counts, P, "left").select(
+    return accounts.select(P).distinct().join(counts, P, "left").select(
         P, n.alias("blocking_issue_count"), (n == 0).alias("may_activate")
     )
 
@@ -80,10 +80,10 @@ def dataset_profile(tx: DataFrame) -> DataFrame:
 
 
 def issue_heads(issues: DataFrame, n: int = 10) -> DataFrame:
-    """First ``n`` issues per portfolio in processing order.
+    """First ``n`` issues per account in processing order.
 
     Spark turns ``row_number() <= n`` into a per-task group limit before the shuffle, so a
-    portfolio with very many issues sends at most ``n`` rows per map task.
+    account with very many issues sends at most ``n`` rows per map task.
     """
     order = Window.partitionBy(P).orderBy("trade_date", "source_row_number", "domain")
     return issues.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)

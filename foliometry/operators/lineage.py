@@ -1,7 +1,7 @@
 """Which stored transaction an incoming row continues: identity kept only where evidence is unique.
 
 Every group key of the matching holds the identity (type, ticker, currency): equal contents and equal
-row hashes imply it.  Both sides are therefore put side by side and shuffled once, by portfolio and
+row hashes imply it.  Both sides are therefore put side by side and shuffled once, by account and
 identity; all counts are windows inside that partitioning, and the n-th of several equal rows is
 matched with the n-th of the other side.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliometry.functions.hashing import content_hash
 
-P = "portfolio_id"
+P = "account_id"
 IDENTITY = ("transaction_type", "ticker_key", "currency_key")
 GROUP = (P, *IDENTITY)
 
@@ -45,7 +45,7 @@ def lineage_plan(previous: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows with ``kind`` UNCHANGED, CORRECTED or NEW, the id they keep and ``ambiguous``.
 
     ``previous`` carries ``transaction_id`` and ``row_hash``; ``incoming`` carries ``row_hash``.  Row
-    numbers are unique per portfolio on each side.
+    numbers are unique per account on each side.
     """
     whole = F.struct(*incoming.columns)
     none = F.lit(None).cast(incoming.select(whole.alias("w")).schema["w"].dataType)
@@ -133,6 +133,6 @@ def plan_summary(plan: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def with_ids(plan: DataFrame, revision: int) -> DataFrame:
-    """Kept ids, and for new rows an id derived from portfolio, row hash and revision."""
+    """Kept ids, and for new rows an id derived from account, row hash and revision."""
     fresh = F.sha2(F.concat_ws("|", F.col(P).cast("string"), "row_hash", F.lit(str(revision))), 256)
     return plan.withColumn("transaction_id", F.coalesce("transaction_id", fresh))

@@ -14,7 +14,7 @@ from foliometry.functions.market import adjusted_price_twd, provider_fx_symbol,
 from foliometry.operators.marks import fx_with_tolerance
 from foliometry.schema import BASE_CURRENCY, SECURITY
 
-P = "portfolio_id"
+P = "account_id"
 INSTRUMENT = ("instrument_type", "ticker", "currency")
 READABLE = ("ACTIVE", "ARCHIVED")
 BENCHMARK = "SPY"
@@ -77,11 +77,11 @@ def latest_dates(exploded: DataFrame) -> DataFrame:
 
 
 def instrument_universe(tx: DataFrame, latest: DataFrame | None = None, markets: DataFrame | None = None) -> DataFrame:
-    """Instruments to refresh per portfolio, with the first day needed.
+    """Instruments to refresh per account, with the first day needed.
 
     Securities ever traded, foreign currencies seen, and the benchmark with USD from the start of
-    the portfolio where it is not traded.  Known history moves the start to its end less an overlap: the
-    history of the portfolio's market, where ``markets`` (portfolio, market_id) links them, else the
+    the account where it is not traded.  Known history moves the start to its end less an overlap: the
+    history of the account's market, where ``markets`` (account, market_id) links them, else the
     earliest end of any market, so that no market is left with a gap.
     """
     securities = (
@@ -139,7 +139,7 @@ def instrument_universe(tx: DataFrame, latest: DataFrame | None = None, markets:
 
 
 def universe_issues(tx: DataFrame, universe: DataFrame, max_instruments: int | None = None) -> DataFrame:
-    """Portfolios whose universe cannot be refreshed; ``max_instruments`` is a limit of the caller, off by default."""
+    """Accounts whose universe cannot be refreshed; ``max_instruments`` is a limit of the caller, off by default."""
     mixed = (
         tx.where(F.col("transaction_type") == SECURITY)
         .groupBy(P, "ticker")

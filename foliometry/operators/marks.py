@@ -75,7 +75,7 @@ def marks_on_dates(marks: DataFrame, dates: DataFrame, keys: DataFrame | None =
     """Newest mark at or before every wanted (snapshot, date), for every key of the snapshot or those in ``keys``.
 
     ``dates`` has (snapshot_id, as_of), ``keys`` the columns of KEY.  Wanted dates are days, so the
-    result is bounded by keys x calendar days and never by the number of portfolios that ask.
+    result is bounded by keys x calendar days and never by the number of accounts that ask.
     """
     daily = daily_marks(marks)
     if keys is not None:

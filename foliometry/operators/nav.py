@@ -1,8 +1,8 @@
-"""Net asset value of every portfolio on every observation date.
+"""Net asset value of every account on every observation date.
 
 The ledgers run once; a date reads the last state at or before it.  States are reduced to one row
 per (key, day) before the as-of window, so a window never holds more than one row per calendar
-day.  ``dates`` has (portfolio_id, as_of).
+day.  ``dates`` has (account_id, as_of).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from foliometry.operators.position_ledger import MISMATCH
 from foliometry.operators.valuation import value_positions, value_wallets
 from foliometry.schema import SECURITY, clean, twd_rate
 
-P = "portfolio_id"
+P = "account_id"
 
 
 def nav_dates(tx: DataFrame, marks: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def observation_dates(requested: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def requested_dates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split (portfolio_id, date_text) into valid distinct dates and INVALID_AS_OF_DATE issues."""
+    """Split (account_id, date_text) into valid distinct dates and INVALID_AS_OF_DATE issues."""
     raw = F.trim("date_text")
     day = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(raw, "yyyy-MM-dd"))
     parsed = texts.withColumn("as_of", day)
@@ -59,7 +59,7 @@ def _external(tx: DataFrame) -> DataFrame:
 
 
 def _as_of(states: DataFrame, keys: list[str], dates: DataFrame, since: DataFrame, value: str) -> DataFrame:
-    """Last day state at or before every date of the portfolio, from ``since.first_day`` on."""
+    """Last day state at or before every date of the account, from ``since.first_day`` on."""
     asks = since.join(dates, P).where(F.col("as_of") >= F.col("first_day")).select(
         *keys, F.col("as_of").alias("day"), F.lit(1).alias("ask"), F.lit(None).cast("double").alias(value)
     )
@@ -126,7 +126,7 @@ def _running(counts: DataFrame, dates: DataFrame, column: str) -> DataFrame:
 
 
 def external_flows(tx: DataFrame) -> DataFrame:
-    """Contributions, withdrawals and unrated flows per portfolio and day."""
+    """Contributions, withdrawals and unrated flows per account and day."""
     amount = F.col("amount_foreign") * twd_rate()
     into = F.col("transaction_type") == "CASH_IN"
     return (
@@ -141,7 +141,7 @@ def external_flows(tx: DataFrame) -> DataFrame:
 
 
 def asked_keys(security: DataFrame, cash: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Mark keys that some portfolio of a snapshot can need: its tickers' prices and its currencies' rates."""
+    """Mark keys that some account of a snapshot can need: its tickers' prices and its currencies' rates."""
     snap = snapshots.select(P, "snapshot_id")
     held = security.select(P, "ticker", "currency").distinct().join(snap, P).select("snapshot_id", "ticker", "currency").distinct()
     money = cash.select(P, "currency").distinct().join(snap, P).select("snapshot_id", "currency")
@@ -223,7 +223,7 @@ def nav_points(
 
 
 def chart_range(points: DataFrame, name: str, date: str = "as_of", value: str = "total_assets_twd") -> DataFrame:
-    """Keep the points of 1M, 3M, YTD, 1Y or ALL before the last valid point of each portfolio.
+    """Keep the points of 1M, 3M, YTD, 1Y or ALL before the last valid point of each account.
 
     Month arithmetic overflows like a calendar of day numbers: 31 March minus one month is 3 March.
     """

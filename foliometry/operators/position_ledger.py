@@ -104,7 +104,7 @@ class PositionColumns:
 
 
 POSITION_FOLD = Fold(
-    keys=("portfolio_id", "ticker"),
+    keys=("account_id", "ticker"),
     order=("trade_date", "source_row_number"),
     inputs=("currency", "trade_date", "source_row_number", "quantity", "amount", "fee"),
     outputs=_OUTPUT,
@@ -126,11 +126,11 @@ def position_ledger(tx: DataFrame, slice_rows: int = SLICE_ROWS, side_by_side: b
 
 
 def positions(ledger: DataFrame) -> DataFrame:
-    """Terminal position per (portfolio, ticker, currency); exists once any gated-in row was seen."""
+    """Terminal position per (account, ticker, currency); exists once any gated-in row was seen."""
     accepted = F.col("issue_code").isNull()
     return (
         ledger.where(F.col("issue_code").isNull() | (F.col("issue_code") != MISMATCH))
-        .groupBy("portfolio_id", "ticker", "currency")
+        .groupBy("account_id", "ticker", "currency")
         .agg(
             F.max_by("quantity_after", "step").alias("quantity"),
             F.max_by("cost_after", "step").alias("cost_basis"),
@@ -152,7 +152,7 @@ def positions(ledger: DataFrame) -> DataFrame:
 def currency_totals(ledger: DataFrame) -> DataFrame:
     """Security totals per currency; a currency seen only through oversells appears with zeros."""
     sums = ledger.where(F.col("issue_code").isNull() | (F.col("issue_code") != MISMATCH)).groupBy(
-        "portfolio_id", "currency"
+        "account_id", "currency"
     )
     return sums.agg(
         F.sum("gross_buy").alias("gross_buys"),
@@ -164,7 +164,7 @@ def currency_totals(ledger: DataFrame) -> DataFrame:
 
 
 def row_counts(tx: DataFrame) -> DataFrame:
-    return tx.groupBy("portfolio_id").agg(
+    return tx.groupBy("account_id").agg(
         F.count_if(F.col("transaction_type") == SECURITY).alias("security_transaction_count"),
         F.count_if(F.col("transaction_type") != SECURITY).alias("deferred_transaction_count"),
     )

@@ -1,6 +1,6 @@
 """Time-weighted return and drawdown from NAV observations.
 
-Observations are one per portfolio and calendar day, so every window here is bounded by days.
+Observations are one per account and calendar day, so every window here is bounded by days.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliometry.schema import EPSILON, clean
 
-P = "portfolio_id"
+P = "account_id"
 COVERAGE_ISSUE = "UNSUPPORTED_TOTAL_RETURN_COVERAGE"
 
 CURVE = ("period_return", "growth_index", "cumulative_twr", "running_peak_index", "drawdown")
@@ -82,7 +82,7 @@ def twr_points(obs: DataFrame, coverage: str = "COMPLETE") -> DataFrame:
 
 
 def twr_issues(obs: DataFrame, coverage: str = "COMPLETE") -> DataFrame:
-    """One row per issue code and portfolio, with the number of dates it concerns."""
+    """One row per issue code and account, with the number of dates it concerns."""
     per = _chain(obs).groupBy(P).agg(
         F.count("*").alias("n"),
         F.max("incomplete").alias("incomplete"),
@@ -104,7 +104,7 @@ def twr_issues(obs: DataFrame, coverage: str = "COMPLETE") -> DataFrame:
 
 
 def drawdown_summary(obs: DataFrame, coverage: str = "COMPLETE") -> DataFrame:
-    """One row per portfolio: cumulative and annualised return, maximum and current drawdown."""
+    """One row per account: cumulative and annualised return, maximum and current drawdown."""
     df = _chain(obs)
     in_order = Window.partitionBy(P).orderBy("date")
     whole = Window.partitionBy(P)

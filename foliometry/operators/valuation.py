@@ -1,6 +1,6 @@
 """Point-in-time valuation of positions and wallets, and its reconciliation with TWD cost.
 
-``snapshots`` has (portfolio_id, snapshot_id, valuation_date); a snapshot has one valuation date.
+``snapshots`` has (account_id, snapshot_id, valuation_date); a snapshot has one valuation date.
 ``components`` is the long table of valued positions and wallets that all totals come from.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliometry.operators.marks import invalid_marks, snapshot_quotes, with_fx, with_price
 from foliometry.schema import EPSILON, clean
 
-P = "portfolio_id"
+P = "account_id"
 
 COMPONENT_COLUMNS = (
     P,
@@ -107,7 +107,7 @@ def mark_issues(marks: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def valuation_issues(parts: DataFrame, marks: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """One row per blocking valuation issue of a portfolio."""
+    """One row per blocking valuation issue of an account."""
     by_snapshot = mark_issues(marks, snapshots).join(snapshots.select(P, "snapshot_id"), "snapshot_id").drop("snapshot_id")
     codes = F.filter(
         F.array(
@@ -123,7 +123,7 @@ def valuation_issues(parts: DataFrame, marks: DataFrame, snapshots: DataFrame) -
 
 
 def valuation_totals(parts: DataFrame, marks: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """One row per portfolio: known values, and the total only when no issue blocks it."""
+    """One row per account: known values, and the total only when no issue blocks it."""
     value = F.coalesce(F.col("market_value_twd"), F.lit(0.0))
     sums = parts.groupBy(P).agg(
         F.sum(F.when(F.col("asset_type") == "POSITION", value)).alias("positions_value"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-P = "portfolio_id"
+P = "account_id"
 SAMPLES = 20
 
 
@@ -23,7 +23,7 @@ def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def diff_samples(old: DataFrame, new: DataFrame, n: int = SAMPLES) -> DataFrame:
-    """The first ``n`` added and removed rows per portfolio; the limit is applied per task first."""
+    """The first ``n`` added and removed rows per account; the limit is applied per task first."""
     order = Window.partitionBy(P, "change").orderBy("source_row_number", "row_hash")
     return changed_rows(old, new).withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
 
@@ -38,7 +38,7 @@ def _hash_counts(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def dataset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row per portfolio; hashes count once, and ``unchanged`` also needs equal row counts."""
+    """One row per account; hashes count once, and ``unchanged`` also needs equal row counts."""
     counts = _hash_counts(old, new)
     arrived, was = F.col("incoming") > 0, F.col("previous") > 0
     per = counts.groupBy(P).agg(
@@ -71,7 +71,7 @@ def mark_diff(old: DataFrame, new: DataFrame, key: str = "snapshot_id") -> DataF
 
 
 def active_versions(manifest: DataFrame) -> DataFrame:
-    """Portfolio state: the highest revision whose manifest row is published."""
+    """Account state: the highest revision whose manifest row is published."""
     return (
         manifest.where("status = 'ACTIVE'")
         .groupBy(P)
@@ -79,12 +79,12 @@ def active_versions(manifest: DataFrame) -> DataFrame:
     )
 
 
-def portfolio_state(portfolios: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Every portfolio with its active dataset's metadata, if it has one."""
+def account_state(accounts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Every account with its active dataset's metadata, if it has one."""
     active = active_versions(manifest).withColumnRenamed("revision", "stored_revision")
     details = manifest.select("dataset_id", "row_count", "earliest_date", "latest_date")
     return (
-        portfolios.select(P)
+        accounts.select(P)
         .distinct()
         .join(active, P, "left")
         .join(details, "dataset_id", "left")
@@ -93,9 +93,9 @@ def portfolio_state(portfolios: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def binding_freshness(state: DataFrame, snapshots: DataFrame, stale_by_date) -> DataFrame:
-    """CURRENT, STALE or NO_SNAPSHOT per portfolio; a version mismatch outranks the date's age.
+    """CURRENT, STALE or NO_SNAPSHOT per account; a version mismatch outranks the date's age.
 
-    ``snapshots`` has (portfolio_id, snapshot_id, bound_dataset_id, bound_revision, valuation_date).
+    ``snapshots`` has (account_id, snapshot_id, bound_dataset_id, bound_revision, valuation_date).
     """
     matches = (F.col("bound_dataset_id") == F.col("dataset_id")) & (F.col("bound_revision") == F.col("stored_revision"))
     reason = F.when(F.col("snapshot_id").isNull(), F.lit(None).cast("string")).when(
@@ -115,9 +115,9 @@ def binding_freshness(state: DataFrame, snapshots: DataFrame, stale_by_date) ->
 
 
 def market_freshness(state: DataFrame, runs: DataFrame, stale_by_date) -> DataFrame:
-    """CURRENT, STALE or NO_RUN per portfolio with the reason and, for an old market day, that day.
+    """CURRENT, STALE or NO_RUN per account with the reason and, for an old market day, that day.
 
-    ``runs`` has (portfolio_id, market_revision, run_dataset_id, run_transaction_revision, latest_bar_date).
+    ``runs`` has (account_id, market_revision, run_dataset_id, run_transaction_revision, latest_bar_date).
     """
     matches = (F.col("run_dataset_id") == F.col("dataset_id")) & (F.col("run_transaction_revision") == F.col("stored_revision"))
     reason = (
@@ -143,7 +143,7 @@ def first_identity(rows: DataFrame) -> DataFrame:
 
 
 def dangling_bindings(snapshots: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Snapshots bound to a (portfolio, dataset, revision) that does not exist."""
+    """Snapshots bound to a (account, dataset, revision) that does not exist."""
     known = manifest.select(P, F.col("dataset_id").alias("bound_dataset_id"), F.col("revision").alias("bound_revision"))
     return snapshots.join(known, [P, "bound_dataset_id", "bound_revision"], "left_anti")
 

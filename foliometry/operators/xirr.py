@@ -64,7 +64,7 @@ def _bisect(left: float, right: float, left_value: float, years, amounts, tolera
     return (left + right) / 2
 
 
-def xirr(net: DataFrame, key: str = "portfolio_id") -> DataFrame:
+def xirr(net: DataFrame, key: str = "account_id") -> DataFrame:
     """``net`` has (key, date, amount), one row per day; returns (key, root_count, xirr)."""
     kind = net.schema[key].dataType.simpleString()
     flows = net.groupBy(key).agg(

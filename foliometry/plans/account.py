@@ -1,4 +1,4 @@
-"""The portfolio tables a query starts from, for one transaction table and its snapshots."""
+"""The account tables a query starts from, for one transaction table and its snapshots."""
 
 from __future__ import annotations
 
@@ -21,13 +21,13 @@ class Book:
     tx: DataFrame
     marks: DataFrame
     snapshots: DataFrame
-    freshness: DataFrame  # portfolio_id, freshness, freshness_issue
+    freshness: DataFrame  # account_id, freshness, freshness_issue
     bars: DataFrame | None = None  # merged market bars with market_id
-    market_issues: DataFrame | None = None  # portfolio_id, issue_code, date
-    markets: DataFrame | None = None  # portfolio_id, market_id
-    requests: DataFrame | None = None  # strategy requests with request_id and portfolio_id
+    market_issues: DataFrame | None = None  # account_id, issue_code, date
+    markets: DataFrame | None = None  # account_id, market_id
+    requests: DataFrame | None = None  # strategy requests with request_id and account_id
     prices: DataFrame | None = None  # ticker, date, price_twd, issue_code
-    versions: DataFrame | None = None  # portfolio_id and the versions its parts were made from
+    versions: DataFrame | None = None  # account_id and the versions its parts were made from
     issue_rows: Callable[[Book, str | None], DataFrame] | None = None  # issues of one domain, or of all
 
     @cached_property
@@ -58,8 +58,8 @@ class Book:
 
     @cached_property
     def strategies(self) -> DataFrame:
-        """Backtest summary rows with the portfolio of their request."""
-        return self.comparison[0].join(self.requests.select("request_id", "portfolio_id"), "request_id")
+        """Backtest summary rows with the account of their request."""
+        return self.comparison[0].join(self.requests.select("request_id", "account_id"), "request_id")
 
     @cached_property
     def nav_points(self) -> DataFrame:
@@ -126,7 +126,7 @@ def book(spark: SparkSession, sf_dir: str, clean: bool = False) -> Book:
         tx = fixtures.tx_clean(spark, sf_dir) if clean else fixtures.tx(spark, sf_dir)
         snapshots = stored(fixtures.clean_snapshots(tx) if clean else fixtures.snapshots(tx))
         freshness, market_issues, versions = fixtures.freshness(tx, snapshots)
-        markets = snapshots.select("portfolio_id", (F.col("portfolio_id") % 2).alias("market_id"))
+        markets = snapshots.select("account_id", (F.col("account_id") % 2).alias("market_id"))
         _books[key] = Book(
             tx, fixtures.marks(spark, sf_dir), snapshots, freshness, fixtures.market_bars(spark, sf_dir), market_issues, markets, versions=versions
         )

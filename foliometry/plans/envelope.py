@@ -1,4 +1,4 @@
-"""Quality and lineage of every result: status, issue digest, versions and date, one row per portfolio.
+"""Quality and lineage of every result: status, issue digest, versions and date, one row per account.
 
 A book joins the versions it was built from once; a result picks the issues that concern it.  The
 digest is `code:count` per distinct code, in order of the codes.
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliometry.operators import flows, returns, valuation
 
-P = "portfolio_id"
+P = "account_id"
 
 VALUATION_VERSION = "valuation-1"
 PERFORMANCE_VERSION = "performance-1"
@@ -80,7 +80,7 @@ def coded(df: DataFrame, code: Column | str = "issue_code") -> DataFrame:
 
 
 def digest(*parts: DataFrame) -> DataFrame:
-    """(portfolio_id, issues, n_issues) of issue counts; portfolios without an issue are missing."""
+    """(account_id, issues, n_issues) of issue counts; accounts without an issue are missing."""
     every = reduce(DataFrame.unionByName, parts).groupBy(P, "code").agg(F.sum("n").alias("n"))
     text = F.concat_ws(":", "code", F.col("n").cast("string"))
     return every.groupBy(P).agg(F.array_join(F.sort_array(F.collect_list(text)), ",").alias("issues"), F.sum("n").alias("n_issues"))
@@ -92,7 +92,7 @@ def by_freshness(freshness: Column, n: Column) -> Column:
 
 
 class Issues:
-    """Issue counts of a book by what they concern, as (portfolio_id, code, n)."""
+    """Issue counts of a book by what they concern, as (account_id, code, n)."""
 
     def __init__(self, book):
         self.book = book
@@ -107,7 +107,7 @@ class Issues:
         return coded(self.book.freshness.where("freshness_issue is not null"), "freshness_issue")
 
     def absent(self, code: str) -> DataFrame:
-        """One issue for each portfolio without a current valuation."""
+        """One issue for each account without a current valuation."""
         return coded(self.book.freshness.where("freshness <> 'CURRENT'"), F.lit(code))
 
     @property
@@ -120,7 +120,7 @@ class Issues:
         return coded(self.book.market_issues)
 
     def security(self, terminal: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Issues of the security flows, and (portfolio_id, complete)."""
+        """Issues of the security flows, and (account_id, complete)."""
         summary = flows.security_summary(self.book.tx, terminal)
         rows = coded(flows.security_events(self.book.tx, terminal).where("issue_code is not null"))
         late = self.book.tx.where("transaction_type = 'SECURITY'").join(terminal.select(P, "valuation_date"), P).where("trade_date > valuation_date")
@@ -134,12 +134,12 @@ def digest_parts(*parts: DataFrame) -> DataFrame:
 
 
 def of_resource(book, name: str, security_terminal) -> DataFrame:
-    """(portfolio_id, *ENVELOPE) of a resource's rows."""
+    """(account_id, *ENVELOPE) of a resource's rows."""
     issues, v = Issues(book), versions_of(book)
     source = F.coalesce("market_source_version", "parser_version")
     revision, as_of, version, status = F.col("transaction_revision"), F.col("valuation_date"), F.lit(None).cast("string"), None
     extra = None
-    if name == "portfolio_snapshot":
+    if name == "account_snapshot":
         parts, version = (issues.freshness, issues.domain("VALUATION"), issues.absent("MISSING_VALUATION")), F.lit(VALUATION_VERSION)
     elif name == "transactions":
         parts, as_of, source, status = (issues.domain("TRANSACTIONS"),), F.col("latest_date"), F.col("parser_version"), "plain"
@@ -181,7 +181,7 @@ def of_resource(book, name: str, security_terminal) -> DataFrame:
 
 
 def of_metric(book, name: str, parameters: dict) -> DataFrame:
-    """(portfolio_id, issues, transaction_revision, valuation_version, source_version): issues hold where the metric is not COMPLETE."""
+    """(account_id, issues, transaction_revision, valuation_version, source_version): issues hold where the metric is not COMPLETE."""
     issues, v = Issues(book), versions_of(book)
     revision = F.col("transaction_revision")
     if name in ("nav", "cash_ratio"):

@@ -1,9 +1,9 @@
-"""Portfolio tables derived from the driver's trade tables, whole, with exact integer-cent amounts.
+"""Account tables derived from the driver's trade tables, whole, with exact integer-cent amounts.
 
-``l_suppkey`` is the portfolio and ``l_partkey % 20`` the instrument.  Row numbers are unique per
-portfolio and ordered by (date, source): they come from a window over (portfolio, day), so no
-window ever spans a whole portfolio.  Tables are written once per session and folder, because
-every query starts from them as it would from stored portfolio tables.
+``l_suppkey`` is the account and ``l_partkey % 20`` the instrument.  Row numbers are unique per
+account and ordered by (date, source): they come from a window over (account, day), so no
+window ever spans a whole account.  Tables are written once per session and folder, because
+every query starts from them as it would from stored account tables.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ START = datetime.date(1995, 1, 1)
 NUDGE = 1.73e-6  # keeps exact halves of the fourth decimal from rounding differently per engine
 
 COLUMNS = (
-    "portfolio_id",
+    "account_id",
     "source_row_number",
     "trade_date",
     "transaction_type",
@@ -71,7 +71,7 @@ def cents(c: str) -> Column:
 
 
 def _row_number(source: int, *tie_break: str) -> Column:
-    rank = F.row_number().over(Window.partitionBy("portfolio_id", "trade_date").orderBy(*tie_break))
+    rank = F.row_number().over(Window.partitionBy("account_id", "trade_date").orderBy(*tie_break))
     day = F.datediff("trade_date", F.lit(START)).cast("bigint")
     return day * 1_000_000_000 + source * 100_000_000 + rank
 
@@ -84,7 +84,7 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_partkey") % 20
     return (
         read(spark, sf_dir, "lineitem")
-        .withColumn("portfolio_id", F.col("l_suppkey"))
+        .withColumn("account_id", F.col("l_suppkey"))
         .withColumn("trade_date", F.to_date("l_shipdate"))
         .withColumn(
             "source_row_number",
@@ -102,7 +102,7 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
         .select(
-            "portfolio_id",
+            "account_id",
             "source_row_number",
             "trade_date",
             F.lit("SECURITY").alias("transaction_type"),
@@ -119,14 +119,14 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def portfolio_count(spark: SparkSession, sf_dir: str) -> int:
+def account_count(spark: SparkSession, sf_dir: str) -> int:
     return read(spark, sf_dir, "supplier").count()
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read(spark, sf_dir, "orders")
-        .withColumn("portfolio_id", F.col("o_custkey") % portfolio_count(spark, sf_dir))
+        .withColumn("account_id", F.col("o_custkey") % account_count(spark, sf_dir))
         .withColumn("trade_date", F.to_date("o_orderdate"))
         .withColumn("source_row_number", _row_number(3, "o_orderkey"))
     )
@@ -151,7 +151,7 @@ def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     twd = priority.isin("1", "5")
     cash = _orders(spark, sf_dir).select(
-        "portfolio_id",
+        "account_id",
         "source_row_number",
         "trade_date",
         kind.alias("transaction_type"),
@@ -173,10 +173,10 @@ def tx_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fx_rate", F.when(F.col("currency") == "TWD", 1.0).otherwise(F.col("rate"))
     )
     lots = (
-        trades.groupBy("portfolio_id", "ticker", "currency")
+        trades.groupBy("account_id", "ticker", "currency")
         .agg((F.sum(F.when(F.col("quantity") < 0, -F.col("quantity")).otherwise(0.0)) + 10).alias("quantity"))
         .select(
-            "portfolio_id",
+            "account_id",
             (F.lit(100_000_000) + F.substring("ticker", 2, 9).cast("bigint")).alias("source_row_number"),
             F.lit(START).alias("trade_date"),
             F.lit("SECURITY").alias("transaction_type"),
@@ -190,17 +190,17 @@ def tx_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     buys = trades.select(*COLUMNS).unionByName(lots).where("quantity > 0")
-    purchases = buys.select("portfolio_id", "currency", (cents("amount_foreign") + cents("fee")).alias("cents"))
+    purchases = buys.select("account_id", "currency", (cents("amount_foreign") + cents("fee")).alias("cents"))
     priority = F.substring("o_orderpriority", 1, 1)
     tenths = 300 + F.col("o_orderkey") % 40  # of TWD per USD
     leaving = _orders(spark, sf_dir).select(
-        "portfolio_id",
+        "account_id",
         F.when(priority == "4", "USD").otherwise("TWD").alias("currency"),
         F.when(priority == "3", 5_000 * tenths).when(priority == "4", 40_000).when(priority == "5", 5_000_000).cast("bigint").alias("cents"),
     )
-    spent = purchases.unionByName(leaving.where("cents is not null")).groupBy("portfolio_id", "currency").agg(F.sum("cents").alias("spent"))
+    spent = purchases.unionByName(leaving.where("cents is not null")).groupBy("account_id", "currency").agg(F.sum("cents").alias("spent"))
     deposits = spent.select(
-        "portfolio_id",
+        "account_id",
         F.when(F.col("currency") == "TWD", 1).when(F.col("currency") == "USD", 2).otherwise(3).cast("bigint").alias("source_row_number"),
         F.lit(START).alias("trade_date"),
         F.lit("CASH_IN").alias("transaction_type"),
@@ -215,7 +215,7 @@ def tx_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(priority.isin("1", "2"), "CASH_IN").when(priority == "3", "FX_BUY").when(priority == "4", "FX_SELL").otherwise("CASH_OUT")
     amount = F.when(priority == "1", 100_000.0).when(priority == "2", 1_000.0).when(priority == "3", 500.0).when(priority == "4", 400.0).otherwise(50_000.0)
     external = _orders(spark, sf_dir).select(
-        "portfolio_id",
+        "account_id",
         "source_row_number",
         "trade_date",
         kind.alias("transaction_type"),
@@ -309,19 +309,19 @@ def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market(first, 0).unionByName(market(second, 1))
 
 
-def snapshots(portfolios: DataFrame, valuation_date: datetime.date = VALUATION_DATE) -> DataFrame:
-    """Every fourth portfolio is valued with snapshot 1, the others with snapshot 0."""
-    p = F.col("portfolio_id")
-    return portfolios.select("portfolio_id").distinct().select(
-        "portfolio_id",
+def snapshots(accounts: DataFrame, valuation_date: datetime.date = VALUATION_DATE) -> DataFrame:
+    """Every fourth account is valued with snapshot 1, the others with snapshot 0."""
+    p = F.col("account_id")
+    return accounts.select("account_id").distinct().select(
+        "account_id",
         F.when(p % 4 == 3, 1).otherwise(0).cast("bigint").alias("snapshot_id"),
         F.lit(valuation_date).alias("valuation_date"),
     )
 
 
-def clean_snapshots(portfolios: DataFrame, valuation_date: datetime.date = VALUATION_DATE) -> DataFrame:
-    return portfolios.select("portfolio_id").distinct().select(
-        "portfolio_id",
+def clean_snapshots(accounts: DataFrame, valuation_date: datetime.date = VALUATION_DATE) -> DataFrame:
+    return accounts.select("account_id").distinct().select(
+        "account_id",
         F.lit(0).cast("bigint").alias("snapshot_id"),
         F.lit(valuation_date).alias("valuation_date"),
     )
@@ -331,20 +331,20 @@ TODAY = VALUATION_DATE + datetime.timedelta(days=3)
 
 
 def bindings(tx_: DataFrame, snapshots_: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(state, bound snapshots, market runs): each portfolio's stored version, and the versions its snapshot and its market run were made from.
+    """(state, bound snapshots, market runs): each account's stored version, and the versions its snapshot and its market run were made from.
 
     Every tenth snapshot and every seventh run (rest 5) are bound to the version before; every seventh
-    portfolio (rest 3) has no run, and every seventh run (rest 1) ends nine days before today.
+    account (rest 3) has no run, and every seventh run (rest 1) ends nine days before today.
     """
-    p = F.col("portfolio_id")
+    p = F.col("account_id")
     dataset = lambda revision: F.concat(F.lit("ds-"), p.cast("string"), F.lit("-"), revision.cast("string"))
     revision = (p % 3 + 1).cast("bigint")
-    state = tx_.groupBy("portfolio_id").agg(F.max("trade_date").alias("latest_date")).select(
-        "portfolio_id", dataset(revision).alias("dataset_id"), revision.alias("stored_revision"), F.lit("parser-1").alias("parser_version"), "latest_date"
+    state = tx_.groupBy("account_id").agg(F.max("trade_date").alias("latest_date")).select(
+        "account_id", dataset(revision).alias("dataset_id"), revision.alias("stored_revision"), F.lit("parser-1").alias("parser_version"), "latest_date"
     )
     before = lambda late: revision - F.when(late, 1).otherwise(0)
     bound = snapshots_.select(
-        "portfolio_id",
+        "account_id",
         "snapshot_id",
         "valuation_date",
         dataset(before(p % 10 == 9)).alias("bound_dataset_id"),
@@ -352,7 +352,7 @@ def bindings(tx_: DataFrame, snapshots_: DataFrame) -> tuple[DataFrame, DataFram
         (p % 2 + 1).cast("bigint").alias("valuation_version"),
     )
     runs = snapshots_.where(p % 7 != 3).select(
-        "portfolio_id",
+        "account_id",
         (p % 4 + 1).cast("bigint").alias("market_revision"),
         dataset(before(p % 7 == 5)).alias("run_dataset_id"),
         before(p % 7 == 5).alias("run_transaction_revision"),
@@ -371,12 +371,12 @@ def freshness(tx_: DataFrame, snapshots_: DataFrame) -> tuple[DataFrame, DataFra
     vector = (
         state.withColumnRenamed("stored_revision", "transaction_revision")
         .drop("dataset_id")
-        .join(bound.select("portfolio_id", "valuation_date", "bound_revision", "valuation_version"), "portfolio_id", "left")
-        .join(runs.drop("run_dataset_id", "market_revision"), "portfolio_id", "left")
-        .join(market.select("portfolio_id", "market_freshness"), "portfolio_id", "left")
+        .join(bound.select("account_id", "valuation_date", "bound_revision", "valuation_version"), "account_id", "left")
+        .join(runs.drop("run_dataset_id", "market_revision"), "account_id", "left")
+        .join(market.select("account_id", "market_freshness"), "account_id", "left")
     )
-    issues = market.where("issue_code is not null").select("portfolio_id", "issue_code", "date")
-    return stored(valued.select("portfolio_id", "freshness", "freshness_issue")), issues, stored(vector)
+    issues = market.where("issue_code is not null").select("account_id", "issue_code", "date")
+    return stored(valued.select("account_id", "freshness", "freshness_issue")), issues, stored(vector)
 
 
 def _money_text(c: Column) -> Column:
@@ -411,7 +411,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     security = F.col("transaction_type") == "SECURITY"
     return tx(spark, sf_dir).select(
-        "portfolio_id",
+        "account_id",
         "source_row_number",
         date.alias("交易日期"),
         kind.alias("Trade Type"),
@@ -431,7 +431,7 @@ def raw_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The marks as an uploaded file would spell them, one file per snapshot."""
     r = F.col("source_row_number")
     return marks(spark, sf_dir).select(
-        F.col("snapshot_id").alias("portfolio_id"),
+        F.col("snapshot_id").alias("account_id"),
         "source_row_number",
         F.when(F.col("snapshot_id") == 0, "2001/06/30").otherwise(F.date_format("mark_date", "yyyy-MM-dd")).alias("as_of_date"),
         F.when(r % 23 == 0, "2001-6-1").otherwise(F.date_format("mark_date", "yyyy/MM/dd")).alias("標記日期"),

@@ -46,7 +46,7 @@ def clean(expression: str) -> str:
 view(
     "v_trades",
     """
-SELECT l_suppkey AS portfolio_id,
+SELECT l_suppkey AS account_id,
   date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) * 1000000000 + 200000000
     + row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE)
       ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS source_row_number,
@@ -63,7 +63,7 @@ FROM lineitem""",
 view(
     "v_orders",
     """
-SELECT o_custkey % (SELECT count(*) FROM supplier) AS portfolio_id, CAST(o_orderdate AS DATE) AS trade_date,
+SELECT o_custkey % (SELECT count(*) FROM supplier) AS account_id, CAST(o_orderdate AS DATE) AS trade_date,
   date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) * 1000000000 + 300000000
     + row_number() OVER (PARTITION BY o_custkey % (SELECT count(*) FROM supplier), CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS source_row_number,
   o_orderkey, o_totalprice, o_orderpriority,
@@ -73,11 +73,11 @@ FROM orders""",
 view(
     "v_tx",
     """
-SELECT portfolio_id, source_row_number, trade_date, transaction_type, ticker, ccy AS currency, quantity, price, amount_foreign,
+SELECT account_id, source_row_number, trade_date, transaction_type, ticker, ccy AS currency, quantity, price, amount_foreign,
   CASE WHEN ccy = 'TWD' THEN 1e0 WHEN l_linenumber <> 7 THEN rate END AS fx_rate, fee
 FROM (SELECT *, CASE WHEN ticker = 'T7' AND l_orderkey % 50 = 0 THEN 'EUR' ELSE currency END AS ccy FROM v_trades)
 UNION ALL
-SELECT portfolio_id, source_row_number, trade_date,
+SELECT account_id, source_row_number, trade_date,
   CASE o_orderpriority[1] WHEN '1' THEN 'CASH_IN' WHEN '2' THEN 'CASH_IN' WHEN '3' THEN 'FX_BUY' WHEN '4' THEN 'FX_SELL' ELSE 'CASH_OUT' END,
   '', CASE WHEN o_orderpriority[1] IN ('1', '5') THEN 'TWD' ELSE 'USD' END, 0e0, 0e0,
   CASE WHEN o_orderpriority[1] IN ('3', '4') THEN o_totalprice / 100 ELSE o_totalprice END,
@@ -87,29 +87,29 @@ FROM v_orders""",
 view(
     "v_lots",
     """
-SELECT portfolio_id, 100000000 + CAST(substr(ticker, 2) AS BIGINT) AS source_row_number, DATE '1995-01-01' AS trade_date,
+SELECT account_id, 100000000 + CAST(substr(ticker, 2) AS BIGINT) AS source_row_number, DATE '1995-01-01' AS trade_date,
   'SECURITY' AS transaction_type, ticker, currency, qty AS quantity, 1000e0 AS price, qty * 1000 AS amount_foreign,
   CASE WHEN currency = 'TWD' THEN 1e0 ELSE 31e0 END AS fx_rate, 0e0 AS fee
-FROM (SELECT portfolio_id, ticker, currency, sum(CASE WHEN quantity < 0 THEN -quantity ELSE 0e0 END) + 10 AS qty
+FROM (SELECT account_id, ticker, currency, sum(CASE WHEN quantity < 0 THEN -quantity ELSE 0e0 END) + 10 AS qty
   FROM v_trades GROUP BY ALL)""",
 )
 view(
     "v_tx_clean",
     """
-SELECT portfolio_id, source_row_number, trade_date, transaction_type, ticker, currency, quantity, price, amount_foreign,
+SELECT account_id, source_row_number, trade_date, transaction_type, ticker, currency, quantity, price, amount_foreign,
   CASE WHEN currency = 'TWD' THEN 1e0 ELSE rate END AS fx_rate, fee FROM v_trades
 UNION ALL SELECT * FROM v_lots
 UNION ALL
-SELECT portfolio_id, CASE currency WHEN 'TWD' THEN 1 WHEN 'USD' THEN 2 ELSE 3 END, DATE '1995-01-01', 'CASH_IN', '', currency, 0e0, 0e0,
+SELECT account_id, CASE currency WHEN 'TWD' THEN 1 WHEN 'USD' THEN 2 ELSE 3 END, DATE '1995-01-01', 'CASH_IN', '', currency, 0e0, 0e0,
   ceil(spent / 1e8) * 1e6 + 5e7, CASE WHEN currency = 'TWD' THEN 1e0 ELSE 305e-1 END, 0e0
-FROM (SELECT portfolio_id, currency, sum(CAST(round(amount_foreign * 100) AS BIGINT) + CAST(round(fee * 100) AS BIGINT)) AS spent
-  FROM (SELECT portfolio_id, currency, amount_foreign, fee FROM v_trades WHERE quantity > 0 UNION ALL
-        SELECT portfolio_id, currency, amount_foreign, fee FROM v_lots WHERE quantity > 0 UNION ALL
-        SELECT portfolio_id, CASE o_orderpriority[1] WHEN '4' THEN 'USD' ELSE 'TWD' END,
+FROM (SELECT account_id, currency, sum(CAST(round(amount_foreign * 100) AS BIGINT) + CAST(round(fee * 100) AS BIGINT)) AS spent
+  FROM (SELECT account_id, currency, amount_foreign, fee FROM v_trades WHERE quantity > 0 UNION ALL
+        SELECT account_id, currency, amount_foreign, fee FROM v_lots WHERE quantity > 0 UNION ALL
+        SELECT account_id, CASE o_orderpriority[1] WHEN '4' THEN 'USD' ELSE 'TWD' END,
           CASE o_orderpriority[1] WHEN '3' THEN 50 * (300 + o_orderkey % 40) WHEN '4' THEN 400 ELSE 50000 END, 0
         FROM v_orders WHERE o_orderpriority[1] IN ('3', '4', '5')) GROUP BY ALL)
 UNION ALL
-SELECT portfolio_id, source_row_number, trade_date, CASE o_orderpriority[1] WHEN '3' THEN 'FX_BUY' WHEN '4' THEN 'FX_SELL' WHEN '5' THEN 'CASH_OUT' ELSE 'CASH_IN' END, '',
+SELECT account_id, source_row_number, trade_date, CASE o_orderpriority[1] WHEN '3' THEN 'FX_BUY' WHEN '4' THEN 'FX_SELL' WHEN '5' THEN 'CASH_OUT' ELSE 'CASH_IN' END, '',
   CASE WHEN o_orderpriority[1] IN ('1', '5') THEN 'TWD' ELSE 'USD' END, 0e0, 0e0,
   CASE o_orderpriority[1] WHEN '1' THEN 1e5 WHEN '2' THEN 1e3 WHEN '3' THEN 5e2 WHEN '4' THEN 4e2 ELSE 5e4 END,
   CASE WHEN o_orderpriority[1] IN ('1', '5') THEN 1e0 ELSE (300 + o_orderkey % 40) / 1e1 END, 0e0
@@ -164,19 +164,19 @@ def ledgers(suffix: str, tx: str) -> None:
     view(
         f"pos_in{suffix}",
         f"""
-SELECT *, row_number() OVER (PARTITION BY portfolio_id, ticker ORDER BY trade_date, source_row_number) AS k FROM (
+SELECT *, row_number() OVER (PARTITION BY account_id, ticker ORDER BY trade_date, source_row_number) AS k FROM (
   SELECT *, CASE WHEN amount_foreign > 0 THEN amount_foreign ELSE abs(quantity) * price END AS amount,
-    first_value(currency) OVER (PARTITION BY portfolio_id, ticker ORDER BY trade_date, source_row_number) AS first_currency
+    first_value(currency) OVER (PARTITION BY account_id, ticker ORDER BY trade_date, source_row_number) AS first_currency
   FROM {tx} WHERE transaction_type = 'SECURITY') WHERE currency = first_currency""",
     )
     view(
         f"pos_fold{suffix}",
         f"""
-SELECT portfolio_id, ticker, currency, CAST(NULL AS DATE) AS trade_date, CAST(0 AS BIGINT) AS source_row_number, CAST(0 AS BIGINT) AS k,
+SELECT account_id, ticker, currency, CAST(NULL AS DATE) AS trade_date, CAST(0 AS BIGINT) AS source_row_number, CAST(0 AS BIGINT) AS k,
   0e0 AS quantity_after, 0e0 AS cost_after, 0e0 AS realized_delta, 0e0 AS gross_buy, 0e0 AS gross_sell, 0e0 AS fee, CAST(NULL AS VARCHAR) AS issue_code
 FROM pos_in{suffix} WHERE k = 1
 UNION ALL
-SELECT r.portfolio_id, r.ticker, r.currency, r.trade_date, r.source_row_number, r.k,
+SELECT r.account_id, r.ticker, r.currency, r.trade_date, r.source_row_number, r.k,
   CASE WHEN r.quantity > 0 THEN f.quantity_after + r.quantity WHEN -r.quantity > f.quantity_after + 1e-9 THEN f.quantity_after
     ELSE {clean("f.quantity_after + r.quantity")} END,
   CASE WHEN r.quantity > 0 THEN f.cost_after + r.amount + r.fee WHEN -r.quantity > f.quantity_after + 1e-9 THEN f.cost_after
@@ -187,27 +187,27 @@ SELECT r.portfolio_id, r.ticker, r.currency, r.trade_date, r.source_row_number,
   CASE WHEN r.quantity > 0 OR -r.quantity > f.quantity_after + 1e-9 THEN 0e0 ELSE r.amount END,
   CASE WHEN r.quantity <= 0 AND -r.quantity > f.quantity_after + 1e-9 THEN 0e0 ELSE r.fee END,
   CASE WHEN r.quantity <= 0 AND -r.quantity > f.quantity_after + 1e-9 THEN 'OVERSELL' END
-FROM pos_fold{suffix} f JOIN pos_in{suffix} r ON r.portfolio_id = f.portfolio_id AND r.ticker = f.ticker AND r.k = f.k + 1""",
+FROM pos_fold{suffix} f JOIN pos_in{suffix} r ON r.account_id = f.account_id AND r.ticker = f.ticker AND r.k = f.k + 1""",
     )
     view(
         f"pos_rows{suffix}",
         f"""
-SELECT portfolio_id, ticker, currency, trade_date, source_row_number, k, quantity_after, cost_after, realized_delta, gross_buy, gross_sell, fee, issue_code
+SELECT account_id, ticker, currency, trade_date, source_row_number, k, quantity_after, cost_after, realized_delta, gross_buy, gross_sell, fee, issue_code
 FROM pos_fold{suffix} WHERE k > 0""",
     )
     view(
         f"pos_all{suffix}",
         f"""
-SELECT portfolio_id, ticker, currency, trade_date, source_row_number, quantity_after, cost_after, realized_delta, gross_buy, gross_sell, fee, issue_code FROM pos_rows{suffix}
+SELECT account_id, ticker, currency, trade_date, source_row_number, quantity_after, cost_after, realized_delta, gross_buy, gross_sell, fee, issue_code FROM pos_rows{suffix}
 UNION ALL
-SELECT portfolio_id, ticker, currency, trade_date, source_row_number, NULL, NULL, 0e0, 0e0, 0e0, 0e0, 'CURRENCY_MISMATCH' FROM (
-  SELECT *, first_value(currency) OVER (PARTITION BY portfolio_id, ticker ORDER BY trade_date, source_row_number) AS first_currency
+SELECT account_id, ticker, currency, trade_date, source_row_number, NULL, NULL, 0e0, 0e0, 0e0, 0e0, 'CURRENCY_MISMATCH' FROM (
+  SELECT *, first_value(currency) OVER (PARTITION BY account_id, ticker ORDER BY trade_date, source_row_number) AS first_currency
   FROM {tx} WHERE transaction_type = 'SECURITY') WHERE currency <> first_currency""",
     )
     view(
         f"pos_end{suffix}",
         f"""
-SELECT portfolio_id, ticker, currency, max_by(quantity_after, k) AS quantity, max_by(cost_after, k) AS cost_basis, sum(realized_delta) AS realized_pnl,
+SELECT account_id, ticker, currency, max_by(quantity_after, k) AS quantity, max_by(cost_after, k) AS cost_basis, sum(realized_delta) AS realized_pnl,
   sum(gross_buy) AS gross_buys, sum(gross_sell) AS gross_sells, sum(fee) AS fees, count(*) FILTER (issue_code IS NULL) AS trade_count
 FROM pos_rows{suffix} GROUP BY ALL""",
     )
@@ -215,9 +215,9 @@ FROM pos_rows{suffix} GROUP BY ALL""",
     view(
         f"cash_in{suffix}",
         f"""
-SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY trade_date, source_row_number) AS k,
+SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY trade_date, source_row_number) AS k,
   CASE WHEN transaction_type = 'SECURITY' AND quantity <= 0 THEN 'SELL' WHEN transaction_type = 'SECURITY' THEN 'BUY' ELSE transaction_type END AS kind
-FROM {tx} WHERE portfolio_id IN (SELECT portfolio_id FROM {tx} WHERE transaction_type <> 'SECURITY')""",
+FROM {tx} WHERE account_id IN (SELECT account_id FROM {tx} WHERE transaction_type <> 'SECURITY')""",
     )
     # verdict first (from the balances before the row), then the movements
     balance = "CASE r.currency WHEN 'TWD' THEN f.twd WHEN 'USD' THEN f.usd ELSE f.eur END"
@@ -225,11 +225,11 @@ FROM {tx} WHERE portfolio_id IN (SELECT portfolio_id FROM {tx} WHERE transaction
     view(
         f"cash_fold{suffix}",
         f"""
-SELECT portfolio_id, CAST(0 AS BIGINT) AS k, 0e0 AS twd, 0e0 AS usd, 0e0 AS eur, CAST(NULL AS VARCHAR) AS issue_code, 0e0 AS gap, 0e0 AS own, 0e0 AS base,
+SELECT account_id, CAST(0 AS BIGINT) AS k, 0e0 AS twd, 0e0 AS usd, 0e0 AS eur, CAST(NULL AS VARCHAR) AS issue_code, 0e0 AS gap, 0e0 AS own, 0e0 AS base,
   CAST(NULL AS DOUBLE) AS required, CAST(NULL AS DOUBLE) AS available
 FROM cash_in{suffix} WHERE k = 1
 UNION ALL
-SELECT portfolio_id, k, {clean("twd + base + CASE WHEN currency = 'TWD' THEN own ELSE 0e0 END")},
+SELECT account_id, k, {clean("twd + base + CASE WHEN currency = 'TWD' THEN own ELSE 0e0 END")},
   {clean("usd + CASE WHEN currency = 'USD' THEN own ELSE 0e0 END")}, {clean("eur + CASE WHEN currency = 'EUR' THEN own ELSE 0e0 END")},
   issue_code, gap, own, base,
   CASE issue_code WHEN 'CASH_OUT_EXCEEDS_BALANCE' THEN amount_foreign + fee WHEN 'INSUFFICIENT_TWD_FOR_FX_BUY' THEN amount_foreign * fx_rate + fee
@@ -254,20 +254,20 @@ FROM (SELECT *,
         WHEN kind = 'BUY' AND gap > 0 AND twd + 1e-9 < gap * fx_rate THEN 'INSUFFICIENT_TWD_FOR_AUTO_FUND'
         WHEN kind = 'BUY' AND currency = 'TWD' AND bal + 1e-9 < amount_foreign + fee THEN 'INSUFFICIENT_CASH_FOR_SECURITY_BUY'
         WHEN kind = 'SELL' AND amount_foreign - fee < -1e-9 THEN 'NEGATIVE_NET_SECURITY_PROCEEDS' END AS issue_code
-    FROM (SELECT r.portfolio_id, r.k, r.kind, r.currency, r.amount_foreign, r.fee, r.fx_rate, {rated} AS rated, f.twd, f.usd, f.eur, {balance} AS bal,
+    FROM (SELECT r.account_id, r.k, r.kind, r.currency, r.amount_foreign, r.fee, r.fx_rate, {rated} AS rated, f.twd, f.usd, f.eur, {balance} AS bal,
         CASE WHEN r.kind = 'BUY' AND r.currency <> 'TWD' AND {balance} + 1e-9 < r.amount_foreign + r.fee THEN r.amount_foreign + r.fee - ({balance}) ELSE 0e0 END AS gap
-      FROM cash_fold{suffix} f JOIN cash_in{suffix} r ON r.portfolio_id = f.portfolio_id AND r.k = f.k + 1)))""",
+      FROM cash_fold{suffix} f JOIN cash_in{suffix} r ON r.account_id = f.account_id AND r.k = f.k + 1)))""",
     )
     view(
         f"cash_done{suffix}",
         f"""
 SELECT r.*, f.twd, f.usd, f.eur, f.issue_code, f.gap, f.own, f.base, f.required, f.available
-FROM cash_fold{suffix} f JOIN cash_in{suffix} r ON r.portfolio_id = f.portfolio_id AND r.k = f.k""",
+FROM cash_fold{suffix} f JOIN cash_in{suffix} r ON r.account_id = f.account_id AND r.k = f.k""",
     )
     view(
         f"cash_rows{suffix}",
         f"""
-SELECT portfolio_id, currency, trade_date, source_row_number, k,
+SELECT account_id, currency, trade_date, source_row_number, k,
   CASE WHEN kind = 'CASH_IN' AND issue_code IS NULL THEN amount_foreign ELSE 0e0 END AS deposits,
   CASE WHEN kind = 'CASH_OUT' AND issue_code IS NULL THEN amount_foreign ELSE 0e0 END AS withdrawals,
   CASE WHEN kind = 'FX_BUY' AND issue_code IS NULL THEN amount_foreign ELSE 0e0 END AS explicit_fx_in,
@@ -279,7 +279,7 @@ SELECT portfolio_id, currency, trade_date, source_row_number, k,
   CASE currency WHEN 'TWD' THEN twd WHEN 'USD' THEN usd ELSE eur END AS balance_after, issue_code, required, available
 FROM cash_done{suffix}
 UNION ALL
-SELECT portfolio_id, 'TWD', trade_date, source_row_number, k, 0e0, 0e0,
+SELECT account_id, 'TWD', trade_date, source_row_number, k, 0e0, 0e0,
   CASE WHEN kind = 'FX_SELL' AND issue_code IS NULL THEN amount_foreign * fx_rate ELSE 0e0 END,
   CASE WHEN kind = 'FX_BUY' AND issue_code IS NULL THEN amount_foreign * fx_rate ELSE 0e0 END, 0e0,
   CASE WHEN kind = 'BUY' AND issue_code IS NULL THEN gap * fx_rate ELSE 0e0 END, 0e0, 0e0,
@@ -291,16 +291,16 @@ FROM cash_done{suffix} WHERE currency <> 'TWD' AND (
     view(
         f"wallets{suffix}",
         f"""
-SELECT portfolio_id, currency, sum(deposits) AS deposits, sum(withdrawals) AS withdrawals, sum(explicit_fx_in) AS explicit_fx_in,
+SELECT account_id, currency, sum(deposits) AS deposits, sum(withdrawals) AS withdrawals, sum(explicit_fx_in) AS explicit_fx_in,
   sum(explicit_fx_out) AS explicit_fx_out, sum(auto_funded_in) AS auto_funded_in, sum(auto_funding_out) AS auto_funding_out,
   sum(security_spent) AS security_spent, sum(security_received) AS security_received, sum(fees) AS fees, max_by(balance_after, k) AS ending_balance
-FROM cash_rows{suffix} GROUP BY portfolio_id, currency""",
+FROM cash_rows{suffix} GROUP BY account_id, currency""",
     )
     # foreign pools; a ticker's quantity and costs are kept in maps keyed by ticker
     view(
         f"fx_in{suffix}",
         f"""
-SELECT *, row_number() OVER (PARTITION BY portfolio_id, currency, fold_ticker ORDER BY trade_date, source_row_number) AS k FROM (
+SELECT *, row_number() OVER (PARTITION BY account_id, currency, fold_ticker ORDER BY trade_date, source_row_number) AS k FROM (
   SELECT *, CASE WHEN amount_foreign > 0 THEN amount_foreign ELSE abs(quantity) * price END AS amount,
     CASE WHEN transaction_type = 'SECURITY' AND currency = 'TWD' THEN ticker ELSE '' END AS fold_ticker,
     CASE WHEN transaction_type = 'SECURITY' AND quantity <= 0 THEN 'SELL' WHEN transaction_type = 'SECURITY' THEN 'BUY' ELSE transaction_type END AS kind,
@@ -311,11 +311,11 @@ SELECT *, row_number() OVER (PARTITION BY portfolio_id, currency, fold_ticker OR
     view(
         f"fx_fold{suffix}",
         f"""
-SELECT portfolio_id, currency, fold_ticker, CAST(0 AS BIGINT) AS k, 0e0 AS units, 0e0 AS cost, {z} AS q, {z} AS n, {z} AS t,
+SELECT account_id, currency, fold_ticker, CAST(0 AS BIGINT) AS k, 0e0 AS units, 0e0 AS cost, {z} AS q, {z} AS n, {z} AS t,
   CAST(NULL AS VARCHAR) AS issue_code, 0e0 AS gap, 0e0 AS released, 0e0 AS out_n, 0e0 AS out_t, 0e0 AS proceeds, 0e0 AS units_before, 0e0 AS cost_before
 FROM fx_in{suffix} WHERE k = 1
 UNION ALL
-SELECT portfolio_id, currency, fold_ticker, k,
+SELECT account_id, currency, fold_ticker, k,
   CASE WHEN issue_code IS NOT NULL OR currency = 'TWD' THEN units
     WHEN kind = 'FX_BUY' THEN {clean("units + amount")} WHEN kind = 'CASH_IN' THEN {clean("units + (amount - fee)")}
     WHEN kind IN ('FX_SELL', 'CASH_OUT', 'BUY') THEN {clean("units + gap - need")}
@@ -345,16 +345,16 @@ FROM (SELECT *,
     CASE WHEN held > 1e-9 THEN held_n / held ELSE 0e0 END * -quantity AS out_n, CASE WHEN held > 1e-9 THEN held_t / held ELSE 0e0 END * -quantity AS out_t,
     CASE WHEN currency = 'TWD' THEN amount - fee ELSE (amount - fee) * coalesce(fx_rate, 0) END AS proceeds
   FROM (SELECT *, cost + CASE WHEN gap > 0 AND rated THEN gap * fx_rate ELSE 0e0 END AS pool_cost
-    FROM (SELECT r.portfolio_id, r.currency, r.fold_ticker, r.k, r.kind, r.slot, r.quantity, r.amount, r.fee, r.fx_rate, r.rated, f.units, f.cost, f.q, f.n, f.t,
+    FROM (SELECT r.account_id, r.currency, r.fold_ticker, r.k, r.kind, r.slot, r.quantity, r.amount, r.fee, r.fx_rate, r.rated, f.units, f.cost, f.q, f.n, f.t,
       f.q[r.slot] AS held, f.n[r.slot] AS held_n, f.t[r.slot] AS held_t,
       CASE r.kind WHEN 'FX_SELL' THEN r.amount WHEN 'CASH_OUT' THEN r.amount + r.fee WHEN 'BUY' THEN r.amount + r.fee ELSE 0e0 END AS need,
       CASE WHEN r.kind = 'BUY' AND r.currency <> 'TWD' AND f.units + 1e-9 < r.amount + r.fee THEN r.amount + r.fee - f.units ELSE 0e0 END AS gap
-      FROM fx_fold{suffix} f JOIN fx_in{suffix} r ON r.portfolio_id = f.portfolio_id AND r.currency = f.currency AND r.fold_ticker = f.fold_ticker AND r.k = f.k + 1)))""",
+      FROM fx_fold{suffix} f JOIN fx_in{suffix} r ON r.account_id = f.account_id AND r.currency = f.currency AND r.fold_ticker = f.fold_ticker AND r.k = f.k + 1)))""",
     )
     view(
         f"fx_rows{suffix}",
         f"""
-SELECT r.portfolio_id, r.currency, r.fold_ticker, CASE WHEN r.transaction_type = 'SECURITY' THEN r.ticker END AS ticker, r.trade_date, r.source_row_number, r.k, r.kind,
+SELECT r.account_id, r.currency, r.fold_ticker, CASE WHEN r.transaction_type = 'SECURITY' THEN r.ticker END AS ticker, r.trade_date, r.source_row_number, r.k, r.kind,
   CASE WHEN touched THEN f.units END AS units_after, CASE WHEN touched THEN f.cost END AS pool_cost_after,
   CASE WHEN r.kind = 'FX_BUY' AND f.issue_code IS NULL THEN r.amount ELSE 0e0 END AS explicit_fx_units_in,
   CASE WHEN r.kind = 'CASH_IN' AND f.issue_code IS NULL THEN r.amount - r.fee ELSE 0e0 END AS external_cash_units_in,
@@ -374,24 +374,24 @@ SELECT r.portfolio_id, r.currency, r.fold_ticker, CASE WHEN r.transaction_type =
     WHEN 'MISSING_FX_RATE_FOR_AUTO_FUND' THEN f.gap WHEN 'OVERSELL' THEN -r.quantity END AS required,
   CASE WHEN f.issue_code IN ('INSUFFICIENT_FOREIGN_POOL', 'MISSING_FX_RATE_FOR_AUTO_FUND') THEN f.units WHEN f.issue_code = 'OVERSELL' THEN f.q[r.slot] END AS available
 FROM (SELECT *, currency <> 'TWD' AND (issue_code IS NULL OR issue_code IN ('INSUFFICIENT_FOREIGN_POOL', 'MISSING_FX_RATE_FOR_AUTO_FUND')) AS open_ FROM fx_fold{suffix}) f
-JOIN fx_in{suffix} r ON r.portfolio_id = f.portfolio_id AND r.currency = f.currency AND r.fold_ticker = f.fold_ticker AND r.k = f.k,
+JOIN fx_in{suffix} r ON r.account_id = f.account_id AND r.currency = f.currency AND r.fold_ticker = f.fold_ticker AND r.k = f.k,
 LATERAL (SELECT f.open_ AND (r.kind <> 'SELL' OR r.amount - r.fee > 1e-9) AS touched)""",
     )
     view(
         f"fx_pools{suffix}",
         f"""
-SELECT portfolio_id, currency, max_by(units_after, k) AS units, max_by(pool_cost_after, k) AS twd_cost_basis, sum(explicit_fx_units_in) AS explicit_fx_units_in,
+SELECT account_id, currency, max_by(units_after, k) AS units, max_by(pool_cost_after, k) AS twd_cost_basis, sum(explicit_fx_units_in) AS explicit_fx_units_in,
   sum(external_cash_units_in) AS external_cash_units_in, sum(automatic_units_in) AS automatic_units_in, sum(units_assigned_to_securities) AS units_assigned_to_securities,
   sum(units_sold_to_twd) AS units_sold_to_twd, sum(units_withdrawn) AS units_withdrawn, sum(foreign_fee_units) AS foreign_fee_units,
   sum(foreign_fee_twd_cost) AS foreign_fee_twd_cost, sum(twd_fees) AS twd_fees, sum(realized_fx_delta) AS realized_fx_pnl_twd
-FROM fx_rows{suffix} WHERE units_after IS NOT NULL GROUP BY portfolio_id, currency""",
+FROM fx_rows{suffix} WHERE units_after IS NOT NULL GROUP BY account_id, currency""",
     )
     view(
         f"fx_basis{suffix}",
         f"""
-SELECT portfolio_id, ticker, currency, max_by(quantity_after, k) AS quantity, max_by(native_cost_after, k) AS native_cost_basis,
+SELECT account_id, ticker, currency, max_by(quantity_after, k) AS quantity, max_by(native_cost_after, k) AS native_cost_basis,
   max_by(twd_cost_after, k) AS twd_cost_basis, sum(realized_twd_delta) AS realized_pnl_twd, count(*) FILTER (issue_code IS NULL) AS trade_count
-FROM fx_rows{suffix} WHERE ticker IS NOT NULL GROUP BY portfolio_id, ticker, currency""",
+FROM fx_rows{suffix} WHERE ticker IS NOT NULL GROUP BY account_id, ticker, currency""",
     )
 
 

@@ -11,7 +11,7 @@ from foliometry.operators import backtest, market
 from foliometry.plans import fixtures
 from foliometry.plans.catalog import query, rounded, sql_round, sql_rounded
 from foliometry.plans.oracle_views import view
-from foliometry.plans.portfolio import book
+from foliometry.plans.account import book
 
 R = "request_id"
 
@@ -34,7 +34,7 @@ def request_texts(spark, sf):
     )
     return fixtures.read(spark, sf, "supplier").select(
         k.alias(R),
-        (k - k % 2).alias("portfolio_id"),
+        (k - k % 2).alias("account_id"),
         F.date_add(F.lit(datetime.date(1996, 1, 10)), (k % 28).cast("int")).alias("start_date"),
         end.alias("end_date"),
         (1000.0 * (1 + k % 5)).alias("monthly_amount"),
@@ -79,7 +79,7 @@ def open_calendar(spark, sf):
 view(
     "b_requests",
     """SELECT *, CASE WHEN k % 17 = 8 AND NOT (k % 29 = 5 OR k % 23 = 6 OR k % 19 = 7) THEN 'INVALID_ALLOCATIONS' WHEN k % 31 = 9 THEN 'END_BEFORE_START' WHEN k % 29 = 5 THEN NULL WHEN k % 23 = 6 THEN 'WEIGHTS_NOT_ONE' WHEN k % 19 = 7 THEN 'DUPLICATE_TICKER' END AS request_issue,
-CASE WHEN k % 29 = 5 THEN 'ZZZ' ELSE 'T' || (k % 20) END AS t1, 'T' || ((k + 7) % 20) AS t2 FROM (SELECT s_suppkey AS request_id, s_suppkey AS k, s_suppkey - s_suppkey % 2 AS portfolio_id, DATE '1996-01-10' + CAST(s_suppkey % 28 AS INTEGER) AS start_date,
+CASE WHEN k % 29 = 5 THEN 'ZZZ' ELSE 'T' || (k % 20) END AS t1, 'T' || ((k + 7) % 20) AS t2 FROM (SELECT s_suppkey AS request_id, s_suppkey AS k, s_suppkey - s_suppkey % 2 AS account_id, DATE '1996-01-10' + CAST(s_suppkey % 28 AS INTEGER) AS start_date,
 CASE WHEN s_suppkey % 31 = 9 THEN DATE '1995-12-31' WHEN s_suppkey % 13 = 4 THEN DATE '2001-10-31' WHEN s_suppkey % 37 = 11 THEN DATE '2002-01-31' ELSE DATE '1998-12-31' END AS end_date, 1000e0 * (1 + s_suppkey % 5) AS monthly_amount FROM supplier)""",
 )
 view("b_ok", "SELECT * FROM b_requests WHERE request_issue IS NULL")
@@ -133,7 +133,7 @@ WINDOW w AS (PARTITION BY f.request_id, f.mode ORDER BY c.date)""",
 view(
     "b_trades",
     """SELECT r.request_id, t.trade_date AS requested_date, CASE WHEN t.quantity > 0 THEN 'CONTRIBUTION' ELSE 'WITHDRAWAL' END AS kind, (t.amount_foreign + CASE WHEN t.quantity > 0 THEN t.fee ELSE -t.fee END) * t.fx_rate AS amount_twd, t.source_row_number
-FROM b_open r JOIN v_tx_clean t ON t.portfolio_id = r.portfolio_id AND t.transaction_type = 'SECURITY' AND t.trade_date BETWEEN r.start_date AND r.end_date""",
+FROM b_open r JOIN v_tx_clean t ON t.account_id = r.account_id AND t.transaction_type = 'SECURITY' AND t.trade_date BETWEEN r.start_date AND r.end_date""",
 )
 view(
     "b_late",
@@ -226,7 +226,7 @@ def _(spark, sf):
     "replay_flows",
     f"""SELECT r.request_id, t.trade_date AS requested_date, CASE WHEN t.quantity > 0 THEN 'CONTRIBUTION' ELSE 'WITHDRAWAL' END AS kind, t.source_row_number,
 {sql_rounded(2, '(t.amount_foreign + CASE WHEN t.quantity > 0 THEN t.fee ELSE -t.fee END) * t.fx_rate').rsplit(' AS ', 1)[0]} AS amount_twd, CASE WHEN t.fx_rate IS NULL THEN 'MISSING_REPLAY_FX' END AS issue_code
-FROM b_ok r JOIN v_tx t ON t.portfolio_id = r.portfolio_id AND t.transaction_type = 'SECURITY' AND t.trade_date BETWEEN r.start_date AND r.end_date""",
+FROM b_ok r JOIN v_tx t ON t.account_id = r.account_id AND t.transaction_type = 'SECURITY' AND t.trade_date BETWEEN r.start_date AND r.end_date""",
 )
 def _(spark, sf):
     return backtest.replay_flows(requests(spark, sf), fixtures.tx(spark, sf)).select(
@@ -236,8 +236,8 @@ def _(spark, sf):
 
 @query(
     "replay_issues",
-    """SELECT r.request_id, 'MISSING_REPLAY_FX' AS issue_code, count(*) AS rows FROM b_ok r JOIN v_tx t ON t.portfolio_id = r.portfolio_id AND t.transaction_type = 'SECURITY' AND t.trade_date BETWEEN r.start_date AND r.end_date AND t.fx_rate IS NULL GROUP BY ALL
-UNION ALL SELECT request_id, 'NO_REPLAY_TRANSACTIONS', 1 FROM b_ok r WHERE NOT EXISTS (SELECT 1 FROM v_tx t WHERE t.portfolio_id = r.portfolio_id AND t.transaction_type = 'SECURITY' AND t.trade_date BETWEEN r.start_date AND r.end_date)""",
+    """SELECT r.request_id, 'MISSING_REPLAY_FX' AS issue_code, count(*) AS rows FROM b_ok r JOIN v_tx t ON t.account_id = r.account_id AND t.transaction_type = 'SECURITY' AND t.trade_date BETWEEN r.start_date AND r.end_date AND t.fx_rate IS NULL GROUP BY ALL
+UNION ALL SELECT request_id, 'NO_REPLAY_TRANSACTIONS', 1 FROM b_ok r WHERE NOT EXISTS (SELECT 1 FROM v_tx t WHERE t.account_id = r.account_id AND t.transaction_type = 'SECURITY' AND t.trade_date BETWEEN r.start_date AND r.end_date)""",
 )
 def _(spark, sf):
     asked, tx = requests(spark, sf), fixtures.tx(spark, sf)
@@ -350,7 +350,7 @@ view(
     """SELECT r.request_id, r.mode, CASE WHEN r.blocking IS NULL THEN x.xirr END AS xirr, CASE WHEN r.blocking IS NULL AND x.xirr IS NOT NULL THEN 'ESTIMATED' ELSE 'INCOMPLETE' END AS status
 FROM b_runs r LEFT JOIN (SELECT request_id, mode, CASE WHEN count(*) = 1 THEN min(exp((lo + hi) / 2) - 1) END AS xirr FROM b_bisect WHERE n = 50 GROUP BY ALL) x USING (request_id, mode)""",
 )
-view("b_results", "SELECT f.*, r.xirr, r.status, b.portfolio_id FROM b_figures f JOIN b_rates r USING (request_id, mode) JOIN b_ok b USING (request_id)")
+view("b_results", "SELECT f.*, r.xirr, r.status, b.account_id FROM b_figures f JOIN b_rates r USING (request_id, mode) JOIN b_ok b USING (request_id)")
 
 
 @query("strategy_xirr", f"SELECT request_id, mode, {sql_rounded(6, 'xirr')}, status FROM b_rates")

@@ -17,7 +17,7 @@ from foliometry.runtime import shared_folder
 from foliometry.schema import clean, gross_native, twd_rate
 from foliometry.sources import files, provider
 
-P = "portfolio_id"
+P = "account_id"
 
 
 def _money(expression: str) -> str:
@@ -28,7 +28,7 @@ def _money(expression: str) -> str:
 view(
     "v_raw",
     f"""
-SELECT portfolio_id, source_row_number,
+SELECT account_id, source_row_number,
   CASE WHEN r % 41 = 0 THEN '1997-02-30' WHEN r % 43 = 0 THEN CAST(trade_date - DATE '1899-12-30' AS VARCHAR) WHEN r % 7 = 0 THEN year(trade_date) || '/' || month(trade_date) || '/' || day(trade_date)
     ELSE CAST(trade_date AS VARCHAR) END AS d,
   CASE WHEN r % 53 = 0 THEN 'SWAP' WHEN transaction_type = 'SECURITY' AND r % 5 = 0 THEN '' WHEN transaction_type = 'SECURITY' AND quantity > 0 THEN ' buy' WHEN transaction_type = 'SECURITY' THEN 'Sell'
@@ -46,7 +46,7 @@ view(
 SELECT *, CASE WHEN transaction_type = 'SECURITY' THEN abs(coalesce(raw_amount, price * quantity)) ELSE abs(coalesce(raw_amount, 0e0)) END AS amount_foreign FROM (
 SELECT *, CASE WHEN word = 'SELL' AND q0 > 0 THEN -q0 WHEN word = 'BUY' AND q0 < 0 THEN abs(q0) ELSE q0 END AS quantity,
   CASE WHEN currency = 'TWD' THEN 1e0 ELSE raw_rate END AS fx_rate FROM (
-SELECT portfolio_id, source_row_number, upper(trim(t)) AS word, coalesce(try_cast(replace(q, ',', '') AS DOUBLE), 0e0) AS q0,
+SELECT account_id, source_row_number, upper(trim(t)) AS word, coalesce(try_cast(replace(q, ',', '') AS DOUBLE), 0e0) AS q0,
   CASE WHEN regexp_full_match(d, '[0-9]+') THEN DATE '1899-12-30' + CAST(d AS INTEGER)
     WHEN d LIKE '%/%' THEN try_cast(split_part(d, '/', 1) || '-' || lpad(split_part(d, '/', 2), 2, '0') || '-' || lpad(split_part(d, '/', 3), 2, '0') AS DATE) ELSE try_cast(d AS DATE) END AS trade_date,
   CASE WHEN regexp_full_match(s, '[0-9]{4,6}') THEN s || '.TW' ELSE upper(s) END AS ticker,
@@ -90,7 +90,7 @@ _TYPED = ("quantity", "price", "amount_foreign", "fx_rate", "fee")
 
 @query(
     "parse_transactions",
-    f"SELECT portfolio_id, source_row_number, trade_date, transaction_type, ticker, currency, {sql_rounded(4, *_TYPED)}, note, reject_reason FROM v_parsed",
+    f"SELECT account_id, source_row_number, trade_date, transaction_type, ticker, currency, {sql_rounded(4, *_TYPED)}, note, reject_reason FROM v_parsed",
 )
 def _(spark, sf):
     return ingest.parse_transactions(fixtures.raw_transactions(spark, sf)).select(
@@ -100,42 +100,42 @@ def _(spark, sf):
 
 @query(
     "file_transactions",
-    f"""SELECT portfolio_id, CAST(1 + row_number() OVER (PARTITION BY portfolio_id ORDER BY source_row_number) AS BIGINT) AS source_row_number, trade_date, transaction_type, ticker, currency,
+    f"""SELECT account_id, CAST(1 + row_number() OVER (PARTITION BY account_id ORDER BY source_row_number) AS BIGINT) AS source_row_number, trade_date, transaction_type, ticker, currency,
 {sql_rounded(4, *_TYPED)}, CASE WHEN source_row_number % 7 = 0 THEN 'two, "quoted"' || chr(10) || 'lines' ELSE note END AS note, reject_reason FROM v_parsed""",
 )
 def _(spark, sf):
-    """A file per portfolio, in two spellings and orders of the header, with quoted line breaks; read back with row numbers."""
+    """A file per account, in two spellings and orders of the header, with quoted line breaks; read back with row numbers."""
     odd = F.col("source_row_number") % 7 == 0
     rows = fixtures.raw_transactions(spark, sf).withColumn("memo", F.when(odd, 'two, "quoted"\nlines').otherwise(F.col("memo")))
     other = ["memo", *[c for c in rows.columns if c != "memo"]]
     folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
     _write_files(rows.where(F.col(P) % 2 == 0), f"{folder}/first")
     _write_files(rows.where(F.col(P) % 2 == 1).select(other).withColumnRenamed("Qty", "股數"), f"{folder}/second")
-    raw = files.read_transactions(spark, f"{folder}/*/*").withColumn(P, _portfolio_of_file())
+    raw = files.read_transactions(spark, f"{folder}/*/*").withColumn(P, _account_of_file())
     return ingest.parse_transactions(raw).select(
         P, "source_row_number", "trade_date", "transaction_type", "ticker", "currency", *rounded(4, *_TYPED), "note", "reject_reason"
     )
 
 
 def _write_files(rows, folder: str) -> None:
-    """One file per portfolio in the order of the row numbers, which are not written."""
+    """One file per account in the order of the row numbers, which are not written."""
     ordered = rows.repartition(P).sortWithinPartitions(P, "source_row_number").drop("source_row_number")
     ordered.write.partitionBy(P).option("header", True).option("escape", '"').csv(folder)
 
 
-def _portfolio_of_file():
-    return F.regexp_extract(files.FILE, "portfolio_id=([0-9]+)", 1).cast("bigint")
+def _account_of_file():
+    return F.regexp_extract(files.FILE, "account_id=([0-9]+)", 1).cast("bigint")
 
 
-@query("rejected_rows", "SELECT portfolio_id, source_row_number, reject_reason FROM v_parsed WHERE reject_reason IS NOT NULL")
+@query("rejected_rows", "SELECT account_id, source_row_number, reject_reason FROM v_parsed WHERE reject_reason IS NOT NULL")
 def _(spark, sf):
     return ingest.rejected(parsed_transactions(spark, sf))
 
 
 @query(
     "transaction_hashes",
-    """SELECT portfolio_id, source_row_number, occurrence, content_hash, sha256(content_hash || '|occurrence:' || occurrence) AS row_hash FROM (
-SELECT *, row_number() OVER (PARTITION BY portfolio_id, content_hash ORDER BY source_row_number) AS occurrence FROM v_accepted)""",
+    """SELECT account_id, source_row_number, occurrence, content_hash, sha256(content_hash || '|occurrence:' || occurrence) AS row_hash FROM (
+SELECT *, row_number() OVER (PARTITION BY account_id, content_hash ORDER BY source_row_number) AS occurrence FROM v_accepted)""",
 )
 def _(spark, sf):
     rows = ingest.accepted(parsed_transactions(spark, sf))
@@ -144,9 +144,9 @@ def _(spark, sf):
 
 @query(
     "dataset_profile",
-    """SELECT portfolio_id, CAST(count(*) AS BIGINT) AS row_count, count(DISTINCT ticker) FILTER (ticker <> '') AS ticker_count, min(trade_date) AS earliest_date, max(trade_date) AS latest_date,
+    """SELECT account_id, CAST(count(*) AS BIGINT) AS row_count, count(DISTINCT ticker) FILTER (ticker <> '') AS ticker_count, min(trade_date) AS earliest_date, max(trade_date) AS latest_date,
 CAST(count(*) FILTER (currency <> 'TWD' AND fx_rate IS NULL AND transaction_type IN ('SECURITY', 'CASH_OUT')) AS BIGINT) AS missing_fx_count,
-CAST(count(*) - count(DISTINCT content_hash) AS BIGINT) AS repeated_content_count FROM v_accepted GROUP BY portfolio_id""",
+CAST(count(*) - count(DISTINCT content_hash) AS BIGINT) AS repeated_content_count FROM v_accepted GROUP BY account_id""",
 )
 def _(spark, sf):
     rows = parsed_transactions(spark, sf).where("reject_reason is null")
@@ -155,7 +155,7 @@ def _(spark, sf):
 
 view(
     "v_raw_marks",
-    f"""SELECT snapshot_id AS portfolio_id, source_row_number, CASE WHEN snapshot_id = 0 THEN '2001/06/30' ELSE CAST(mark_date AS VARCHAR) END AS vd,
+    f"""SELECT snapshot_id AS account_id, source_row_number, CASE WHEN snapshot_id = 0 THEN '2001/06/30' ELSE CAST(mark_date AS VARCHAR) END AS vd,
 CASE WHEN source_row_number % 23 = 0 THEN '2001-6-1' ELSE strftime(mark_date, '%Y/%m/%d') END AS d, CASE WHEN source_row_number % 29 = 0 THEN 'YIELD' WHEN mark_type = 'FX' THEN 'FX' ELSE 'PRICE' END AS t, ticker,
 CASE WHEN source_row_number % 31 = 0 OR mark_type = 'PRICE' THEN '' ELSE currency END AS c, CASE WHEN source_row_number % 37 = 0 THEN -3e0 ELSE CAST(replace({_money('value')}, ',', '') AS DOUBLE) END AS value,
 CASE WHEN source = 'MONTHLY' THEN 'MANUAL_UPLOAD' ELSE source END AS source FROM v_marks""",
@@ -163,14 +163,14 @@ CASE WHEN source = 'MONTHLY' THEN 'MANUAL_UPLOAD' ELSE source END AS source FROM
 view(
     "v_parsed_marks",
     """SELECT *, CASE WHEN mark_type IS NULL THEN 'UNSUPPORTED_TYPE' WHEN mark_type = 'FX' AND c = '' THEN 'MISSING_CURRENCY' WHEN mark_date IS NULL THEN 'INVALID_DATE' WHEN value <= 0 THEN 'NON_POSITIVE_VALUE' END AS reject_reason
-FROM (SELECT portfolio_id, source_row_number, CASE WHEN d <> '2001-6-1' THEN CAST(replace(d, '/', '-') AS DATE) END AS mark_date, nullif(t, 'YIELD') AS mark_type,
+FROM (SELECT account_id, source_row_number, CASE WHEN d <> '2001-6-1' THEN CAST(replace(d, '/', '-') AS DATE) END AS mark_date, nullif(t, 'YIELD') AS mark_type,
 CASE WHEN t = 'PRICE' THEN ticker ELSE '' END AS ticker, CASE WHEN c <> '' THEN c WHEN t <> 'FX' THEN 'USD' END AS currency, value, source, c FROM v_raw_marks)""",
 )
 
 
 @query(
     "parse_marks",
-    f"SELECT portfolio_id, source_row_number, mark_date, mark_type, ticker, CASE WHEN mark_type IS NULL THEN NULL ELSE currency END AS currency, {sql_rounded(4, 'value')}, source, reject_reason FROM v_parsed_marks",
+    f"SELECT account_id, source_row_number, mark_date, mark_type, ticker, CASE WHEN mark_type IS NULL THEN NULL ELSE currency END AS currency, {sql_rounded(4, 'value')}, source, reject_reason FROM v_parsed_marks",
 )
 def _(spark, sf):
     known = F.when(F.col("mark_type").isNotNull(), F.col("currency")).alias("currency")
@@ -181,22 +181,22 @@ def _(spark, sf):
 
 @query(
     "file_marks",
-    f"""SELECT portfolio_id, CAST(1 + row_number() OVER (PARTITION BY portfolio_id ORDER BY source_row_number) AS BIGINT) AS source_row_number, mark_date, mark_type, ticker,
+    f"""SELECT account_id, CAST(1 + row_number() OVER (PARTITION BY account_id ORDER BY source_row_number) AS BIGINT) AS source_row_number, mark_date, mark_type, ticker,
 CASE WHEN mark_type IS NULL THEN NULL ELSE currency END AS currency, {sql_rounded(4, 'value')}, source, reject_reason FROM v_parsed_marks""",
 )
 def _(spark, sf):
     """A file of marks per snapshot, read back with its row numbers."""
     folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
     _write_files(fixtures.raw_marks(spark, sf), folder)
-    parsed = ingest.parse_marks(files.read_marks(spark, f"{folder}/*").withColumn(P, _portfolio_of_file()))
+    parsed = ingest.parse_marks(files.read_marks(spark, f"{folder}/*").withColumn(P, _account_of_file()))
     known = F.when(F.col("mark_type").isNotNull(), F.col("currency")).alias("currency")
     return parsed.select(P, "source_row_number", "mark_date", "mark_type", "ticker", known, *rounded(4, "value"), "source", "reject_reason")
 
 
 @query(
     "valuation_date_gate",
-    """SELECT portfolio_id, CASE WHEN count(DISTINCT vd) = 1 THEN max(CAST(replace(vd, '/', '-') AS DATE)) END AS valuation_date,
-CASE WHEN count(DISTINCT vd) > 1 THEN 'SEVERAL_VALUATION_DATES' END AS refusal FROM v_raw_marks GROUP BY portfolio_id""",
+    """SELECT account_id, CASE WHEN count(DISTINCT vd) = 1 THEN max(CAST(replace(vd, '/', '-') AS DATE)) END AS valuation_date,
+CASE WHEN count(DISTINCT vd) > 1 THEN 'SEVERAL_VALUATION_DATES' END AS refusal FROM v_raw_marks GROUP BY account_id""",
 )
 def _(spark, sf):
     return ingest.valuation_date_gate(ingest.parse_marks(fixtures.raw_marks(spark, sf)))
@@ -204,7 +204,7 @@ def _(spark, sf):
 
 @query(
     "search_transactions",
-    """SELECT portfolio_id, source_row_number FROM v_tx WHERE CAST(trade_date AS VARCHAR) LIKE '%fx_s%' OR lower(transaction_type) LIKE '%fx\\_s%' ESCAPE '\\' OR lower(ticker) LIKE '%fx\\_s%' ESCAPE '\\'""",
+    """SELECT account_id, source_row_number FROM v_tx WHERE CAST(trade_date AS VARCHAR) LIKE '%fx_s%' OR lower(transaction_type) LIKE '%fx\\_s%' ESCAPE '\\' OR lower(ticker) LIKE '%fx\\_s%' ESCAPE '\\'""",
 )
 def _(spark, sf):
     columns = ("trade_date", "transaction_type", "ticker", "currency")
@@ -213,8 +213,8 @@ def _(spark, sf):
 
 @query(
     "row_expressions",
-    f"""SELECT portfolio_id, source_row_number, {sql_rounded(4, 'gross', 'flow_twd', 'cleaned')}, rate FROM (
-SELECT portfolio_id, source_row_number, CASE WHEN amount_foreign > 0 THEN amount_foreign ELSE abs(quantity) * price END AS gross, amount_foreign * fx_rate AS flow_twd, fx_rate AS rate,
+    f"""SELECT account_id, source_row_number, {sql_rounded(4, 'gross', 'flow_twd', 'cleaned')}, rate FROM (
+SELECT account_id, source_row_number, CASE WHEN amount_foreign > 0 THEN amount_foreign ELSE abs(quantity) * price END AS gross, amount_foreign * fx_rate AS flow_twd, fx_rate AS rate,
 CASE WHEN abs(quantity * 1e-11) < 1e-9 THEN 0e0 ELSE quantity * 1e-11 END * 1e9 AS cleaned FROM v_tx)""",
 )
 def _(spark, sf):

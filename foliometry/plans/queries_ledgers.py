@@ -7,16 +7,16 @@ from foliometry.operators.marks import snapshot_quotes
 from foliometry.plans import fixtures
 from foliometry.plans.catalog import query, rounded, sql_round, sql_rounded
 from foliometry.plans.oracle_views import view
-from foliometry.plans.portfolio import book
+from foliometry.plans.account import book
 
-P = "portfolio_id"
+P = "account_id"
 
 _POS = ("quantity_after", "cost_after", "realized_delta", "gross_buy", "gross_sell", "fee")
 
 
 @query(
     "position_ledger",
-    f"SELECT portfolio_id, ticker, currency, trade_date, source_row_number, {sql_rounded(4, *_POS)}, issue_code FROM pos_all",
+    f"SELECT account_id, ticker, currency, trade_date, source_row_number, {sql_rounded(4, *_POS)}, issue_code FROM pos_all",
 )
 def _(spark, sf):
     return book(spark, sf).security_ledger.select(
@@ -29,7 +29,7 @@ _END = ("quantity", "cost_basis", "realized_pnl", "gross_buys", "gross_sells", "
 
 @query(
     "positions",
-    f"""SELECT portfolio_id, ticker, currency, trade_count, {sql_rounded(3, *_END)} FROM (
+    f"""SELECT account_id, ticker, currency, trade_count, {sql_rounded(3, *_END)} FROM (
 SELECT *, CASE WHEN quantity > 1e-9 THEN cost_basis / quantity ELSE 0e0 END AS average_unit_cost FROM pos_end)""",
 )
 def _(spark, sf):
@@ -41,7 +41,7 @@ _TOT = ("gross_buys", "gross_sells", "fees", "net_security_cash_flow", "realized
 
 @query(
     "currency_totals",
-    f"""SELECT portfolio_id, currency, {sql_rounded(2, *_TOT)} FROM (SELECT portfolio_id, currency, sum(gross_buy) AS gross_buys, sum(gross_sell) AS gross_sells,
+    f"""SELECT account_id, currency, {sql_rounded(2, *_TOT)} FROM (SELECT account_id, currency, sum(gross_buy) AS gross_buys, sum(gross_sell) AS gross_sells,
 sum(fee) AS fees, sum(gross_sell) - sum(gross_buy) - sum(fee) AS net_security_cash_flow, sum(realized_delta) AS realized_pnl FROM pos_rows GROUP BY ALL)""",
 )
 def _(spark, sf):
@@ -50,7 +50,7 @@ def _(spark, sf):
 
 @query(
     "transaction_counts",
-    """SELECT portfolio_id, count(*) FILTER (transaction_type = 'SECURITY') AS security_transaction_count,
+    """SELECT account_id, count(*) FILTER (transaction_type = 'SECURITY') AS security_transaction_count,
 count(*) FILTER (transaction_type <> 'SECURITY') AS deferred_transaction_count FROM v_tx GROUP BY ALL""",
 )
 def _(spark, sf):
@@ -59,7 +59,7 @@ def _(spark, sf):
 
 @query(
     "currency_gate",
-    """SELECT portfolio_id, ticker, currency, source_row_number, issue_code FROM pos_all WHERE issue_code = 'CURRENCY_MISMATCH'""",
+    """SELECT account_id, ticker, currency, source_row_number, issue_code FROM pos_all WHERE issue_code = 'CURRENCY_MISMATCH'""",
 )
 def _(spark, sf):
     return (
@@ -71,7 +71,7 @@ def _(spark, sf):
 
 @query(
     "cash_tracking_mode",
-    """SELECT portfolio_id, min(trade_date) FILTER (transaction_type <> 'SECURITY') AS tracked_from,
+    """SELECT account_id, min(trade_date) FILTER (transaction_type <> 'SECURITY') AS tracked_from,
 CASE WHEN bool_or(transaction_type <> 'SECURITY') THEN 'TRACKED' ELSE 'UNTRACKED' END AS tracking_mode FROM v_tx GROUP BY ALL""",
 )
 def _(spark, sf):
@@ -83,7 +83,7 @@ _CASH = (*cash_ledger.AMOUNTS, "balance_after", "required", "available")
 
 @query(
     "cash_ledger",
-    f"SELECT portfolio_id, currency, trade_date, source_row_number, {sql_rounded(3, *_CASH)}, issue_code FROM cash_rows",
+    f"SELECT account_id, currency, trade_date, source_row_number, {sql_rounded(3, *_CASH)}, issue_code FROM cash_rows",
 )
 def _(spark, sf):
     return book(spark, sf).cash_ledger.select(
@@ -94,7 +94,7 @@ def _(spark, sf):
 _WALLET = (*cash_ledger.AMOUNTS, "ending_balance")
 
 
-@query("cash_wallets", f"SELECT portfolio_id, currency, {sql_rounded(2, *_WALLET)} FROM wallets")
+@query("cash_wallets", f"SELECT account_id, currency, {sql_rounded(2, *_WALLET)} FROM wallets")
 def _(spark, sf):
     return book(spark, sf).wallets.select(P, "currency", *rounded(2, *_WALLET))
 
@@ -114,7 +114,7 @@ _FX = (
 
 @query(
     "fx_ledger",
-    f"SELECT portfolio_id, currency, ticker, trade_date, source_row_number, {sql_rounded(3, *_FX)}, issue_code FROM fx_rows",
+    f"SELECT account_id, currency, ticker, trade_date, source_row_number, {sql_rounded(3, *_FX)}, issue_code FROM fx_rows",
 )
 def _(spark, sf):
     return book(spark, sf).fx_ledger.select(
@@ -132,7 +132,7 @@ _POOL = (
 
 @query(
     "fx_cost_pools",
-    f"""SELECT portfolio_id, currency, {sql_rounded(2, *_POOL)}, {sql_round(6, 'CASE WHEN units > 1e-9 THEN twd_cost_basis / units ELSE 0e0 END')} AS average_fx_cost
+    f"""SELECT account_id, currency, {sql_rounded(2, *_POOL)}, {sql_round(6, 'CASE WHEN units > 1e-9 THEN twd_cost_basis / units ELSE 0e0 END')} AS average_fx_cost
 FROM fx_pools""",
 )
 def _(spark, sf):
@@ -144,7 +144,7 @@ _BASIS = ("quantity", "native_cost_basis", "twd_cost_basis", "realized_pnl_twd")
 
 @query(
     "security_twd_basis",
-    f"""SELECT portfolio_id, ticker, currency, trade_count, {sql_rounded(2, *_BASIS)},
+    f"""SELECT account_id, ticker, currency, trade_count, {sql_rounded(2, *_BASIS)},
 {sql_round(4, 'CASE WHEN quantity > 1e-9 THEN twd_cost_basis / quantity ELSE 0e0 END')} AS average_twd_unit_cost FROM fx_basis""",
 )
 def _(spark, sf):
@@ -155,7 +155,7 @@ def _(spark, sf):
 
 view(
     "v_snapshots",
-    "SELECT DISTINCT portfolio_id, CASE WHEN portfolio_id % 4 = 3 THEN 1 ELSE 0 END AS snapshot_id, DATE '2001-06-30' AS valuation_date FROM v_tx",
+    "SELECT DISTINCT account_id, CASE WHEN account_id % 4 = 3 THEN 1 ELSE 0 END AS snapshot_id, DATE '2001-06-30' AS valuation_date FROM v_tx",
 )
 view(
     "v_daily_marks",
@@ -179,32 +179,32 @@ FROM v_quotes q JOIN v_daily_marks d ON d.snapshot_id = q.snapshot_id AND d.mark
 view(
     "v_components",
     f"""
-SELECT s.portfolio_id, s.snapshot_id, 'POSITION' AS asset_type, p.ticker, p.currency, p.quantity, p.cost_basis, m.value AS price, m.price_date,
+SELECT s.account_id, s.snapshot_id, 'POSITION' AS asset_type, p.ticker, p.currency, p.quantity, p.cost_basis, m.value AS price, m.price_date,
   CASE WHEN p.currency = 'TWD' THEN 1e0 ELSE f.value END AS fx_rate, CASE WHEN p.currency = 'TWD' THEN s.valuation_date WHEN f.value IS NOT NULL THEN f.price_date END AS fx_date,
   p.quantity * m.value AS market_value_native, p.quantity * m.value - p.cost_basis AS unrealized_pnl_native,
   p.quantity * m.value * CASE WHEN p.currency = 'TWD' THEN 1e0 ELSE f.value END AS market_value_twd,
   m.value IS NULL AS missing_price, p.currency <> 'TWD' AND f.value IS NULL AS missing_fx
-FROM pos_end p JOIN v_snapshots s USING (portfolio_id)
+FROM pos_end p JOIN v_snapshots s USING (account_id)
 LEFT JOIN (SELECT * FROM v_quote WHERE mark_type = 'PRICE' AND NOT conflict) m ON m.snapshot_id = s.snapshot_id AND m.ticker = p.ticker AND m.currency = p.currency
 LEFT JOIN (SELECT * FROM v_quote WHERE mark_type = 'FX' AND NOT conflict) f ON f.snapshot_id = s.snapshot_id AND f.currency = p.currency
 WHERE p.quantity > 1e-9
 UNION ALL
-SELECT s.portfolio_id, s.snapshot_id, 'CASH', '', w.currency, w.ending_balance, NULL, NULL, NULL,
+SELECT s.account_id, s.snapshot_id, 'CASH', '', w.currency, w.ending_balance, NULL, NULL, NULL,
   CASE WHEN w.currency = 'TWD' THEN 1e0 ELSE coalesce(f.value, CASE WHEN abs(w.ending_balance) <= 1e-9 THEN 0e0 END) END,
   CASE WHEN w.currency = 'TWD' THEN s.valuation_date WHEN f.value IS NOT NULL THEN f.price_date END, w.ending_balance, NULL,
   CASE WHEN w.currency = 'TWD' THEN w.ending_balance ELSE coalesce(w.ending_balance * f.value, CASE WHEN abs(w.ending_balance) <= 1e-9 THEN 0e0 END) END,
   false, w.currency <> 'TWD' AND f.value IS NULL AND abs(w.ending_balance) > 1e-9
-FROM wallets w JOIN v_snapshots s USING (portfolio_id)
+FROM wallets w JOIN v_snapshots s USING (account_id)
 LEFT JOIN (SELECT * FROM v_quote WHERE mark_type = 'FX' AND NOT conflict) f ON f.snapshot_id = s.snapshot_id AND f.currency = w.currency""",
 )
 view(
     "v_totals",
     """
-SELECT s.portfolio_id, s.snapshot_id, s.valuation_date, coalesce(c.pv, 0e0) AS known_position_value_twd, coalesce(c.cv, 0e0) AS known_cash_value_twd,
+SELECT s.account_id, s.snapshot_id, s.valuation_date, coalesce(c.pv, 0e0) AS known_position_value_twd, coalesce(c.cv, 0e0) AS known_cash_value_twd,
   coalesce(c.n, 0) + coalesce(q.n, 0) AS blocking_issue_count, coalesce(m.n, 0) AS future_mark_count, coalesce(c.open_n, 0) AS open_position_count, coalesce(c.null_n, 0) = 0 AS positions_complete
 FROM v_snapshots s
-LEFT JOIN (SELECT portfolio_id, sum(market_value_twd) FILTER (asset_type = 'POSITION') AS pv, sum(market_value_twd) FILTER (asset_type = 'CASH') AS cv, sum(missing_price::INT + missing_fx::INT) AS n,
-  count(*) FILTER (asset_type = 'POSITION') AS open_n, count(*) FILTER (asset_type = 'POSITION' AND market_value_twd IS NULL) AS null_n FROM v_components GROUP BY portfolio_id) c ON c.portfolio_id = s.portfolio_id
+LEFT JOIN (SELECT account_id, sum(market_value_twd) FILTER (asset_type = 'POSITION') AS pv, sum(market_value_twd) FILTER (asset_type = 'CASH') AS cv, sum(missing_price::INT + missing_fx::INT) AS n,
+  count(*) FILTER (asset_type = 'POSITION') AS open_n, count(*) FILTER (asset_type = 'POSITION' AND market_value_twd IS NULL) AS null_n FROM v_components GROUP BY account_id) c ON c.account_id = s.account_id
 LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM v_quote WHERE conflict GROUP BY snapshot_id) q ON q.snapshot_id = s.snapshot_id
 LEFT JOIN (SELECT snapshot_id, count(*) AS n FROM v_marks WHERE mark_date > DATE '2001-06-30' GROUP BY snapshot_id) m ON m.snapshot_id = s.snapshot_id""",
 )
@@ -226,7 +226,7 @@ _PART = ("quantity", "cost_basis", "price", "fx_rate", "market_value_native", "u
 
 @query(
     "valuation_components",
-    f"SELECT portfolio_id, snapshot_id, asset_type, ticker, currency, price_date, fx_date, {sql_rounded(3, *_PART)}, missing_price, missing_fx FROM v_components",
+    f"SELECT account_id, snapshot_id, asset_type, ticker, currency, price_date, fx_date, {sql_rounded(3, *_PART)}, missing_price, missing_fx FROM v_components",
 )
 def _(spark, sf):
     return book(spark, sf).components.select(
@@ -245,9 +245,9 @@ def _(spark, sf):
 
 @query(
     "valuation_issues",
-    """SELECT portfolio_id, unnest(CASE WHEN missing_price AND missing_fx THEN ['MISSING_PRICE', 'MISSING_FX'] WHEN missing_fx THEN ['MISSING_FX'] ELSE ['MISSING_PRICE'] END) AS issue_code,
+    """SELECT account_id, unnest(CASE WHEN missing_price AND missing_fx THEN ['MISSING_PRICE', 'MISSING_FX'] WHEN missing_fx THEN ['MISSING_FX'] ELSE ['MISSING_PRICE'] END) AS issue_code,
 ticker, currency, CAST(NULL AS DATE) AS mark_date FROM v_components WHERE missing_price OR missing_fx
-UNION ALL SELECT s.portfolio_id, 'CONFLICTING_MARK', q.ticker, q.currency, q.price_date FROM v_quote q JOIN v_snapshots s USING (snapshot_id) WHERE q.conflict""",
+UNION ALL SELECT s.account_id, 'CONFLICTING_MARK', q.ticker, q.currency, q.price_date FROM v_quote q JOIN v_snapshots s USING (snapshot_id) WHERE q.conflict""",
 )
 def _(spark, sf):
     b = book(spark, sf)
@@ -255,8 +255,8 @@ def _(spark, sf):
 
 
 @query(
-    "portfolio_valuation",
-    f"""SELECT portfolio_id, snapshot_id, valuation_date, {sql_rounded(2, 'known_position_value_twd', 'known_cash_value_twd')},
+    "account_valuation",
+    f"""SELECT account_id, snapshot_id, valuation_date, {sql_rounded(2, 'known_position_value_twd', 'known_cash_value_twd')},
 {sql_round(2, 'known_position_value_twd + known_cash_value_twd')} AS known_total_assets_twd,
 CASE WHEN blocking_issue_count = 0 THEN {sql_round(2, 'known_position_value_twd + known_cash_value_twd')} END AS total_assets_twd,
 CAST(blocking_issue_count AS BIGINT) AS blocking_issue_count, future_mark_count, open_position_count, positions_complete, blocking_issue_count = 0 AS complete FROM v_totals""",
@@ -269,15 +269,15 @@ def _(spark, sf):
 
 view(
     "v_reconciled",
-    """SELECT c.portfolio_id, c.ticker, c.currency, c.market_value_twd, b.twd_cost_basis, c.market_value_twd - b.twd_cost_basis AS unrealized_pnl_twd
+    """SELECT c.account_id, c.ticker, c.currency, c.market_value_twd, b.twd_cost_basis, c.market_value_twd - b.twd_cost_basis AS unrealized_pnl_twd
 FROM (SELECT * FROM v_components WHERE asset_type = 'POSITION') c LEFT JOIN (SELECT * FROM fx_basis WHERE quantity > 1e-9) b
-ON b.portfolio_id = c.portfolio_id AND b.ticker = c.ticker AND b.currency = c.currency""",
+ON b.account_id = c.account_id AND b.ticker = c.ticker AND b.currency = c.currency""",
 )
 
 
 @query(
     "cost_reconciliation",
-    f"SELECT portfolio_id, ticker, currency, {sql_rounded(2, 'market_value_twd', 'twd_cost_basis', 'unrealized_pnl_twd')} FROM v_reconciled",
+    f"SELECT account_id, ticker, currency, {sql_rounded(2, 'market_value_twd', 'twd_cost_basis', 'unrealized_pnl_twd')} FROM v_reconciled",
 )
 def _(spark, sf):
     return book(spark, sf).reconciled.select(
@@ -293,15 +293,15 @@ _REC = (
 )
 
 _RECONCILIATION = """
-SELECT t.portfolio_id, ok AS complete, CASE WHEN ok THEN coalesce(r.v, 0e0) END AS total_position_market_value_twd, CASE WHEN ok THEN coalesce(r.c, 0e0) END AS total_position_twd_cost_basis,
+SELECT t.account_id, ok AS complete, CASE WHEN ok THEN coalesce(r.v, 0e0) END AS total_position_market_value_twd, CASE WHEN ok THEN coalesce(r.c, 0e0) END AS total_position_twd_cost_basis,
   CASE WHEN ok THEN coalesce(r.u, 0e0) END AS total_unrealized_pnl_twd, CASE WHEN coalesce(i.n, 0) = 0 THEN coalesce(z.r, 0e0) END AS total_realized_pnl_twd,
   coalesce(r.missing, 0) AS missing_cost_count, coalesce(r.keys, '') AS missing_cost_keys, coalesce(i.n, 0) AS cost_blocking_issue_count
 FROM {totals} t
-LEFT JOIN (SELECT portfolio_id, sum(market_value_twd) AS v, sum(twd_cost_basis) AS c, sum(unrealized_pnl_twd) AS u, count(*) FILTER (unrealized_pnl_twd IS NULL) AS open_ends,
+LEFT JOIN (SELECT account_id, sum(market_value_twd) AS v, sum(twd_cost_basis) AS c, sum(unrealized_pnl_twd) AS u, count(*) FILTER (unrealized_pnl_twd IS NULL) AS open_ends,
   count(*) FILTER (twd_cost_basis IS NULL) AS missing,
-  string_agg(ticker || ':' || currency, ',' ORDER BY ticker || ':' || currency) FILTER (twd_cost_basis IS NULL) AS keys FROM {rec} GROUP BY portfolio_id) r ON r.portfolio_id = t.portfolio_id
-LEFT JOIN (SELECT portfolio_id, sum(r) AS r FROM (SELECT portfolio_id, realized_pnl_twd AS r FROM {basis} UNION ALL SELECT portfolio_id, realized_fx_pnl_twd FROM {pools}) GROUP BY portfolio_id) z ON z.portfolio_id = t.portfolio_id
-LEFT JOIN (SELECT portfolio_id, count(*) AS n FROM {rows} WHERE issue_code IS NOT NULL GROUP BY portfolio_id) i ON i.portfolio_id = t.portfolio_id,
+  string_agg(ticker || ':' || currency, ',' ORDER BY ticker || ':' || currency) FILTER (twd_cost_basis IS NULL) AS keys FROM {rec} GROUP BY account_id) r ON r.account_id = t.account_id
+LEFT JOIN (SELECT account_id, sum(r) AS r FROM (SELECT account_id, realized_pnl_twd AS r FROM {basis} UNION ALL SELECT account_id, realized_fx_pnl_twd FROM {pools}) GROUP BY account_id) z ON z.account_id = t.account_id
+LEFT JOIN (SELECT account_id, count(*) AS n FROM {rows} WHERE issue_code IS NOT NULL GROUP BY account_id) i ON i.account_id = t.account_id,
 LATERAL (SELECT t.blocking_issue_count = 0 AND coalesce(i.n, 0) = 0 AND coalesce(r.open_ends, 0) = 0 AS ok)"""
 
 view(
@@ -312,25 +312,25 @@ view(
 view(
     "v_components_clean",
     """
-SELECT p.portfolio_id, 'POSITION' AS asset_type, p.ticker, p.currency, p.quantity, p.cost_basis, m.value AS price, m.price_date, p.quantity * m.value AS market_value_native,
+SELECT p.account_id, 'POSITION' AS asset_type, p.ticker, p.currency, p.quantity, p.cost_basis, m.value AS price, m.price_date, p.quantity * m.value AS market_value_native,
   p.quantity * m.value * CASE WHEN p.currency = 'TWD' THEN 1e0 ELSE f.value END AS market_value_twd
 FROM pos_end_clean p LEFT JOIN (SELECT * FROM v_quote WHERE snapshot_id = 0 AND mark_type = 'PRICE') m ON m.ticker = p.ticker AND m.currency = p.currency
 LEFT JOIN (SELECT * FROM v_quote WHERE snapshot_id = 0 AND mark_type = 'FX') f ON f.currency = p.currency WHERE p.quantity > 1e-9
 UNION ALL
-SELECT w.portfolio_id, 'CASH', '', w.currency, w.ending_balance, NULL, f.value, f.price_date, w.ending_balance,
+SELECT w.account_id, 'CASH', '', w.currency, w.ending_balance, NULL, f.value, f.price_date, w.ending_balance,
   w.ending_balance * CASE WHEN w.currency = 'TWD' THEN 1e0 ELSE f.value END
 FROM wallets_clean w LEFT JOIN (SELECT * FROM v_quote WHERE snapshot_id = 0 AND mark_type = 'FX') f ON f.currency = w.currency""",
 )
 view(
     "v_totals_clean",
-    """SELECT portfolio_id, sum(market_value_twd) FILTER (asset_type = 'POSITION') AS known_position_value_twd, sum(market_value_twd) FILTER (asset_type = 'CASH') AS known_cash_value_twd,
-sum(market_value_twd) AS total_assets_twd, 0 AS blocking_issue_count, count(*) FILTER (asset_type = 'POSITION') AS open_position_count FROM v_components_clean GROUP BY portfolio_id""",
+    """SELECT account_id, sum(market_value_twd) FILTER (asset_type = 'POSITION') AS known_position_value_twd, sum(market_value_twd) FILTER (asset_type = 'CASH') AS known_cash_value_twd,
+sum(market_value_twd) AS total_assets_twd, 0 AS blocking_issue_count, count(*) FILTER (asset_type = 'POSITION') AS open_position_count FROM v_components_clean GROUP BY account_id""",
 )
 view(
     "v_reconciled_clean",
-    """SELECT c.portfolio_id, c.ticker, c.currency, c.market_value_twd, b.twd_cost_basis, c.market_value_twd - b.twd_cost_basis AS unrealized_pnl_twd
+    """SELECT c.account_id, c.ticker, c.currency, c.market_value_twd, b.twd_cost_basis, c.market_value_twd - b.twd_cost_basis AS unrealized_pnl_twd
 FROM (SELECT * FROM v_components_clean WHERE asset_type = 'POSITION') c LEFT JOIN (SELECT * FROM fx_basis_clean WHERE quantity > 1e-9) b
-ON b.portfolio_id = c.portfolio_id AND b.ticker = c.ticker AND b.currency = c.currency""",
+ON b.account_id = c.account_id AND b.ticker = c.ticker AND b.currency = c.currency""",
 )
 view(
     "v_reconciliation_clean",
@@ -339,7 +339,7 @@ view(
     ),
 )
 
-_REC_COLUMNS = f"portfolio_id, complete, {sql_rounded(1, *_REC)}, missing_cost_count, missing_cost_keys, cost_blocking_issue_count"
+_REC_COLUMNS = f"account_id, complete, {sql_rounded(1, *_REC)}, missing_cost_count, missing_cost_keys, cost_blocking_issue_count"
 
 
 def _reconciliation(df):
@@ -359,23 +359,23 @@ def _(spark, sf):
 
 
 _ISSUE_ROWS = """
-SELECT portfolio_id, 'SECURITY_ACCOUNTING' AS domain, issue_code, source_row_number, trade_date, ticker, currency, CAST(NULL AS DOUBLE) AS required, CAST(NULL AS DOUBLE) AS available
+SELECT account_id, 'SECURITY_ACCOUNTING' AS domain, issue_code, source_row_number, trade_date, ticker, currency, CAST(NULL AS DOUBLE) AS required, CAST(NULL AS DOUBLE) AS available
 FROM pos_all WHERE issue_code IS NOT NULL
-UNION ALL SELECT portfolio_id, 'CASH_FX_FUNDING', issue_code, source_row_number, trade_date, NULL, currency, required, available FROM cash_rows WHERE issue_code IS NOT NULL"""
+UNION ALL SELECT account_id, 'CASH_FX_FUNDING', issue_code, source_row_number, trade_date, NULL, currency, required, available FROM cash_rows WHERE issue_code IS NOT NULL"""
 view("v_primary_issues", _ISSUE_ROWS)
 view(
     "v_activation_issues",
     """SELECT * FROM v_primary_issues UNION ALL
-SELECT portfolio_id, 'FX_COST_BASIS', issue_code, source_row_number, trade_date, ticker, currency, required, available FROM fx_rows f WHERE issue_code IS NOT NULL
-AND NOT EXISTS (SELECT 1 FROM v_primary_issues p WHERE p.portfolio_id = f.portfolio_id AND p.source_row_number = f.source_row_number)""",
+SELECT account_id, 'FX_COST_BASIS', issue_code, source_row_number, trade_date, ticker, currency, required, available FROM fx_rows f WHERE issue_code IS NOT NULL
+AND NOT EXISTS (SELECT 1 FROM v_primary_issues p WHERE p.account_id = f.account_id AND p.source_row_number = f.source_row_number)""",
 )
 view(
     "v_nav_issues",
     """SELECT * FROM v_primary_issues UNION ALL
-SELECT portfolio_id, 'FX_COST_BASIS', issue_code, source_row_number, trade_date, ticker, currency, required, available FROM fx_rows f WHERE issue_code IS NOT NULL
-AND NOT EXISTS (SELECT 1 FROM v_primary_issues p WHERE p.portfolio_id = f.portfolio_id AND p.source_row_number = f.source_row_number AND p.issue_code = f.issue_code)""",
+SELECT account_id, 'FX_COST_BASIS', issue_code, source_row_number, trade_date, ticker, currency, required, available FROM fx_rows f WHERE issue_code IS NOT NULL
+AND NOT EXISTS (SELECT 1 FROM v_primary_issues p WHERE p.account_id = f.account_id AND p.source_row_number = f.source_row_number AND p.issue_code = f.issue_code)""",
 )
-_ISSUE = f"portfolio_id, domain, issue_code, source_row_number, trade_date, ticker, currency, {sql_rounded(3, 'required', 'available')}"
+_ISSUE = f"account_id, domain, issue_code, source_row_number, trade_date, ticker, currency, {sql_rounded(3, 'required', 'available')}"
 
 
 def _issues(df):
@@ -398,8 +398,8 @@ def _(spark, sf):
 
 @query(
     "activation_gate",
-    """SELECT p.portfolio_id, count(i.issue_code) AS blocking_issue_count, count(i.issue_code) = 0 AS may_activate
-FROM (SELECT DISTINCT portfolio_id FROM v_tx) p LEFT JOIN v_activation_issues i USING (portfolio_id) GROUP BY ALL""",
+    """SELECT p.account_id, count(i.issue_code) AS blocking_issue_count, count(i.issue_code) = 0 AS may_activate
+FROM (SELECT DISTINCT account_id FROM v_tx) p LEFT JOIN v_activation_issues i USING (account_id) GROUP BY ALL""",
 )
 def _(spark, sf):
     b = book(spark, sf)
@@ -408,7 +408,7 @@ def _(spark, sf):
 
 @query(
     "issue_heads",
-    """SELECT portfolio_id, n, domain, issue_code, source_row_number FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY trade_date, source_row_number, domain) AS n
+    """SELECT account_id, n, domain, issue_code, source_row_number FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY trade_date, source_row_number, domain) AS n
 FROM v_activation_issues) WHERE n <= 10""",
 )
 def _(spark, sf):

@@ -12,7 +12,7 @@ from foliometry.plans import fixtures
 from foliometry.plans.catalog import query, rounded, sql_round, sql_rounded
 from foliometry.plans.oracle_views import view
 
-P = "portfolio_id"
+P = "account_id"
 _CORRECTED_FROM = datetime.date(2001, 1, 1)
 
 
@@ -91,11 +91,11 @@ def _(spark, sf):
 view(
     "v_universe",
     """
-SELECT portfolio_id, 'SECURITY' AS instrument_type, ticker, arg_min(currency, (trade_date, source_row_number)) AS currency, ticker AS provider_symbol, min(trade_date) AS start_date
-FROM v_tx WHERE transaction_type = 'SECURITY' GROUP BY portfolio_id, ticker
-UNION ALL SELECT portfolio_id, 'BENCHMARK', 'SPY', 'USD', 'SPY', min(trade_date) FROM v_tx GROUP BY portfolio_id
-UNION ALL SELECT portfolio_id, 'FX', '', currency, CASE currency WHEN 'USD' THEN 'TWD=X' ELSE currency || 'TWD=X' END, min(d) FROM (
-  SELECT portfolio_id, currency, trade_date AS d FROM v_tx WHERE currency <> 'TWD' UNION ALL SELECT portfolio_id, 'USD', min(trade_date) FROM v_tx GROUP BY portfolio_id) GROUP BY portfolio_id, currency""",
+SELECT account_id, 'SECURITY' AS instrument_type, ticker, arg_min(currency, (trade_date, source_row_number)) AS currency, ticker AS provider_symbol, min(trade_date) AS start_date
+FROM v_tx WHERE transaction_type = 'SECURITY' GROUP BY account_id, ticker
+UNION ALL SELECT account_id, 'BENCHMARK', 'SPY', 'USD', 'SPY', min(trade_date) FROM v_tx GROUP BY account_id
+UNION ALL SELECT account_id, 'FX', '', currency, CASE currency WHEN 'USD' THEN 'TWD=X' ELSE currency || 'TWD=X' END, min(d) FROM (
+  SELECT account_id, currency, trade_date AS d FROM v_tx WHERE currency <> 'TWD' UNION ALL SELECT account_id, 'USD', min(trade_date) FROM v_tx GROUP BY account_id) GROUP BY account_id, currency""",
 )
 
 
@@ -106,7 +106,7 @@ def _(spark, sf):
 
 @query(
     "instrument_universe_incremental",
-    """SELECT u.portfolio_id, u.instrument_type, u.ticker, u.currency, u.provider_symbol, CASE WHEN l.latest_date IS NULL THEN u.start_date ELSE greatest(u.start_date, l.latest_date - 10) END AS start_date
+    """SELECT u.account_id, u.instrument_type, u.ticker, u.currency, u.provider_symbol, CASE WHEN l.latest_date IS NULL THEN u.start_date ELSE greatest(u.start_date, l.latest_date - 10) END AS start_date
 FROM v_universe u LEFT JOIN (SELECT instrument_type, ticker, currency, max(date) AS latest_date FROM v_revision_bars GROUP BY ALL) l USING (instrument_type, ticker, currency)""",
 )
 def _(spark, sf):
@@ -116,8 +116,8 @@ def _(spark, sf):
 
 @query(
     "universe_issues",
-    """SELECT portfolio_id, 'CONFLICTING_CURRENCY' AS issue_code, ticker FROM v_tx WHERE transaction_type = 'SECURITY' GROUP BY portfolio_id, ticker HAVING count(DISTINCT currency) > 1
-UNION ALL SELECT portfolio_id, 'TOO_MANY_INSTRUMENTS', '' FROM v_universe GROUP BY portfolio_id HAVING count(*) > 20""",
+    """SELECT account_id, 'CONFLICTING_CURRENCY' AS issue_code, ticker FROM v_tx WHERE transaction_type = 'SECURITY' GROUP BY account_id, ticker HAVING count(DISTINCT currency) > 1
+UNION ALL SELECT account_id, 'TOO_MANY_INSTRUMENTS', '' FROM v_universe GROUP BY account_id HAVING count(*) > 20""",
 )
 def _(spark, sf):
     tx = fixtures.tx(spark, sf)

@@ -17,7 +17,7 @@ from foliometry.plans.oracle_views import view
 from foliometry.runtime import shared_folder, stored
 from foliometry.sources import store
 
-P = "portfolio_id"
+P = "account_id"
 
 
 def R():
@@ -53,19 +53,19 @@ def incoming(spark, sf):
     return _hashed(rows)
 
 
-_COLUMNS = "portfolio_id, source_row_number, trade_date, transaction_type, ticker, currency, quantity, price, amount_foreign, fx_rate, fee"
+_COLUMNS = "account_id, source_row_number, trade_date, transaction_type, ticker, currency, quantity, price, amount_foreign, fx_rate, fee"
 _KEY = " || '|' || ".join(
     ["CAST(trade_date AS VARCHAR)", "transaction_type", "ticker", "currency"]
     + [f"coalesce(CAST({c} AS VARCHAR), '')" for c in ("quantity", "price", "amount_foreign", "fx_rate", "fee")]
 )
 view(
     "v_previous",
-    f"""SELECT *, row_number() OVER (PARTITION BY portfolio_id, content ORDER BY source_row_number) AS occ, 'tx-' || portfolio_id || '-' || source_row_number AS transaction_id
+    f"""SELECT *, row_number() OVER (PARTITION BY account_id, content ORDER BY source_row_number) AS occ, 'tx-' || account_id || '-' || source_row_number AS transaction_id
 FROM (SELECT *, {_KEY} AS content FROM (SELECT {_COLUMNS} FROM v_tx UNION ALL SELECT * REPLACE (source_row_number + 50000000 AS source_row_number) FROM (SELECT {_COLUMNS} FROM v_tx) WHERE source_row_number % 29 = 3))""",
 )
 view(
     "v_incoming",
-    f"""SELECT *, row_number() OVER (PARTITION BY portfolio_id, content ORDER BY source_row_number) AS occ FROM (SELECT *, {_KEY} AS content FROM (
+    f"""SELECT *, row_number() OVER (PARTITION BY account_id, content ORDER BY source_row_number) AS occ FROM (SELECT *, {_KEY} AS content FROM (
 SELECT * REPLACE (CASE WHEN source_row_number % 13 = 1 THEN amount_foreign + 1 ELSE amount_foreign END AS amount_foreign, CASE WHEN source_row_number % 11 = 2 THEN trade_date + 1 ELSE trade_date END AS trade_date) FROM (
 SELECT {_COLUMNS} FROM v_tx
 UNION ALL SELECT * REPLACE (source_row_number + 50000000 AS source_row_number) FROM (SELECT {_COLUMNS} FROM v_tx) WHERE source_row_number % 29 = 3
@@ -75,16 +75,16 @@ WHERE source_row_number % 17 <> 0))""",
 
 view(
     "v_hash_sides",
-    """SELECT portfolio_id, content, occ, bool_or(side = 'new') AS n, bool_or(side = 'old') AS o, max(row) FILTER (side = 'new') AS row_new, max(row) FILTER (side = 'old') AS row_old FROM (
-SELECT portfolio_id, content, occ, source_row_number AS row, 'new' AS side FROM v_incoming UNION ALL SELECT portfolio_id, content, occ, source_row_number, 'old' FROM v_previous) GROUP BY ALL""",
+    """SELECT account_id, content, occ, bool_or(side = 'new') AS n, bool_or(side = 'old') AS o, max(row) FILTER (side = 'new') AS row_new, max(row) FILTER (side = 'old') AS row_old FROM (
+SELECT account_id, content, occ, source_row_number AS row, 'new' AS side FROM v_incoming UNION ALL SELECT account_id, content, occ, source_row_number, 'old' FROM v_previous) GROUP BY ALL""",
 )
 
 
 @query(
     "dataset_diff",
-    """SELECT portfolio_id, CAST(count(*) FILTER (o) AS BIGINT) AS old_row_count, CAST(count(*) FILTER (n) AS BIGINT) AS new_row_count, count(*) FILTER (n AND NOT o) AS added, count(*) FILTER (o AND NOT n) AS removed,
+    """SELECT account_id, CAST(count(*) FILTER (o) AS BIGINT) AS old_row_count, CAST(count(*) FILTER (n) AS BIGINT) AS new_row_count, count(*) FILTER (n AND NOT o) AS added, count(*) FILTER (o AND NOT n) AS removed,
 count(*) FILTER (n AND o) AS unchanged_rows, min(earliest_date) AS earliest_date, min(latest_date) AS latest_date, count(*) FILTER (NOT (n AND o)) = 0 AS unchanged
-FROM v_hash_sides JOIN (SELECT portfolio_id, min(trade_date) AS earliest_date, max(trade_date) AS latest_date FROM v_incoming GROUP BY portfolio_id) USING (portfolio_id) GROUP BY portfolio_id""",
+FROM v_hash_sides JOIN (SELECT account_id, min(trade_date) AS earliest_date, max(trade_date) AS latest_date FROM v_incoming GROUP BY account_id) USING (account_id) GROUP BY account_id""",
 )
 def _(spark, sf):
     return versions.dataset_diff(previous(spark, sf), incoming(spark, sf))
@@ -92,8 +92,8 @@ def _(spark, sf):
 
 @query(
     "dataset_diff_samples",
-    """SELECT portfolio_id, change, source_row_number, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id, change ORDER BY source_row_number) AS n FROM (
-SELECT portfolio_id, 'ADDED' AS change, row_new AS source_row_number FROM v_hash_sides WHERE n AND NOT o UNION ALL SELECT portfolio_id, 'REMOVED', row_old FROM v_hash_sides WHERE o AND NOT n)) WHERE n <= 20""",
+    """SELECT account_id, change, source_row_number, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY account_id, change ORDER BY source_row_number) AS n FROM (
+SELECT account_id, 'ADDED' AS change, row_new AS source_row_number FROM v_hash_sides WHERE n AND NOT o UNION ALL SELECT account_id, 'REMOVED', row_old FROM v_hash_sides WHERE o AND NOT n)) WHERE n <= 20""",
 )
 def _(spark, sf):
     old = previous(spark, sf).drop("transaction_id")
@@ -123,52 +123,52 @@ view("l_prev", "SELECT *, transaction_type || '|' || upper(ticker) || '|' || upp
 view("l_inc", "SELECT *, transaction_type || '|' || upper(ticker) || '|' || upper(currency) AS ident, CAST(trade_date AS VARCHAR) || transaction_type || '|' || upper(ticker) || '|' || upper(currency) AS sem FROM v_incoming")
 view(
     "l_shifted",
-    """SELECT portfolio_id, content FROM (SELECT portfolio_id, content, count(*) AS n FROM l_prev GROUP BY ALL) JOIN (SELECT portfolio_id, content, count(*) AS m FROM l_inc GROUP BY ALL) USING (portfolio_id, content) WHERE n <> m""",
+    """SELECT account_id, content FROM (SELECT account_id, content, count(*) AS n FROM l_prev GROUP BY ALL) JOIN (SELECT account_id, content, count(*) AS m FROM l_inc GROUP BY ALL) USING (account_id, content) WHERE n <> m""",
 )
-view("l_inc0", "SELECT i.*, s.content IS NOT NULL AS amb0 FROM l_inc i LEFT JOIN l_shifted s USING (portfolio_id, content)")
+view("l_inc0", "SELECT i.*, s.content IS NOT NULL AS amb0 FROM l_inc i LEFT JOIN l_shifted s USING (account_id, content)")
 view(
     "l_exact",
-    """SELECT i.portfolio_id, i.source_row_number AS row_in, p.transaction_id FROM l_inc0 i JOIN l_prev p ON p.portfolio_id = i.portfolio_id AND p.content = i.content AND p.occ = i.occ WHERE NOT i.amb0""",
+    """SELECT i.account_id, i.source_row_number AS row_in, p.transaction_id FROM l_inc0 i JOIN l_prev p ON p.account_id = i.account_id AND p.content = i.content AND p.occ = i.occ WHERE NOT i.amb0""",
 )
-view("l_prev1", "SELECT * FROM l_prev p WHERE NOT EXISTS (SELECT 1 FROM l_exact e WHERE e.portfolio_id = p.portfolio_id AND e.transaction_id = p.transaction_id)")
-view("l_inc1", "SELECT * FROM l_inc0 i WHERE NOT EXISTS (SELECT 1 FROM l_exact e WHERE e.portfolio_id = i.portfolio_id AND e.row_in = i.source_row_number)")
+view("l_prev1", "SELECT * FROM l_prev p WHERE NOT EXISTS (SELECT 1 FROM l_exact e WHERE e.account_id = p.account_id AND e.transaction_id = p.transaction_id)")
+view("l_inc1", "SELECT * FROM l_inc0 i WHERE NOT EXISTS (SELECT 1 FROM l_exact e WHERE e.account_id = i.account_id AND e.row_in = i.source_row_number)")
 view(
     "l_sem",
-    """SELECT coalesce(p.portfolio_id, i.portfolio_id) AS portfolio_id, coalesce(p.ident, i.ident) AS ident, coalesce(p.n, 0) AS n, coalesce(i.n, 0) AS m FROM (SELECT portfolio_id, ident, sem, count(*) AS n FROM l_prev1 GROUP BY ALL) p
-FULL JOIN (SELECT portfolio_id, ident, sem, count(*) AS n FROM l_inc1 GROUP BY ALL) i ON i.portfolio_id = p.portfolio_id AND i.sem = p.sem""",
+    """SELECT coalesce(p.account_id, i.account_id) AS account_id, coalesce(p.ident, i.ident) AS ident, coalesce(p.n, 0) AS n, coalesce(i.n, 0) AS m FROM (SELECT account_id, ident, sem, count(*) AS n FROM l_prev1 GROUP BY ALL) p
+FULL JOIN (SELECT account_id, ident, sem, count(*) AS n FROM l_inc1 GROUP BY ALL) i ON i.account_id = p.account_id AND i.sem = p.sem""",
 )
-view("l_bad1", "SELECT portfolio_id, ident FROM l_sem GROUP BY ALL HAVING sum(n) > 0 AND sum(m) > 0 AND NOT (sum(n) = 1 AND sum(m) = 1) AND NOT bool_and(n = m)")
-view("l_inc2", "SELECT i.*, i.amb0 OR b.ident IS NOT NULL AS amb1 FROM l_inc1 i LEFT JOIN l_bad1 b USING (portfolio_id, ident)")
+view("l_bad1", "SELECT account_id, ident FROM l_sem GROUP BY ALL HAVING sum(n) > 0 AND sum(m) > 0 AND NOT (sum(n) = 1 AND sum(m) = 1) AND NOT bool_and(n = m)")
+view("l_inc2", "SELECT i.*, i.amb0 OR b.ident IS NOT NULL AS amb1 FROM l_inc1 i LEFT JOIN l_bad1 b USING (account_id, ident)")
 view(
     "l_groups",
-    """SELECT portfolio_id, sem, n, m FROM (SELECT portfolio_id, sem, count(*) AS n FROM l_prev1 GROUP BY ALL) JOIN (SELECT portfolio_id, sem, count(*) AS m FROM l_inc2 WHERE NOT amb1 GROUP BY ALL) USING (portfolio_id, sem)""",
+    """SELECT account_id, sem, n, m FROM (SELECT account_id, sem, count(*) AS n FROM l_prev1 GROUP BY ALL) JOIN (SELECT account_id, sem, count(*) AS m FROM l_inc2 WHERE NOT amb1 GROUP BY ALL) USING (account_id, sem)""",
 )
 view(
     "l_semantic",
-    """SELECT i.portfolio_id, i.source_row_number AS row_in, p.transaction_id FROM l_inc2 i JOIN l_groups g ON g.portfolio_id = i.portfolio_id AND g.sem = i.sem AND g.n = 1 AND g.m = 1 JOIN l_prev1 p ON p.portfolio_id = i.portfolio_id AND p.sem = i.sem WHERE NOT i.amb1""",
+    """SELECT i.account_id, i.source_row_number AS row_in, p.transaction_id FROM l_inc2 i JOIN l_groups g ON g.account_id = i.account_id AND g.sem = i.sem AND g.n = 1 AND g.m = 1 JOIN l_prev1 p ON p.account_id = i.account_id AND p.sem = i.sem WHERE NOT i.amb1""",
 )
-view("l_prev2", "SELECT * FROM l_prev1 p WHERE NOT EXISTS (SELECT 1 FROM l_semantic e WHERE e.portfolio_id = p.portfolio_id AND e.transaction_id = p.transaction_id)")
+view("l_prev2", "SELECT * FROM l_prev1 p WHERE NOT EXISTS (SELECT 1 FROM l_semantic e WHERE e.account_id = p.account_id AND e.transaction_id = p.transaction_id)")
 view(
     "l_inc3",
-    """SELECT i.*, i.amb1 OR (g.sem IS NOT NULL AND NOT (g.n = 1 AND g.m = 1)) AS amb2 FROM l_inc2 i LEFT JOIN l_groups g ON g.portfolio_id = i.portfolio_id AND g.sem = i.sem
-WHERE NOT EXISTS (SELECT 1 FROM l_semantic e WHERE e.portfolio_id = i.portfolio_id AND e.row_in = i.source_row_number)""",
+    """SELECT i.*, i.amb1 OR (g.sem IS NOT NULL AND NOT (g.n = 1 AND g.m = 1)) AS amb2 FROM l_inc2 i LEFT JOIN l_groups g ON g.account_id = i.account_id AND g.sem = i.sem
+WHERE NOT EXISTS (SELECT 1 FROM l_semantic e WHERE e.account_id = i.account_id AND e.row_in = i.source_row_number)""",
 )
 view(
     "l_bad2",
-    """SELECT portfolio_id, ident FROM (SELECT portfolio_id, ident, count(*) AS n FROM l_prev2 GROUP BY ALL) JOIN (SELECT portfolio_id, ident, count(*) AS m FROM l_inc3 GROUP BY ALL) USING (portfolio_id, ident) WHERE NOT (n = 1 AND m = 1)""",
+    """SELECT account_id, ident FROM (SELECT account_id, ident, count(*) AS n FROM l_prev2 GROUP BY ALL) JOIN (SELECT account_id, ident, count(*) AS m FROM l_inc3 GROUP BY ALL) USING (account_id, ident) WHERE NOT (n = 1 AND m = 1)""",
 )
-view("l_inc4", "SELECT i.*, i.amb2 OR b.ident IS NOT NULL AS amb3 FROM l_inc3 i LEFT JOIN l_bad2 b USING (portfolio_id, ident)")
+view("l_inc4", "SELECT i.*, i.amb2 OR b.ident IS NOT NULL AS amb3 FROM l_inc3 i LEFT JOIN l_bad2 b USING (account_id, ident)")
 view(
     "l_rows",
-    """SELECT i.portfolio_id, i.source_row_number AS row_in, p.transaction_id FROM l_inc4 i JOIN l_prev2 p ON p.portfolio_id = i.portfolio_id AND p.ident = i.ident AND p.source_row_number = i.source_row_number WHERE NOT i.amb3""",
+    """SELECT i.account_id, i.source_row_number AS row_in, p.transaction_id FROM l_inc4 i JOIN l_prev2 p ON p.account_id = i.account_id AND p.ident = i.ident AND p.source_row_number = i.source_row_number WHERE NOT i.amb3""",
 )
 view(
     "l_plan",
-    """SELECT i.portfolio_id, i.source_row_number, coalesce(e.transaction_id, s.transaction_id, r.transaction_id) AS transaction_id,
+    """SELECT i.account_id, i.source_row_number, coalesce(e.transaction_id, s.transaction_id, r.transaction_id) AS transaction_id,
   CASE WHEN e.transaction_id IS NOT NULL THEN 'UNCHANGED' WHEN coalesce(s.transaction_id, r.transaction_id) IS NOT NULL THEN 'CORRECTED' ELSE 'NEW' END AS kind,
   coalesce(a.amb3 AND r.transaction_id IS NULL, false) AS ambiguous
-FROM l_inc i LEFT JOIN l_exact e ON e.portfolio_id = i.portfolio_id AND e.row_in = i.source_row_number LEFT JOIN l_semantic s ON s.portfolio_id = i.portfolio_id AND s.row_in = i.source_row_number
-LEFT JOIN l_rows r ON r.portfolio_id = i.portfolio_id AND r.row_in = i.source_row_number LEFT JOIN l_inc4 a ON a.portfolio_id = i.portfolio_id AND a.source_row_number = i.source_row_number""",
+FROM l_inc i LEFT JOIN l_exact e ON e.account_id = i.account_id AND e.row_in = i.source_row_number LEFT JOIN l_semantic s ON s.account_id = i.account_id AND s.row_in = i.source_row_number
+LEFT JOIN l_rows r ON r.account_id = i.account_id AND r.row_in = i.source_row_number LEFT JOIN l_inc4 a ON a.account_id = i.account_id AND a.source_row_number = i.source_row_number""",
 )
 
 _plans = {}
@@ -188,8 +188,8 @@ def _(spark, sf):
 
 @query(
     "lineage_summary",
-    """SELECT portfolio_id, count(*) FILTER (kind = 'UNCHANGED') AS unchanged, count(*) FILTER (kind = 'CORRECTED') AS corrected, count(*) FILTER (kind = 'NEW') AS added,
-min(stored) - count(*) FILTER (kind <> 'NEW') AS removed, count(*) FILTER (ambiguous) AS ambiguous FROM l_plan JOIN (SELECT portfolio_id, count(*) AS stored FROM v_previous GROUP BY ALL) USING (portfolio_id) GROUP BY portfolio_id""",
+    """SELECT account_id, count(*) FILTER (kind = 'UNCHANGED') AS unchanged, count(*) FILTER (kind = 'CORRECTED') AS corrected, count(*) FILTER (kind = 'NEW') AS added,
+min(stored) - count(*) FILTER (kind <> 'NEW') AS removed, count(*) FILTER (ambiguous) AS ambiguous FROM l_plan JOIN (SELECT account_id, count(*) AS stored FROM v_previous GROUP BY ALL) USING (account_id) GROUP BY account_id""",
 )
 def _(spark, sf):
     return lineage.plan_summary(_plan(spark, sf), previous(spark, sf))
@@ -197,7 +197,7 @@ def _(spark, sf):
 
 @query(
     "lineage_ids",
-    """SELECT portfolio_id, count(DISTINCT source_row_number) AS rows, count(*) FILTER (kind <> 'NEW') AS kept, count(*) FILTER (kind = 'NEW') AS fresh FROM l_plan GROUP BY portfolio_id""",
+    """SELECT account_id, count(DISTINCT source_row_number) AS rows, count(*) FILTER (kind <> 'NEW') AS kept, count(*) FILTER (kind = 'NEW') AS fresh FROM l_plan GROUP BY account_id""",
 )
 def _(spark, sf):
     ids = lineage.with_ids(_plan(spark, sf), 2).groupBy(P, "transaction_id").agg(F.count("*").alias("n"))
@@ -209,7 +209,7 @@ _folders = {}
 
 
 def _published(spark, sf):
-    """Three revisions: all portfolios, the even ones again, and a rejected one that must stay unread."""
+    """Three revisions: all accounts, the even ones again, and a rejected one that must stay unread."""
     key = fixtures.key_of("versions", spark, sf)
     if key not in _folders:
         folder = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
@@ -223,13 +223,13 @@ def _published(spark, sf):
 
 view(
     "v_active_rows",
-    """SELECT portfolio_id, 1 AS revision, source_row_number, amount_foreign FROM v_previous WHERE portfolio_id % 2 = 1 UNION ALL SELECT portfolio_id, 2, source_row_number, amount_foreign FROM v_incoming WHERE portfolio_id % 2 = 0""",
+    """SELECT account_id, 1 AS revision, source_row_number, amount_foreign FROM v_previous WHERE account_id % 2 = 1 UNION ALL SELECT account_id, 2, source_row_number, amount_foreign FROM v_incoming WHERE account_id % 2 = 0""",
 )
 
 
 @query(
     "published_active_rows",
-    f"SELECT portfolio_id, CAST(revision AS INTEGER) AS revision, 'dataset-' || portfolio_id || '-' || revision AS dataset_id, source_row_number, {sql_rounded(2, 'amount_foreign')} FROM v_active_rows",
+    f"SELECT account_id, CAST(revision AS INTEGER) AS revision, 'dataset-' || account_id || '-' || revision AS dataset_id, source_row_number, {sql_rounded(2, 'amount_foreign')} FROM v_active_rows",
 )
 def _(spark, sf):
     return store.read_active(spark, _published(spark, sf)).select(
@@ -239,7 +239,7 @@ def _(spark, sf):
 
 @query(
     "read_dataset",
-    f"SELECT portfolio_id, trade_date, source_row_number, {sql_rounded(2, 'amount_foreign')} FROM v_previous",
+    f"SELECT account_id, trade_date, source_row_number, {sql_rounded(2, 'amount_foreign')} FROM v_previous",
 )
 def _(spark, sf):
     return store.read_dataset(spark, _published(spark, sf), 1, shards=4).select(
@@ -249,24 +249,24 @@ def _(spark, sf):
 
 view(
     "v_manifest",
-    """SELECT portfolio_id, 1 AS revision, count(*) AS row_count, min(trade_date) AS earliest_date, max(trade_date) AS latest_date FROM v_previous GROUP BY portfolio_id
-UNION ALL SELECT portfolio_id, 2, count(*), min(trade_date), max(trade_date) FROM v_incoming WHERE portfolio_id % 2 = 0 GROUP BY portfolio_id""",
+    """SELECT account_id, 1 AS revision, count(*) AS row_count, min(trade_date) AS earliest_date, max(trade_date) AS latest_date FROM v_previous GROUP BY account_id
+UNION ALL SELECT account_id, 2, count(*), min(trade_date), max(trade_date) FROM v_incoming WHERE account_id % 2 = 0 GROUP BY account_id""",
 )
 view(
     "v_state",
-    """SELECT portfolio_id, 'dataset-' || portfolio_id || '-' || max(revision) AS dataset_id, CAST(max(revision) AS INTEGER) AS stored_revision, arg_max(row_count, revision) AS row_count,
-arg_max(earliest_date, revision) AS earliest_date, arg_max(latest_date, revision) AS latest_date FROM v_manifest GROUP BY portfolio_id""",
+    """SELECT account_id, 'dataset-' || account_id || '-' || max(revision) AS dataset_id, CAST(max(revision) AS INTEGER) AS stored_revision, arg_max(row_count, revision) AS row_count,
+arg_max(earliest_date, revision) AS earliest_date, arg_max(latest_date, revision) AS latest_date FROM v_manifest GROUP BY account_id""",
 )
 
 
-@query("portfolio_state", "SELECT * FROM v_state")
+@query("account_state", "SELECT * FROM v_state")
 def _(spark, sf):
     manifest = store.read_manifest(spark, _published(spark, sf))
-    return versions.portfolio_state(manifest, manifest)
+    return versions.account_state(manifest, manifest)
 
 
 def _bindings(spark, sf):
-    """Snapshots bound to revision 1; every fifth portfolio has none, every seventh an old date."""
+    """Snapshots bound to revision 1; every fifth account has none, every seventh an old date."""
     p = F.col(P)
     return (
         fixtures.snapshots(fixtures.tx(spark, sf))
@@ -283,22 +283,22 @@ def _bindings(spark, sf):
 
 @query(
     "binding_freshness",
-    """SELECT portfolio_id, CASE WHEN portfolio_id % 5 <> 0 THEN CAST(CASE WHEN portfolio_id % 4 = 3 THEN 1 ELSE 0 END AS BIGINT) END AS snapshot_id,
-CASE WHEN portfolio_id % 5 <> 0 THEN CASE WHEN portfolio_id % 7 = 0 THEN DATE '2001-05-31' ELSE DATE '2001-06-30' END END AS valuation_date,
-CASE WHEN portfolio_id % 5 = 0 THEN 'NO_SNAPSHOT' WHEN portfolio_id % 2 = 0 OR portfolio_id % 11 = 0 OR portfolio_id % 7 = 0 THEN 'STALE' ELSE 'CURRENT' END AS freshness,
-CASE WHEN portfolio_id % 5 = 0 THEN NULL WHEN portfolio_id % 2 = 0 OR portfolio_id % 11 = 0 THEN 'TRANSACTION_VERSION_STALE' WHEN portfolio_id % 7 = 0 THEN 'VALUATION_DATE_STALE' END AS freshness_issue
-FROM (SELECT DISTINCT portfolio_id FROM v_tx)""",
+    """SELECT account_id, CASE WHEN account_id % 5 <> 0 THEN CAST(CASE WHEN account_id % 4 = 3 THEN 1 ELSE 0 END AS BIGINT) END AS snapshot_id,
+CASE WHEN account_id % 5 <> 0 THEN CASE WHEN account_id % 7 = 0 THEN DATE '2001-05-31' ELSE DATE '2001-06-30' END END AS valuation_date,
+CASE WHEN account_id % 5 = 0 THEN 'NO_SNAPSHOT' WHEN account_id % 2 = 0 OR account_id % 11 = 0 OR account_id % 7 = 0 THEN 'STALE' ELSE 'CURRENT' END AS freshness,
+CASE WHEN account_id % 5 = 0 THEN NULL WHEN account_id % 2 = 0 OR account_id % 11 = 0 THEN 'TRANSACTION_VERSION_STALE' WHEN account_id % 7 = 0 THEN 'VALUATION_DATE_STALE' END AS freshness_issue
+FROM (SELECT DISTINCT account_id FROM v_tx)""",
 )
 def _(spark, sf):
     manifest = store.read_manifest(spark, _published(spark, sf))
-    state = versions.portfolio_state(manifest, manifest)
+    state = versions.account_state(manifest, manifest)
     stale = is_stale(F.col("valuation_date"), F.lit(datetime.date(2001, 7, 2)))
     return versions.binding_freshness(state, _bindings(spark, sf), stale)
 
 
 @query(
     "dangling_bindings",
-    """SELECT DISTINCT portfolio_id, 'dataset-' || portfolio_id || '-9' AS bound_dataset_id FROM v_tx WHERE portfolio_id % 11 = 0 AND portfolio_id % 5 <> 0""",
+    """SELECT DISTINCT account_id, 'dataset-' || account_id || '-9' AS bound_dataset_id FROM v_tx WHERE account_id % 11 = 0 AND account_id % 5 <> 0""",
 )
 def _(spark, sf):
     manifest = store.read_manifest(spark, _published(spark, sf))
@@ -307,9 +307,9 @@ def _(spark, sf):
 
 @query(
     "first_identity",
-    """SELECT portfolio_id, revision, source_row_number, CASE WHEN revision = 1 THEN transaction_id ELSE coalesce(o, transaction_id) END AS first_id FROM (
-SELECT portfolio_id, 1 AS revision, source_row_number, transaction_id, NULL AS o FROM v_previous
-UNION ALL SELECT i.portfolio_id, 2, i.source_row_number, 'new-' || i.portfolio_id || '-' || i.source_row_number, p.transaction_id FROM v_incoming i LEFT JOIN v_previous p ON p.portfolio_id = i.portfolio_id AND p.content = i.content AND p.occ = i.occ)""",
+    """SELECT account_id, revision, source_row_number, CASE WHEN revision = 1 THEN transaction_id ELSE coalesce(o, transaction_id) END AS first_id FROM (
+SELECT account_id, 1 AS revision, source_row_number, transaction_id, NULL AS o FROM v_previous
+UNION ALL SELECT i.account_id, 2, i.source_row_number, 'new-' || i.account_id || '-' || i.source_row_number, p.transaction_id FROM v_incoming i LEFT JOIN v_previous p ON p.account_id = i.account_id AND p.content = i.content AND p.occ = i.occ)""",
 )
 def _(spark, sf):
     fresh = F.concat_ws("-", F.lit("new"), F.col(P).cast("string"), R().cast("string"))

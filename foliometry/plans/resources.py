@@ -1,7 +1,7 @@
 """Query surface: ten resources and seven metrics over a book, with filter, projection, sort, page.
 
 A resource is a lazy DataFrame builder plus the fields, filters and sorts it allows.  Everything is
-keyed by portfolio; filters and projections are put on top of the lazy frame, so Catalyst pushes
+keyed by account; filters and projections are put on top of the lazy frame, so Catalyst pushes
 them down.
 """
 
@@ -21,10 +21,10 @@ from foliometry.operators import flows, gate, returns, valuation
 from foliometry.plans import envelope
 from foliometry.plans.envelope import FX_COST_VERSION, PERFORMANCE_VERSION, RETURNS_VERSION, VALUATION_VERSION
 from foliometry.plans.envelope import by_freshness as status
-from foliometry.plans.portfolio import Book
+from foliometry.plans.account import Book
 from foliometry.schema import twd_rate
 
-P = "portfolio_id"
+P = "account_id"
 VERSION = "1"
 DEFAULT_PAGE, MAX_PAGE = 100, 500  # fixed values
 
@@ -57,7 +57,7 @@ class Resource:
     date: str | None = None
     paged: bool = True
     version: str = VERSION
-    key: str = P  # the first column; a resource of markets is read through the portfolio's market
+    key: str = P  # the first column; a resource of markets is read through the account's market
 
 
 @dataclass(frozen=True)
@@ -240,16 +240,16 @@ def page(book: Book, name: str, limit: int | None = None, cursor: str | None = N
     return df.sparkSession.createDataFrame(given, df.schema).select(r.key, *[c for c in chosen if c != r.key]), following
 
 
-def with_lineage(book: Book, name: str, rows: DataFrame, portfolio_id: int | None = None) -> DataFrame:
-    """rows of a resource, each with the status, issue digest and versions of its portfolio's result.
+def with_lineage(book: Book, name: str, rows: DataFrame, account_id: int | None = None) -> DataFrame:
+    """rows of a resource, each with the status, issue digest and versions of its account's result.
 
-    Rows of a market have those of one portfolio that reads it, which must be named.
+    Rows of a market have those of one account that reads it, which must be named.
     """
     quality = envelope.of_resource(_with_issues(book), name, security_terminal)
     if _resource(name).key != P:
-        if portfolio_id is None:
-            raise QueryError("MISSING_PORTFOLIO", "rows of a market have a quality for a portfolio only")
-        quality = quality.join(book.markets, P).where(F.col(P) == portfolio_id)
+        if account_id is None:
+            raise QueryError("MISSING_ACCOUNT", "rows of a market have a quality for an account only")
+        quality = quality.join(book.markets, P).where(F.col(P) == account_id)
         return rows.join(quality, _resource(name).key)
     taken = [c for c in quality.columns if c != P and c in rows.columns]
     return rows.join(quality.drop(*taken), P)
@@ -289,7 +289,7 @@ def evaluate(book: Book, name: str, **parameters) -> DataFrame:
 
 
 def current_totals(book: Book) -> DataFrame:
-    """Valuation totals with freshness; portfolios without a snapshot keep a row of nulls."""
+    """Valuation totals with freshness; accounts without a snapshot keep a row of nulls."""
     return book.freshness.join(book.totals, P, "left")
 
 
@@ -322,7 +322,7 @@ def _zero(c: str) -> Column:
 # --- resources ----------------------------------------------------------------------------------
 
 
-def portfolio_snapshot(book: Book) -> DataFrame:
+def account_snapshot(book: Book) -> DataFrame:
     open_ = _count(book.positions.where("abs(quantity) > 1e-9"), "open_position_count")
     # the position count of the totals is of valued components; the snapshot counts held positions
     df = (
@@ -597,20 +597,20 @@ def _profit_metric(column: str):
 
 # --- registration -----------------------------------------------------------------------------------
 
-_PORTFOLIO = Field(P, "integer", "portfolio the row belongs to")
+_ACCOUNT = Field(P, "integer", "account the row belongs to")
 _TWD = {"unit": "TWD"}
 
 
-def _resource_of(name: str, description: str, build, fields: list[Field], filters, sorts, order, date=None, paged=True, key=_PORTFOLIO) -> None:
+def _resource_of(name: str, description: str, build, fields: list[Field], filters, sorts, order, date=None, paged=True, key=_ACCOUNT) -> None:
     columns = filters if isinstance(filters, dict) else {f: f for f in filters}
     resource = Resource(name, description, (key, *fields), build, columns, tuple(sorts), (key.name, *order), date, paged, key=key.name)
     register_resource(resource)
 
 
 _resource_of(
-    "portfolio_snapshot",
-    "portfolio totals from the active transactions and valuation",
-    portfolio_snapshot,
+    "account_snapshot",
+    "account totals from the active transactions and valuation",
+    account_snapshot,
     [
         Field("as_of", "date", "valuation date", True),
         Field("base_currency", "string", "reporting currency"),
@@ -726,7 +726,7 @@ _resource_of(
     ["as_of", "asset_type", "symbol", "currency", "market_value_twd"],
     ["asset_type", "currency", "symbol"],
 )
-_MARKET_KEY = Field("market_id", "integer", "market the row belongs to; a filter by portfolio reads its market")
+_MARKET_KEY = Field("market_id", "integer", "market the row belongs to; a filter by account reads its market")
 _MARKET = [
     Field("date", "date", "exchange-local date"),
     Field("instrument_type", "enum", "instrument", values=("SECURITY", "BENCHMARK", "FX")),

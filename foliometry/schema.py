@@ -15,7 +15,7 @@ MARK_TYPES = ("PRICE", "FX")
 
 TRANSACTION = T.StructType(
     [
-        T.StructField("portfolio_id", T.LongType()),
+        T.StructField("account_id", T.LongType()),
         T.StructField("source_row_number", T.LongType()),
         T.StructField("trade_date", T.DateType()),
         T.StructField("transaction_type", T.StringType()),

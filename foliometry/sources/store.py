@@ -1,7 +1,7 @@
 """Versioned tables in a folder: append a version, read the active one.
 
-Rows are partitioned by publishing batch and by a hash shard of the portfolio, not by portfolio:
-millions of portfolios would make millions of folders.  A manifest row per (portfolio, revision)
+Rows are partitioned by publishing batch and by a hash shard of the account, not by account:
+millions of accounts would make millions of folders.  A manifest row per (account, revision)
 says which version is readable; older versions stay in place.
 """
 
@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 
 from foliometry.operators.versions import active_versions
 
-P = "portfolio_id"
+P = "account_id"
 SHARDS = 64
 
 
 def publish_version(rows: DataFrame, folder: str, revision: int, status: str = "ACTIVE", shards: int = SHARDS, batch: str = "all") -> None:
-    """Write ``rows`` as the given revision of every portfolio in them, then its manifest.
+    """Write ``rows`` as the given revision of every account in them, then its manifest.
 
     A (revision, batch) has folders of its own, which a repeated publication overwrites: it leaves the
-    same rows, not twice as many. Portfolios that are published apart name batches of their own.
+    same rows, not twice as many. Accounts that are published apart name batches of their own.
     """
     shard = F.pmod(F.hash(P), F.lit(shards))
     versioned = rows.withColumn("shard", shard)
-    # rows of one shard may be many: spread them by portfolio and day, and let tasks write several files
+    # rows of one shard may be many: spread them by account and day, and let tasks write several files
     versioned.repartition("shard", "trade_date").write.partitionBy("shard").mode("overwrite").parquet(f"{folder}/rows/revision={revision}/batch={batch}")
     manifest = rows.groupBy(P).agg(
         F.count("*").alias("row_count"), F.min("trade_date").alias("earliest_date"), F.max("trade_date").alias("latest_date")
@@ -45,22 +45,22 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/manifest").drop("published")
 
 
-def read_dataset(spark: SparkSession, folder: str, revision: int, portfolio_id: int | None = None, shards: int = SHARDS) -> DataFrame:
-    """Rows of one revision; one portfolio reads a single shard folder."""
+def read_dataset(spark: SparkSession, folder: str, revision: int, account_id: int | None = None, shards: int = SHARDS) -> DataFrame:
+    """Rows of one revision; one account reads a single shard folder."""
     rows = spark.read.parquet(f"{folder}/rows").where(F.col("revision") == revision)
-    if portfolio_id is not None:
-        shard = F.pmod(F.hash(F.lit(portfolio_id).cast("bigint")), F.lit(shards))
-        rows = rows.where((F.col("shard") == shard) & (F.col(P) == portfolio_id))
+    if account_id is not None:
+        shard = F.pmod(F.hash(F.lit(account_id).cast("bigint")), F.lit(shards))
+        rows = rows.where((F.col("shard") == shard) & (F.col(P) == account_id))
     return rows.drop("shard", "batch")
 
 
 def read_active(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of each portfolio's highest published revision."""
+    """Rows of each account's highest published revision."""
     rows = spark.read.parquet(f"{folder}/rows").drop("shard", "batch")
     active = active_versions(read_manifest(spark, folder)).select(P, "revision", "dataset_id")
     return rows.join(active, [P, "revision"])
 
 
 def read_active_marks(marks: DataFrame, state: DataFrame) -> DataFrame:
-    """Marks of the snapshots that portfolios currently point at, once per snapshot."""
+    """Marks of the snapshots that accounts currently point at, once per snapshot."""
     return marks.join(state.select("snapshot_id").distinct(), "snapshot_id", "left_semi")

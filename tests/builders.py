@@ -9,10 +9,10 @@ def day(text):
     return datetime.date.fromisoformat(text)
 
 
-def transactions(spark, rows, portfolio=1):
+def transactions(spark, rows, account=1):
     """rows: (row, date, type, ticker, currency, quantity, price, amount, fx, fee)"""
     data = [
-        (portfolio, r, day(d), t, k, c, float(q), float(p), float(a), None if x is None else float(x), float(f))
+        (account, r, day(d), t, k, c, float(q), float(p), float(a), None if x is None else float(x), float(f))
         for r, d, t, k, c, q, p, a, x, f in rows
     ]
     return spark.createDataFrame(data, TRANSACTION)
@@ -24,8 +24,8 @@ def marks(spark, rows, snapshot=1):
     return spark.createDataFrame(data, MARK)
 
 
-def snapshot(spark, date, portfolio=1, snapshot_id=1):
-    return spark.createDataFrame([(portfolio, snapshot_id, day(date))], "portfolio_id long, snapshot_id long, valuation_date date")
+def snapshot(spark, date, account=1, snapshot_id=1):
+    return spark.createDataFrame([(account, snapshot_id, day(date))], "account_id long, snapshot_id long, valuation_date date")
 
 
 FUNDING = [

@@ -7,7 +7,7 @@ from builders import FUNDING, FUNDING_MARKS, marks, rows, snapshot, transactions
 from pyspark.sql import functions as F
 
 from foliometry.operators import cash_ledger, flows, fx_ledger, gate, nav, position_ledger, returns, valuation
-from foliometry.plans.portfolio import Book
+from foliometry.plans.account import Book
 
 
 def near(x):
@@ -16,7 +16,7 @@ def near(x):
 
 def funding_book(spark, extra=(), extra_marks=(), date="2026-06-30"):
     tx = transactions(spark, [*FUNDING, *extra])
-    fresh = spark.createDataFrame([(1, "CURRENT", None)], "portfolio_id long, freshness string, freshness_issue string")
+    fresh = spark.createDataFrame([(1, "CURRENT", None)], "account_id long, freshness string, freshness_issue string")
     return Book(tx, marks(spark, [*FUNDING_MARKS, *extra_marks]), snapshot(spark, date), fresh)
 
 
@@ -75,7 +75,7 @@ def test_funding_sequence(spark):
 
 def test_xirr_of_the_funding_sequence(spark):
     book = funding_book(spark)
-    terminal = book.totals.select("portfolio_id", "valuation_date", "complete", "total_assets_twd")
+    terminal = book.totals.select("account_id", "valuation_date", "complete", "total_assets_twd")
     summary = flows.performance_summary(book.tx, terminal).first()
     assert summary.xirr == pytest.approx(0.20511425515474535, abs=1e-10)
     assert summary.complete and summary.issue_codes == ""
@@ -129,7 +129,7 @@ def test_cash_issue_codes(spark):
     }
 
 
-def test_untracked_portfolio_has_no_wallets(spark):
+def test_untracked_account_has_no_wallets(spark):
     tx = transactions(spark, [(2, "2026-01-01", "SECURITY", "A", "TWD", 1, 5, 5, 1, 0)])
     assert cash_ledger.cash_ledger(tx).count() == 0
     assert cash_ledger.tracking(tx).first().tracking_mode == "UNTRACKED"
@@ -157,7 +157,7 @@ def test_sliced_fold_equals_whole_fold(spark, name):
         ticker = (currency[0] + rng.choice("AB")) if security else ""
         amount = round(rng.uniform(1, 900), 2)
         data.append((n, f"2026-{1 + n // 40:02d}-{1 + n % 28:02d}", kind, ticker, currency, quantity, 10, amount, rate, round(rng.random(), 2)))
-    tx = transactions(spark, data).unionByName(transactions(spark, data[:20], portfolio=2))
+    tx = transactions(spark, data).unionByName(transactions(spark, data[:20], account=2))
     fold = {"position": position_ledger.position_ledger, "cash": cash_ledger.cash_ledger, "fx": fx_ledger.fx_ledger}[name]
     whole, sliced = fold(tx), fold(tx, 25)
     key = lambda r: str(r)
@@ -185,7 +185,7 @@ def nav_of(spark, data, dates):
     from builders import day
 
     book = Book(transactions(spark, data), marks(spark, NAV_MARKS), snapshot(spark, "2026-03-15"), None)
-    asked = spark.createDataFrame([(1, day(d)) for d in dates], "portfolio_id long, as_of date")
+    asked = spark.createDataFrame([(1, day(d)) for d in dates], "account_id long, as_of date")
     return nav.nav_points(
         book.tx, book.security_ledger, book.cash_ledger, book.fx_ledger, book.tracking, book.marks, book.snapshots, asked
     )
@@ -209,7 +209,7 @@ def observations(spark, data):
 
     out = [(1, day(d), True, float(a), float(c), float(w)) for d, a, c, w in data]
     return spark.createDataFrame(
-        out, "portfolio_id long, date date, complete boolean, total_assets_twd double, contribution_twd double, withdrawal_twd double"
+        out, "account_id long, date date, complete boolean, total_assets_twd double, contribution_twd double, withdrawal_twd double"
     )
 
 
@@ -261,7 +261,7 @@ def test_side_by_side_equals_row_by_row(spark):
         currency = rng.choice(["TWD", "USD", "EUR"])
         rate = 1 if currency == "TWD" else rng.choice([None, 30, 31.5])
         cash.append((1000 + k, f"2020-{k % 12 + 1:02d}-{k % 28 + 1:02d}", kind, "", currency, 0, 0, rng.randrange(1, 9000), rate, rng.choice([0, 1, 9000])))
-    tx = transactions(spark, trades + cash).withColumn("portfolio_id", F.col("source_row_number") % 25)
+    tx = transactions(spark, trades + cash).withColumn("account_id", F.col("source_row_number") % 25)
     for module, name, build in ((position_ledger, "POSITION_FOLD", position_ledger.position_ledger), (cash_ledger, "CASH_FOLD", cash_ledger.cash_ledger), (fx_ledger, "FX_FOLD", fx_ledger.fx_ledger)):
         kept = getattr(module, name)
         try:
@@ -286,7 +286,7 @@ def test_small_blocks_and_long_keys(spark, monkeypatch):
     columns = list(zip(*rows))
     kinds = [pa.int64(), pa.string(), pa.string(), pa.date32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
     whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f"f{i}" for i in range(8)])
-    schema = T.StructType([T.StructField("portfolio_id", T.LongType()), T.StructField("ticker", T.StringType()), *spec.outputs.fields, T.StructField("step", T.LongType())])
+    schema = T.StructType([T.StructField("account_id", T.LongType()), T.StructField("ticker", T.StringType()), *spec.outputs.fields, T.StructField("step", T.LongType())])
     for size in (1, 7, 100):
         batches = lambda: iter([whole.slice(k, size) for k in range(0, whole.num_rows, size)])
         got = [r for b in fold._blocks(spec, schema)(batches()) for r in b.to_pylist()]

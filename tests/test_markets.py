@@ -35,11 +35,11 @@ def test_rates_and_prices_per_market_and_unit(spark):
 def test_universe_does_not_multiply(spark):
     tx = spark.createDataFrame(
         [(7, 1, datetime.date(2020, 1, 1), "SECURITY", "SPY", "USD")],
-        "portfolio_id long, source_row_number int, trade_date date, transaction_type string, ticker string, currency string",
+        "account_id long, source_row_number int, trade_date date, transaction_type string, ticker string, currency string",
     )
     ends = [(m, "SECURITY", "SPY", "USD", datetime.date(2021, m, 20)) for m in (1, 2)]
     latest = spark.createDataFrame(ends, "market_id long, instrument_type string, ticker string, currency string, latest_date date")
-    link = spark.createDataFrame([(7, 2)], "portfolio_id long, market_id long")
+    link = spark.createDataFrame([(7, 2)], "account_id long, market_id long")
     start = lambda df: [r.start_date for r in df.where("ticker = 'SPY'").collect()]
     assert start(market.instrument_universe(tx, latest)) == [datetime.date(2021, 1, 20) - datetime.timedelta(market.OVERLAP_DAYS)]
     assert start(market.instrument_universe(tx, latest, link)) == [datetime.date(2021, 2, 20) - datetime.timedelta(market.OVERLAP_DAYS)]
@@ -58,15 +58,15 @@ def test_later_observation_of_a_batch_wins(spark, tmp_path):
 
 
 def test_publication_can_be_repeated(spark, tmp_path):
-    rows = spark.createDataFrame([(1, DAY), (2, DAY)], "portfolio_id long, trade_date date")
+    rows = spark.createDataFrame([(1, DAY), (2, DAY)], "account_id long, trade_date date")
     folder = str(tmp_path / "store")
     for _ in range(2):
         store.publish_version(rows, folder, 1, shards=2)
-    store.publish_version(rows.where("portfolio_id = 2"), folder, 1, shards=2, batch="late")
-    store.publish_version(rows.where("portfolio_id = 2"), folder, 2, shards=2)
+    store.publish_version(rows.where("account_id = 2"), folder, 1, shards=2, batch="late")
+    store.publish_version(rows.where("account_id = 2"), folder, 2, shards=2)
     assert store.read_dataset(spark, folder, 2, shards=2).count() == 1
-    assert store.read_dataset(spark, folder, 1, portfolio_id=1, shards=2).count() == 1
-    assert sorted((r.portfolio_id, r.revision) for r in store.read_active(spark, folder).collect()) == [(1, 1), (2, 2)]
+    assert store.read_dataset(spark, folder, 1, account_id=1, shards=2).count() == 1
+    assert sorted((r.account_id, r.revision) for r in store.read_active(spark, folder).collect()) == [(1, 1), (2, 2)]
 
 
 def test_early_serials_and_long_schedules(spark):
@@ -94,7 +94,7 @@ def test_a_cluster_needs_a_shared_folder():
         runtime.shared_folder(Session())
 
 
-REQUEST = "request_id long, portfolio_id long, start_date date, end_date date, monthly_amount double, allocations array<struct<ticker:string,weight:double>>"
+REQUEST = "request_id long, account_id long, start_date date, end_date date, monthly_amount double, allocations array<struct<ticker:string,weight:double>>"
 PRICE = "ticker string, date date, price_twd double, issue_code string"
 
 
@@ -128,7 +128,7 @@ def test_a_hole_blocks_all_modes_instead_of_moving_a_purchase(spark):
     rows = [("A", datetime.date(2026, m, 1), p, i) for m, p, i in ((1, 100.0, None), (2, None, "MISSING_ADJUSTED_CLOSE"), (3, 110.0, None))]
     tx = spark.createDataFrame(
         [],
-        "portfolio_id long, source_row_number int, trade_date date, transaction_type string, ticker string, currency string, quantity double, "
+        "account_id long, source_row_number int, trade_date date, transaction_type string, ticker string, currency string, quantity double, "
         "price double, amount_foreign double, fx_rate double, fee double",
     )
     summary, _curve = backtest.compare(request, spark.createDataFrame(rows, PRICE), tx)
@@ -140,7 +140,7 @@ def test_files_with_line_breaks_and_other_headers(spark, tmp_path):
     (tmp_path / "b.csv").write_text("memo,shares,date\nplain,3,2026-01-04\nshort\n")
     (tmp_path / "c.csv").write_text("")
     got = files.read_transactions(spark, str(tmp_path))
-    assert set(got.columns) == {"source_file", "source_row_number", "portfolio_id", "date", "quantity", "note"}
+    assert set(got.columns) == {"source_file", "source_row_number", "account_id", "date", "quantity", "note"}
     cells = [(r.source_file[-5:], r.source_row_number, r.date, r.quantity, r.note) for r in got.collect()]
     assert sorted(cells, key=lambda c: c[:2]) == [
         ("a.csv", 2, "2026-01-02", "1", 'two, "quoted"\nlines'),

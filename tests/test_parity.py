@@ -12,7 +12,7 @@ NAMES = [
     "position_ledger",
     "cash_ledger",
     "fx_ledger",
-    "portfolio_valuation",
+    "account_valuation",
     "activation_issues",
     "nav_series_blocked",
     "parse_transactions",

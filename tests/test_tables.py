@@ -61,7 +61,7 @@ def test_rejects_and_repeated_fills(spark):
             (1, 5, "bad", "BUY", "AAPL", "1", "10", ""),
             (1, 6, "2026-01-02", "入金", "", "", "", "5"),
         ],
-        "portfolio_id long, source_row_number long, date string, type string, symbol string, qty string, price string, amount string",
+        "account_id long, source_row_number long, date string, type string, symbol string, qty string, price string, amount string",
     )
     parsed = ingest.parse_transactions(raw)
     assert {r.source_row_number: r.reject_reason for r in ingest.rejected(parsed).collect()} == {5: "INVALID_DATE", 6: "MISSING_FX_RATE"}
@@ -99,8 +99,8 @@ def test_roots():
 
 def test_xirr_reports_only_unique_rates(spark):
     flows = [("a", "2025-01-01", -100.0), ("a", "2026-01-01", 110.0), ("b", "2024-01-01", -1000.0), ("b", "2024-12-31", 2300.0), ("b", "2025-12-31", -1320.0)]
-    df = spark.createDataFrame([(k, day(d), a) for k, d, a in flows], "portfolio_id string, date date, amount double")
-    got = rows(xirr(df), "portfolio_id")
+    df = spark.createDataFrame([(k, day(d), a) for k, d, a in flows], "account_id string, date date, amount double")
+    got = rows(xirr(df), "account_id")
     assert got["a"].xirr == pytest.approx(0.1) and (got["b"].root_count, got["b"].xirr) == (2, None)
 
 
@@ -121,7 +121,7 @@ def test_backtest_golden(spark):
     prices = spark.createDataFrame([("A", day(d), p) for d, p in zip(days, (100.0, 110.0, 121.0, 133.1))], "ticker string, date date, price_twd double")
     request = spark.createDataFrame(
         [(1, 1, day(days[0]), day(days[-1]), 100.0, [("A", 1.0)])],
-        "request_id long, portfolio_id long, start_date date, end_date date, monthly_amount double, allocations array<struct<ticker:string,weight:double>>",
+        "request_id long, account_id long, start_date date, end_date date, monthly_amount double, allocations array<struct<ticker:string,weight:double>>",
     )
     tx = transactions(spark, [(2, "2026-01-01", "SECURITY", "X", "TWD", 1, 100, 100, 1, 0), (3, "2026-02-01", "SECURITY", "X", "TWD", -1, 50, 50, 1, 0)])
     summary, curve = backtest.compare(request, prices, tx)
@@ -136,7 +136,7 @@ def test_replay_overdraft_blocks_only_replay(spark):
     prices = spark.createDataFrame([("A", day("2026-01-01"), 100.0), ("A", day("2026-02-01"), 50.0)], "ticker string, date date, price_twd double")
     request = spark.createDataFrame(
         [(1, 1, day("2026-01-01"), day("2026-02-01"), 100.0, [("A", 1.0)])],
-        "request_id long, portfolio_id long, start_date date, end_date date, monthly_amount double, allocations array<struct<ticker:string,weight:double>>",
+        "request_id long, account_id long, start_date date, end_date date, monthly_amount double, allocations array<struct<ticker:string,weight:double>>",
     )
     tx = transactions(spark, [(2, "2026-01-01", "SECURITY", "X", "TWD", 1, 100, 100, 1, 0), (3, "2026-02-01", "SECURITY", "X", "TWD", -1, 80, 80, 1, 0)])
     got = rows(backtest.compare(request, prices, tx)[0], "mode")
@@ -146,12 +146,12 @@ def test_replay_overdraft_blocks_only_replay(spark):
 
 def hashed(df):
     df = df.withColumn("content_hash", hashing.content_hash(df))
-    numbered = number_within(df, ["portfolio_id", "content_hash"], "source_row_number", "occurrence")
+    numbered = number_within(df, ["account_id", "content_hash"], "source_row_number", "occurrence")
     return numbered.withColumn("row_hash", hashing.occurrence_hash(F.col("content_hash"), F.col("occurrence"))).drop("content_hash", "occurrence")
 
 
 def test_lineage_cases(spark):
-    """One portfolio per case, planned together."""
+    """One account per case, planned together."""
     a, b = "2026-01-01", "2026-01-02"
     cases = {
         # unchanged and added
@@ -172,21 +172,21 @@ def test_lineage_cases(spark):
     security = lambda n, d, k, p: (n, d, "SECURITY", k, "TWD", 1, p, p, 1, 0)
 
     def side(i):
-        parts = [transactions(spark, [security(*r) for r in case[i]], portfolio=n) for n, case in cases.items() if case[i]]
+        parts = [transactions(spark, [security(*r) for r in case[i]], account=n) for n, case in cases.items() if case[i]]
         return hashed(functools.reduce(lambda x, y: x.unionByName(y), parts))
 
     before = side(0).withColumn("transaction_id", F.concat(F.lit("id"), F.col("source_row_number")))
     result = lineage.lineage_plan(before, side(1))
     got = {n: {} for n in cases}
     for r in result.collect():
-        got[r.portfolio_id][r.source_row_number] = (r.kind, r.transaction_id, r.ambiguous)
+        got[r.account_id][r.source_row_number] = (r.kind, r.transaction_id, r.ambiguous)
     assert got == {n: case[2] for n, case in cases.items()}
-    summary = rows(lineage.plan_summary(result, before), "portfolio_id")
+    summary = rows(lineage.plan_summary(result, before), "account_id")
     assert (summary[4].removed, summary[4].ambiguous) == (2, 1) and summary[7].removed == 1
 
 
 def test_diff_counts_hashes_once(spark):
-    base = "portfolio_id long, row_hash string, trade_date date, source_row_number long"
+    base = "account_id long, row_hash string, trade_date date, source_row_number long"
     old = spark.createDataFrame([(1, "a", day("2026-01-01"), 2), (1, "b", day("2026-01-01"), 3)], base)
     new = spark.createDataFrame([(1, "a", day("2026-01-01"), 2), (1, "a", day("2026-01-01"), 3)], base)
     d = versions.dataset_diff(old, new).first()
@@ -252,8 +252,8 @@ def test_filters_keep_the_null_date_rule(spark):
 def test_pages_by_key_give_every_row_once(spark):
     """Nulls, ties and equal rows across page borders, ascending and descending."""
     rows = [(k % 3, ["CASH", "VALUATION"][k % 2], "C", None if k % 4 == 0 else datetime.date(2020, 1, 1 + k % 5), None if k % 5 == 0 else f"T{k % 2}") for k in range(60)]
-    schema = "portfolio_id long, domain string, code string, date date, symbol string"
-    frame = spark.createDataFrame(rows, schema).selectExpr("portfolio_id", "domain", "code", "'m' AS message", "'BLOCKING' AS severity", "date", "symbol")
+    schema = "account_id long, domain string, code string, date date, symbol string"
+    frame = spark.createDataFrame(rows, schema).selectExpr("account_id", "domain", "code", "'m' AS message", "'BLOCKING' AS severity", "date", "symbol")
     name = "data_quality"
     original = resources.RESOURCES[name]
     resources.RESOURCES[name] = dataclasses.replace(original, build=lambda _book: frame)
