@@ -26,8 +26,8 @@ PROVIDER_BASIS = ("MARKET_PROVIDER", "RAW_CLOSE")
 def number_text(c: Column) -> Column:
     """Shortest decimal form: 1.0 prints 1, 1.5E7 prints 15000000, 1.0E-7 prints 1e-7; null is blank."""
     size = F.abs(c)
-    plain = F.regexp_replace(F.regexp_replace(c.cast("string"), r"\.0$", ""), r"^-0$", "0")
-    whole = c.cast("decimal(38,0)").cast("string")
+    plain = c.cast("string")  # reached by fractions from 1e-3 up to 1e7 only, which print without an exponent
+    whole = F.when(size < 1e15, c.cast("bigint").cast("string")).otherwise(c.cast("decimal(38,0)").cast("string"))
     expanded = F.regexp_replace(F.regexp_replace(c.cast("string").cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
     exponent = F.lower(F.regexp_replace(F.regexp_replace(c.cast("string"), r"\.0E", "E"), r"E(\d)", "E+$1"))
     return (
@@ -72,6 +72,16 @@ def canonical(df: DataFrame, fields: tuple[str, ...]) -> Column:
     return F.concat_ws("|", *parts)
 
 
+def packed(hashed: Column) -> Column:
+    """A hash as half as many bytes, for keys that are shuffled; another text as bytes that no hash can equal."""
+    return F.when(hashed.rlike("^[0-9a-f]{64}$"), F.unhex(hashed)).otherwise(F.concat(F.encode(hashed, "UTF-8"), F.unhex(F.lit("00" * 33))))
+
+
+def unpacked(key: Column) -> Column:
+    """The text that ``packed`` was made from."""
+    return F.when(F.octet_length(key) == 32, F.lower(F.hex(key))).otherwise(F.decode(F.substring(key, F.lit(1), F.octet_length(key) - 33), "UTF-8"))
+
+
 def content_hash(df: DataFrame, fields: tuple[str, ...] = TRANSACTION_FIELDS) -> Column:
     return F.sha2(canonical(df, fields), 256)
 

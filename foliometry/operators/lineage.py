@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliometry.functions.hashing import content_hash
+from foliometry.functions.hashing import content_hash, packed
 
 P = "account_id"
 IDENTITY = ("transaction_type", "ticker_key", "currency_key")
@@ -27,8 +27,8 @@ def _side(rows: DataFrame, incoming: bool, payload: Column, transaction_id: Colu
         "transaction_type",
         F.upper("ticker").alias("ticker_key"),
         F.upper("currency").alias("currency_key"),
-        "row_hash",
-        content_hash(rows).alias("content"),
+        packed(F.col("row_hash")).alias("row_hash"),
+        packed(content_hash(rows)).alias("content"),
         F.lit(incoming).alias("incoming"),
         transaction_id.alias("stored_id"),
         payload.alias("payload"),

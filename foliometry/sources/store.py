@@ -25,7 +25,7 @@ def publish_version(rows: DataFrame, folder: str, revision: int, status: str = "
     shard = F.pmod(F.hash(P), F.lit(shards))
     versioned = rows.withColumn("shard", shard)
     # rows of one shard may be many: spread them by account and day, and let tasks write several files
-    versioned.repartition("shard", "trade_date").write.partitionBy("shard").mode("overwrite").parquet(f"{folder}/rows/revision={revision}/batch={batch}")
+    versioned.repartition("shard", "trade_date").write.option("compression", "zstd").partitionBy("shard").mode("overwrite").parquet(f"{folder}/rows/revision={revision}/batch={batch}")
     manifest = rows.groupBy(P).agg(
         F.count("*").alias("row_count"), F.min("trade_date").alias("earliest_date"), F.max("trade_date").alias("latest_date")
     )

@@ -90,6 +90,35 @@ def test_number_within_blocks(spark):
         assert [r["rank"] for r in got if r["k"] == k] == list(range(1, sum(r["k"] == k for r in got) + 1))
 
 
+def test_number_within_large_and_small_keys(spark):
+    df = spark.createDataFrame([(k, n) for k, size in ((1, 30), (2, 4), (None, 3)) for n in range(size)] + [(2, None)], "k long, n long")
+    got = [tuple(r) for r in number_within(df, ["k"], "n", "rank", block=10).collect()]
+    assert sorted(got) == [(1, n, n + 1) for n in range(30)] + [(2, n, n + 1) for n in range(4)]
+    plain = number_within(df, ["k"], "n", "rank")
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r) for r in plain.collect()) == sorted(got)
+
+
+def test_packed_hashes(spark):
+    texts = ["ab" * 32, "AB" * 32, "x", "", "ab" * 31, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("k", hashing.packed(F.col("t")))
+    got = df.select("t", hashing.unpacked(F.col("k")).alias("back"), F.octet_length("k").alias("size")).collect()
+    assert [r["back"] for r in got] == texts
+    assert [r["size"] for r in got] == [32, 97, 34, 33, 95, None]
+
+
+def test_first_identity_in_one_shuffle(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 2, "late", 2), (1, "a", 1, "early", 1), (1, "b", 3, "own", 2), (2, "a", 1, "other", 2), (None, "a", 1, "none", 1), (1, None, 5, "none", 1)],
+        "account_id long, row_hash string, source_row_number long, transaction_id string, revision int",
+    )
+    got = versions.first_identity(rows)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r["account_id"], r["row_hash"], r["revision"], r["first_id"]) for r in got.collect()) == [
+        (1, "a", 1, "early"), (1, "a", 2, "early"), (1, "b", 2, "own"), (2, "a", 2, "other")
+    ]
+
+
 def test_roots():
     days = np.array([0.0, 365.0, 730.0])
     two = np.array([-1000.0, 2300.0, -1320.0])
