@@ -12,6 +12,7 @@ from foliometry.operators import backtest, ingest, lineage, versions
 from foliometry.operators.ranking import number_within
 from foliometry.operators.xirr import distinct_roots, xirr
 from foliometry.plans import resources
+from foliometry.runtime import plain_unions
 from foliometry.sources import files
 from foliometry.streaming import bars as bar_stream
 
@@ -161,6 +162,27 @@ def test_backtest_golden(spark):
     assert {r.mode: r["count"] for r in curve.groupBy("mode").count().collect()} == {"DCA": 4, "LUMP_SUM": 4, "TRANSACTION_REPLAY": 4}
 
 
+def test_contributions_to_several_legs(spark):
+    days = [(1, day("2026-01-05"), [0.6, 0.4], [10.0, 20.0]), (1, day("2026-01-06"), [0.6, 0.4], [12.0, 25.0]), (1, day("2026-01-07"), [0.6, 0.4], [6.0, 50.0])]
+    calendar = spark.createDataFrame(days, "request_id long, date date, weights array<double>, prices array<double>")
+    paid = [(1, "DCA", day("2026-01-05"), 100.0), (1, "DCA", day("2026-01-07"), 100.0), (1, "LUMP_SUM", day("2026-01-06"), 200.0)]
+    flows = spark.createDataFrame(paid, "request_id long, mode string, execution_date date, amount_twd double")
+    values = backtest.contribution_values(flows, calendar)
+    plan = values._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    got = {(r["mode"], r["date"].day): (round(r["value_before"], 9), round(r["value_after"], 9)) for r in values.collect()}
+    assert got == {("DCA", 5): (0, 100), ("DCA", 6): (122, 122), ("DCA", 7): (136, 236), ("LUMP_SUM", 6): (0, 200), ("LUMP_SUM", 7): (220, 220)}
+
+
+def test_unions_promise_no_partitioning(spark):
+    """As in data_quality: a join above a union whose parts are coalesced differently while the query runs."""
+    plain_unions(spark)
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+    part = lambda n: spark.range(n).select((F.col("id") % 7).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    plan = part(50).unionByName(part(90)).groupBy("k").agg(F.sum("n").alias("n"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
 def test_replay_overdraft_blocks_only_replay(spark):
     prices = spark.createDataFrame([("A", day("2026-01-01"), 100.0), ("A", day("2026-02-01"), 50.0)], "ticker string, date date, price_twd double")
     request = spark.createDataFrame(
