@@ -109,7 +109,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     Lower-cased words: any windows, MIN_WINDOWS or all there are; items shorter than a window are one window. Words and tokens with slots: windows
     with MIN_LITERALS literals, MIN_WINDOWS of them. An item with fewer such windows of tokens, but MIN_LITERALS literals all in all, is found
     whole: all its windows with a literal must agree, and then every place. Windows in items of more than MOST_KINDS kinds, that is with
-    different templates, are boilerplate and prove nothing; an item is one window short of none.
+    different templates, are boilerplate and count for no part of an item; an item that has too few others is looked for with all its windows, and all must agree.
     """
     per_item = lambda cut: cut.join(cut.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
     verbatim = per_item(cut_items(items, EXACT)).withColumns({"least": F.least(F.col("n"), F.lit(MIN_WINDOWS)), "whole": F.lit(False)})
@@ -126,7 +126,13 @@ def item_windows(items: DataFrame) -> DataFrame:
         parts.append(cut_items(sparse.where(F.size("item_tokens") == width), PLACED, width).withColumns({"least": F.lit(1), "whole": F.lit(True)}))
     every = stored(reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]).distinct())
     common = every.where("not whole").groupBy("reading", "window").agg(F.count_distinct("kind").alias("kinds")).where(F.col("kinds") > MOST_KINDS)
-    return stored(every.join(common.select("reading", "window"), ["reading", "window"], "left_anti").drop("kind"))
+    marked = every.join(common.select("reading", "window", F.lit(True).alias("common")), ["reading", "window"], "left")
+    rare = F.col("whole") | F.col("common").isNull()
+    reading = ["item_id", "kind", "reading", "width", "whole"]
+    sizes = marked.groupBy(*reading).agg(F.count_distinct("item_at").alias("n"), F.count_distinct(F.when(rare, F.col("item_at"))).alias("n_rare"))
+    all_of_it = ~F.col("whole") & (F.col("n_rare") < F.col("least")) & (F.col("n") >= F.col("least"))
+    sought = marked.join(sizes, reading).where(rare | all_of_it).withColumn("least", F.when(all_of_it, F.col("n")).otherwise(F.col("least")))
+    return stored(sought.select(*[c for c in columns if c != "kind"]).distinct())
 
 
 def clashes(slots: Column) -> Column:
@@ -241,7 +247,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     A line is taken when at least MIN_WINDOWS template windows agree in a stretch of it whose slots are consistent, or as many windows of words agree when case is
     ignored; of several, the longest counts. Items with too few windows are found as a whole: those of fewer than WINDOW +
     MIN_WINDOWS - 1 words verbatim, those with MIN_LITERALS literals also by their template; one of fewer than MIN_LITERALS words only where it is
-    all of a text. Windows in items of more than MOST_KINDS different templates are boilerplate and make no find. same_slots tells that no slot was changed. Null or empty texts match nothing; repeated rows give repeated results, equal items
+    all of a text. Windows in items of more than MOST_KINDS different templates are boilerplate: alone they make no find, but an item with fewer than
+    MIN_WINDOWS other ones is found where all its windows lie in one line. same_slots tells that no slot was changed. Null or empty texts match nothing; repeated rows give repeated results, equal items
     one row each; empty tables give no rows; other columns are ignored. Work per text is linear in its words; equal texts are compared once.
     """
     hit_rows, taken = leaking_texts(documents, benchmark)

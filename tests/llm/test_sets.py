@@ -206,6 +206,15 @@ def test_a_sentence_of_many_items_proves_nothing(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(frame, benchmark).collect()} == {(1, 7), (2, 8)}
 
 
+def test_an_item_of_little_but_a_common_sentence_is_found_whole(spark):
+    lead = "read the following passage with care and choose the one answer that fits best of all"
+    own = "copper river stone lantern paper garden window basket yellow quartz walnut meadow candle thunder".split()
+    benchmark = spark.createDataFrame([*((k, f"{lead}: {o}") for k, o in enumerate(own)), (20, lead)], "item_id bigint, text string")
+    texts = [f"and then {lead.upper()}: {own[3]} was asked", f"and then {' '.join(lead.split()[4:])} {own[3]}", f"the teacher said {lead} to us", f"all but {lead.replace('care', 'haste')} {own[3]}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(frame, benchmark).collect()} == {(0, 3), (0, 20), (2, 20)}
+
+
 def test_short_items_of_every_width(spark):
     """Verbatim items of four to nine words inside a text, shorter ones only as a whole text."""
     words = "quartz lantern basket window garden paper river copper stone".split()
