@@ -18,7 +18,7 @@ IDENTITY = ("transaction_type", "ticker_key", "currency_key")
 GROUP = (P, *IDENTITY)
 
 
-def _side(rows: DataFrame, incoming: bool, payload: Column, transaction_id: Column) -> DataFrame:
+def _side(rows: DataFrame, incoming: Column, payload: Column, transaction_id: Column) -> DataFrame:
     """Group keys, row hash, row number and, for incoming rows, all their columns as one."""
     return rows.select(
         P,
@@ -29,7 +29,7 @@ def _side(rows: DataFrame, incoming: bool, payload: Column, transaction_id: Colu
         F.upper("currency").alias("currency_key"),
         packed(F.col("row_hash")).alias("row_hash"),
         packed(content_hash(rows)).alias("content"),
-        F.lit(incoming).alias("incoming"),
+        incoming.alias("incoming"),
         transaction_id.alias("stored_id"),
         payload.alias("payload"),
     )
@@ -49,8 +49,19 @@ def lineage_plan(previous: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     whole = F.struct(*incoming.columns)
     none = F.lit(None).cast(incoming.select(whole.alias("w")).schema["w"].dataType)
-    stored = _side(previous, False, none, F.col("transaction_id"))
-    df = stored.unionByName(_side(incoming, True, whole, F.lit(None).cast("string"))).repartition(*GROUP)
+    stored = _side(previous, F.lit(False), none, F.col("transaction_id"))
+    both = stored.unionByName(_side(incoming, F.lit(True), whole, F.lit(None).cast("string")))
+    return _matched(both.repartition(*GROUP), incoming.columns)
+
+
+def plan_of(rows: DataFrame) -> DataFrame:
+    """As lineage_plan, of both versions in one table, told apart by ``incoming``, whose rows lie by account already; nothing is moved."""
+    columns = [c for c in rows.columns if c not in ("incoming", "transaction_id")]
+    new = F.col("incoming")
+    return _matched(_side(rows, new, F.when(new, F.struct(*columns)), F.when(~new, F.col("transaction_id"))), columns)
+
+
+def _matched(df: DataFrame, columns: list[str]) -> DataFrame:
     new, old = F.col("incoming"), ~F.col("incoming")
 
     # repeated identical fills whose number changed: their occurrence hashes are no evidence
@@ -109,7 +120,6 @@ def lineage_plan(previous: DataFrame, incoming: DataFrame) -> DataFrame:
     out = df.where("incoming").select(
         "payload.*", found.alias("matched"), kind.alias("kind"), (F.col("ambiguous") & found.isNull()).alias("ambiguous_row")
     )
-    columns = [c for c in incoming.columns]
     return out.select(*columns, F.col("matched").alias("transaction_id"), "kind", F.col("ambiguous_row").alias("ambiguous"))
 
 

@@ -245,6 +245,26 @@ def test_diff_counts_hashes_once(spark):
     assert [r.change for r in versions.diff_samples(old, new).collect()] == ["REMOVED"]
 
 
+def test_versions_that_lie_by_account_are_not_moved_again(spark):
+    """One table of both versions gives what two give, without another exchange."""
+    security = lambda n, d, k, p: (n, d, "SECURITY", k, "TWD", 1, p, p, 1, 0)
+    old = [security(n, f"2026-01-{n:02d}", "XY"[n % 2], n // 3) for n in range(2, 20)]
+    new = [security(n + n // 9, f"2026-01-{n:02d}", "XY"[n % 2], n // 2) for n in range(2, 23) if n % 5]
+    before, after = ([transactions(spark, side, account=a) for a in (1, 2, 3)] for side in (old, new))
+    before, after = (hashed(functools.reduce(lambda x, y: x.unionByName(y), side)) for side in (before, after))
+    before = before.withColumn("transaction_id", F.concat(F.lit("id"), F.col("source_row_number")))
+    both = after.withColumns({"transaction_id": F.lit(None).cast("string"), "incoming": F.lit(True)}).unionByName(before.withColumn("incoming", F.lit(False)))
+    placed = spark.createDataFrame(both.collect(), both.schema).repartition(3, "account_id")
+    pairs = [
+        (versions.diff_of(placed), versions.dataset_diff(before, after)),
+        (versions.samples_of(placed.drop("transaction_id")), versions.diff_samples(before.drop("transaction_id"), after)),
+        (lineage.plan_of(placed), lineage.lineage_plan(before, after)),
+    ]
+    for one, two in pairs:
+        assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert sorted(map(str, one.select(*two.columns).collect())) == sorted(map(str, two.collect()))
+
+
 def test_bar_stream_replay_is_idempotent_and_newest_wins(spark, tmp_path):
     source, folder = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
