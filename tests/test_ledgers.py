@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from builders import FUNDING, FUNDING_MARKS, marks, rows, snapshot, transactions
+from builders import FUNDING, FUNDING_MARKS, day, marks, rows, snapshot, transactions
 from pyspark.sql import functions as F
 
 from foliometry.operators import cash_ledger, flows, fx_ledger, gate, nav, position_ledger, returns, valuation
@@ -191,6 +191,23 @@ def nav_of(spark, data, dates):
     )
 
 
+def test_holdings_answer_every_date_from_one_shuffle_by_account(spark):
+    """A state answers the dates up to the key's next one; the answers are not moved again."""
+    d = lambda n: day(f"2026-01-{n:02d}")
+    ledger = spark.createDataFrame(
+        [(1, "A", "TWD", d(3), 5.0, 1, None), (1, "A", "TWD", d(3), 7.0, 2, None), (1, "A", "TWD", d(5), None, 3, None), (1, "A", "TWD", d(9), 2.0, 4, None),
+         (1, "B", "TWD", d(4), 1.0, 1, None), (1, "B", "TWD", d(6), 0.0, 2, None), (2, "A", "TWD", d(1), 4.0, 1, None), (3, "A", "TWD", d(1), 4.0, 1, None)],
+        "account_id long, ticker string, currency string, trade_date date, quantity_after double, step long, issue_code string",
+    )
+    asked = [(1, n) for n in (10, 2, 3, 4, 8, 9)] + [(2, 1), (2, 30)]
+    dates = spark.createDataFrame([(a, 0, d(n)) for a, n in asked], "account_id long, snapshot_id long, as_of date")
+    held = nav.holdings_on_dates(ledger, dates)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    got = {(r.account_id, r.ticker, r.as_of.day): r.quantity for r in held.collect()}
+    first = {(1, "A", 3): 7.0, (1, "A", 4): 7.0, (1, "A", 8): 7.0, (1, "A", 9): 2.0, (1, "A", 10): 2.0, (1, "B", 4): 1.0}
+    assert got == first | {(2, "A", 1): 4.0, (2, "A", 30): 4.0}
+
 def test_nav_never_looks_ahead(spark):
     got = nav_of(spark, NAV_ROWS, ["2026-01-15", "2026-02-15", "2026-03-15"]).orderBy("as_of").collect()
     assert [r.total_assets_twd for r in got] == [near(10000), near(10050), near(10960)]
