@@ -117,8 +117,10 @@ def _matched(df: DataFrame, columns: list[str]) -> DataFrame:
 
     found = F.coalesce(F.when(F.col("exact"), F.col("twin")), "matched_id", "row_id")
     kind = F.when(F.col("exact"), "UNCHANGED").when(found.isNull(), "NEW").otherwise("CORRECTED")
+    # the account is the column that the rows lie by, so what groups the plan by account moves nothing
+    whole = [F.col(P) if c == P else F.col(f"payload.{c}").alias(c) for c in columns]
     out = df.where("incoming").select(
-        "payload.*", found.alias("matched"), kind.alias("kind"), (F.col("ambiguous") & found.isNull()).alias("ambiguous_row")
+        *whole, found.alias("matched"), kind.alias("kind"), (F.col("ambiguous") & found.isNull()).alias("ambiguous_row")
     )
     return out.select(*columns, F.col("matched").alias("transaction_id"), "kind", F.col("ambiguous_row").alias("ambiguous"))
 

@@ -17,6 +17,23 @@ from foliometry.sources import files
 from foliometry.streaming import bars as bar_stream
 
 
+def test_lineage_ids_write_and_move_no_plan(spark, monkeypatch):
+    """Both versions lie by account already: one stored and kept row, one fresh row, one shuffle in all."""
+    from foliometry.plans import queries_versions
+    from foliometry.plans.catalog import PLANS
+
+    rows_ = transactions(spark, [(2, "2026-01-02", "SECURITY", "A", "TWD", 1, 10, 10, 1, 0), (3, "2026-01-03", "SECURITY", "B", "TWD", 1, 10, 10, 1, 0)])
+    rows_ = rows_.repartition(4, "account_id").withColumn("incoming", F.explode(F.array(F.lit(False), F.lit(True)))).where("incoming or source_row_number = 2")
+    rows_ = rows_.withColumn("row_hash", hashing.occurrence_hash(hashing.content_hash(rows_), F.lit(1)))
+    both = rows_.withColumn("transaction_id", F.when(~F.col("incoming"), F.lit("tx-1-2")))
+    monkeypatch.setattr(queries_versions, "_both", lambda spark, sf: both)
+    monkeypatch.setattr(queries_versions, "stored", lambda df: pytest.fail("the plan was written"))
+    monkeypatch.setattr(queries_versions.fixtures, "key_of", lambda *_: ("lineage_ids", "nowhere"))
+    ids = PLANS["lineage_ids"](spark, "nowhere")
+    assert [tuple(r) for r in ids.select("rows", "kept", "fresh").collect()] == [(2, 1, 1)]
+    assert ids._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+
+
 def texts(spark, *values):
     return spark.createDataFrame([(v,) for v in values], "x string")
 
