@@ -156,7 +156,7 @@ def grade_of(quality: str = "quality", toxic: str = "toxic") -> F.Column:
 
 
 def fit_classifier(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> OrdinalModel:
-    """Fit on at most `limit` labelled documents. Only their features that are associated with the grades come to the driver."""
+    """Fit on at most `limit` labelled documents, by their features that are associated with the grades. One task fits; the driver gets weights only."""
     sample = F.broadcast(training_rows(labels, grade_of(), limit))
 
     def step(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -174,11 +174,25 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, limit: int = TRAININ
         each = [np.frombuffer(x, np.int32) for x in batch.column("slots").to_pylist()]
         yield {"doc_id": batch.column("doc_id"), "grade": batch.column("grade"), "slots": pa.array([x[np.isin(x, chosen)].tobytes() for x in each], pa.binary())}
 
-    few = arrow_pass(found, choose, "doc_id bigint, grade int, slots binary").toArrow().sort_by("doc_id")
+    few = arrow_pass(found, choose, "doc_id bigint, grade int, slots binary")
+    weighed = few.coalesce(1).mapInArrow(fit_rows, "slot bigint, weight double").toArrow()
+    slot, weight = (weighed.column(name).to_numpy() for name in ("slot", "weight"))
+    table = np.zeros(1 << TABLE_BITS, np.float32)
+    table[slot[slot >= 0]] = weight[slot >= 0]
+    return OrdinalModel(table, weight[slot < 0])
+
+
+def fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, weight) of the model of all rows (doc_id, grade, slots): weights other than 0, then the thresholds, whose slot is -1."""
+    schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("slots", pa.binary())])
+    few = pa.Table.from_batches([b.cast(schema) for b in batches], schema).sort_by("doc_id")
     each = [np.frombuffer(b, np.int32) for b in few.column("slots").to_pylist()]
     first = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     slots = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-    return fit_ordinal(slots, first, few.column("grade").to_numpy().astype(np.int64))
+    model = fit_ordinal(slots, first, few.column("grade").to_numpy().astype(np.int64))
+    heavy = np.flatnonzero(model.weights)
+    slot = np.concatenate([heavy, np.full(GRADES - 1, -1)]).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.concatenate([model.weights[heavy].astype(float), model.thresholds]))], ["slot", "weight"])
 
 
 def judged(model: OrdinalModel, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:

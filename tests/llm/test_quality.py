@@ -34,6 +34,15 @@ def test_ordinal_classifier_on_held_out_rows(spark):
     assert {r["doc_id"] for r in quality_classifier.select_good(test, model).collect()} == kept
 
 
+def test_classifier_is_fitted_in_a_task(spark, monkeypatch):
+    train, labels = labelled(spark, 200, 3)
+    expected = quality_classifier.fit_classifier(train, labels)
+    monkeypatch.setattr(quality_classifier, "fit_ordinal", None)  # of the driver's process only
+    found = quality_classifier.fit_classifier(train, labels)
+    assert expected.weights.any()
+    assert np.array_equal(found.weights, expected.weights) and np.array_equal(found.thresholds, expected.thresholds)
+
+
 def test_classifier_edges(documents, no_documents, hard_texts, spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     rows = {r["doc_id"]: r for r in quality_classifier.quality_classifier(documents, none).collect()}
