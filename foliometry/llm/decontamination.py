@@ -23,6 +23,7 @@ MIN_WINDOWS = 3
 MOST_KINDS = 10
 BROADCAST_WINDOWS = 2_000_000
 ANCHORS = 20_000
+COMMON_WORDS = 250
 
 NUMBER, NAME, UNIT = 1, 2, 3
 #: How a text is read: lower-cased words as they are, words with slots, or tokens whose numbers and names are one place each.
@@ -41,8 +42,7 @@ UNITS = (
 
 def words_of(text: Column) -> Column:
     """Runs of letters and digits, as an array; a null or blank text has none."""
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+"), "")
 
 
 def tokens_of(text: Column) -> Column:
@@ -61,9 +61,11 @@ def canonical(word: Column) -> Column:
 
 
 def slots_or(word: Column, other: Column) -> Column:
+    """Most words begin with a plain small letter, which is told first; those are no numbers and no names."""
     first = F.substring(word, 1, 1)
     number = (word >= "0") & (word < ":") | first.isin("+", "-", "\u2212")
-    return F.when(number, NUMBER).when(first != F.lower(first), NAME).when(word.isin(*UNITS), UNIT).otherwise(other)
+    small = (word >= "a") & (word < "{")
+    return F.when(~small & number, NUMBER).when(~small & (first != F.lower(first)), NAME).when(word.isin(*UNITS), UNIT).otherwise(other)
 
 
 def exact(word: Column) -> Column:
@@ -86,23 +88,40 @@ def literals(codes: Column) -> Column:
     return F.size(F.filter(codes, lambda c: (c < NUMBER) | (c > UNIT)))
 
 
-def longest_word(words: Column, reading: int) -> Column:
-    """The lower-case hash of the longest word, among literals only where slots count by their type; null if there is none."""
+def common_words(items: DataFrame) -> Column:
+    """A map of the items' most common words to their numbers, by lower-case hash."""
+    counts = items.select(F.explode(F.transform("item_words", exact)).alias("code")).groupBy("code").count().where("count > 1")
+    rows = counts.orderBy(F.desc("count"), "code").limit(COMMON_WORDS).collect()
+    return F.map_from_arrays(F.array(*[F.lit(r["code"]) for r in rows]).cast("array<bigint>"), F.array(*[F.lit(r["count"]) for r in rows]).cast("array<bigint>"))
+
+
+def anchor_word(words: Column, reading: int, common: Column) -> Column:
+    """The lower-case hash of the word that the fewest texts should hold: the least common among the items, of these the longest; among literals only
+    where slots count by their type; null if there is none."""
     usable = words if reading == EXACT else F.filter(words, lambda w: slot_type(w) == 0)
-    return F.array_max(F.transform(usable, lambda w: F.struct(F.length(w).alias("size"), exact(w).alias("code"))))["code"]
+    rank = lambda w: F.struct((-F.coalesce(F.try_element_at(common, exact(w)), F.lit(0))).alias("rare"), F.length(w).alias("size"), exact(w).alias("code"))
+    return F.array_max(F.transform(usable, rank))["code"]
 
 
-def cut_items(items: DataFrame, reading: int, width: int = WINDOW) -> DataFrame:
+def cut_items(items: DataFrame, reading: int, common: Column, width: int = WINDOW) -> DataFrame:
     """(item_id, kind, reading, width, item_at, window, anchor, literals): all windows of the items' words or tokens."""
     words = F.col("item_tokens" if reading == PLACED else "item_words")
     codes = F.transform(words, exact if reading == EXACT else canonical)
     coded = items.select("item_id", "kind", words.alias("words"), codes.alias("codes"))
     cut = coded.select("*", F.posexplode(windows_of(F.col("codes"), reading, width)).alias("item_at", "window"))
     inside = lambda c: F.slice(c, F.col("item_at") + 1, width)
-    figures = (longest_word(inside("words"), reading).alias("anchor"), literals(inside("codes")).alias("literals"))
+    figures = (anchor_word(inside("words"), reading, common).alias("anchor"), literals(inside("codes")).alias("literals"))
     return cut.select("item_id", "kind", F.lit(reading).alias("reading"), F.lit(width).alias("width"), "item_at", "window", *figures)
 
 
+def short_items(items: DataFrame, reading: int, common: Column) -> DataFrame:
+    """As cut_items: each item of fewer than WINDOW words or tokens is one window, whatever its width."""
+    words = F.col("item_tokens" if reading == PLACED else "item_words")
+    coded = items.where(F.size(words).between(1, WINDOW - 1)).withColumns({"words": words, "codes": F.transform(words, exact if reading == EXACT else canonical)})
+    whole = (F.lit(reading).alias("reading"), F.size("codes").alias("width"), F.lit(0).alias("item_at"), window_at(F.col("codes"), F.lit(0), reading, F.size("codes")).alias("window"))
+    return coded.select("item_id", "kind", *whole, anchor_word(F.col("words"), reading, common).alias("anchor"), literals(F.col("codes")).alias("literals"))
+
+
 def item_windows(items: DataFrame) -> DataFrame:
     """(item_id, reading, width, item_at, window, anchor, least, whole): what is looked for, and how many windows of a line make a find.
 
@@ -112,21 +131,21 @@ def item_windows(items: DataFrame) -> DataFrame:
     different templates, are boilerplate and count for no part of an item; an item that has too few others is looked for with all its windows, and all must agree.
     """
     per_item = lambda cut: cut.join(cut.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
-    verbatim = per_item(cut_items(items, EXACT)).withColumns({"least": F.least(F.col("n"), F.lit(MIN_WINDOWS)), "whole": F.lit(False)})
-    typed = cut_items(items, TYPED).where(F.col("literals") >= MIN_LITERALS).withColumns({"least": F.lit(MIN_WINDOWS), "whole": F.lit(False)})
-    tokens = stored(cut_items(items, PLACED).where("anchor is not null"))
+    common = common_words(items)
+    verbatim = per_item(cut_items(items, EXACT, common)).withColumns({"least": F.least(F.col("n"), F.lit(MIN_WINDOWS)), "whole": F.lit(False)})
+    typed = cut_items(items, TYPED, common).where(F.col("literals") >= MIN_LITERALS).withColumns({"least": F.lit(MIN_WINDOWS), "whole": F.lit(False)})
+    tokens = stored(cut_items(items, PLACED, common).where("anchor is not null"))
     placed = tokens.where(F.col("literals") >= MIN_LITERALS).withColumns({"least": F.lit(MIN_WINDOWS), "whole": F.lit(False)})
     rich = placed.groupBy("item_id").count().where(F.col("count") >= MIN_WINDOWS)
     sparse = items.join(rich, "item_id", "left_anti").where(literals(F.transform("item_tokens", canonical)) >= MIN_LITERALS)
     few = per_item(tokens.join(sparse, "item_id", "left_semi")).withColumns({"least": F.col("n"), "whole": F.lit(True)})
     columns = ("item_id", "kind", "reading", "width", "item_at", "window", "anchor", "least", "whole")
     parts = [verbatim, typed, placed, few]
-    for width in range(1, WINDOW):
-        parts.append(cut_items(items.where(F.size("item_words") == width), EXACT, width).withColumns({"least": F.lit(1), "whole": F.lit(False)}))
-        parts.append(cut_items(sparse.where(F.size("item_tokens") == width), PLACED, width).withColumns({"least": F.lit(1), "whole": F.lit(True)}))
+    parts.append(short_items(items, EXACT, common).withColumns({"least": F.lit(1), "whole": F.lit(False)}))
+    parts.append(short_items(sparse, PLACED, common).withColumns({"least": F.lit(1), "whole": F.lit(True)}))
     every = stored(reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]).distinct())
-    common = every.where("not whole").groupBy("reading", "window").agg(F.count_distinct("kind").alias("kinds")).where(F.col("kinds") > MOST_KINDS)
-    marked = every.join(common.select("reading", "window", F.lit(True).alias("common")), ["reading", "window"], "left")
+    boilerplate = every.where("not whole").groupBy("reading", "window").agg(F.count_distinct("kind").alias("kinds")).where(F.col("kinds") > MOST_KINDS)
+    marked = every.join(boilerplate.select("reading", "window", F.lit(True).alias("common")), ["reading", "window"], "left")
     rare = F.col("whole") | F.col("common").isNull()
     reading = ["item_id", "kind", "reading", "width", "whole"]
     sizes = marked.groupBy(*reading).agg(F.count_distinct("item_at").alias("n"), F.count_distinct(F.when(rare, F.col("item_at"))).alias("n_rare"))
@@ -158,24 +177,32 @@ def anchored(codes: Column, anchors: list[int] | None) -> Column:
     return F.filter(F.transform(codes, lambda c, i: F.when(c.isin(*anchors), i)), lambda i: i.isNotNull())
 
 
+def holds_one_of(codes: Column, anchors: list[int] | None) -> Column:
+    """Whether a text has a word that is one of the anchors, or any word where there are too many of these."""
+    return F.size(codes) > 0 if anchors is None else F.exists(codes, lambda c: c.isin(*anchors))
+
+
 def starts_around(places: Column, size: Column, width: int) -> Column:
-    """Where windows begin that hold one of the places."""
-    around = F.transform(places, lambda i: F.sequence(F.greatest(i - (width - 1), F.lit(0)), F.least(i, size - width)))
-    return F.when((size >= width) & (F.size(places) > 0), F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
+    """Where windows begin that hold one of the ascending places: of each place those that hold no earlier one. Below MIN_LITERALS words only where that is the whole text."""
+    none = F.array().cast("array<int>")
+
+    def first_held(i: Column, n: Column) -> Column:
+        start = F.greatest(i - (width - 1), F.coalesce(F.get(places, n - 1) + 1, F.lit(0)))
+        return F.when(start <= size - width, F.sequence(start, F.least(i, size - width))).otherwise(none)
+
+    enough = size == width if width < MIN_LITERALS else size >= width
+    return F.when(enough & (F.size(places) > 0), F.flatten(F.transform(places, first_held))).otherwise(none)
 
 
-def windows_around(codes: Column, places: Column, reading: int, width: int) -> Column:
-    """(at, window) of the windows that hold one of the places; below MIN_LITERALS words only where that is the whole text."""
-    starts = starts_around(places, F.size(codes), width)
-    if width < MIN_LITERALS:
-        starts = F.when(F.size(codes) == width, starts).otherwise(F.array().cast("array<int>"))
+def windows_around(codes: Column, starts: Column, reading: int, width: int) -> Column:
+    """(at, window) of the windows that begin at starts."""
     return F.transform(starts, lambda i: F.struct(i.alias("at"), window_at(codes, i, reading, width).alias("window")))
 
 
 def window_hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
     """(h1, h2, at) with the columns of windows: where texts hold them.
 
-    Each window is known by an anchor, its longest word. Texts are split into words once; windows are hashed around anchors only, and tokens are found only
+    Each window is known by an anchor, its rarest word as far as the items tell. Texts are split into words once; windows are hashed around anchors only, and tokens are found only
     in texts with an anchor of a window of tokens. One pass, whatever the widths.
     """
     kinds = sorted({(r["reading"], r["width"]) for r in windows.select("reading", "width").distinct().collect()})
@@ -185,12 +212,14 @@ def window_hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
 
     words = texts.select(*text_key(F.col("text")), "text", words_of(F.col("text")).alias("words"))
     coded = words.withColumn("exact", F.transform("words", exact))
-    placed = coded.select("h1", "h2", "words", "exact", anchored(F.col("exact"), word_anchors).alias("near"), F.when(F.size(anchored(F.col("exact"), token_anchors)) > 0, F.col("text")).alias("text"))
+    placed = coded.select("h1", "h2", "words", "exact", anchored(F.col("exact"), word_anchors).alias("near"), F.when(holds_one_of(F.col("exact"), token_anchors), F.col("text")).alias("text"))
     typed = F.when(F.size("near") > 0, F.transform("words", canonical)).otherwise(F.array().cast("array<bigint>"))
     tokens = F.when(F.col("text").isNotNull(), tokens_of(F.col("text"))).otherwise(F.array().cast("array<string>"))
     ready = placed.select("h1", "h2", "exact", "near", typed.alias("typed"), tokens.alias("tokens"))
     ready = ready.withColumns({"placed": F.transform("tokens", canonical), "token_near": anchored(F.transform("tokens", exact), token_anchors)})
-    around = [windows_around(F.col(CODES[r]), F.col("token_near" if r == PLACED else "near"), r, w) for r, w in kinds]
+    by_token = {(r == PLACED, w): f"starts_{r == PLACED}_{w}" for r, w in kinds}
+    ready = ready.select("*", *[starts_around(F.col("token_near" if t else "near"), F.size("tokens" if t else "exact"), w).alias(name) for (t, w), name in by_token.items()])
+    around = [windows_around(F.col(CODES[r]), F.col(by_token[r == PLACED, w]), r, w) for r, w in kinds]
     none = F.array().cast("array<struct<at:int,window:bigint>>")
     scanned = ready.select("h1", "h2", F.explode(F.concat(none, *around)).alias("hit")).select("h1", "h2", "hit.at", "hit.window")
     return scanned.join(bounded, "window").distinct()

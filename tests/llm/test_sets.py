@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliometry.llm import decontamination, jaccard_join, secrets, sharding
 from foliometry.llm.components import components
@@ -383,3 +384,13 @@ def test_many_spans_in_one_text(spark, tmp_path):
     assert [(s["start"], s["end"]) for s in found[1][-2:]] == [(s["start"] + 15_999 * len(one), s["end"] + 15_999 * len(one)) for s in found[2]]
     cleaned = {r["doc_id"]: r["text"] for r in secrets.redact(frame, str(tmp_path / "other")).collect()}
     assert cleaned == {1: "é [SECRET] [SECRET] " * 16_000, 2: "é [SECRET] [SECRET] "}
+
+
+def test_anchors_are_rare_among_the_items(spark):
+    own = [[chr(97 + k) + "x" + chr(97 + j) for j in range(10)] for k in range(12)]
+    texts = [" ".join([*words[:5], "everywhere", *words[5:]]) for words in own]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    items = items.select("item_id", decontamination.words_of(F.col("text")).alias("item_words"), decontamination.tokens_of(F.col("text")).alias("item_tokens"))
+    windows = decontamination.item_windows(items.withColumn("kind", F.col("item_id")))
+    assert windows.count() == 12 * 4 * 3
+    assert windows.where(F.col("anchor") == F.xxhash64(F.lit("everywhere"))).count() == 0
