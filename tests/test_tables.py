@@ -1,6 +1,7 @@
 import dataclasses
 import datetime
 import functools
+import re
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliometry.functions import hashing, market, parsing
 from foliometry.operators import backtest, ingest, lineage, versions
+from foliometry.operators.marks import next_trading_date
 from foliometry.operators.ranking import number_within
 from foliometry.operators.xirr import distinct_roots, xirr
 from foliometry.plans import resources
@@ -191,6 +193,33 @@ def test_contributions_to_several_legs(spark):
     assert got == {("DCA", 5): (0, 100), ("DCA", 6): (122, 122), ("DCA", 7): (136, 236), ("LUMP_SUM", 6): (0, 200), ("LUMP_SUM", 7): (220, 220)}
 
 
+def test_forward_as_of_reads_each_day_once(spark):
+    """A frame that ends behind the last row is read anew for every row."""
+    calendar = spark.createDataFrame([(1, day("2026-01-05")), (1, day("2026-01-09")), (1, day("2026-01-09")), (2, day("2026-01-07"))], "request_id long, date date")
+    asked = [(1, None), (1, day("2026-01-01")), (1, day("2026-01-05")), (1, day("2026-01-06")), (1, day("2026-01-10")), (2, day("2026-01-06")), (3, day("2026-01-06"))]
+    found = next_trading_date(calendar, spark.createDataFrame(asked, "request_id long, date date"))
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    got = {(r.request_id, r.date and r.date.day): r.execution_date and r.execution_date.day for r in found.collect()}
+    assert got == {(1, None): 5, (1, 1): 5, (1, 5): 5, (1, 6): 9, (1, 10): None, (2, 6): 7, (3, 6): None}
+
+
+def test_days_of_a_request_are_moved_with_it(spark):
+    """Bars that are broadcast meet the legs where their request lies; payments reach its days as one row."""
+    prices = F.broadcast(spark.createDataFrame([("A", day("2026-01-05"), 10.0), ("B", day("2026-01-05"), 20.0), ("A", day("2026-01-06"), 11.0)], "ticker string, date date, price_twd double"))
+    request = spark.createDataFrame(
+        [(1, 1, day("2026-01-01"), day("2026-02-01"), 100.0, [("A", 0.6), ("B", 0.4)])],
+        "request_id long, account_id long, start_date date, end_date date, monthly_amount double, allocations array<struct<ticker:string,weight:double>>",
+    )
+    moved = lambda df: re.findall(r"Exchange hashpartitioning\(([^)]*)", df._jdf.queryExecution().executedPlan().toString())
+    calendar = backtest.market_calendar(request, prices)
+    assert len(moved(calendar)) == 1 and "date" not in moved(calendar)[0]
+    assert [(r.date, r.weights, r.prices) for r in calendar.collect()] == [(day("2026-01-05"), [0.6, 0.4], [10.0, 20.0])]
+    flows = spark.createDataFrame([(1, "DCA", day("2026-01-05"), 100.0), (1, "DCA", None, 50.0)], "request_id long, mode string, execution_date date, amount_twd double")
+    values = backtest.contribution_values(flows, calendar)
+    assert not [keys for keys in moved(values) if re.search(r"(^|, )date#", keys)]
+    assert [(r["date"], r["value_before"], r["value_after"]) for r in values.collect()] == [(day("2026-01-05"), 0, 100)]
+
+
 def test_unions_promise_no_partitioning(spark):
     """As in data_quality: a join above a union whose parts are coalesced differently while the query runs."""
     plain_unions(spark)
