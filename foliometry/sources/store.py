@@ -16,17 +16,26 @@ P = "account_id"
 SHARDS = 64
 
 
-def publish_version(rows: DataFrame, folder: str, revision: int, status: str = "ACTIVE", shards: int = SHARDS, batch: str = "all") -> None:
+def sharded(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Rows with the hash shard of their account."""
+    return rows.withColumn("shard", F.pmod(F.hash(P), F.lit(shards)))
+
+
+def publish_version(
+    rows: DataFrame, folder: str, revision: int, status: str = "ACTIVE", shards: int = SHARDS, batch: str = "all", placed: bool = False
+) -> None:
     """Write ``rows`` as the given revision of every account in them, then its manifest.
 
     A (revision, batch) has folders of its own, which a repeated publication overwrites: it leaves the
     same rows, not twice as many. Accounts that are published apart name batches of their own.
+    Rows that are ``placed`` lie by ``shard`` (as in ``sharded``) and day already and are not moved.  The manifest is counted from what was written.
     """
-    shard = F.pmod(F.hash(P), F.lit(shards))
-    versioned = rows.withColumn("shard", shard)
+    path = f"{folder}/rows/revision={revision}/batch={batch}"
     # rows of one shard may be many: spread them by account and day, and let tasks write several files
-    versioned.repartition("shard", "trade_date").write.option("compression", "zstd").partitionBy("shard").mode("overwrite").parquet(f"{folder}/rows/revision={revision}/batch={batch}")
-    manifest = rows.groupBy(P).agg(
+    versioned = rows if placed else sharded(rows, shards).repartition("shard", "trade_date")
+    versioned.write.option("compression", "zstd").partitionBy("shard").mode("overwrite").parquet(path)
+    written = rows.sparkSession.read.schema(rows.drop("shard").schema).parquet(path)
+    manifest = written.groupBy(P).agg(
         F.count("*").alias("row_count"), F.min("trade_date").alias("earliest_date"), F.max("trade_date").alias("latest_date")
     )
     manifest = manifest.select(

@@ -193,6 +193,25 @@ def test_contributions_to_several_legs(spark):
     assert got == {("DCA", 5): (0, 100), ("DCA", 6): (122, 122), ("DCA", 7): (136, 236), ("LUMP_SUM", 6): (0, 200), ("LUMP_SUM", 7): (220, 220)}
 
 
+def test_a_version_is_moved_once_and_published_as_it_lies(spark, tmp_path, monkeypatch):
+    """Rows are hashed and numbered where they are written; the manifest is counted from the written rows."""
+    from foliometry.plans import queries_versions
+    from foliometry.sources import store
+
+    trades = [(29 * n + 3, "2026-01-02", "SECURITY", "A", "TWD", 1, 10, 10, 1, 0) for n in (1, 2)]
+    tx = transactions(spark, trades).unionByName(transactions(spark, trades[:1], account=2))
+    for revision, counts in ((1, {1: 4, 2: 2}), (2, {1: 5, 2: 3})):
+        version = queries_versions._version(tx, revision)
+        plan = version._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+        folder = str(tmp_path / str(revision))
+        store.publish_version(version, folder, revision, shards=queries_versions.SHARDS, placed=True)
+        got = store.read_dataset(spark, folder, revision, shards=queries_versions.SHARDS)
+        assert "shard" not in got.columns and {r.account_id: r.n for r in got.groupBy("account_id").agg(F.count_distinct("row_hash").alias("n")).collect()} == counts
+        assert {r.account_id: r.row_count for r in store.read_manifest(spark, folder).collect()} == counts
+        assert store.read_dataset(spark, folder, revision, account_id=2, shards=queries_versions.SHARDS).count() == counts[2]
+
+
 def test_forward_as_of_reads_each_day_once(spark):
     """A frame that ends behind the last row is read anew for every row."""
     calendar = spark.createDataFrame([(1, day("2026-01-05")), (1, day("2026-01-09")), (1, day("2026-01-09")), (2, day("2026-01-07"))], "request_id long, date date")
