@@ -40,35 +40,33 @@ def number_text(c: Column) -> Column:
     )
 
 
-def canonical(df: DataFrame, fields: tuple[str, ...]) -> Column:
-    """Fields joined by | ; missing columns and nulls are blank.
+def number_cell(c: Column) -> Column:
+    """As number_text; whole numbers and fractions that print without an exponent need none of its other forms.
 
-    Neighbouring numbers go through one lambda, which keeps the generated code small.
+    Those go through a lambda, which keeps the generated code small.
     """
-    parts: list[Column] = []
-    numbers: list[Column] = []
+    size = F.abs(c)
+    return (
+        F.when(c.isNull(), "")
+        .when((size < 1e15) & (c == F.floor(c)), c.cast("bigint").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), c.cast("string"))
+        .otherwise(F.transform(F.array(c), number_text)[0])
+    )
 
-    def flush() -> None:
-        if numbers:
-            parts.append(F.transform(F.array(*numbers), number_text))
-            numbers.clear()
 
+def canonical(df: DataFrame, fields: tuple[str, ...]) -> Column:
+    """Fields joined by | ; missing columns and nulls are blank."""
+    parts: list[Column] = []
     for name in fields:
         kind = df.schema[name].dataType.typeName() if name in df.columns else None
-        if kind == "double":
-            numbers.append(F.col(name))
-            continue
-        if kind is None and numbers:
-            numbers.append(F.lit(None).cast("double"))
-            continue
-        flush()
         if kind is None:
             parts.append(F.lit(""))
+        elif kind == "double":
+            parts.append(number_cell(F.col(name)))
         elif kind == "date":
             parts.append(F.coalesce(F.date_format(F.col(name), "yyyy-MM-dd"), F.lit("")))
         else:
             parts.append(F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")))
-    flush()
     return F.concat_ws("|", *parts)
 
 

@@ -28,7 +28,7 @@ def _side(rows: DataFrame, incoming: Column, payload: Column, transaction_id: Co
         F.upper("ticker").alias("ticker_key"),
         F.upper("currency").alias("currency_key"),
         packed(F.col("row_hash")).alias("row_hash"),
-        packed(content_hash(rows)).alias("content"),
+        packed(F.col("content_hash") if "content_hash" in rows.columns else content_hash(rows)).alias("content"),
         incoming.alias("incoming"),
         transaction_id.alias("stored_id"),
         payload.alias("payload"),
@@ -55,8 +55,11 @@ def lineage_plan(previous: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def plan_of(rows: DataFrame) -> DataFrame:
-    """As lineage_plan, of both versions in one table, told apart by ``incoming``, whose rows lie by account already; nothing is moved."""
-    columns = [c for c in rows.columns if c not in ("incoming", "transaction_id")]
+    """As lineage_plan, of both versions in one table, told apart by ``incoming``, whose rows lie by account already; nothing is moved.
+
+    Rows may bring the ``content_hash`` that their row hash was made from.
+    """
+    columns = [c for c in rows.columns if c not in ("incoming", "transaction_id", "content_hash")]
     new = F.col("incoming")
     return _matched(_side(rows, new, F.when(new, F.struct(*columns)), F.when(~new, F.col("transaction_id"))), columns)
 

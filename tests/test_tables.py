@@ -212,6 +212,29 @@ def test_a_version_is_moved_once_and_published_as_it_lies(spark, tmp_path, monke
         assert store.read_dataset(spark, folder, revision, account_id=2, shards=queries_versions.SHARDS).count() == counts[2]
 
 
+def test_common_numbers_need_no_lambda(spark):
+    """number_cell prints as number_text does; only its odd forms are left to the lambda."""
+    odd = [None, 0.0, -0.0, 1.0, -1.0, 0.5, 1e-3, 9.99e-4, 1e-7, 9999999.5, 1e7, 1.5e7, 12345678.9, 9.9e14, 1e15, 1e15 + 1, 9.3e18, 1e21, -2.5e22, 30.1, float("nan"), float("inf"), -float("inf")]
+    df = spark.createDataFrame([(x,) for x in odd], "x double")
+    got = df.select(hashing.number_text(F.col("x")).alias("a"), hashing.number_cell(F.col("x")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and len(got) == len(odd)
+    priced = df.withColumnRenamed("x", "price")
+    assert [r[0] for r in priced.select(hashing.canonical(priced, ("price", "note"))).collect()] == [r.a + "|" for r in got]
+
+
+def test_lineage_takes_the_content_hash_of_its_rows(spark):
+    """Rows that bring the hash of their content get the same plan as rows that do not, and no column more."""
+    a, b = ("2026-01-01", "SECURITY"), ("2026-01-02", "SECURITY")
+    old = [(2, *a, "X", "TWD", 1, 10, 10, 1, 0), (3, *a, "X", "TWD", 1, 10, 10, 1, 0), (4, *b, "Y", "TWD", 2, 10, 20, 1, 0)]
+    new = [(2, *a, "X", "TWD", 1, 10, 10, 1, 0), (4, *b, "Y", "TWD", 2, 11, 22, 1, 0), (5, *b, "Z", "TWD", 1, 10, 10, 1, 0)]
+    both = versions.sides(hashed(transactions(spark, old)), hashed(transactions(spark, new)))
+    both = both.withColumn("transaction_id", F.when(~F.col("incoming"), F.concat(F.lit("id"), F.col("source_row_number")))).repartition(2, "account_id")
+    plain = lineage.plan_of(both)
+    brought = lineage.plan_of(both.withColumn("content_hash", hashing.content_hash(both)))
+    assert brought.columns == plain.columns
+    assert sorted(map(str, brought.collect())) == sorted(map(str, plain.collect())) and plain.count() == 3
+
+
 def test_forward_as_of_reads_each_day_once(spark):
     """A frame that ends behind the last row is read anew for every row."""
     calendar = spark.createDataFrame([(1, day("2026-01-05")), (1, day("2026-01-09")), (1, day("2026-01-09")), (2, day("2026-01-07"))], "request_id long, date date")
