@@ -235,6 +235,18 @@ def test_lineage_takes_the_content_hash_of_its_rows(spark):
     assert sorted(map(str, brought.collect())) == sorted(map(str, plain.collect())) and plain.count() == 3
 
 
+def test_files_are_read_once_for_their_rows(spark, tmp_path):
+    """Row numbers and places of columns come from a written table of blocks, not from another pass over the files."""
+    (tmp_path / "a.csv").write_text('date,Qty,memo\n2026-01-02,1,"x, ""y""\nz"\n2026-1-3,2,\n')
+    (tmp_path / "b.csv").write_text("memo,date,股數\nlast,2026/1/4,3\n")
+    got = files.read_transactions(spark, str(tmp_path / "*.csv"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    cells = {(r.account_id[-5:], r.source_row_number): (r["date"], r["quantity"], r["memo"]) for r in got.collect()}
+    assert cells == {("a.csv", 2): ("2026-01-02", "1", 'x, "y"\nz'), ("a.csv", 3): ("2026-1-3", "2", None), ("b.csv", 2): ("2026/1/4", "3", "last")}
+    days = spark.createDataFrame([("2026-01-02",), ("2026-02-30",), ("2026-01-02\u2028",), ("2026/1-2",), ("2026-1-2",)], "x string")
+    assert [r[0] and r[0].day for r in days.select(parsing.calendar_date(F.col("x"))).collect()] == [2, None, 2, None, 2]
+
+
 def test_forward_as_of_reads_each_day_once(spark):
     """A frame that ends behind the last row is read anew for every row."""
     calendar = spark.createDataFrame([(1, day("2026-01-05")), (1, day("2026-01-09")), (1, day("2026-01-09")), (2, day("2026-01-07"))], "request_id long, date date")
